@@ -1,8 +1,15 @@
 """Queries and SQL of the corpus operators, one opN_<name> each."""
 
-from . import toxicity
+from . import mixing, quality, rules, sharding, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_sharding": sharding.op2_sharding,
+    "op5_rules": rules.op5_rules,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op10_mixing": mixing.op10_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": sharding.sql(),
+    "op10_mixing": mixing.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
