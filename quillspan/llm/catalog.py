@@ -1,12 +1,13 @@
 """Queries and SQL of the corpus operators, one opN_<name> each."""
 
-from . import jaccard, mixing, quality, rules, sharding, toxicity
+from . import decontaminate, jaccard, mixing, quality, rules, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_sharding": sharding.op2_sharding,
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op5_rules": rules.op5_rules,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
