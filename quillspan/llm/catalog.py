@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, one opN_<name> each."""
 
-from . import decontaminate, jaccard, mixing, quality, rules, sharding, toxicity
+from . import decontaminate, jaccard, lm, mixing, quality, rules, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
     "op5_rules": rules.op5_rules,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_lm": lm.op7_lm,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
