@@ -1,18 +1,22 @@
 """Queries and SQL of the corpus operators, one opN_<name> each."""
 
-from . import decontaminate, jaccard, lm, mixing, quality, rules, sharding, toxicity
+from . import decontaminate, jaccard, linededup, lm, mixing, quality, rules, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_sharding": sharding.op2_sharding,
     "op3_ngram_jaccard": jaccard.op3_ngram_jaccard,
+    "op4_urlfilter": urlfilter.op4_urlfilter,
     "op5_rules": rules.op5_rules,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_lm": lm.op7_lm,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_linededup": linededup.op9_linededup,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": sharding.sql(),
+    "op4_urlfilter": urlfilter.sql(),
+    "op9_linededup": linededup.SQL,
     "op10_mixing": mixing.SQL,
 }

@@ -362,5 +362,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return t.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Rows of docs, all columns: of each component the one with the smallest doc_id (null last).
+
+    Rows equal in doc_id and text are one document; documents without words all stay.
+    """
+    row = F.xxhash64("doc_id", F.xxhash64("text"), F.length("text"))
+    t = link_classes(docs.select(row.alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    ids = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"))
+    linked = t.filter("n_shingles > 0").distinct().join(ids, "_row")
+    first = linked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
+    stay = first.union(t.filter("n_shingles = 0").select("_row").distinct())
+    return docs.withColumn("_row", row).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))

@@ -171,6 +171,19 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs, all columns, that the model doesn't call toxic."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        saver = Saver(model) if model["toxic"] is not None else None
+        for b in batches:
+            keep = score_texts(model, b.column(at).to_pylist(), saver) < CUT
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
