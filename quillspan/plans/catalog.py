@@ -1,11 +1,15 @@
-"""All registered queries."""
+"""All registered queries: name -> function, and name -> SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from . import page_queries, table_queries, text_queries
+
+MODULES = (text_queries, page_queries, table_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}

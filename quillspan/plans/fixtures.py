@@ -1,0 +1,30 @@
+"""Small literal tables, as DataFrames and as SQL for the other engine, from one set of rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def frame(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = [f.split()[1] for f in schema.split(", ")]
+    row = [F.struct(*(F.lit(v).cast(t).alias(n) for n, t, v in zip(names, types, r))) for r in rows]
+    return spark.range(1).select(F.explode(F.array(*row)).alias("r")).select("r.*")
+
+
+def values(name: str, schema: str, rows: list[tuple]) -> str:
+    """A common table expression of the same rows."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = {"int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    kinds = [types[f.split()[1]] for f in schema.split(", ")]
+
+    def lit(v, t):
+        if v is None:
+            return f"CAST(NULL AS {t})"
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return f"CAST({v} AS {t})"
+
+    body = ", ".join("(" + ", ".join(lit(v, t) for v, t in zip(r, kinds)) + ")" for r in rows)
+    quoted = ", ".join(f'"{n}"' for n in names)
+    return f"{name}({quoted}) AS (VALUES {body})"
