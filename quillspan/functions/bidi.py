@@ -6,7 +6,8 @@ import unicodedata
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import functions as F
+
+from . import arrow
 
 # Fixed values.
 ARABIC = ((0x0600, 0x06FF), (0x0750, 0x077F), (0x0870, 0x089F), (0x08A0, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF))
@@ -32,7 +33,7 @@ def counts(text: str) -> tuple[int, int, int, int]:
     return tuple(n)
 
 
-@F.pandas_udf("struct<rtl:int,ltr:int,digit:int,other:int>")
+@arrow("struct<rtl:int,ltr:int,digit:int,other:int>")
 def exact_counts(text: pd.Series) -> pd.DataFrame:
     """Script counts by exact bidi class; the expression in `text` differs on letters without a strong class."""
     return pd.DataFrame([counts(t) for t in text], columns=["rtl", "ltr", "digit", "other"])
@@ -125,7 +126,7 @@ def logical(text: str) -> str:
 
 
 def _text_udf(f):
-    @F.pandas_udf("string")
+    @arrow("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else f(t))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text as X
+from ..functions import arrow, text as X
 
 
 def cer(ref: Column, hyp: Column) -> Column:
@@ -50,18 +50,18 @@ def lcs(a, b) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@arrow("double")
 def wer_python(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(r.split(), h.split()) / len(r.split()) if r and r.split() else 1.0 for r, h in zip(ref, hyp)])
 
 
-@F.pandas_udf("double")
+@arrow("double")
 def order_accuracy(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Longest common subsequence over the longer of the two."""
     return pd.Series([1.0 if not len(a) and not len(b) else lcs(list(a), list(b)) / max(len(a), len(b)) if len(a) and len(b) else 0.0 for a, b in zip(ref, hyp)])
 
 
-@F.pandas_udf("array<int>")
+@arrow("array<int>")
 def unit_order(transcript: pd.Series, units: pd.Series) -> pd.Series:
     """Indexes of the units at each whole occurrence in the transcript, by place and then by index."""
     out = []

@@ -62,8 +62,9 @@ def read_json(df: DataFrame, column: str = "value") -> DataFrame:
 
 def to_json(blocks: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, value): the nested JSON of each document from its normalised tables, blocks in their order."""
-    b = blocks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*names(BLOCK_FIELDS)).alias("b")))), lambda x: x["b"]).alias("blocks"))
-    p = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*names(PAGE_FIELDS)))).alias("pages"))
+    by = lambda c: lambda x, y: F.when(x[c] < y[c], -1).when(x[c] > y[c], 1).otherwise(0)
+    b = blocks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*names(BLOCK_FIELDS)).alias("b"))), by("ord")), lambda x: x["b"]).alias("blocks"))
+    p = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*names(PAGE_FIELDS))), by("page_number")).alias("pages"))
     d = documents.join(p, "doc_id", "left").join(b, "doc_id", "left")
     empty = lambda c, fields: F.coalesce(F.col(c), F.array().cast(f"array<{_struct(fields)}>"))
     return d.select("doc_id", F.to_json(F.struct(

@@ -9,6 +9,8 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import arrow
+
 # Fixed values.
 MAX_BYTES, HEAD, OLE_SCAN = 500 * 1024 * 1024, 1024, 512 * 1024
 OLE = "D0CF11E0A1B11AE1"
@@ -27,7 +29,7 @@ def _members(content: bytes) -> list[zipfile.ZipInfo]:
         return []
 
 
-@F.pandas_udf("array<struct<name:string,size:long,packed:long>>")
+@arrow("array<struct<name:string,size:long,packed:long>>")
 def members(content: pd.Series) -> pd.Series:
     return pd.Series([[{"name": m.filename, "size": m.file_size, "packed": m.compress_size} for m in _members(c or b"")] for c in content])
 

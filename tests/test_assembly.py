@@ -1,0 +1,150 @@
+import io
+import zipfile
+
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from quillspan.functions import tables as B
+from quillspan.operators import assembly as A, layout as L
+from quillspan.sources import html as H, office as O, sinks, sniff
+
+
+def word(text, x0, y0=100.0, size=10.0, bold=False, x1=None, **k):
+    return {"text": text, "x0": float(x0), "y0": y0, "x1": float(x1 if x1 is not None else x0 + 6 * len(text)), "y1": y0 + size, "size": size, "bold": bold, "italic": False, "underline": False, "blank": False, "confidence": 1.0, **k}
+
+
+def rule(x0, y0, x1, y1, vertical=False):
+    return {"x0": x0, "y0": y0, "x1": x1, "y1": y1, "vertical": vertical}
+
+
+def box(x0, y0, x1, y1, **k):
+    return {"x0": x0, "y0": y0, "x1": x1, "y1": y1, **k}
+
+
+def test_xy_order():
+    boxes = [box(50, 40, 550, 60), box(50, 80, 280, 140), box(320, 80, 550, 140), box(50, 160, 280, 260), box(50, 700, 550, 720)]
+    assert A.xy_order(boxes) == [0, 1, 3, 2, 4]
+    assert A.xy_order(boxes, True) == [0, 2, 1, 3, 4]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(0, 50)] * 4), max_size=12), st.booleans())
+def test_xy_order_is_a_permutation(raw, rtl):
+    boxes = [box(a, b, a + c + 1, b + d + 1) for a, b, c, d in raw]
+    assert sorted(A.xy_order(boxes, rtl)) == list(range(len(boxes)))
+
+
+def test_blanks_and_underlines():
+    line = [word("She", 72), word("to", 200), word("school.", 214)]
+    made = A.insert_blanks(line, [rule(95, 109.5, 195, 110)], [], 595)
+    assert sum(w["blank"] for w in made) == 1 and not any(w["underline"] for w in made)
+    pair = [word("Read", 72), word("carefully", 98)]
+    made = A.insert_blanks(pair, [rule(72, 110, 152, 110.5)], [], 595)
+    assert not any(w["blank"] for w in made) and all(w["underline"] for w in made)
+    contents = [word("Introduction", 72), word("7", 500)]
+    assert not any(w["blank"] for w in A.insert_blanks(contents, [rule(150, 109.5, 495, 110)], [box(60, 90, 520, 120, kind="contents")], 595))
+
+
+GRID = [word(w, 72 + 110 * c, 100 + 30 * r, bold=r == 0) for r, row in enumerate((("Case", "Year", "Court"), ("Alpha", "1932", "Lords"), ("Beta", "1944", "Appeal"))) for c, w in enumerate(row)]
+RULES = [rule(x, 92, x + 0.5, 185, True) for x in (66, 176, 286, 396)] + [rule(66, y, 396, y + 0.5) for y in (92, 122, 152, 184)]
+
+
+def test_tables():
+    t = A.build_table(box(66, 92, 396.5, 185), GRID, RULES)
+    assert [[c["text"] for c in r] for r in t["rows"]] == [["Case", "Year", "Court"], ["Alpha", "1932", "Lords"], ["Beta", "1944", "Appeal"]]
+    assert t["has_header"] and t["confidence"] >= 0.9
+    plain = A.build_table(box(66, 92, 396.5, 185), GRID, [])
+    assert [[c["text"] for c in r] for r in plain["rows"]] == [["Case", "Year", "Court"], ["Alpha", "1932", "Lords"], ["Beta", "1944", "Appeal"]]
+    assert len(A.ruled_regions(RULES, GRID)) == 1
+    assert A.ruled_regions([r for r in RULES if r["x0"] in (66, 396) or not r["vertical"]], GRID) == []
+
+
+def test_captions_and_figures():
+    regions = [box(50, 50, 300, 200, kind="figure", ord=0, label="image"), box(50, 210, 400, 225, kind="text", ord=1, label="text")]
+    said = [word(t, 52 + 60 * k, 212) for k, t in enumerate("Figure 4.1: A bridge".split())]
+    assert [b["type"] for b in A.assemble(said, regions, [], 595, 842)] == ["image", "caption"]
+    said = [word(t, 52 + 60 * k, 212) for k, t in enumerate("Figure 2 shows it".split())]
+    got = A.assemble([word("EXIT", 60, 60), word("ONLY", 100, 60), *said], regions, [], 595, 842)
+    assert [(b["type"], b["role"]) for b in got][:2] == [("image", None), ("caption", "figure_text")] and got[1]["text"] == "EXIT ONLY"
+
+
+def test_compose_and_items():
+    lines = A.group_lines([word("a", 10, 10), word("well-", 30, 10), word("known", 10, 24), word("BOLD", 60, 24, bold=True)])
+    text, styles = A.compose(lines)
+    assert text == "a well-known BOLD" and [(s["start"], s["end"]) for s in styles] == [(13, 17)]
+    items = A.split_items(A.group_lines([word("1.", 10, 10), word("one", 30, 10), word("2.", 10, 24), word("two", 30, 24)]))
+    assert [i[0]["text"] for i in items] == ["1. one", "2. two"]
+
+
+def test_word_region_join(spark):
+    w = spark.createDataFrame([("d", 1, 0, 0.0, 0.0, 10.0, 10.0), ("d", 1, 1, 95.0, 0.0, 105.0, 10.0), ("d", 1, 2, 300.0, 0.0, 310.0, 10.0), ("d", 1, 3, 20.0, 0.0, 30.0, 10.0)], "doc_id string, page_number int, word_id int, x0 double, y0 double, x1 double, y1 double")
+    r = spark.createDataFrame([("d", 1, 0, 0.0, 0.0, 100.0, 100.0, "text", False), ("d", 1, 1, 15.0, 0.0, 35.0, 20.0, "text", False)], "doc_id string, page_number int, region_id int, x0 double, y0 double, x1 double, y1 double, kind string, decorative boolean")
+    assert {x.word_id: x.region_id for x in L.assign_words(w, r).collect()} == {0: 0, 1: None, 2: None, 3: 1}
+    assert sorted(x.word_id for x in L.orphans(w, r).collect()) == [1, 2]
+
+
+CELL = "array<array<struct<text:string,row_span:int,col_span:int,is_header:boolean>>>"
+
+
+def table(spark, rows, **k):
+    return spark.createDataFrame([([[(c, 1, 1, False) if isinstance(c, str) else c for c in r] for r in rows],)], f"rows {CELL}")
+
+
+def test_table_views(spark):
+    t = table(spark, [["Party", "Role"], ["Applicant", "Owner\nof it"], ["x"]])
+    r = t.select(B.markdown(F.col("rows"), F.lit("Cap")).alias("m"), B.linearized(F.col("rows"), F.lit(True), F.lit(None).cast("string")).alias("l"), B.entries(F.col("rows"), F.lit(True)).alias("e")).first()
+    assert r.m.split("\n") == ["**Cap**", "", "| Party | Role |", "| --- | --- |", "| Applicant | Owner of it |", "| x |  |"]
+    assert r.l.startswith("[Table]\n• Row 1:\n   - Party: Applicant")
+    assert [(e.lead, [tuple(d) for d in e.details]) for e in r.e] == [("Applicant", [("Role", "Owner\nof it")]), ("x", [])]
+    wide = table(spark, [[f"Heading {k}" for k in range(6)], [f"some text {k}" for k in range(6)]]).withColumn("m", B.measures(F.col("rows")))
+    fit = lambda w: wide.select(B.fit(F.col("rows"), F.col("m"), F.lit(w), F.lit(20.0)).alias("f")).first().f.tier
+    assert fit(900.0) == "enlarged" and fit(150.0) == "linearize" and fit(350.0) in ("split", "linearize")
+    parts = wide.select(B.split_parts(F.col("rows"), F.lit("T")).alias("p")).first().p
+    assert [len(p.rows[0]) for p in parts] == [3, 3, 2] and all(p.rows[1][0].text == "some text 0" for p in parts) and parts[0].caption == "T (Part 1 of 3)"
+    spans = table(spark, [[("a", 1, 2, False), "hidden", "b"], [("c", 9, 1, False), "d", "e"]])
+    assert [(v.r, v.c, v.rs, v.cs) for v in spans.select(B.visible_cells(F.col("rows")).alias("v")).first().v] == [(0, 0, 1, 2), (0, 2, 1, 1), (1, 0, 1, 1), (1, 1, 1, 1), (1, 2, 1, 1)]
+
+
+def _zip(**members):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for n, c in members.items():
+            z.writestr(n.replace("__", "/").replace("_xml", ".xml"), c)
+    return buf.getvalue()
+
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+
+def test_sources(spark):
+    doc = f'<w:document {W}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:br w:type="page"/><w:t>after break</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>h</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
+    styles = f'<w:styles {W}><w:style w:styleId="Heading1"><w:name w:val="heading 1"/></w:style></w:styles>'
+    raw = _zip(word__document_xml=doc, word__styles_xml=styles)
+    df = spark.createDataFrame([("a", bytearray(raw)), ("b", bytearray(b"%PDF-1.7")), ("c", bytearray(b"")), ("e", bytearray(b"PK\x03\x04junk"))], "doc_id string, content binary")
+    assert {r.doc_id: r.k for r in df.select("doc_id", sniff.detect(F.col("content")).alias("k")).collect()} == {"a": "docx", "b": "pdf", "c": None, "e": None}
+    b = O.read_docx(df.filter("doc_id = 'a'")).orderBy("ord").collect()
+    assert [(x.type, x.text, x.source_page, x.level) for x in b] == [("page_marker", None, 1, None), ("heading", "Top", 1, 1), ("page_marker", None, 2, None), ("paragraph", "after break", 1, None), ("table", None, 2, None)]
+    bad = spark.createDataFrame([("x", bytearray(_zip(**{"..__evil": "1", "ok": "2"})))], "path string, content binary")
+    assert [r.name for r in sniff.unsafe_members(bad).collect()] == ["../evil"]
+    assert H.blocks_of("<h2>T</h2><p>a<br>b<script>x()</script></p><ul><li>c</ul>") == [("heading", 2, "T"), ("paragraph", None, "a b"), ("list", None, "c")]
+
+
+def test_reader_html_and_files(spark, tmp_path):
+    b = spark.createDataFrame([("d", 0, "page_marker", None, None, "en", "ltr", 1, None, None, None, None), ("d", 1, "paragraph", "a < b", None, "en", "rtl", None, None, None, None, "look")], f"doc_id string, ord int, type string, text string, level int, language string, text_direction string, page_marker int, role string, rows {CELL}, caption string, note string")
+    p = spark.createDataFrame([("d", 1, "iv")], "doc_id string, page_number int, printed_page string")
+    d = spark.createDataFrame([("d", "My & book")], "doc_id string, title string")
+    h = sinks.reader_html(b, d, p).first().html
+    assert 'id="page-1">Original page 1 (printed iv)' in h and '<p dir="rtl">a &lt; b</p><p class="note">look</p>' in h and "<title>My &amp; book</title>" in h
+    sinks.put_file(str(tmp_path / "x.html"), h.encode())
+    assert [f.name for f in tmp_path.iterdir()] == ["x.html"]
+
+
+def test_job_stream(spark, tmp_path):
+    from quillspan.streaming import jobs
+
+    rows = ['{"job_id":"j","type":"checkpoint","ts":"2026-01-01T00:00:%02d","page_number":%d,"classification":"native","flagged_for_review":%s}' % (k, k, "true" if k == 3 else "false") for k in range(5)]
+    (tmp_path / "e.json").write_text("\n".join(rows))
+    q = jobs.throughput(jobs.read_events(spark, str(tmp_path))).writeStream.outputMode("complete").format("memory").queryName("pages_done").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r.pages, r.flagged) for r in spark.sql("select pages, flagged from pages_done").collect()] == [(5, 1)]
