@@ -16,7 +16,8 @@ Edge cases: null and empty texts have no words and no hits; an item without
 words has no window; an item shorter than a window is one window; items that
 share an item_id count once; a null item_id counts as the empty string; repeated
 rows are searched each; empty tables give no hits or no rows.  Extra columns of
-documents are ignored by `spans` and carried along by `clean`.
+documents are ignored by `spans` and carried along by `clean`; names _words,
+_spans and _items are reserved.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
 from .fmindex import FMIndex
@@ -148,12 +150,12 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-SPANS = "n_words long, _spans array<struct<start:int,stop:int>>, _items array<string>"
+SPANS = "_words long, _spans array<struct<start:int,stop:int>>, _items array<string>"
 _TYPES = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string())]
 
 
 def _search(windows: Windows, text_at: int, width: int, later: bool):
-    """Adds n_words, _spans and _items to each row; later blocks merge into those columns."""
+    """Adds _words, _spans and _items to each row; later blocks merge into those columns."""
 
     def run(batches):
         held, codes, size = [], [], 0
@@ -171,7 +173,7 @@ def _search(windows: Windows, text_at: int, width: int, later: bool):
                     spans = [_merged([(s["start"], s["stop"]) for s in old], new) for old, new in zip(b.column(width + 1).to_pylist(), spans)]
                     items = [set(old) | new for old, new in zip(b.column(width + 2).to_pylist(), items)]
                 cols = [n, [[{"start": x, "stop": y} for x, y in s] for s in spans], [sorted(i) for i in items]]
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(width)), *(pa.array(c, t) for c, t in zip(cols, _TYPES))], names=[*b.schema.names[:width], "n_words", "_spans", "_items"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(width)), *(pa.array(c, t) for c, t in zip(cols, _TYPES))], names=[*b.schema.names[:width], "_words", "_spans", "_items"])
             held, codes, size = [], [], 0
 
         for big in batches:
@@ -190,7 +192,7 @@ def _search(windows: Windows, text_at: int, width: int, later: bool):
 
 
 def spans(docs: DataFrame, bench: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns of carry, text among them) with n_words, _spans (word offsets) and _items."""
+    """doc_id (or the columns of carry, text among them) with _words, _spans (word offsets) and _items."""
     found = bench.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     # the stated query set, read once by the driver, block by block
     blocks = _blocks(sorted(((r.item_id, r.text) for r in found.toLocalIterator()), key=lambda x: (x[0] or "", x[1])))
@@ -224,14 +226,15 @@ def cut_spans(text: str, removed: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-@F.pandas_udf("string")
-def _without(text, removed):
-    import pandas as pd
+def _without(text: Column, removed: Column) -> Column:
+    return F.pandas_udf(_cut_all, "string")(text, removed)
 
+
+def _cut_all(text: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series([cut_spans(t, [(s["start"], s["stop"]) for s in r]) if t and len(r) else t for t, r in zip(text, removed)])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + (s["stop"] - s["start"]).cast("long"))
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"))
+    return found.select("doc_id", F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"))
