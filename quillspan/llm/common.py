@@ -11,7 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input.  Arrow batches get smaller, where the session has Spark's default: rows here are whole texts."""
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,15 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import stored, table
 
-MIN_DOCUMENTS, MIN_TOKENS, LEADING = 5, 3, 2
+MIN_DOCUMENTS, MIN_TOKENS, LEADING = 5, 3, 3
 #: Least share of fixed tokens in a template, in percent.
 MIN_FIXED = 60
-SPACE = r"[\x20\x09-\x0D]+"
-EDGE = " \t\n\x0b\x0c\r"
+#: Bits of the map of busy leaves that is broadcast before the exact join; a fixed size, whatever the data.
+MAP_BITS = 1 << 22
 
 
 def _tokens(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(EDGE)), SPACE)
+    """Tokens of a line, split at ASCII white space."""
+    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
 def _masked(token: Column) -> Column:
@@ -43,22 +44,46 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def _eligible(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= MIN_TOKENS
+def _leaf(tokens: Column) -> Column:
+    return F.xxhash64(F.size(tokens), F.transform(F.slice(tokens, 1, LEADING), _masked))
 
 
-def boilerplate(docs: DataFrame) -> DataFrame:
+def _text_key() -> Column:
+    return F.xxhash64(F.col("text"), F.length("text"))
+
+
+def _lines(docs: DataFrame, *extra: Column) -> DataFrame:
+    """Each document's distinct lines that are long enough for the least number of tokens."""
+    k = docs.select(*extra, F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    return k.filter(F.octet_length("line") >= 2 * MIN_TOKENS - 1)
+
+
+def _bit(h: Column) -> tuple[Column, Column]:
+    at = F.pmod(h, F.lit(MAP_BITS))
+    return F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """(_ld_doc, _ld_k, line, leaf): hashes of each document's lines, its text and their leaves; lines of too few tokens are out."""
+    k = _lines(docs, F.monotonically_increasing_id().alias("_ld_doc"), _text_key().alias("_ld_k")).withColumn("tokens", _tokens(F.col("line")))
+    k = k.filter(F.size("tokens") >= MIN_TOKENS)
+    return stored(k.select("_ld_doc", "_ld_k", _hash(F.col("line")).alias("line"), _leaf(F.col("tokens")).alias("leaf")), "lines")
+
+
+def boilerplate(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(_ld_line, _ld_template): hashes of the lines to drop, and their templates."""
-    keyed = docs.select(F.monotonically_increasing_id().alias("_ld_doc"), F.array_distinct(F.filter(F.split("text", "\n"), _eligible)).alias("lines"))
-    lines = keyed.select("_ld_doc", F.explode("lines").alias("line"))
-    # distinct lines with their documents; a leaf is (token count, leading tokens)
-    vocab = lines.groupBy("line").agg(F.count("*").alias("n"))
-    t = _tokens(F.col("line"))
-    vocab = vocab.select("line", "n", F.transform(t, _masked).alias("tokens"))
-    vocab = vocab.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)))
-    vocab = stored(vocab.select(_hash(F.col("line")).alias("line"), "n", "tokens", "leaf"), "lines")
+    vocab = stored(lines.groupBy("line", "leaf").agg(F.count("*").alias("n")), "vocabulary")
     busy = vocab.groupBy("leaf").agg(F.sum("n").alias("reach")).filter(F.col("reach") >= MIN_DOCUMENTS).select("leaf")
-    inside = stored(vocab.join(busy, "leaf"), "busy-leaves")
+    asked = stored(vocab.join(busy, "leaf", "left_semi"), "busy-lines")
+    # a map of bits first, so that only lines that may be in a busy leaf are split and shuffled
+    word, bit = _bit(F.col("line"))
+    bits = asked.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    said = _lines(docs).select("line", _hash(F.col("line")).alias("h"))
+    word, bit = _bit(F.col("h"))
+    said = said.withColumns({"w": word, "k": bit}).join(F.broadcast(bits), "w").filter(F.getbit("b", F.col("k")) == 1)
+    said = said.groupBy("h").agg(F.first("line").alias("said"))
+    inside = asked.join(said, asked["line"] == said["h"]).select("leaf", asked["line"], "n", F.transform(_tokens(F.col("said")), _masked).alias("tokens"))
+    inside = stored(inside, "inside")
     spots = inside.select("leaf", "n", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("seen"))
     fixed = spots.filter(F.col("seen") >= MIN_DOCUMENTS).select("leaf", "pos", "token", F.lit(True).alias("fixed"))
     spelled = inside.select("leaf", "line", "n", F.posexplode("tokens").alias("pos", "token")).join(fixed, ["leaf", "pos", "token"], "left")
@@ -74,22 +99,21 @@ def boilerplate(docs: DataFrame) -> DataFrame:
     sure = per.filter(F.col("most") >= MIN_DOCUMENTS).select("leaf", "template")
     open_ = per.filter((F.col("most") < MIN_DOCUMENTS) & (F.col("total") >= MIN_DOCUMENTS)).select("leaf", "template")
     maybe = template.join(open_, ["leaf", "template"]).select("leaf", "template", "line")
-    by_doc = lines.select("_ld_doc", _hash(F.col("line")).alias("line")).join(maybe, "line").select("leaf", "template", "_ld_doc").distinct()
+    by_doc = lines.select("_ld_doc", "line").join(maybe, "line").select("leaf", "template", "_ld_doc").distinct()
     found = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("k")).filter(F.col("k") >= MIN_DOCUMENTS).select("leaf", "template")
     return template.join(sure.union(found), ["leaf", "template"]).select(F.col("line").alias("_ld_line"), F.col("template").alias("_ld_template"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with boilerplate lines cut from text, and _ld_lines and _ld_dropped, the numbers of lines and of dropped ones."""
-    drop = stored(boilerplate(docs).select("_ld_line").distinct(), "boilerplate")
-    key = F.xxhash64(F.col("text"), F.length("text"))
-    lines = F.split("text", "\n")
-    mine = docs.select(key.alias("_ld_k"), F.array_distinct(F.transform(F.filter(lines, _eligible), _hash)).alias("h")).select("_ld_k", F.explode("h").alias("_ld_line"))
+    held = line_table(docs)
+    drop = stored(boilerplate(docs, held).select("_ld_line").distinct(), "boilerplate")
+    key, lines = _text_key(), F.split("text", "\n")
     # texts, not rows: copies share their lines
-    hit = mine.join(drop, "_ld_line").groupBy("_ld_k").agg(F.collect_set("_ld_line").alias("_ld_hit"))
+    hit = held.select("_ld_k", F.col("line").alias("_ld_line")).join(drop, "_ld_line").groupBy("_ld_k").agg(F.collect_set("_ld_line").alias("_ld_hit"))
     d = docs.withColumn("_ld_key", key)
     d = d.join(hit, d["_ld_key"] == hit["_ld_k"], "left").drop("_ld_k", "_ld_key")
-    kept = F.filter(lines, lambda x: ~(_eligible(x) & F.array_contains(F.col("_ld_hit"), _hash(x))))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_ld_hit"), _hash(x)))
     d = d.withColumn("_ld_text", F.when(F.col("_ld_hit").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     d = d.withColumn("_ld_lines", n).withColumn("_ld_dropped", F.when(F.col("_ld_hit").isNull(), 0).otherwise(n - F.size(kept)))
@@ -103,7 +127,7 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH l AS (
-  SELECT doc_id, line, list_transform(string_split_regex(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
+  SELECT doc_id, line, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda y: y <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
   FROM (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
   WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {MIN_TOKENS}
 ), v AS (
