@@ -8,15 +8,17 @@ Documents with equal sets form a class.  Two classes link when
     ceil(0.8 * max(n, m)); so of the n - ceil(0.8 n) + k smallest hashes of
     either, at least k are common.  With k = n / 10 this leaves about a third
     of the shingles to be matched across documents, and only classes go on that
-    have as many matched ones as their smallest possible partner asks for.  One pass over the text, one shuffle of hashes.
-2.  Classes that went on are gathered into candidate groups: connected by a
-    common hash among the n - ceil(0.8 n) + 1 first ones, frequent hashes last.
+    have as many matched ones as their smallest possible partner asks for.
+2.  Of these the whole sets are made, and in how many sets each hash is.  Only
+    classes go on of whose hashes four fifths are shared; their prefix is the
+    n - ceil(0.8 n) + 1 rarest hashes, which hold a common one with every
+    partner.  Classes connected by prefix hashes are a candidate group.
 3.  Within a candidate group, blocks of classes are multiplied: block-by-block
     products of incidence columns add up overlap counts, pairs below the bound
     are discarded, and each block keeps a spanning forest of its links.  In
     large groups neighbouring blocks by size are multiplied first; then only
-    classes outside the group's largest component meet the other blocks, where
-    sizes allow a link at all.  No pair becomes a row and no link between
+    classes outside the group's largest component meet those of other blocks
+    that they share a prefix hash with.  No pair becomes a row and no link between
     components is lost.
 
 A hash that many documents hold is settled inside each task: a task sends one
@@ -42,12 +44,13 @@ from .graph import components, local_labels
 WORDS = 5
 PERCENT = 80
 #: Classes in a block, and incidence entries in a block at most (one set may exceed it alone).
-BLOCK, BLOCK_ENTRIES = 512, 1_500_000
-COLUMNS = 4096
+BLOCK, BLOCK_ENTRIES = 8192, 1_500_000
+#: Incidence columns, and documents on either side, of one dense product; pairs that are looked up one by one instead.
+COLUMNS, TILE, PAIRS = 4096, 512, 4_000_000
 #: Entries that a task gathers before it settles them.
-FLUSH = 2_000_000
-#: Sets looked at to find frequent hashes, and the count that makes one frequent; only the order of work depends on it.
-SAMPLE_SETS, FREQUENT = 2000, 4
+FLUSH = 1_000_000
+#: Percent of a set that must be matched among its first hashes.
+FIRST = 10
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
@@ -62,7 +65,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known, digest = self.known, xxhash.xxh3_64_intdigest
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         out = []
         for w in words:
@@ -86,6 +89,11 @@ def need(n):
     return (PERCENT * n + 99) // 100
 
 
+def first_hashes(n: int) -> int:
+    """How many of the smallest hashes hold FIRST percent of n common ones with any set that links."""
+    return n - need(n) + max(1, n * FIRST // 100)
+
+
 def _class_of(h: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(h.tobytes()), dtype=np.uint64).view(np.int64))
 
@@ -103,32 +111,53 @@ def _settle(h: np.ndarray, c: np.ndarray):
     return h[~many], c[~many], h[start[count > 1]], cls, n
 
 
-KIND = "kind int, key long, class long, v long"
+KIND = "kind int, key long, class long, v long, packed binary"
 
 
-def _rows(kind: int, key, cls, v) -> pa.RecordBatch:
+def _rows(kind: int, key, cls, v, packed: list | None = None) -> pa.RecordBatch:
     n = len(key)
     full = lambda x: x if isinstance(x, pa.Array) else pa.array(np.broadcast_to(np.asarray(x, dtype=np.int64), n))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), full(key), full(cls), full(v)], names=["kind", "key", "class", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), full(key), full(cls), full(v), pa.array(packed or [None] * n, pa.binary())], names=["kind", "key", "class", "v", "packed"])
+
+
+def _counted(cls: np.ndarray, n: np.ndarray, parts: int):
+    """Counts by class, packed into a row for each part of the classes: as many rows as parts, not as classes."""
+    part = cls % parts
+    order = np.argsort(part, kind="stable")
+    cls, n, edge = cls[order], n[order], np.searchsorted(part[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(edge))
+    if len(full):
+        yield _rows(MATCHED, full, 0, 0, [cls[edge[k] : edge[k + 1]].tobytes() + n[edge[k] : edge[k + 1]].astype(np.int64).tobytes() for k in full])
+
+
+def _added(batches):
+    """(class, hits): the packed counts of this task's parts, added up."""
+    cls, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in batches:
+        for x in b.column(0):
+            v = np.frombuffer(x.as_py(), dtype=np.int64)
+            cls.append(v[: len(v) // 2]), n.append(v[len(v) // 2 :])
+    c, at = np.unique(np.concatenate(cls), return_inverse=True)
+    hits = np.bincount(at, weights=np.concatenate(n), minlength=len(c)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(hits)], names=["class", "hits"])
 
 
 SINGLE, SEVERAL, MATCHED, DOCUMENT = range(4)
 
 
-def _emit(batches):
+def _settled(hs: list, cs: list, parts: int):
+    if hs:
+        h, c, several, cls, n = _settle(np.concatenate(hs), np.concatenate(cs))
+        yield _rows(SINGLE, h.view(np.int64), c, 0)
+        yield _rows(SEVERAL, several.view(np.int64), 0, 0)
+        yield from _counted(cls, n, parts)
+
+
+def _emit(batches, parts: int):
     """Documents with their class and size; hashes to be matched, settled within the task as far as it goes."""
     shingle = Shingler()
     hs, cs, held = [], [], 0
 
-    def flush():
-        nonlocal hs, cs, held
-        if held:
-            h, c, several, cls, n = _settle(np.concatenate(hs), np.concatenate(cs))
-            yield _rows(SINGLE, h.view(np.int64), c, 0)
-            yield _rows(SEVERAL, several.view(np.int64), 0, 0)
-            yield _rows(MATCHED, cls, cls, n)
-        hs, cs, held = [], [], 0
-
     for b in batches:
         ids, cls, size = [], [], []
         for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -137,17 +166,17 @@ def _emit(batches):
             c = _class_of(s) if n else 0
             ids.append(i), cls.append(c), size.append(n)
             if n:
-                p = n - need(n) + max(1, n // 10)
-                hs.append(s[:p])
+                hs.append(s[: first_hashes(n)])
                 cs.append(np.full(len(hs[-1]), c, np.int64))
                 held += len(hs[-1])
                 if held >= FLUSH:
-                    yield from flush()
+                    yield from _settled(hs, cs, parts)
+                    hs, cs, held = [], [], 0
         yield _rows(DOCUMENT, pa.array(ids, pa.int64()), np.array(cls, np.int64), np.array(size, np.int64))
-    yield from flush()
+    yield from _settled(hs, cs, parts)
 
 
-def _match(batches):
+def _match(batches, parts: int):
     """Per class, how many of its hashes another class holds, as far as this task's hashes go."""
     hs, cs, several = [], [], []
     for b in batches:
@@ -163,41 +192,105 @@ def _match(batches):
         h, c, s = np.concatenate(hs), np.concatenate(cs), np.unique(np.concatenate(several))
         elsewhere = np.isin(h, s)
         _, _, _, cls, n = _settle(h[~elsewhere], c[~elsewhere]) if (~elsewhere).any() else (None, None, None, np.zeros(0, np.int64), np.zeros(0, np.int64))
-        yield _rows(MATCHED, cls, cls, n)
-        cls, n = np.unique(c[elsewhere], return_counts=True)
-        yield _rows(MATCHED, cls, cls, n)
+        yield from _counted(cls, n, parts)
+        yield from _counted(*np.unique(c[elsewhere], return_counts=True), parts)
 
 
 def _sets(batches):
     shingle = Shingler()
     for b in batches:
+        out = []
         for c, t in zip(b.column(0).to_pylist(), b.column(1)):
             s = shingle(t.as_py())
             if len(s) and _class_of(s) == c:  # another row of that doc_id may hold another text
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["class", "n", "hashes"])
-
-
-def _links_to(frequent: np.ndarray):
-    def run(batches):
-        """Edges between classes with a common hash in their prefix here, and one (hash, class) for each hash."""
-        hs, cs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for b in batches:
-            for c, x in zip(b.column(0).to_pylist(), b.column(1)):
-                s = np.frombuffer(x.as_py(), dtype=np.uint64)
-                n = len(s)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    late = frequent[at] == s
-                    s = np.r_[s[~late], s[late]]
-                s = s[: n - need(n) + 1]
-                hs.append(s)
-                cs.append(np.full(len(s), c, np.int64))
-        h, c = np.concatenate(hs), np.concatenate(cs)
-        yield from _forest(h.view(np.int64), c)
+                out.append((c, len(s), s.tobytes()))
+        if out:
+            c, n, h = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.binary())], names=["class", "n", "hashes"])
+
+
+def _by_part(hashes: list[np.ndarray], parts: int):
+    """Distinct hashes of a chunk in order of part, their counts, where each part begins, and for each entry its hash."""
+    u, at, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    part = ((u >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return u[order], count[order], np.searchsorted(part[order], np.arange(parts + 1)), place[at]
+
+
+def _held(group: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("hashes")]
+
+
+ASKED = "part int, chunk int, hashes binary, counts binary"
+
+
+def _asking(parts: int):
+    def run(group: pa.Table) -> pa.Table:
+        """A chunk's distinct hashes and in how many of its sets each is, packed for each part of the hashes."""
+        u, n, edge, _ = _by_part(_held(group), parts)
+        full = np.flatnonzero(np.diff(edge))
+        cut = lambda v, t: pa.array([v[edge[k] : edge[k + 1]].astype(t).tobytes() for k in full], pa.binary())
+        return pa.table({"part": pa.array(full, pa.int32()), "chunk": pa.array([group.column("chunk")[0].as_py()] * len(full), pa.int32()), "hashes": cut(u, np.uint64), "counts": cut(n, np.uint32)})
 
     return run
 
 
+REPLY = "chunk int, part int, sets binary"
+
+
+def _replying(group: pa.Table) -> pa.Table:
+    """For each chunk, in how many sets of all chunks its hashes of this part are."""
+    h = _held(group)
+    u, at = np.unique(np.concatenate(h), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint32) for x in group.column("counts")]), minlength=len(u))
+    reply = np.split(n[at].astype(np.uint32), np.cumsum([len(x) for x in h])[:-1])
+    return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "sets": pa.array([x.tobytes() for x in reply], pa.binary())})
+
+
+PREFIX = "class long, n long, prefix binary"
+
+
+def _prefixes(parts: int):
+    def run(sets: pa.Table, replies: pa.Table) -> pa.Table:
+        """Of classes with enough shared hashes the rarest ones, as many as hold a common one with every partner."""
+        cls, out = sets.column("class").to_pylist() if sets.num_rows else [], []
+        if cls:
+            h = _held(sets)
+            u, _, edge, at = _by_part(h, parts)
+            total = np.zeros(len(u), dtype=np.uint32)
+            for p, x in zip(replies.column("part").to_pylist(), replies.column("sets")):
+                total[edge[p] : edge[p + 1]] = np.frombuffer(x.as_py(), dtype=np.uint32)
+            for c, s, n in zip(cls, h, np.split(total[at], np.cumsum([len(x) for x in h])[:-1])):
+                if (n > 1).sum() >= need(len(s)):
+                    order = np.lexsort((s, n))[: len(s) - need(len(s)) + 1]
+                    out.append((c, len(s), s[order[n[order] > 1]].tobytes()))
+        c, n, x = zip(*out) if out else ((), (), ())
+        return pa.table({"class": pa.array(c, pa.int64()), "n": pa.array(n, pa.int64()), "prefix": pa.array(x, pa.binary())})
+
+    return run
+
+
+def _linking(batches):
+    """Edges between classes with a common hash in their prefix here, and one (hash, class) for each hash."""
+    hs, cs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in batches:
+        for c, x in zip(b.column(0).to_pylist(), b.column(1)):
+            hs.append(np.frombuffer(x.as_py(), dtype=np.int64))
+            cs.append(np.full(len(hs[-1]), c, np.int64))
+    yield from _forest(np.concatenate(hs), np.concatenate(cs))
+
+
+def _postings(batches):
+    """(hash, grp, block, class) for the prefix of each class."""
+    for b in batches:
+        for g, k, c, x in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
+            s = np.frombuffer(x.as_py(), dtype=np.int64)
+            full = lambda v, t: pa.array(np.full(len(s), v, t))  # noqa: E731,B023
+            yield pa.RecordBatch.from_arrays([pa.array(s), full(g, np.int64), full(k, np.int32), full(c, np.int64)], names=["h", "grp", "block", "class"])
+
+
 def _forest(h: np.ndarray, c: np.ndarray):
     """Rows (0, hash, a class with it) and spanning edges (1, class, smallest connected class)."""
     if not len(h):
@@ -234,25 +327,28 @@ def block_links(cls: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tu
     """Spanning edges of the links between the classes of side 0 and of side 1 (side 2: both)."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
     doc = np.repeat(np.arange(len(sets)), size)
-    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[col] > 1
-    doc, col = doc[shared], col[shared]
+    _, col = np.unique(np.concatenate(sets), return_inverse=True)
+    # a document can link only if enough of its columns have an entry on the other side; those that can't go, and
+    # with them their entries, until all that are left could
+    while True:
+        n = int(col.max()) + 1 if len(col) else 0
+        on = side[doc]
+        a, b = np.bincount(col[on != 1], minlength=n), np.bincount(col[on != 0], minlength=n)
+        met = np.where(on == 0, b[col] > 0, np.where(on == 1, a[col] > 0, a[col] > 1))
+        doc, col = doc[met], col[met]
+        able = np.bincount(doc, minlength=len(sets)) >= need(size)
+        stay = able[doc]
+        if stay.all():
+            break
+        doc, col = doc[stay], col[stay]
     if not len(col):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     _, col = np.unique(col, return_inverse=True)
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    at = np.argsort(col, kind="stable")
-    doc, col = doc[at], col[at]
-    overlap = np.zeros((len(left), len(right)), dtype=np.float32)
-    for first in range(0, int(col[-1]) + 1, COLUMNS):
-        lo, hi = np.searchsorted(col, [first, first + COLUMNS])
-        part = np.zeros((len(sets), min(COLUMNS, int(col[-1]) + 1 - first)), dtype=np.float32)
-        part[doc[lo:hi], col[lo:hi] - first] = 1
-        overlap += part[left] @ part[right].T
-    a, b = size[left][:, None], size[right][None, :]
-    linked = (100 * overlap >= PERCENT * (a + b - overlap)) & (overlap >= need(np.maximum(a, b)))
-    i, j = np.nonzero(linked)
-    i, j = left[i], right[j]
+    i, j = _candidates(doc, col, side, size)
+    if i is None:
+        i, j = _tiles(doc, col, np.flatnonzero((side != 1) & able), np.flatnonzero((side != 0) & able), size)
+    else:
+        i, j = _verified(doc, col, i, j, size)
     apart = i != j
     if not apart.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -261,6 +357,97 @@ def block_links(cls: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tu
     return nodes[off], label[off]
 
 
+def _links(overlap, a, b):
+    return (100 * overlap >= PERCENT * (a + b - overlap)) & (overlap >= need(np.maximum(a, b)))
+
+
+def _candidates(doc, col, side, size):
+    """Pairs with a common column among the rarest ones of both, as many as the size bound asks for; None if too many."""
+    rare = np.bincount(col)
+    order = np.lexsort((col, rare[col], doc))
+    doc, col = doc[order], col[order]
+    start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    count = np.diff(np.r_[start, len(doc)])
+    n = size[doc[start]]
+    # columns that only one side holds are rarer still and count among the first
+    first = n - need(n) + 1 - (n - count)
+    keep = np.arange(len(doc)) - np.repeat(start, count) < np.repeat(first, count)
+    doc, col = doc[keep], col[keep]
+    order = np.argsort(col, kind="stable")
+    doc, col = doc[order], col[order]
+    on = side[doc]
+    l, lc, r, rc = doc[on != 1], col[on != 1], doc[on != 0], col[on != 0]
+    lo, hi = np.searchsorted(rc, lc), np.searchsorted(rc, lc, side="right")
+    many = hi - lo
+    if many.sum() > PAIRS:
+        return None, None
+    i = np.repeat(l, many)
+    j = r[np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
+    if (side == 2).any():
+        i, j = np.minimum(i, j), np.maximum(i, j)
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    fit = (i != j) & (low >= need(high))
+    pair = np.unique(i[fit] * np.int64(len(side)) + j[fit])
+    return pair // len(side), pair % len(side)
+
+
+def _verified(doc, col, i, j, size):
+    """Of candidate pairs in order of i, those that link: overlaps counted column by column."""
+    order = np.argsort(doc, kind="stable")
+    col, edge = col[order], np.searchsorted(doc[order], np.arange(len(size) + 1))
+    mark = np.zeros(int(col.max()) + 1 if len(col) else 1, dtype=bool)
+    good = np.zeros(len(i), dtype=bool)
+    cut = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1], cut[1:]):
+        mine = col[edge[i[a]] : edge[i[a] + 1]]
+        mark[mine] = True
+        for k in range(a, b):
+            overlap = int(np.count_nonzero(mark[col[edge[j[k]] : edge[j[k] + 1]]]))
+            good[k] = _links(overlap, size[i[k]], size[j[k]])
+        mark[mine] = False
+    return i[good], j[good]
+
+
+def _tiles(doc, col, left, right, size):
+    """All linked pairs by dense products of tiles: documents by columns, overlaps added up from one range of columns to the next."""
+    order = np.argsort(doc, kind="stable")
+    doc, col = doc[order], col[order]
+    edge = np.searchsorted(doc, np.arange(len(size) + 1))
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def matrix(which, columns, first):
+        m = np.zeros((len(which), COLUMNS), dtype=np.float32)
+        for k, d in enumerate(which):
+            own = col[edge[d] : edge[d + 1]]
+            pos = np.searchsorted(columns, own)
+            ok = pos < len(columns)
+            ok[ok] = columns[pos[ok]] == own[ok]
+            pos = pos[ok]
+            pos = pos[(pos >= first) & (pos < first + COLUMNS)] - first
+            m[k, pos] = 1
+        return m
+
+    left, right = left[np.argsort(size[left], kind="stable")], right[np.argsort(size[right], kind="stable")]
+    for a in range(0, len(left), TILE):
+        x = left[a : a + TILE]
+        cx = np.unique(np.concatenate([col[edge[d] : edge[d + 1]] for d in x]))
+        for b in range(0, len(right), TILE):
+            y = right[b : b + TILE]
+            if size[y[0]] * PERCENT > 100 * size[x[-1]] or size[x[0]] * PERCENT > 100 * size[y[-1]]:
+                continue
+            columns = np.intersect1d(cx, np.unique(np.concatenate([col[edge[d] : edge[d + 1]] for d in y])))
+            overlap = np.zeros((len(x), len(y)), dtype=np.float32)
+            for first in range(0, len(columns), COLUMNS):
+                overlap += matrix(x, columns, first) @ matrix(y, columns, first).T
+            i, j = np.nonzero(_links(overlap, size[x][:, None], size[y][None, :]))
+            # a spanning forest of the tile stands for its links
+            found_i.append(x[i]), found_j.append(y[j])
+            if sum(map(len, found_i)) > PAIRS:
+                n, lab = local_labels(np.concatenate(found_i), np.concatenate(found_j))
+                found_i, found_j = [n], [lab]
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
 def _products(batches):
     """Rows come sorted by task; each task's classes are multiplied when its rows are complete."""
     held, now = [], None
@@ -305,27 +492,35 @@ def _ranges(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("grp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
 
 
+def _matched(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes with as many matched hashes as their smallest possible partner has to find."""
+    packed = found.filter(F.col("kind") == MATCHED).select("key", "packed").repartition(partitions(found.sparkSession), "key")
+    hits = packed.select("packed").mapInArrow(_added, "class long, hits long")
+    least = F.floor(F.floor((F.col("n") * PERCENT + 99) / 100) * FIRST / 100)
+    return classes.join(hits, "class").filter(F.col("hits") >= F.greatest(F.lit(1), least))
+
+
 def link_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class, label): each row's class and the label of its class's component."""
     spark = docs.sparkSession
     n = partitions(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(text.mapInArrow(_emit, KIND).repartition(n, "key").mapInArrow(_match, KIND), "match")
+    found = stored(text.mapInArrow(lambda b: _emit(b, n), KIND).repartition(n, "key").mapInArrow(lambda b: _match(b, n), KIND), "match")
     docs_t = found.filter(F.col("kind") == DOCUMENT).select(F.col("key").alias("doc_id"), "class", F.col("v").alias("n"))
     classes = docs_t.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    hits = found.filter(F.col("kind") == MATCHED).groupBy("class").agg(F.sum("v").alias("hits"))
-    alive = classes.join(hits, "class").filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * PERCENT + 99) / 100) / 10))).select("class", "doc_id")
-    alive = stored(alive, "alive")
+    alive = stored(_matched(found, classes).select("class", "doc_id"), "alive")
     right = alive.select(F.col("doc_id").alias("rep"), "class").hint("shuffle_hash")
     reps = text.join(right, text["doc_id"].eqNullSafe(right["rep"])).select("class", "text")
     sets = stored(reps.mapInArrow(_sets, "class long, n long, hashes binary"), "sets")
-    sample = sets.orderBy(F.xxhash64("class")).limit(SAMPLE_SETS).select("hashes").collect()
-    flat = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.hashes, dtype=np.uint64) for r in sample)])
-    value, count = np.unique(flat, return_counts=True)
-    edges = sets.select("class", "hashes").mapInArrow(_links_to(value[count >= FREQUENT]), "kind int, a long, b long")
+    # in how many sets each hash is: asked for by chunks of sets, answered by parts of the hashes
+    chunks = sets.select(F.pmod("class", F.lit(n)).cast("int").alias("chunk"), "class", "hashes")
+    replies = stored(chunks.groupBy("chunk").applyInArrow(_asking(n), ASKED).groupBy("part").applyInArrow(_replying, REPLY), "replies")
+    prefixes = stored(chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_prefixes(n), PREFIX), "prefixes")
+    discard(replies)
+    edges = prefixes.select("class", "prefix").mapInArrow(_linking, "kind int, a long, b long")
     edges = edges.repartition(n, "a").mapInArrow(_meet, "kind int, a long, b long").select("a", "b")
     groups = components(edges)
-    members = stored(groups.join(sets.select(F.col("class").alias("node"), "n").distinct(), "node").select(F.col("label").alias("grp"), F.col("node").alias("class"), "n"), "members")
+    members = stored(groups.join(prefixes.select(F.col("class").alias("node"), "n").distinct(), "node").select(F.col("label").alias("grp"), F.col("node").alias("class"), "n"), "members")
     blocks = stored(_blocks(members), "blocks")
     own = _ranges(blocks)
     near = own.select("grp", F.col("block").alias("i"), F.col("high")).join(own.select("grp", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.col("low")), ["grp", "i"])
@@ -341,12 +536,15 @@ def link_classes(docs: DataFrame) -> DataFrame:
         count = lab.groupBy("grp", "label").agg(F.count("*").alias("k"))
         main = count.groupBy("grp").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
         strays = stored(_blocks(lab.join(main, "grp").filter("label != main").select("grp", "class", "n")), "strays")
-        a = _ranges(strays).select("grp", F.col("block").alias("s"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
-        b = _ranges(lab).select("grp", F.col("block").alias("j"), "low", "high")
-        far = a.join(b, "grp").filter((F.col("high") * 100 >= F.col("a_low") * PERCENT) & (F.col("a_high") * 100 >= F.col("low") * PERCENT))
-        # numbered below zero, so that a block of strays is never taken for the block it meets
-        far = far.select("grp", (-1 - F.col("s")).alias("i"), "j")
-        more = stored(_multiply(_task_rows(far, strays.withColumn("block", -1 - F.col("block")), lab), sets, n), "far-links")
+        # on either side just the classes with a prefix hash that the other side holds; strays' blocks are numbered
+        # below zero, so that one is never taken for the block it meets
+        held = prefixes.select("class", "prefix").join(lab.select("class", "grp", "block"), "class").select("grp", "block", "class", "prefix")
+        post = stored(held.mapInArrow(_postings, "h long, grp long, block int, class long"), "postings")
+        lone = post.drop("block").join(strays.select("grp", "class", (-1 - F.col("block")).alias("i")), ["grp", "class"])
+        mine = lone.join(post.select("h", "grp", F.col("block").alias("j")).distinct(), ["h", "grp"]).select("grp", "i", "j", "class").distinct()
+        theirs = lone.select("h", "grp", "i").distinct().join(post.withColumnRenamed("block", "j"), ["h", "grp"]).select("grp", "i", "j", "class").distinct()
+        far = mine.withColumn("side", F.lit(0)).union(theirs.withColumn("side", F.lit(1)))
+        more = stored(_multiply(far, sets, n), "far-links")
         links = links.union(more)
     labels = components(links).select(F.col("node").alias("class"), "label")
     out = docs_t.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
