@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -29,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="quillspan-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
     return named.rstrip("/")
