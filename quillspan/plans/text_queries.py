@@ -226,7 +226,7 @@ def character_error_rate(spark, d):
     return u.select("page_id", "mutated", M.cer(F.col("a"), F.col("b")).alias("cer"))
 
 
-@query()
+@query("SELECT item_id, (len(string_split(text, ' ')) // 3) / CAST(len(regexp_extract_all(text, '\\S+')) AS DOUBLE) AS wer FROM benchmark")
 def word_error_rate(spark, d):
     """Benchmark items against themselves with every third word changed."""
     w = F.split("text", " ")
@@ -275,7 +275,11 @@ def error_codes(spark, d):
     return frame(spark, *ERRORS).select("id", X.error_code(F.col("kind"), F.col("message")).alias("code"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT item_id, text, unnest([0, 1, 2, 3, 4]) AS k FROM benchmark)
+SELECT item_id, CAST(k AS INTEGER) AS k, CASE k WHEN 0 THEN substr(text, 1, 2) WHEN 1 THEN substr(text, 3, 2) WHEN 2 THEN substr(text, 5, 2) WHEN 3 THEN substr(text, 7, 3) ELSE substr(text, 10) END AS text,
+       CASE k WHEN 1 THEN 'b' WHEN 2 THEN 'bi' WHEN 3 THEN 'i' ELSE '' END AS tags FROM s
+""")
 def styled_segments(spark, d):
     s = F.array(F.struct(F.lit(2).alias("start"), F.lit(6).alias("end"), F.lit(True).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("underline")), F.struct(F.lit(4).alias("start"), F.lit(9).alias("end"), F.lit(False).alias("bold"), F.lit(True).alias("italic"), F.lit(False).alias("underline")))
     x = t(spark, d, "benchmark").select("item_id", F.posexplode(X.styled_segments(F.col("text"), s)).alias("k", "seg"))
