@@ -52,13 +52,15 @@ def _grams(words) -> set[bytes]:
 
 def _toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
     """Words of toxic documents with a byte 5-gram that toxic documents hold far more often than ordinary ones."""
-    a, b = Counter(), Counter()
+    na, nb = max(1, len(toxic)), max(1, len(ordinary))
+    a: Counter = Counter()
     for d in toxic:
         a.update(_grams(set(d)))
+    often = {g for g, c in a.items() if c >= 0.03 * na}
+    b: Counter = Counter()
     for d in ordinary:
-        b.update(_grams(set(d)))
-    na, nb = max(1, len(toxic)), max(1, len(ordinary))
-    good = {g for g, c in a.items() if c >= 0.03 * na and c / na >= 8 * (b[g] + 1) / nb}
+        b.update(_grams(set(d)) & often)
+    good = {g for g in often if a[g] / na >= 8 * (b[g] + 1) / nb}
     return {w for d in toxic for w in set(d) if not good.isdisjoint(_grams([w]))}
 
 
@@ -124,12 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     one, zero = (list(dict.fromkeys(text[i] for i in ids if i in text)) for ids in (one, zero))  # copies once
     if len(one) < 4 or len(zero) < 4:
         return model
+    del text
     a1, b1, a0, b0 = one[::2], one[1::2], zero[::2], zero[1::2]
     t, o = [_words(x) for x in a1], [_words(x) for x in a0]
     marked = _toxic_words(t, o)
     spans = [b" " + b" ".join(w for w in d if w in marked) for d in t]
     spans = [x for x in spans if len(x) > 1] or [b" " + b" ".join(d) for d in t]
     plain = [b" " + b" ".join(d) for d in o if d] or [b" "]
+    del t, o
     y = np.r_[np.ones(len(b1)), np.zeros(len(b0))]
     w = np.r_[np.full(len(b1), n1 / len(b1)), np.full(len(b0), n0 / len(b0))]
     w /= w.mean()
