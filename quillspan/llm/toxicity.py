@@ -1,12 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text
-of the training fold.  A document is cut into windows of a few words; each
-window is compressed against the ordinary dictionary alone and against the
-ordinary one preceded by the toxic one.  How many bytes the toxic dictionary
-saves is counted over all windows of the whole text; the log likelihood ratio
-of these counts goes through a logistic curve whose cut is calibrated on
-training rows that the dictionaries haven't seen.
+Pairs of zstandard dictionaries of a few sizes are trained, one on toxic and
+one on ordinary text of the training fold.  A document is cut into windows of a
+few words; each window is compressed against the ordinary dictionary alone and
+against the ordinary one preceded by the toxic one.  How many bytes the toxic
+dictionary saves is counted over all windows of the whole text; the log
+likelihood ratio of these counts, for each pair, goes through a logistic curve
+whose cut is calibrated on training rows that the dictionaries haven't seen.
 
 Edge cases: a null or empty text has no window and gets the score of zero
 savings; repeated rows are scored each on their own; a null doc_id counts as
@@ -32,8 +32,8 @@ CUT = 0.7
 #: Bounds of the fit sample: labelled documents of either class, and bytes of their text in all.
 FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 3000, 6000, 32_000_000
 GRAM = 5
-#: Sizes in bytes of the toxic and the ordinary dictionary, and of the segments they are made of; the best on unseen training rows is kept.
-SHAPES = ((1024, 3072, 24), (1536, 4096, 24), (1536, 4096, 32), (2048, 8192, 24), (2048, 8192, 32))
+#: Sizes in bytes of the toxic and the ordinary dictionary, and of the segments they are made of: a pair of dictionaries each.
+SHAPES = ((1024, 3072, 24), (1536, 4096, 24), (1536, 4096, 32))
 #: Savings of a window are counted by the byte between these bounds.
 LEAST, MOST = -3, 8
 
@@ -137,27 +137,30 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     y = np.r_[np.ones(len(b1)), np.zeros(len(b0))]
     w = np.r_[np.full(len(b1), n1 / len(b1)), np.full(len(b0), n0 / len(b0))]
     w /= w.mean()
-    best = np.inf
+    model["toxic"], parts = [], []
     for toxic_bytes, ordinary_bytes, segment in SHAPES:
         m = {"toxic": _trained(spans, toxic_bytes, segment), "ordinary": _trained(plain, ordinary_bytes, segment), "lead": plain[0][:48]}
         saver = Saver(m)
         h1, h0 = (np.array([saver.histogram(x) for x in half]) for half in (b1, b0))
         bins = MOST - LEAST + 1
         m["weights"] = np.log((h1.sum(0) + 1) / (h1.sum() + bins)) - np.log((h0.sum(0) + 1) / (h0.sum() + bins))
-        x = _features(np.r_[h1, h0], m["weights"])
-        mean, scale, c, k = logit_fit(x, y, w)
-        z = ((x - mean) / scale) @ c + k
-        cut = best_cut(z, y, w)
-        if (error := float((w * ((z > cut) != y)).mean())) < best:
-            best = error
-            model |= m | {"mean": mean, "scale": scale, "coef": c, "bias": k + np.log(CUT / (1 - CUT)) - cut, "error": error}
-    return model
-
-
-def score_texts(model: dict, texts: list, saver: Saver | None) -> np.ndarray:
-    if saver is None:
+        parts.append(_features(np.r_[h1, h0], m["weights"]))
+        model["toxic"].append(m)
+    x = np.concatenate(parts, axis=1)
+    mean, scale, c, k = logit_fit(x, y, w)
+    z = ((x - mean) / scale) @ c + k
+    return model | {"mean": mean, "scale": scale, "coef": c, "bias": k + np.log(CUT / (1 - CUT)) - best_cut(z, y, w)}
+
+
+def savers(model: dict) -> list[Saver] | None:
+    return None if model["toxic"] is None else [Saver(m) for m in model["toxic"]]
+
+
+def score_texts(model: dict, texts: list, with_: list[Saver] | None) -> np.ndarray:
+    if with_ is None:
         return np.full(len(texts), model["prior"])
-    x = _features(np.array([saver.histogram(t) for t in texts], dtype=np.int64).reshape(len(texts), MOST - LEAST + 1), model["weights"])
+    shape = (len(texts), MOST - LEAST + 1)
+    x = np.concatenate([_features(np.array([s.histogram(t) for t in texts], dtype=np.int64).reshape(shape), m["weights"]) for s, m in zip(with_, model["toxic"])], axis=1)
     z = ((x - model["mean"]) / model["scale"]) @ model["coef"] + model["bias"]
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -166,9 +169,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; one pass over the text, no shuffle."""
 
     def run(batches):
-        saver = Saver(model) if model["toxic"] is not None else None
+        with_ = savers(model)
         for b in batches:
-            s = score_texts(model, b.column(1).to_pylist(), saver)
+            s = score_texts(model, b.column(1).to_pylist(), with_)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array((s >= CUT).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (remainder(F.col("doc_id"), MODULUS) == HELD).alias("held_out"))
@@ -180,9 +183,9 @@ def without_toxic(docs: DataFrame, model: dict) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        saver = Saver(model) if model["toxic"] is not None else None
+        with_ = savers(model)
         for b in batches:
-            keep = score_texts(model, b.column(at).to_pylist(), saver) < CUT
+            keep = score_texts(model, b.column(at).to_pylist(), with_) < CUT
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
