@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie made of them, in one buffer that can be memory-mapped."""
+"""Elias-Fano sequences and a three-level n-gram trie made of them, in one buffer that can be memory-mapped."""
 
 from __future__ import annotations
 
@@ -101,10 +101,12 @@ class Trie:
 
     Level 1: word hashes; running totals of their counts; pointers to where their successors begin.
     Level 2: successors relative to their context, as (rank of the context, leading bits of the successor's hash),
-    and a byte each for the discounted count.  All but the bytes are monotone Elias-Fano sequences.
+    and a byte each for the discounted count.
+    Level 3: words after a pair, as (rank of the pair, leading bits of the word's hash), and a byte each.
+    All but the bytes are monotone Elias-Fano sequences.
     """
 
-    NAMES = ("words", "totals", "pointers", "successors")
+    NAMES = ("words", "totals", "pointers", "successors", "thirds")
 
     def __init__(self, buffer: np.ndarray):
         head = buffer[:256].view(np.int64)
@@ -115,37 +117,43 @@ class Trie:
             at += -(-n * width // 8) * 8
             self.parts[name] = Sequence(n, low, buffer[at : at + 8 * words].view(U64))
             at += 8 * words
-        self.codes = buffer[at : at + int(head[12])]
-        self.mass_at = None
+        n, m = (int(v) for v in head[3 * len(self.NAMES) : 3 * len(self.NAMES) + 2])
+        self.codes, self.third_codes = buffer[at : at + n], buffer[at + n : at + n + m]
+        self.mass_at = self.third_mass_at = None
 
     @classmethod
-    def build(cls, words: np.ndarray, counts: np.ndarray, n_succ: np.ndarray, fingers: np.ndarray, succ_counts: np.ndarray, discount: float, least: int) -> bytes:
-        """Sorted word hashes with counts and numbers of successors; successors by word and finger, with counts."""
+    def build(cls, words: np.ndarray, counts: np.ndarray, n_succ: np.ndarray, fingers: np.ndarray, succ_counts: np.ndarray, n_third: np.ndarray, thirds: np.ndarray, third_counts: np.ndarray, least: int) -> bytes:
+        """Sorted word hashes with counts and numbers of successors; successors by word and finger, with counts and
+        numbers of words after them; these by pair and finger, with counts."""
         owner = np.repeat(np.arange(len(words)), n_succ)
         keep = succ_counts >= least
+        pair = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1), n_third)
+        third = (pair >= 0) & (third_counts >= least)
+        third_key = (pair[third].astype(U64) << U64(FINGER)) | thirds[third]
         owner, fingers, succ_counts = owner[keep], fingers[keep], succ_counts[keep]
         n = np.bincount(owner, minlength=len(words))
         key = (owner.astype(U64) << U64(FINGER)) | fingers
         totals, pointers = np.cumsum(counts).astype(U64), np.cumsum(n).astype(U64)
-        code = quantised(succ_counts)
+        code, third_code = quantised(succ_counts), quantised(third_counts[third])
         head = np.zeros(32, dtype=np.int64)
         body = []
-        tops = (1 << 64, int(totals[-1]) + 1 if len(totals) else 1, int(pointers[-1]) + 1 if len(pointers) else 1, max(1, len(words)) << FINGER)
-        for k, (v, top) in enumerate(zip((words, totals, pointers, key), tops)):
+        tops = (1 << 64, int(totals[-1]) + 1 if len(totals) else 1, int(pointers[-1]) + 1 if len(pointers) else 1, max(1, len(words)) << FINGER, max(1, len(key)) << FINGER)
+        for k, (v, top) in enumerate(zip((words, totals, pointers, key, third_key), tops)):
             low, high = Sequence.parts(v, top)
             head[3 * k : 3 * k + 3] = len(v), low.shape[1], len(high)
             raw = low.tobytes()
             body += [raw, b"\0" * (-len(raw) % 8), high.tobytes()]
-        head[12] = len(code)
-        return b"".join([head.tobytes(), *body, code.tobytes()])
+        head[3 * len(cls.NAMES) : 3 * len(cls.NAMES) + 2] = len(code), len(third_code)
+        return b"".join([head.tobytes(), *body, code.tobytes(), third_code.tobytes()])
 
-    def query(self, words: np.ndarray, n_succ: np.ndarray, fingers: np.ndarray, discount: float):
-        """Counts of words (0: not here), the discounted mass of their kept successors, and the code of each pair (0: not kept)."""
+    def query(self, words: np.ndarray, n_succ: np.ndarray, fingers: np.ndarray, n_third: np.ndarray, thirds: np.ndarray, discount: float):
+        """Counts of words (0: not here), the discounted mass of their kept successors, and the code of each pair (0: not kept);
+        the mass of the words kept after each pair, and the code of each triple."""
         w = self.parts["words"]
         counts, mass = np.zeros(len(words), dtype=np.int64), np.zeros(len(words))
-        codes = np.zeros(len(fingers), dtype=np.uint8)
+        codes, third_mass, third_codes = np.zeros(len(fingers), dtype=np.uint8), np.zeros(len(fingers)), np.zeros(len(thirds), dtype=np.uint8)
         if not w.n or not len(words):
-            return counts, mass, codes
+            return counts, mass, codes, third_mass, third_codes
         at = w.successor(words)
         known = at < w.n
         known[known] = w.get(at[known]) == words[known]
@@ -160,9 +168,33 @@ class Trie:
         owner = np.repeat(np.where(known, at, -1), n_succ)
         ask = np.flatnonzero(owner >= 0)
         if s.n and len(ask):
-            key = (owner[ask].astype(U64) << U64(FINGER)) | fingers[ask]
-            i = s.successor(key)
-            ok = i < s.n
-            ok[ok] = s.get(i[ok]) == key[ok]
+            i, ok = self._found(s, owner[ask], fingers[ask])
             codes[ask[ok]] = self.codes[i[ok]]
-        return counts, mass, codes
+            pair = np.full(len(fingers), -1, dtype=np.int64)
+            pair[ask[ok]] = i[ok]
+            self._thirds(pair, n_third, thirds, discount, third_mass, third_codes)
+        return counts, mass, codes, third_mass, third_codes
+
+    @staticmethod
+    def _found(s: Sequence, owner: np.ndarray, fingers: np.ndarray):
+        """Places of (owner, finger) in a level, and which of them are there."""
+        key = (owner.astype(U64) << U64(FINGER)) | fingers
+        i = s.successor(key)
+        ok = i < s.n
+        ok[ok] = s.get(i[ok]) == key[ok]
+        return i, ok
+
+    def _thirds(self, pair: np.ndarray, n_third: np.ndarray, thirds: np.ndarray, discount: float, mass: np.ndarray, codes: np.ndarray) -> None:
+        """Fill in level 3 for pairs at these places (-1: not kept)."""
+        s = self.parts["thirds"]
+        asked = np.flatnonzero((pair >= 0) & (n_third > 0))
+        if not s.n or not len(asked):
+            return
+        if self.third_mass_at is None:
+            self.third_mass_at = np.r_[0.0, np.cumsum(np.maximum(CODES[self.third_codes] - discount, 0.0))]
+        edge = lambda p: s.successor(p.astype(U64) << U64(FINGER))
+        mass[asked] = self.third_mass_at[edge(pair[asked] + 1)] - self.third_mass_at[edge(pair[asked])]
+        owner = np.repeat(pair, n_third)
+        ask = np.flatnonzero(owner >= 0)
+        i, ok = self._found(s, owner[ask], thirds[ask])
+        codes[ask[ok]] = self.third_codes[i[ok]]

@@ -1,20 +1,25 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Counts of words and word pairs of all training documents are gathered by hash
-shards; each shard becomes a trie of Elias-Fano levels with a byte for each
-kept pair, one row of a table in the shared folder.  Scoring sends, for each
-chunk of documents, its distinct words and pairs to their shards, where the
+Counts of words, pairs and triples of all training documents are gathered by
+hash shards; each shard becomes a trie of Elias-Fano levels with a byte for each
+pair and triple, one row of a table in the shared folder.  Scoring sends, for each
+chunk of documents, its distinct words, pairs and triples to their shards, where the
 shard's levels are memory-mapped from a temporary file and searched; the answers
 return to the chunk, which sums up its documents.
 
 The model interpolates:  p(w | h) = ((c(h w) - D)+ + r(h) * (c(w) + 1) / (N + V + 1)) / (m(h) + r(h)),
-with pairs seen at least twice kept, m(h) the discounted counts of the pairs
-kept after h, and r(h) = max(c(h) - m(h), D) what is left for all others.  Word counts are exact, pair counts
+with m(h) the discounted counts of the pairs seen after h, and r(h) = max(c(h) - m(h), D) what is left for all others;
+and in the same way  p(w | g h) = ((c(g h w) - D)+ + r(g h) * p(w | h)) / (m(g h) + r(g h)),  where the pair g h was seen,
+p(w | h) where it wasn't.  All pairs and triples seen are kept.  Word counts are exact, pair and triple counts
 quantised.  Words are told apart by 64-bit hashes, successors within a context
-by 32 bits.  A document begins after the end token of the one before.
+by 32 bits.  A document begins after the end token of the one before; its first
+word has no other context, so that no triple reaches across documents.
+
+`score` has order 2 unless asked for 3; op7_lm asks for 3.
 
 Pairs of very frequent first words (found on a bounded sample; only the
-distribution of work depends on it) are spread over several shards.
+distribution of work depends on it) are spread over several shards.  Triples lie
+with their first two words.
 
 Edge cases: null and empty texts are one end token; repeated rows count and are
 scored each; a null doc_id counts as training fold by the empty text's
@@ -40,7 +45,7 @@ from .common import pick, partitions, remainder, stored, table, texts_of
 from .eliasfano import CODES, FINGER, Trie
 
 MODULUS, HELD = 7, 2
-DISCOUNT, LEAST = 0.75, 2
+DISCOUNT, LEAST = 0.75, 1
 #: Tokens of a chunk; with the number of shards they set the size of what is sent from chunk to shard.
 CHUNK_TOKENS = 1_000_000
 END = b" "  # no word holds a space
@@ -98,6 +103,21 @@ def _pairs(words, home, is_hot, seq, shards):
     return first[order], second[order], shard[order], count[order], place[at]
 
 
+def _triples(words, seq, place, pairs, order):
+    """Distinct triples of local numbers by pair and third word: how many each pair has, their third words and counts,
+    the tokens that end a triple of one document, and for each of these its triple."""
+    # the chunk begins with an end token
+    inside = np.flatnonzero(seq[1:-1] != seq[0]) if order > 2 else np.zeros(0, np.int64)
+    code, at, count = np.unique(place[inside] * words + seq[inside + 2], return_inverse=True, return_counts=True)
+    return np.bincount(code // words, minlength=pairs), code % words, count, inside + 1, at
+
+
+def _under(at, n):
+    """Places of what belongs to each of `at`, where each has n in order."""
+    begin, size = (np.cumsum(n) - n)[at], n[at]
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def _keys(home, is_hot, first, shard, shards):
     """For each shard: its keys (local numbers), how many pairs each has, and its slice of the pairs.
 
@@ -149,21 +169,24 @@ def _chunks(batches, keep=lambda held: True):
         yield chunk
 
 
-COUNTS = "shard int, words binary, counts binary, n_succ binary, fingers binary, pair_counts binary"
+COUNTS = "shard int, words binary, counts binary, n_succ binary, fingers binary, pair_counts binary, n_third binary, thirds binary, third_counts binary"
 
 
-def _counting(shards: int, hot: frozenset):
+def _counting(shards: int, hot: frozenset, order: int):
     def run(batches):
         for chunk in _chunks(batches, lambda held: not held):
             h, home, is_hot, seq = chunk.close(shards, hot)
-            first, second, shard, count, _ = _pairs(len(h), home, is_hot, seq, shards)
-            finger = _finger(h[second])
+            first, second, shard, count, place = _pairs(len(h), home, is_hot, seq, shards)
+            n3, third, count3, _, _ = _triples(len(h), seq, place, len(first), order)
+            finger, finger3 = _finger(h[second]), _finger(h[third])
             n = np.bincount(seq[1:], minlength=len(h))
             for s, keys, k, at in _keys(home, is_hot, first, shard, shards):
                 mine = np.where(home[keys] == s, n[keys], 0)
+                at3 = _under(at, n3)
+                raw = (h[keys].tobytes(), *(x.astype(np.uint32).tobytes() for x in (mine, k)), _packed(finger[at], FINGER_BYTES), *(x.astype(np.uint32).tobytes() for x in (count[at], n3[at])), _packed(finger3[at3], FINGER_BYTES), count3[at3].astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32())] + [pa.array([x], pa.binary()) for x in (h[keys].tobytes(), mine.astype(np.uint32).tobytes(), k.astype(np.uint32).tobytes(), _packed(finger[at], FINGER_BYTES), count[at].astype(np.uint32).tobytes())],
-                    names=["shard", "words", "counts", "n_succ", "fingers", "pair_counts"],
+                    [pa.array([s], pa.int32())] + [pa.array([x], pa.binary()) for x in raw],
+                    names=["shard", "words", "counts", "n_succ", "fingers", "pair_counts", "n_third", "thirds", "third_counts"],
                 )
 
     return run
@@ -172,45 +195,52 @@ def _counting(shards: int, hot: frozenset):
 TRIE = "shard int, n_tokens long, n_types long, levels binary"
 
 
+def _merged(key: np.ndarray, count: np.ndarray):
+    """Distinct keys in order, their counts summed up, and the rank of each key given."""
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    start, rank = np.flatnonzero(new), np.empty(len(key), dtype=np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return key[start], np.add.reduceat(count, start) if len(start) else count, rank
+
+
 def _build(group: pa.Table) -> pa.Table:
     """One shard's trie from the counts of all chunks."""
     col = lambda k, t: [np.frombuffer(x.as_py(), dtype=t) for x in group.column(k)]
     shard = group.column("shard")[0].as_py()
     words, counts, n_succ = col("words", U64), col("counts", np.uint32), col("n_succ", np.uint32)
-    fingers = [_unpacked(x.as_py(), FINGER_BYTES) for x in group.column("fingers")]
-    pair_counts = col("pair_counts", np.uint32)
+    hashes = lambda k: np.concatenate([_unpacked(x.as_py(), FINGER_BYTES) for x in group.column(k)])
+    numbers = lambda k: np.concatenate(col(k, np.uint32)).astype(np.int64)
     key, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
     owner = np.repeat(at, np.concatenate(n_succ))
-    f, c = np.concatenate(fingers), np.concatenate(pair_counts).astype(np.int64)
-    pair = (owner.astype(U64) << U64(FINGER)) | f
-    order = np.argsort(pair, kind="stable")
-    pair, c = pair[order], c[order]
-    start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
-    c = np.add.reduceat(c, start) if len(start) else c
-    pair = pair[start]
-    n = np.bincount((pair >> U64(FINGER)).astype(np.int64), minlength=len(key))
-    levels = Trie.build(key, total, n, pair & U64((1 << FINGER) - 1), c, DISCOUNT, LEAST)
+    join = lambda owner, f: (owner.astype(U64) << U64(FINGER)) | f
+    parted = lambda x, n: (np.bincount((x >> U64(FINGER)).astype(np.int64), minlength=n), x & U64((1 << FINGER) - 1))
+    pair, c, rank = _merged(join(owner, hashes("fingers")), numbers("pair_counts"))
+    triple, c3, _ = _merged(join(np.repeat(rank, numbers("n_third")), hashes("thirds")), numbers("third_counts"))
+    levels = Trie.build(key, total, *parted(pair, len(key)), c, *parted(triple, len(pair)), c3, LEAST)
     return pa.table({"shard": pa.array([shard], pa.int32()), "n_tokens": pa.array([int(total.sum())], pa.int64()), "n_types": pa.array([int((total > 0).sum())], pa.int64()), "levels": pa.array([levels], pa.binary())})
 
 
-REQUEST = "chunk string, shard int, asks boolean, a binary, b binary, c binary"
+REQUEST = "chunk string, shard int, asks boolean, a binary, b binary, c binary, d binary, e binary"
 
 
-def _row(chunk, shard, asks, a, b, c) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([shard], pa.int32()), pa.array([asks]), *(pa.array([x], pa.binary()) for x in (a, b, c))], names=["chunk", "shard", "asks", "a", "b", "c"])
+def _row(chunk, shard, asks, *blobs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([shard], pa.int32()), pa.array([asks]), *(pa.array([x], pa.binary()) for x in blobs)], names=["chunk", "shard", "asks", *"abcde"])
 
 
-def _asking(shards: int, hot: frozenset):
+def _asking(shards: int, hot: frozenset, order: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         for number, chunk in enumerate(_chunks(batches)):
             name = f"{part}-{number}"
             h, home, is_hot, seq = chunk.close(shards, hot)
-            first, second, shard, _, _ = _pairs(len(h), home, is_hot, seq, shards)
-            finger = _finger(h[second])
+            first, second, shard, _, place = _pairs(len(h), home, is_hot, seq, shards)
+            n3, third, _, _, _ = _triples(len(h), seq, place, len(first), order)
+            finger, finger3 = _finger(h[second]), _finger(h[third])
             for s, keys, k, at in _keys(home, is_hot, first, shard, shards):
-                yield _row(name, s, True, h[keys].tobytes(), k.astype(np.uint32).tobytes(), _packed(finger[at], FINGER_BYTES))
+                yield _row(name, s, True, h[keys].tobytes(), k.astype(np.uint32).tobytes(), _packed(finger[at], FINGER_BYTES), n3[at].astype(np.uint32).tobytes(), _packed(finger3[_under(at, n3)], FINGER_BYTES))
             # the chunk itself: its documents, and what the order of keys and pairs follows from
             ids = np.array([0 if i is None else i for i, _, _ in chunk.docs], dtype=np.int64)
             null = np.array([i is None for i, _, _ in chunk.docs])
@@ -219,7 +249,7 @@ def _asking(shards: int, hot: frozenset):
             meta = np.int64(len(ids)).tobytes() + ids.tobytes() + size.tobytes() + null.tobytes() + held.tobytes()
             plan = np.r_[len(h), np.bincount(home, minlength=shards), np.flatnonzero(is_hot)].astype(np.int32).tobytes()
             width = 3 if len(h) < 1 << 24 else 4
-            yield _row(name, number % shards, False, meta, plan, bytes([width]) + zstandard.ZstdCompressor(level=3).compress(_packed(seq, width)))
+            yield _row(name, number % shards, False, meta, plan, bytes([width]) + zstandard.ZstdCompressor(level=3).compress(_packed(seq, width)), b"", b"")
 
     return run
 
@@ -233,27 +263,27 @@ def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
         with open(path, "wb") as f:
             f.write(right.column("levels")[0].as_buffer())
         trie = Trie(np.memmap(path, dtype=np.uint8, mode="r"))
-        a, b, c = [], [], []
-        for asks, x, y, z in zip(left.column("asks").to_pylist(), *(left.column(k) for k in "abc")):
+        out = []
+        for asks, *blobs in zip(left.column("asks").to_pylist(), *(left.column(k) for k in "abcde")):
+            blobs = [x.as_py() for x in blobs]
             if asks:
-                words = np.frombuffer(x.as_py(), dtype=U64)
-                counts, mass, codes = trie.query(words, np.frombuffer(y.as_py(), dtype=np.uint32), _unpacked(z.as_py(), FINGER_BYTES), DISCOUNT)
-                a.append(counts.tobytes()), b.append(mass.astype(np.float32).tobytes()), c.append(codes.tobytes())
-            else:
-                a.append(x.as_py()), b.append(y.as_py()), c.append(z.as_py())
+                words, n2, n3 = (np.frombuffer(blobs[k], dtype=t) for k, t in ((0, U64), (1, np.uint32), (3, np.uint32)))
+                counts, mass, codes, mass3, codes3 = trie.query(words, n2, _unpacked(blobs[2], FINGER_BYTES), n3, _unpacked(blobs[4], FINGER_BYTES), DISCOUNT)
+                blobs = [x.tobytes() for x in (counts, mass.astype(np.float32), codes, mass3.astype(np.float32), codes3)]
+            out.append(blobs)
         del trie
-    return pa.table({**{k: left.column(k) for k in ("chunk", "shard", "asks")}, **{k: pa.array(v, pa.binary()) for k, v in (("a", a), ("b", b), ("c", c))}}).select(["chunk", "shard", "asks", "a", "b", "c"])
+    return pa.table({**{k: left.column(k) for k in ("chunk", "shard", "asks")}, **{k: pa.array(v, pa.binary()) for k, v in zip("abcde", zip(*out))}})
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _summing(shards: int, total: int, types: int):
+def _summing(shards: int, total: int, types: int, order: int):
     def run(group: pa.Table) -> pa.Table:
         answers = {}
-        for asks, s, a, b, c in zip(group.column("asks").to_pylist(), group.column("shard").to_pylist(), *(group.column(k) for k in "abc")):
+        for asks, s, a, b, c, d, e in zip(group.column("asks").to_pylist(), group.column("shard").to_pylist(), *(group.column(k) for k in "abcde")):
             if asks:
-                answers[s] = (np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.float32), np.frombuffer(c.as_py(), np.uint8))
+                answers[s] = [np.frombuffer(x.as_py(), t) for x, t in ((a, np.int64), (b, np.float32), (c, np.uint8), (d, np.float32), (e, np.uint8))]
             else:
                 meta, plan, raw = a.as_py(), np.frombuffer(b.as_py(), np.int32).astype(np.int64), c.as_py()
         n = int(np.frombuffer(meta, np.int64, 1)[0])
@@ -264,23 +294,32 @@ def _summing(shards: int, total: int, types: int):
         is_hot = np.zeros(words, dtype=bool)
         is_hot[plan[shards + 1 :]] = True
         first, second, shard, _, place = _pairs(words, home, is_hot, seq, shards)
+        n3, third, _, ends, at3 = _triples(words, seq, place, len(first), order)
         count, mass, kept = np.zeros(words), np.zeros(words), np.zeros(len(first))
+        count2, mass2, kept3 = np.zeros(len(first)), np.zeros(len(first)), np.zeros(len(third))
+        left = lambda codes: np.where(codes > 0, np.maximum(CODES[codes] - DISCOUNT, 0), 0)
         for s, keys, _, at in _keys(home, is_hot, first, shard, shards):
             if s in answers:
-                c, m, codes = answers[s]
+                c, m, codes, m2, codes3 = answers[s]
                 np.add.at(count, keys, np.where(home[keys] == s, c, 0))
                 np.add.at(mass, keys, m)
-                kept[at] = np.where(codes > 0, np.maximum(CODES[codes] - DISCOUNT, 0), 0)
+                kept[at], count2[at], mass2[at] = left(codes), CODES[codes], m2
+                kept3[_under(at, n3)] = left(codes3)
         base = (count + 1) / (total + types + 1)
         # quantised mass may reach the count: what is left over for unkept pairs is then one discount
         rest = np.maximum(count[first] - mass[first], DISCOUNT)
         p = np.where(count[first] > 0, (kept + rest * base[second]) / (mass[first] + rest), base[second])
+        p = p[place]
+        # a pair is the context of the token after it
+        given = place[ends - 1]
+        rest = np.maximum(count2[given] - mass2[given], DISCOUNT)
+        p[ends] = np.where(count2[given] > 0, (kept3[at3] + rest * p[ends]) / (mass2[given] + rest), p[ends])
         edge = np.r_[0, np.cumsum(size)][:-1]
         word = seq[1:]
         add = lambda v: np.add.reduceat(v, edge) if n else np.zeros(0)
         return pa.table({
             "doc_id": pa.array(ids, pa.int64(), mask=null), "held_out": pa.array(held), "n_tokens": pa.array(size), "n_known": pa.array(add((count[word] > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(add(np.log10(base)[word])), "score": pa.array(add(np.log10(p)[place])),
+            "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(add(np.log10(base)[word])), "score": pa.array(add(np.log10(p))),
         })
 
     return run
@@ -296,22 +335,22 @@ def _frequent(docs: DataFrame) -> frozenset:
     return frozenset(xxhash.xxh3_64_intdigest(w) for w, k in c.items() if k >= HOT_SHARE * n)
 
 
-def train(docs: DataFrame, shards: int, hot: frozenset) -> DataFrame:
+def train(docs: DataFrame, shards: int, hot: frozenset, order: int = 2) -> DataFrame:
     """The model as a table: a row (shard, n_tokens, n_types, levels) for each shard."""
-    return stored(docs.mapInArrow(_counting(shards, hot), COUNTS).groupBy("shard").applyInArrow(_build, TRIE), "trie")
+    return stored(docs.mapInArrow(_counting(shards, hot, order), COUNTS).groupBy("shard").applyInArrow(_build, TRIE), "trie")
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     shards = 2 * partitions(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), MODULUS) == HELD).alias("held_out"), F.col("text").cast("string").alias("text"))
     hot = _frequent(docs.select("doc_id", "text"))
-    trie = train(d, shards, hot)
+    trie = train(d, shards, hot, order)
     sums = trie.agg(F.sum("n_tokens").alias("n"), F.sum("n_types").alias("v")).first()
-    asked = d.mapInArrow(_asking(shards, hot), REQUEST)
+    asked = d.mapInArrow(_asking(shards, hot, order), REQUEST)
     answered = asked.groupBy("shard").cogroup(trie.select("shard", "levels").groupBy("shard")).applyInArrow(_answer, REQUEST)
-    return answered.groupBy("chunk").applyInArrow(_summing(shards, int(sums.n or 0), int(sums.v or 0)), SCORES)
+    return answered.groupBy("chunk").applyInArrow(_summing(shards, int(sums.n or 0), int(sums.v or 0), order), SCORES)
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), order=3)

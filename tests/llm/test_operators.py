@@ -168,6 +168,53 @@ def test_language_model(spark, corpus, monkeypatch):
     assert lm.score(frame(spark, corpus).limit(0)).count() == 0
 
 
+def test_language_model_of_order_three(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 1500)
+    got = lm.score(frame(spark, corpus), order=3).collect()
+    text = [(i, lm.tokens(t) + [lm.END]) for i, t, _ in corpus]
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    as_kept = lambda k: float(E.CODES[E.quantised(np.array([k]))[0]])
+    seen = [t for i, t in text if not fold(i)]
+    one = Counter(w for t in seen for w in t)
+    two = {k: as_kept(c) for k, c in Counter(p for t in seen for p in zip([lm.END, *t], t)).items()}
+    three = {k: as_kept(c) for k, c in Counter(p for t in seen for p in zip([lm.END, *t], t, t[1:])).items()}
+    n, v, mass = sum(one.values()), len(one), Counter()
+    for g in (two, three):
+        for k, c in g.items():
+            mass[k[:-1]] += max(c - lm.DISCOUNT, 0)
+
+    def p(context, w):
+        if not context:
+            return (one[w] + 1) / (n + v + 1)
+        c = one[context[0]] if len(context) == 1 else two.get(context, 0)
+        g, lower = (two if len(context) == 1 else three).get((*context, w), 0), p(context[1:], w)
+        rest = max(c - mass[context], lm.DISCOUNT)
+        return (max(g - lm.DISCOUNT, 0) + rest * lower) / (mass[context] + rest) if c else lower
+
+    want = []
+    for i, t in text:
+        tokens = [p((lm.END,), t[0])] + [p(x, w) for x, w in zip(zip([lm.END, *t], t), t[1:])]
+        want.append((i, len(t), round(sum(math.log10(x) for x in tokens), 5)))
+    assert sorted(repr((r.doc_id, r.n_tokens, round(r.score, 5))) for r in got) == sorted(map(repr, want))
+    assert lm.score(frame(spark, corpus).limit(0), order=3).count() == 0
+
+
+def test_op7_scores_passages_seen_once(spark, tmp_path):
+    """A held-out copy of one training document scores far above the same words in another order."""
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    free = [i for i in range(100) if i not in held]
+    g = random.Random(3)
+    w = [f"v{k}" for k in range(40)]
+    say = lambda n: " ".join(g.choice(w) for _ in range(n))
+    once = say(50)
+    mixed = once.split()
+    g.shuffle(mixed)
+    rows = [(i, say(60), "s") for i in free[1:]] + [(free[0], once, "s"), (held[0], once, "s"), (held[1], " ".join(mixed), "s")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    score = {r.doc_id: r.score / r.n_tokens for r in lm.op7_lm(spark, str(tmp_path)).collect()}
+    assert score[held[0]] > score[held[1]] + 0.4
+
+
 def test_lm_with_nothing_to_learn(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lm.score(frame(spark, [(held, "a b", "s")])).first()
