@@ -217,4 +217,4 @@ def reader_pages(spark, d):
 SELECT doc_id, CASE WHEN contains(lower(source || '_' || lang), 'arabic') THEN 'ar' ELSE 'en' END AS hint FROM documents
 """)
 def language_hint(spark, d):
-    return t(spark, d, "documents").select("doc_id", P.language_hint(F.concat_ws("_", "source", "lang"), F.substring("text", 1, 200)).alias("hint"))
+    return t(spark, d, "documents").select("doc_id", P.language_hint(F.concat_ws("_", "source", "lang"), F.col("text")).alias("hint"))
