@@ -222,7 +222,7 @@ SELECT p.page_id, p.m AS mutated, CASE WHEN a = '' AND b = '' THEN 0.0 WHEN a =
 FROM (SELECT page_id, 'x' AS m, left(regexp_replace(url, '[^a-z]', '', 'g'), 60) AS a, left(regexp_replace(replace(url, 'th', 'ht'), '[^a-z]', '', 'g'), 60) AS b FROM pages) p
 """)
 def character_error_rate(spark, d):
-    u = t(spark, d, "pages").select("page_id", F.lit("x").alias("mutated"), F.substring(F.regexp_replace("url", "[^a-z]", ""), 1, 60).alias("a"), F.substring(F.regexp_replace(F.replace("url", F.lit("th"), F.lit("ht")), "[^a-z]", ""), 1, 60).alias("b"))
+    u = t(spark, d, "pages").select("page_id", F.lit("x").alias("mutated"), F.regexp_replace("url", "[^a-z]", "").alias("a"), F.regexp_replace(F.replace("url", F.lit("th"), F.lit("ht")), "[^a-z]", "").alias("b"))
     return u.select("page_id", "mutated", M.cer(F.col("a"), F.col("b")).alias("cer"))
 
 

@@ -8,3 +8,9 @@ def test_language_hint_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.queries()["language_hint"](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.hint for r in got} == {1: "ar", 2: "en", 3: "en", 4: "ar"}
+
+
+def test_character_error_rate_reads_whole_urls(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 70 + "th" + "b" * 28), (2, "th" + "c" * 98)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.queries()["character_error_rate"](spark, str(tmp_path)).collect()
+    assert {r.page_id: r.cer for r in got} == {1: 0.02, 2: 0.02}
