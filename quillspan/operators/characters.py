@@ -93,10 +93,11 @@ def image_regions(images: DataFrame, words: DataFrame, pages: DataFrame) -> Data
     i = i.filter((F.col("x1") - F.col("x0") >= LEAST_SIDE) & (F.col("y1") - F.col("y0") >= LEAST_SIDE))
     under = i.join(_prefixed(words, "w_"), PAGE).filter(G.coverage(box("w_"), box()) > 0.5).select(*PAGE, "image_id").distinct().withColumn("_text", F.lit(True))
     i = i.join(under, [*PAGE, "image_id"], "left").filter(~((G.area(box()) > BACKGROUND * F.col("_w") * F.col("_h")) & F.coalesce("_text", F.lit(False))))
-    # an image goes if an earlier one that stays contains it; a container that goes is itself contained, so its container does
-    earlier = _prefixed(i.select(*PAGE, "image_id", "x0", "y0", "x1", "y1"), "e_")
-    inside = i.join(earlier, PAGE).filter((F.col("e_image_id") < F.col("image_id")) & (G.coverage(box(), box("e_")) > CONTAINED)).select(*PAGE, "image_id").distinct()
-    kept = i.join(inside, [*PAGE, "image_id"], "left_anti").drop("_w", "_h", "_text")
+    # in order, page by page: an image goes if an earlier one that stays contains it
+    of_page = i.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("image_id", "x0", "y0", "x1", "y1"))).alias("_all"))
+    step = lambda kept, x: F.when(F.exists(kept, lambda k: G.coverage(x, k) > CONTAINED), kept).otherwise(F.concat(kept, F.array(x)))
+    stay = of_page.select(*PAGE, F.explode(F.aggregate("_all", F.slice("_all", 1, 0), step)["image_id"]).alias("image_id"))
+    kept = i.join(stay, [*PAGE, "image_id"], "left_semi").drop("_w", "_h", "_text")
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "x0", "image_id")) - 1
     return kept.withColumns({"kind": F.lit("figure"), "label": F.lit("embedded_image"), "score": F.lit(0.5), "ord": order.cast("double")})
 

@@ -47,6 +47,15 @@ def test_image_regions(spark):
     assert [r.image_id for r in C.image_regions(images, words, pages).orderBy("ord").collect()] == [4, 1]
 
 
+def test_image_in_dropped_image(spark):
+    """1 lies in 0 and goes; 2 lies in 1, but just 80 % of it in 0: it stays.  Another page is on its own."""
+    boxes = [(1, 0, 0, 0, 100, 100), (1, 1, 10, 0, 110, 100), (1, 2, 20, 0, 120, 100), (2, 0, 10, 0, 110, 100)]
+    images = spark.createDataFrame([("d", p, k, *map(float, b)) for p, k, *b in boxes], "doc_id string, page_number int, image_id int, x0 double, y0 double, x1 double, y1 double")
+    words = spark.createDataFrame([], "doc_id string, page_number int, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([("d", 1, 595.0, 842.0), ("d", 2, 595.0, 842.0)], "doc_id string, page_number int, width double, height double")
+    assert sorted((r.page_number, r.image_id) for r in C.image_regions(images, words, pages).collect()) == [(1, 0), (1, 2), (2, 0)]
+
+
 def test_captions_and_footnotes(spark):
     df = spark.createDataFrame([("d", k, t, x, 1) for k, (t, x) in enumerate([("image", None), ("paragraph", "Figure 4.1: A bridge"), ("footnote", "1 note"), ("paragraph", "Figure 2 shows"), ("paragraph", "Table 1. Data"), ("table", None)])], "doc_id string, ord int, type string, text string, source_page int")
     assert [r.type for r in C.label_captions(df).orderBy("ord").collect()] == ["image", "caption", "footnote", "paragraph", "caption", "table"]
