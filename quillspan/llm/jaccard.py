@@ -563,15 +563,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of docs, all columns: of each component the one with the smallest doc_id (null last).
 
-    Rows equal in doc_id and text are one document; documents without words all stay.
+    Rows equal in doc_id and text are one document: the first by the remaining columns stays.  Documents without words
+    all stay, repeated rows too.
     """
+    bare = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    every, docs = docs, docs.filter(~bare)
     row = F.xxhash64("doc_id", F.xxhash64("text"), F.length("text"))
     t = link_classes(docs.select(row.alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
     ids = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"))
-    linked = t.filter("n_shingles > 0").distinct().join(ids, "_row")
+    linked = t.distinct().join(ids, "_row")
     first = linked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
-    stay = first.union(t.filter("n_shingles = 0").select("_row").distinct())
-    return docs.withColumn("_row", row).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and kind != "variant"]
+    place = F.row_number().over(Window.partitionBy("_row").orderBy(*rest or ["_row"]))
+    kept = docs.withColumn("_row", row).join(first, "_row", "left_semi").withColumn("_place", place).filter("_place = 1")
+    return kept.select(*every.columns).union(every.filter(bare))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

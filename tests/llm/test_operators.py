@@ -83,6 +83,12 @@ def test_jaccard_join(spark, corpus, monkeypatch):
     assert {r.doc_id for r in kept} == {eval(x)[2] for x in want if eval(x)[1] and eval(x)[2] is not None} | {i for i, t, _ in corpus if not (t or "").split()} | {i for i, _, _ in corpus if i is None}
 
 
+def test_one_of_each_keeps_rows_without_words(spark):
+    rows = [(None, "", "a"), (None, "", "b"), (None, None, "a"), (None, None, "a"), (1, "", "x"), (1, "", "y"), (2, " \n\t", "x"), (3, "one two three", "z"), (3, "one two three", "y"), (4, "one two three", "x"), (5, " ", "x")]
+    got = J.one_of_each(frame(spark, rows).repartition(3)).collect()
+    assert sorted(repr((r.doc_id, r.text, r.source)) for r in got) == sorted(map(repr, rows[:7] + [rows[8], rows[10]]))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 6), (9, 7), (7, 8), (3, 10)]
     df = spark.createDataFrame(edges, "a long, b long")
