@@ -14,7 +14,8 @@ aggregated before it is shuffled.
 Edge cases: null text stays null, empty text empty, with no lines dropped; lines
 without tokens are kept and never counted; lines shorter than MIN_TOKENS tokens
 are kept; a line repeated within a document counts once; identical rows are
-different documents; an empty table gives an empty result.  Other columns are
+different documents, also where their doc_id is the same; a template that exactly MIN_DOCUMENTS documents hold is boilerplate; very long texts are cut
+in time in proportion to their lines; an empty table gives an empty result.  Other columns are
 carried along by `dedup`; names beginning with `_ld` are reserved.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 
 MIN_DOCUMENTS, MIN_TOKENS, LEADING = 5, 3, 3
 #: Least share of fixed tokens in a template, in percent.
@@ -63,21 +64,26 @@ def _bit(h: Column) -> tuple[Column, Column]:
     return F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
 
 
+def _bits(hashes: DataFrame, column: str) -> DataFrame:
+    """A map of bits (w, b) of the hashes in a column, at most MAP_BITS / 64 rows."""
+    word, bit = _bit(F.col(column))
+    return hashes.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """(_ld_doc, _ld_k, line, leaf): hashes of each document's lines, its text and their leaves; lines of too few tokens are out."""
-    k = _lines(docs, F.monotonically_increasing_id().alias("_ld_doc"), _text_key().alias("_ld_k")).withColumn("tokens", _tokens(F.col("line")))
+    """(_ld_doc, line, leaf): hashes of each document's lines and their leaves; lines of too few tokens are out."""
+    k = _lines(docs, F.monotonically_increasing_id().alias("_ld_doc")).withColumn("tokens", _tokens(F.col("line")))
     k = k.filter(F.size("tokens") >= MIN_TOKENS)
-    return stored(k.select("_ld_doc", "_ld_k", _hash(F.col("line")).alias("line"), _leaf(F.col("tokens")).alias("leaf")), "lines")
+    return stored(k.select("_ld_doc", _hash(F.col("line")).alias("line"), _leaf(F.col("tokens")).alias("leaf")), "lines")
 
 
-def boilerplate(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(_ld_line, _ld_template): hashes of the lines to drop, and their templates."""
+def boilerplate(docs: DataFrame, lines: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(_ld_line, _ld_template): hashes of the lines to drop, and their templates; and the tables that this is read from."""
     vocab = stored(lines.groupBy("line", "leaf").agg(F.count("*").alias("n")), "vocabulary")
     busy = vocab.groupBy("leaf").agg(F.sum("n").alias("reach")).filter(F.col("reach") >= MIN_DOCUMENTS).select("leaf")
     asked = stored(vocab.join(busy, "leaf", "left_semi"), "busy-lines")
     # a map of bits first, so that only lines that may be in a busy leaf are split and shuffled
-    word, bit = _bit(F.col("line"))
-    bits = asked.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    bits = _bits(asked, "line")
     said = _lines(docs).select("line", _hash(F.col("line")).alias("h"))
     word, bit = _bit(F.col("h"))
     said = said.withColumns({"w": word, "k": bit}).join(F.broadcast(bits), "w").filter(F.getbit("b", F.col("k")) == 1)
@@ -101,23 +107,33 @@ def boilerplate(docs: DataFrame, lines: DataFrame) -> DataFrame:
     maybe = template.join(open_, ["leaf", "template"]).select("leaf", "template", "line")
     by_doc = lines.select("_ld_doc", "line").join(maybe, "line").select("leaf", "template", "_ld_doc").distinct()
     found = by_doc.groupBy("leaf", "template").agg(F.count("*").alias("k")).filter(F.col("k") >= MIN_DOCUMENTS).select("leaf", "template")
-    return template.join(sure.union(found), ["leaf", "template"]).select(F.col("line").alias("_ld_line"), F.col("template").alias("_ld_template"))
+    out = template.join(sure.union(found), ["leaf", "template"]).select(F.col("line").alias("_ld_line"), F.col("template").alias("_ld_template"))
+    return out, (vocab, asked, inside, template)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with boilerplate lines cut from text, and _ld_lines and _ld_dropped, the numbers of lines and of dropped ones."""
     held = line_table(docs)
-    drop = stored(boilerplate(docs, held).select("_ld_line").distinct(), "boilerplate")
-    key, lines = _text_key(), F.split("text", "\n")
-    # texts, not rows: copies share their lines
-    hit = held.select("_ld_k", F.col("line").alias("_ld_line")).join(drop, "_ld_line").groupBy("_ld_k").agg(F.collect_set("_ld_line").alias("_ld_hit"))
-    d = docs.withColumn("_ld_key", key)
-    d = d.join(hit, d["_ld_key"] == hit["_ld_k"], "left").drop("_ld_k", "_ld_key")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_ld_hit"), _hash(x)))
-    d = d.withColumn("_ld_text", F.when(F.col("_ld_hit").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    d = d.withColumn("_ld_lines", n).withColumn("_ld_dropped", F.when(F.col("_ld_hit").isNull(), 0).otherwise(n - F.size(kept)))
-    return d.select(*[F.col("_ld_text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "_ld_lines", "_ld_dropped")
+    found, parts = boilerplate(docs, held)
+    drop = stored(found.select("_ld_line").distinct(), "boilerplate")
+    discard(held, *parts)
+    # numbers of the lines to cut, by text and not by row: copies within a task are one before they are shuffled
+    word, bit = _bit(F.col("_ld_line"))
+    spots = docs.select(_text_key().alias("_ld_k"), F.posexplode(F.transform(F.split("text", "\n"), _hash)).alias("_ld_at", "_ld_line"))
+    spots = spots.withColumns({"w": word, "k": bit}).join(F.broadcast(_bits(drop, "_ld_line")), "w").filter(F.getbit("b", F.col("k")) == 1)
+    spots = spots.select("_ld_k", "_ld_at", "_ld_line").distinct().join(drop, "_ld_line")
+    cuts = stored(spots.groupBy("_ld_k").agg(F.collect_list(F.col("_ld_at") + 1).alias("_ld_cut")), "cuts")
+    discard(drop)
+    d = docs.withColumn("_ld_key", _text_key())
+    d = d.join(cuts, d["_ld_key"] == cuts["_ld_k"], "left").drop("_ld_k", "_ld_key")
+    d = d.withColumn("_ld_said", F.when(F.col("text").isNotNull(), F.split("text", "\n")))
+    # numbers that stay, by a set difference, which takes time in proportion to the lines
+    d = d.withColumn("_ld_stay", F.when(F.col("_ld_cut").isNotNull(), F.array_except(F.sequence(F.lit(1), F.size("_ld_said")), F.col("_ld_cut"))))
+    text = F.when(F.col("_ld_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_ld_stay", lambda i: F.get(F.col("_ld_said"), i - 1)), "\n"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_ld_said"))
+    dropped = F.coalesce(F.size("_ld_said") - F.size("_ld_stay"), F.lit(0))
+    dropped = F.when(F.col("_ld_cut").isNull(), 0).otherwise(dropped)
+    return d.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n.alias("_ld_lines"), dropped.alias("_ld_dropped"))
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
