@@ -125,7 +125,7 @@ def edge_slivers(regions: DataFrame, words: DataFrame, pages: DataFrame) -> Data
     return r.join(s, [*PAGE, "region_id"], "left_semi").drop("_w")
 
 
-def interval_groups(spans: DataFrame, keys: list[str], low: str, high: str, slack: float) -> DataFrame:
+def interval_groups(spans: DataFrame, keys: list[str], low: str, high: str, slack: float | Column) -> DataFrame:
     """spans with `grp`: a new group starts where a span begins more than `slack` beyond all before it."""
     w = Window.partitionBy(*keys).orderBy(low, high)
     reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import geometry as G
-from ..operators import assembly as A, layout as L, metrics as M, pages as P, review as V
+from ..operators import boxes as B, composition as C, flow as W, grids as T, layout as L, metrics as M, pages as P, review as V
 from ..sources import html as H
 from .fixtures import frame, values
 from .text_queries import t
@@ -200,33 +200,89 @@ def html_blocks(spark, d):
     return H.read_html(t(spark, d, "pages"))
 
 
-def word_table(spark, rows):
-    schema = "doc_id string, page_number int, word_id int, text string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, italic boolean, underline boolean, blank boolean, visual_order boolean, confidence double"
-    return frame(spark, schema, [("d", 1, k, w, float(x), float(y), float(x + 6 * len(w)), float(y + s), float(s), b, False, False, False, False, 1.0) for k, (w, x, y, s, b) in enumerate(rows)])
 
+def _set(words, x0, y0, width, **more):
+    """Words (doc_id, page_number, word_id, text) set on a page as boxes of 12 points' height, and a word's other properties."""
+    box = {"x0": x0.cast("double"), "y0": y0.cast("double"), "x1": (x0 + width).cast("double"), "y1": (y0 + 12).cast("double")}
+    rest = {"size": F.lit(10.0), **{f: F.lit(False) for f in ("bold", "italic", "underline", "blank", "visual_order")}, "confidence": F.lit(1.0)}
+    return words.withColumns(box | rest | more)
 
-RULED = [(w, 72 + 110 * c, 100 + 30 * r, 10, r == 0) for r, row in enumerate((("Case", "Year", "Court"), ("Alpha", "1932", "Lords"), ("Beta", "1944", "Appeal"))) for c, w in enumerate(row)]
 
+def _item_words(spark, d):
+    x = t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.posexplode(F.split("text", r"\s+")).alias("word_id", "text"))
+    return x.filter("text <> ''")
 
-@query()
-def build_table(spark, d):
-    """The grid of a ruled table, one page to a group."""
-    rules = [("d", 1, k, x, 92.0, x + 0.5, 185.0, True) for k, x in enumerate((66.0, 176.0, 286.0, 396.0))] + [("d", 1, 10 + k, 66.0, y, 396.0, y + 0.5, False) for k, y in enumerate((92.0, 122.0, 152.0, 184.0))]
-    pages = frame(spark, "doc_id string, page_number int, width double, height double", [("d", 1, 595.0, 842.0)])
-    regions = frame(spark, "doc_id string, page_number int, region_id int, kind string, x0 double, y0 double, x1 double, y1 double, score double, ord double, label string, decorative boolean", [("d", 1, 0, "table", 66.0, 92.0, 396.5, 185.0, 1.0, 0.0, "table", False)])
-    r = frame(spark, "doc_id string, page_number int, rule_id int, x0 double, y0 double, x1 double, y1 double, vertical boolean", rules)
-    b = A.assemble_pages(word_table(spark, RULED), regions, r, pages)
-    return b.select("doc_id", "ord", "type", F.array_join(F.transform("rows", lambda x: F.array_join(F.transform(x, lambda c: c["text"]), " | ")), "\n").alias("grid"), "has_header", "confidence")
 
+_ITEM_WORDS = r"""w AS (SELECT * FROM (SELECT CAST(item_id AS VARCHAR) AS doc_id, unnest(string_split_regex(text, '\s+')) AS text, unnest(range(len(string_split_regex(text, '\s+')))) AS k FROM benchmark) WHERE text <> '')"""
 
-@query()
-def assemble_pages(spark, d):
-    """Pages of words made from documents: each line of up to 200 words is set as a line of 60 points' words."""
-    x = t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.posexplode(F.split("text", r"\s+")).alias("word_id", "text")).filter("text <> ''")
+
+def _in_lines(spark, d):
+    k = F.col("word_id")
+    return _set(_item_words(spark, d), 72 + 60 * (k % 7), 90 + 14 * F.floor(k / 7) + k % 3, 55)
+
+
+@query(f"WITH {_ITEM_WORDS} SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY k // 7) AS INTEGER) AS line, string_agg(text, ' ' ORDER BY k) AS text FROM w GROUP BY doc_id, k // 7")
+def page_lines(spark, d):
+    """Lines found among words that stand up to two points off their line, against the lines they were set in."""
+    key = ["doc_id", "page_number"]
+    w = W.line_facts(W.lines(W.with_rows(_in_lines(spark, d), key), key, 9.0), key)
+    return w.filter("at = 1").select("doc_id", "line", F.col("l_text").alias("text"))
+
+
+@query(f"""
+WITH {_ITEM_WORDS}, s AS (SELECT doc_id, k, text, CASE WHEN k % 8 >= 4 THEN 1 ELSE 0 END AS side, 40 + 290 * CASE WHEN k % 8 >= 4 THEN 1 ELSE 0 END + 50 * (k % 4) AS x0 FROM w),
+g AS (SELECT doc_id, side, sum(length(text)) AS chars, max(x0 + 45) - min(x0) AS width, min(x0) AS a, max(x0 + 45) AS b, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT doc_id, sum(n) AS n, bool_and(chars >= 0.2 * total AND width >= 0.2 * span) AND count(*) = 2 AND sum(n) >= 6 AS parted FROM (SELECT *, greatest(1, sum(chars) OVER (PARTITION BY doc_id)) AS total, max(b) OVER (PARTITION BY doc_id) - min(a) OVER (PARTITION BY doc_id) AS span FROM g) GROUP BY doc_id)
+SELECT doc_id, CAST(k AS INTEGER) AS word_id, CAST(CASE WHEN parted THEN side ELSE 0 END AS INTEGER) AS col FROM s JOIN p USING (doc_id)
+""")
+def page_columns(spark, d):
+    """Columns found among words, against the two columns they were set in."""
     k = F.col("word_id")
-    w = x.select("doc_id", "page_number", "word_id", "text", (72 + 60 * (k % 7)).cast("double").alias("x0"), (90 + 14 * F.floor(k / 7)).cast("double").alias("y0"), (72 + 60 * (k % 7) + 55).cast("double").alias("x1"), (102 + 14 * F.floor(k / 7)).cast("double").alias("y1"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("underline"), F.lit(False).alias("blank"), F.lit(False).alias("visual_order"), F.lit(1.0).alias("confidence"))
-    pages = w.select("doc_id", "page_number").distinct().withColumns({"width": F.lit(595.0), "height": F.lit(842.0)})
-    empty = lambda schema: spark.createDataFrame([], schema)
-    from ..schema import REGIONS, RULES
+    w = _set(_item_words(spark, d), 40 + 290 * (k % 8 >= 4).cast("int") + 50 * (k % 4), 90 + 14 * F.floor(k / 8), 45)
+    return W.columns(w, ["doc_id", "page_number"]).select("doc_id", "word_id", "col")
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS k, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n FROM customer)
+SELECT k AS n_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY k ORDER BY n % 3, n) - 1 AS INTEGER) AS place FROM c
+""")
+def boxes_in_order(spark, d):
+    """Places in reading order of boxes set in three columns, their rows at different heights."""
+    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    c = t(spark, d, "customer").select("c_nationkey", "c_custkey", n.alias("n"))
+    x0, y0 = 40 + 180 * (F.col("n") % 3), 30 * F.floor(F.col("n") / 3) + 7 * (F.col("n") % 3)
+    box = F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 150).cast("double").alias("x1"), (y0 + 24).cast("double").alias("y1"))
+    page = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", box.alias("box")))).alias("b")).withColumn("read", B.order_of(F.col("b")["box"], F.lit(False)))
+    return page.select(F.col("c_nationkey").alias("n_nationkey"), F.posexplode("read").alias("place", "i"), "b").select("n_nationkey", F.get("b", F.col("i"))["c_custkey"].alias("c_custkey"), "place")
 
-    return A.assemble_pages(w, empty(REGIONS), empty(RULES), pages).select("doc_id", "ord", "type", "text", "list_marker")
+
+@query("""
+WITH c AS (SELECT c_nationkey AS k, c_custkey, c_name, c_mktsegment FROM customer)
+SELECT k AS n_nationkey, 'Key | Name | Segment' || chr(10) || string_agg(c_custkey || ' | ' || c_name || ' | ' || c_mktsegment, chr(10) ORDER BY c_custkey) AS grid, TRUE AS has_header, CAST(0.8 AS DOUBLE) AS confidence FROM c GROUP BY k
+""")
+def build_table(spark, d):
+    """Grids found among words without rules, against the tables that were set: one for each nation, a customer to a row."""
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey", F.array(F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("row"))
+    head = t(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey")).distinct().select("n_nationkey", F.lit(-1).cast(c.schema["c_custkey"].dataType).alias("c_custkey"), F.array(*map(F.lit, ("Key", "Name", "Segment"))).alias("row"))
+    r = F.row_number().over(Window.partitionBy("n_nationkey").orderBy("c_custkey")) - 1
+    w = c.union(head).withColumn("r", r).select("n_nationkey", "r", F.posexplode("row").alias("c", "text")).withColumn("word_id", (F.col("r") * 3 + F.col("c")).cast("int"))
+    x0 = F.element_at(F.array(F.lit(60), F.lit(200), F.lit(400)), F.col("c") + 1)
+    w = _set(w, x0, 100 + 20 * F.col("r"), 6 * F.length("text"), bold=F.col("r") == 0)
+    page = w.groupBy("n_nationkey").agg(F.collect_list(F.struct("word_id", "text", "x0", "y0", "x1", "y1", "size", "bold", "confidence")).alias("words"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    none = F.struct(F.array().cast("array<double>").alias("vx"), F.array().cast("array<double>").alias("hy"))
+    g = T.built(page.withColumn("ruling", none))
+    return g.select("n_nationkey", F.array_join(F.transform("grid.rows", lambda x: F.array_join(F.transform(x, lambda c: c["text"]), " | ")), "\n").alias("grid"), "grid.has_header", "grid.confidence")
+
+
+@query(f"WITH {_ITEM_WORDS} SELECT doc_id, string_agg(text, '' ORDER BY k) AS letters FROM w GROUP BY doc_id")
+def assemble_pages(spark, d):
+    """Whole pages, each an item's words in lines, with a region around the first half and a rule far below: every word comes back once,
+    in order."""
+    w = _in_lines(spark, d)
+    pages = w.groupBy("doc_id", "page_number").agg(F.lit(595.0).alias("width"), (F.max("y1") + 100).alias("height"), F.max("y1").alias("_last"))
+    top = (90 + (F.col("_last") - 90) / 2 - 1).alias("y1")
+    regions = pages.select("doc_id", "page_number", F.lit(0).alias("region_id"), F.lit("text").alias("kind"), F.lit(60.0).alias("x0"), F.lit(80.0).alias("y0"), F.lit(560.0).alias("x1"), top, F.lit(0.9).alias("score"), F.lit(0.0).alias("ord"), F.lit("text").alias("label"), F.lit(False).alias("decorative"))
+    rules = pages.select("doc_id", "page_number", F.lit(0).alias("rule_id"), F.lit(72.0).alias("x0"), (F.col("_last") + 60).alias("y0"), F.lit(172.0).alias("x1"), (F.col("_last") + 61).alias("y1"), F.lit(False).alias("vertical"))
+    b = C.assemble_pages(w, regions, rules, pages.drop("_last"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "")
+    return b.groupBy("doc_id").agg(F.regexp_replace(said, r"\s", "").alias("letters"))

@@ -1,81 +1,13 @@
 import io
 import zipfile
 
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quillspan.functions import tables as B
-from quillspan.operators import assembly as A, layout as L
+from quillspan.operators import layout as L
 from quillspan.sources import html as H, office as O, sinks, sniff
 
 
-def word(text, x0, y0=100.0, size=10.0, bold=False, x1=None, **k):
-    return {"text": text, "x0": float(x0), "y0": y0, "x1": float(x1 if x1 is not None else x0 + 6 * len(text)), "y1": y0 + size, "size": size, "bold": bold, "italic": False, "underline": False, "blank": False, "confidence": 1.0, **k}
-
-
-def rule(x0, y0, x1, y1, vertical=False):
-    return {"x0": x0, "y0": y0, "x1": x1, "y1": y1, "vertical": vertical}
-
-
-def box(x0, y0, x1, y1, **k):
-    return {"x0": x0, "y0": y0, "x1": x1, "y1": y1, **k}
-
-
-def test_xy_order():
-    boxes = [box(50, 40, 550, 60), box(50, 80, 280, 140), box(320, 80, 550, 140), box(50, 160, 280, 260), box(50, 700, 550, 720)]
-    assert A.xy_order(boxes) == [0, 1, 3, 2, 4]
-    assert A.xy_order(boxes, True) == [0, 2, 1, 3, 4]
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(*[st.integers(0, 50)] * 4), max_size=12), st.booleans())
-def test_xy_order_is_a_permutation(raw, rtl):
-    boxes = [box(a, b, a + c + 1, b + d + 1) for a, b, c, d in raw]
-    assert sorted(A.xy_order(boxes, rtl)) == list(range(len(boxes)))
-
-
-def test_blanks_and_underlines():
-    line = [word("She", 72), word("to", 200), word("school.", 214)]
-    made = A.insert_blanks(line, [rule(95, 109.5, 195, 110)], [], 595)
-    assert sum(w["blank"] for w in made) == 1 and not any(w["underline"] for w in made)
-    pair = [word("Read", 72), word("carefully", 98)]
-    made = A.insert_blanks(pair, [rule(72, 110, 152, 110.5)], [], 595)
-    assert not any(w["blank"] for w in made) and all(w["underline"] for w in made)
-    contents = [word("Introduction", 72), word("7", 500)]
-    assert not any(w["blank"] for w in A.insert_blanks(contents, [rule(150, 109.5, 495, 110)], [box(60, 90, 520, 120, kind="contents")], 595))
-
-
-GRID = [word(w, 72 + 110 * c, 100 + 30 * r, bold=r == 0) for r, row in enumerate((("Case", "Year", "Court"), ("Alpha", "1932", "Lords"), ("Beta", "1944", "Appeal"))) for c, w in enumerate(row)]
-RULES = [rule(x, 92, x + 0.5, 185, True) for x in (66, 176, 286, 396)] + [rule(66, y, 396, y + 0.5) for y in (92, 122, 152, 184)]
-
-
-def test_tables():
-    t = A.build_table(box(66, 92, 396.5, 185), GRID, RULES)
-    assert [[c["text"] for c in r] for r in t["rows"]] == [["Case", "Year", "Court"], ["Alpha", "1932", "Lords"], ["Beta", "1944", "Appeal"]]
-    assert t["has_header"] and t["confidence"] >= 0.9
-    plain = A.build_table(box(66, 92, 396.5, 185), GRID, [])
-    assert [[c["text"] for c in r] for r in plain["rows"]] == [["Case", "Year", "Court"], ["Alpha", "1932", "Lords"], ["Beta", "1944", "Appeal"]]
-    assert len(A.ruled_regions(RULES, GRID)) == 1
-    assert A.ruled_regions([r for r in RULES if r["x0"] in (66, 396) or not r["vertical"]], GRID) == []
-
-
-def test_captions_and_figures():
-    regions = [box(50, 50, 300, 200, kind="figure", ord=0, label="image"), box(50, 210, 400, 225, kind="text", ord=1, label="text")]
-    said = [word(t, 52 + 60 * k, 212) for k, t in enumerate("Figure 4.1: A bridge".split())]
-    assert [b["type"] for b in A.assemble(said, regions, [], 595, 842)] == ["image", "caption"]
-    said = [word(t, 52 + 60 * k, 212) for k, t in enumerate("Figure 2 shows it".split())]
-    got = A.assemble([word("EXIT", 60, 60), word("ONLY", 100, 60), *said], regions, [], 595, 842)
-    assert [(b["type"], b["role"]) for b in got][:2] == [("image", None), ("caption", "figure_text")] and got[1]["text"] == "EXIT ONLY"
-
-
-def test_compose_and_items():
-    lines = A.group_lines([word("a", 10, 10), word("well-", 30, 10), word("known", 10, 24), word("BOLD", 60, 24, bold=True)])
-    text, styles = A.compose(lines)
-    assert text == "a well-known BOLD" and [(s["start"], s["end"]) for s in styles] == [(13, 17)]
-    items = A.split_items(A.group_lines([word("1.", 10, 10), word("one", 30, 10), word("2.", 10, 24), word("two", 30, 24)]))
-    assert [i[0]["text"] for i in items] == ["1. one", "2. two"]
-
-
 def test_word_region_join(spark):
     w = spark.createDataFrame([("d", 1, 0, 0.0, 0.0, 10.0, 10.0), ("d", 1, 1, 95.0, 0.0, 105.0, 10.0), ("d", 1, 2, 300.0, 0.0, 310.0, 10.0), ("d", 1, 3, 20.0, 0.0, 30.0, 10.0)], "doc_id string, page_number int, word_id int, x0 double, y0 double, x1 double, y1 double")
     r = spark.createDataFrame([("d", 1, 0, 0.0, 0.0, 100.0, 100.0, "text", False), ("d", 1, 1, 15.0, 0.0, 35.0, 20.0, "text", False)], "doc_id string, page_number int, region_id int, x0 double, y0 double, x1 double, y1 double, kind string, decorative boolean")
