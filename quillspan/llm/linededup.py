@@ -125,7 +125,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     cuts = stored(spots.groupBy("_ld_k").agg(F.collect_list(F.col("_ld_at") + 1).alias("_ld_cut")), "cuts")
     discard(drop)
     d = docs.withColumn("_ld_key", _text_key())
-    d = d.join(cuts, d["_ld_key"] == cuts["_ld_k"], "left").drop("_ld_k", "_ld_key")
+    # texts are dealt by their key at any size; of a text with many copies the rows may be dealt anew
+    d = d.join(cuts.hint("merge"), d["_ld_key"] == cuts["_ld_k"], "left").drop("_ld_k", "_ld_key")
     d = d.withColumn("_ld_said", F.when(F.col("text").isNotNull(), F.split("text", "\n")))
     # numbers that stay, by a set difference, which takes time in proportion to the lines
     d = d.withColumn("_ld_stay", F.when(F.col("_ld_cut").isNotNull(), F.array_except(F.sequence(F.lit(1), F.size("_ld_said")), F.col("_ld_cut"))))
