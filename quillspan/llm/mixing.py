@@ -3,18 +3,21 @@
 Each source's documents are shuffled by a hash; a document's virtual finish
 time is the source's cumulative tokens up to and with it, divided by the
 source's weight.  A source may be gone through twice, which bounds each
-document's and source's share.  All finish times are put in one global order
+document's and source's share.  All finish times stand in one global order
 and the order is cut where the total budget is used up; a source that ran out
 leaves its share to the others by weight.
 
-Running sums go by buckets: sums of (source, hash range) give offsets, windows
-stay within one bucket, and the global cut needs an exact order only in the one
-range of finish times that the budget ends in.  So no task holds a whole source.
+Running sums go by buckets: each source has as many as its rows ask for, sums of
+buckets and of groups of buckets give offsets, and windows stay within one bucket.  The
+place where the budget ends is found by histograms of finish times, each within the bin before, until
+a bin holds few documents; only these are put in exact order.  No task holds a whole source, and no step sorts all times.
 
 Edge cases: null text has size 0; a null source comes last in the order of
-sources; documents of size 0 take part with size 0; identical rows tie and are
+sources; documents of size 0 take part with size 0; very long texts count whole; documents with the same doc_id (null, too) but
+other texts are shuffled apart, identical rows tie, share a bucket and are
 interchangeable; an empty table gives an empty result; other columns are
-carried along untouched by `mix`, but for names that begin with `_mix`.
+carried along untouched by `mix`, but for names that begin with `_mix`.  The table of sources, a row each, goes
+through one task.
 """
 
 from __future__ import annotations
@@ -25,23 +28,24 @@ from .common import discard, stored, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, REPEATS = 1.5, 2
-BUCKET_ROWS = 20_000
+#: Rows of a bucket (identical rows aside), bins of a histogram, and rows that are put in exact order at most, ties aside.
+BUCKET_ROWS, BINS, EXACT_ROWS, DESCENTS = 2000, 1024, 20_000, 12
 SPAN = 1 << 60
-#: Ranges of finish times for the global cut, for each bucket of documents.
-FINE = 4
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _shuffled(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def _shuffled(doc_id: Column, text: Column) -> Column:
+    """A number below SPAN by doc_id and text."""
+    of = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(of.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Size, shuffle key and a last tie-break for each row."""
-    return docs.withColumns({"_mix_size": size_of(F.col("text")), "_mix_key": _shuffled(F.col("doc_id")), "_mix_tie": F.xxhash64("text", "source")})
+    """Size and shuffle key for each row."""
+    return docs.withColumns({"_mix_size": size_of(F.col("text")), "_mix_key": _shuffled(F.col("doc_id"), F.col("text"))})
 
 
 def targets(sums: DataFrame) -> DataFrame:
@@ -67,69 +71,94 @@ def targets(sums: DataFrame) -> DataFrame:
     return s.select("source", "size", "weight", F.least(F.col("cap").cast("double"), F.col("weight") * F.coalesce("reached", F.lit(0.0))).alias("target"), "budget")
 
 
-def _timed(keyed: DataFrame, offsets: DataFrame, buckets: int) -> DataFrame:
-    """keyed with _mix_cum: the source's tokens up to and with the row, and its source's figures."""
-    inside = Window.partitionBy("source", "_mix_bucket").orderBy("_mix_key", "doc_id", "_mix_size", "_mix_tie").rowsBetween(Window.unboundedPreceding, 0)
-    o = offsets.select(F.col("source").alias("_mix_source"), F.col("bucket").alias("_mix_b"), "_mix_before", "_mix_source_size", "_mix_weight", "_mix_target")
-    k = keyed.withColumn("_mix_bucket", _bucket(buckets))
-    k = k.withColumn("_mix_inside", F.sum("_mix_size").over(inside))
-    j = k.join(o, k["source"].eqNullSafe(o["_mix_source"]) & (k["_mix_bucket"] == o["_mix_b"])).drop("_mix_source", "_mix_b")
-    return j.withColumn("_mix_cum", F.col("_mix_before") + F.col("_mix_inside"))
+def _of_source(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """rows with their source's figures and their bucket among as many as the source has."""
+    g = goal.select(F.col("source").alias("_mix_source"), F.col("size").alias("_mix_source_size"), F.col("weight").alias("_mix_weight"), F.col("target").alias("_mix_target"), F.col("parts").alias("_mix_parts"))
+    j = rows.join(g, rows["source"].eqNullSafe(g["_mix_source"])).drop("_mix_source")
+    return j.withColumn("_mix_bucket", F.least(F.floor(F.col("_mix_key") / F.lit(float(SPAN)) * F.col("_mix_parts")), F.col("_mix_parts") - 1)).drop("_mix_parts")
+
 
+def _offsets(sums: DataFrame) -> DataFrame:
+    """sums(source, bucket, size) with `before`, the source's tokens in earlier buckets: by groups of buckets first, then within each."""
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    s = sums.withColumn("far", F.floor(F.col("bucket") / BINS))
+    far = s.groupBy("source", "far").agg(F.sum("size").alias("size")).withColumn("_far", F.coalesce(F.sum("size").over(earlier("source", "far")), F.lit(0))).select(F.col("source").alias("_s"), F.col("far").alias("_f"), "_far")
+    s = s.withColumn("_near", F.coalesce(F.sum("size").over(earlier("source", "far", "bucket")), F.lit(0)))
+    s = s.join(far, s["source"].eqNullSafe(far["_s"]) & (s["far"] == far["_f"]))
+    return s.select("source", "bucket", (F.col("_far") + F.col("_near")).alias("before"))
 
-def _bucket(buckets: int) -> Column:
-    return F.floor(F.col("_mix_key") / F.lit(float(SPAN)) * buckets).cast("int")
+
+def _timed(rows: DataFrame, offsets: DataFrame) -> DataFrame:
+    """rows of `_of_source` with _mix_cum, the source's tokens up to and with the row."""
+    inside = Window.partitionBy("source", "_mix_bucket").orderBy("_mix_key", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    o = offsets.select(F.col("source").alias("_mix_source"), F.col("bucket").alias("_mix_b"), F.col("before").alias("_mix_before"))
+    k = rows.withColumn("_mix_inside", F.sum("_mix_size").over(inside))
+    j = k.join(o, k["source"].eqNullSafe(o["_mix_source"]) & (k["_mix_bucket"] == o["_mix_b"])).drop("_mix_source", "_mix_b")
+    return j.withColumn("_mix_cum", F.col("_mix_before") + F.col("_mix_inside")).drop("_mix_before", "_mix_inside", "_mix_bucket")
 
 
 def _finish(pass_no: Column) -> Column:
     return (F.col("_mix_cum") + pass_no * F.col("_mix_source_size")) / F.col("_mix_weight")
 
 
+def _place(finish, null, source, pass_no, key, doc_id, size) -> Column:
+    return F.struct(finish.alias("a"), null.alias("b"), source.alias("c"), pass_no.alias("d"), key.alias("e"), doc_id.alias("f"), size.alias("g"))
+
+
+def _cut(times: DataFrame, latest: float, budget: float) -> Column | None:
+    """The place of the first document that the budget doesn't hold any more; None if it holds all.
+
+    Documents of size 0 take nothing of the budget and are left out of the search.
+    """
+    passes = F.explode(F.array(*map(F.lit, range(REPEATS))))
+    t = times.filter("_mix_size > 0").withColumn("pass_no", passes).withColumn("finish", _finish(F.col("pass_no")))
+    before, low, width = 0, 0.0, latest
+    for _ in range(DESCENTS):
+        width /= BINS
+        at = F.greatest(F.lit(0), F.least(F.floor((F.col("finish") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)))
+        # at most BINS rows reach the driver
+        found = None
+        for r in sorted(t.groupBy(at.alias("bin")).agg(F.sum("_mix_size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: r.bin):
+            if before + r.size > budget:
+                found = r
+                break
+            before += r.size
+        if found is None:
+            return None
+        t = t.filter(at == found.bin)
+        low += width * found.bin
+        if found.n <= EXACT_ROWS or width <= latest * 1e-15:
+            break
+    order = ("finish", F.col("source").asc_nulls_last(), "pass_no", "_mix_key", "doc_id", "_mix_size")
+    total = F.sum("_mix_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before)
+    r = t.withColumn("total", total).filter(F.col("total") > budget).orderBy(*order).limit(1).collect()[0]
+    long = lambda v: F.lit(v).cast("long")
+    return _place(F.lit(r.finish), F.lit(r.source is None), F.lit(r.source or ""), F.lit(r.pass_no), long(r._mix_key), long(r.doc_id), long(r._mix_size))
+
+
 def mix(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows of docs with _mix_size, _mix_source_size, _mix_target and _mix_times, how often the mix takes them (0 to 2)."""
     columns = list(columns or docs.columns)
-    keyed = stored(_keyed(docs).select("doc_id", "source", "_mix_size", "_mix_key", "_mix_tie"), "mix-keys")
-    n = keyed.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    sums = keyed.groupBy("source", _bucket(buckets).alias("bucket")).agg(F.sum("_mix_size").alias("size"))
-    sums = stored(sums, "mix-sums")
-    goal = stored(targets(sums.groupBy("source").agg(F.sum("size").alias("size"))), "mix-targets")
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    g = goal.select(F.col("source").alias("_g"), F.col("size").alias("_mix_source_size"), F.col("weight").alias("_mix_weight"), F.col("target").alias("_mix_target"))
-    offsets = sums.withColumn("_mix_before", F.coalesce(F.sum("size").over(earlier), F.lit(0))).drop("size")
-    offsets = offsets.join(g, offsets["source"].eqNullSafe(g["_g"])).drop("_g")
-    offsets = stored(offsets, "mix-offsets")
-    # the global cut: ranges of finish times, then the exact order in the range where the budget ends
+    keyed = stored(_keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "_mix_size", "_mix_key"), "mix-keys")
+    sums = stored(keyed.groupBy("source").agg(F.sum("_mix_size").alias("size"), F.count("*").alias("n")), "mix-sums")
+    rank = sums.select("source", F.ceil(F.col("n") / BUCKET_ROWS).alias("parts"))
+    t = targets(sums.select("source", "size"))
+    goal = stored(t.join(rank.withColumnRenamed("source", "_s"), t["source"].eqNullSafe(F.col("_s"))).drop("_s"), "mix-targets")
+    dealt = _of_source(keyed, goal)
+    offsets = stored(_offsets(dealt.groupBy("source", F.col("_mix_bucket").alias("bucket")).agg(F.sum("_mix_size").alias("size"))), "mix-offsets")
     last = goal.agg(F.max(F.col("size") * REPEATS / F.col("weight")).alias("t"), F.first("budget").alias("b")).first()
-    latest, budget = float(last.t or 0.0) or 1.0, float(last.b or 0.0)
-    ranges = buckets * FINE
-    place = lambda t: F.least(F.floor(t / F.lit(latest) * ranges), F.lit(ranges - 1)).cast("int")
-    times = _timed(keyed, offsets, buckets).select("doc_id", "source", "_mix_size", "_mix_key", "_mix_tie", "_mix_cum", "_mix_source_size", "_mix_weight", F.explode(F.array(*map(F.lit, range(REPEATS)))).alias("pass_no"))
-    times = times.select("doc_id", "source", "_mix_size", "_mix_key", "_mix_tie", "pass_no", _finish(F.col("pass_no")).alias("finish"))
-    times = stored(times.withColumn("range", place(F.col("finish"))), "mix-times")
-    running = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    ends = times.groupBy("range").agg(F.sum("_mix_size").alias("size")).withColumn("total", F.sum("size").over(running))
-    edge = ends.filter(F.col("total") > budget).orderBy("range").limit(1).collect()
-    if edge:
-        r = edge[0]
-        order = Window.orderBy("finish", F.col("source").asc_nulls_last(), "pass_no", "_mix_key", "doc_id", "_mix_size", "_mix_tie").rowsBetween(Window.unboundedPreceding, 0)
-        inside = times.filter(F.col("range") == r.range).withColumn("total", F.sum("_mix_size").over(order) + F.lit(r.total - r.size))
-        cut = inside.filter(F.col("total") > budget).orderBy("finish", F.col("source").asc_nulls_last(), "pass_no", "_mix_key", "doc_id", "_mix_size", "_mix_tie").limit(1).collect()[0]
-        # what stands before the first row that the budget doesn't hold, in that order
-        def place_of(finish, null, source, pass_no, key, doc_id, size, tie):
-            return F.struct(finish.alias("a"), null.alias("b"), source.alias("c"), pass_no.alias("d"), key.alias("e"), doc_id.alias("f"), size.alias("g"), tie.alias("h"))
-
-        nothing = F.lit(None).cast("long")  # nulls come first, as in the window above
-        mine = lambda p: place_of(_finish(F.lit(p)), F.col("source").isNull(), F.coalesce("source", F.lit("")), F.lit(p), F.col("_mix_key"), F.col("doc_id").cast("long"), F.col("_mix_size"), F.col("_mix_tie"))
-        long = lambda v: F.lit(v).cast("long") if v is not None else nothing
-        edge_row = place_of(F.lit(cut.finish), F.lit(cut.source is None), F.lit(cut.source or ""), F.lit(cut.pass_no), long(cut._mix_key), long(cut.doc_id), long(cut._mix_size), long(cut._mix_tie))
-        taken = [(mine(p) < edge_row).cast("int") for p in range(REPEATS)]
+    times = stored(_timed(dealt, offsets), "mix-times")
+    cut = _cut(times, float(last.t or 0.0), float(last.b or 0.0)) if last.t else None
+    mine = lambda p: _place(_finish(F.lit(p)), F.col("source").isNull(), F.coalesce("source", F.lit("")), F.lit(p), F.col("_mix_key"), F.col("doc_id").cast("long"), F.col("_mix_size"))
+    taken = [F.lit(1)] * REPEATS if cut is None else [(mine(p) < cut).cast("int") for p in range(REPEATS)]
+    discard(sums)
+    if set(columns) <= {"doc_id", "source"}:
+        full = times
     else:
-        taken = [F.lit(1)] * REPEATS
-    source = keyed if set(columns) <= {"doc_id", "source"} else _keyed(docs)
-    full = _timed(source, offsets, buckets)
+        full = _timed(_of_source(_keyed(docs), goal), offsets)
+        discard(times)
+    discard(keyed)
     out = full.withColumn("_mix_times", sum(taken[1:], taken[0]))
-    discard(times, sums, goal)
     return out.select(*columns, "_mix_size", "_mix_source_size", "_mix_target", "_mix_times")
 
 
@@ -147,7 +176,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS k
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS size FROM d GROUP BY source
