@@ -13,9 +13,11 @@ Documents with equal sets form a class.  Two classes link when
     classes go on of whose hashes four fifths are shared; their prefix is the
     n - ceil(0.8 n) + 1 rarest hashes, which hold a common one with every
     partner.  Classes connected by prefix hashes are a candidate group.
-3.  Within a candidate group, blocks of classes are multiplied: block-by-block
-    products of incidence columns add up overlap counts, pairs below the bound
-    are discarded, and each block keeps a spanning forest of its links.  In
+3.  Within a candidate group, blocks of classes are multiplied, documents by
+    shingles: products of one range of incidence columns after the other add up overlap counts,
+    until no pair of a tile can reach the overlap that its sizes ask for; pairs below that bound
+    are discarded, and each block keeps a spanning forest of its links.  Blocks
+    are numbered by steps of set size, as many to a step as its classes ask for.  In
     large groups neighbouring blocks by size are multiplied first; then only
     classes outside the group's largest component meet those of other blocks
     that they share a prefix hash with.  No pair becomes a row and no link between
@@ -25,8 +27,8 @@ A hash that many documents hold is settled inside each task: a task sends one
 row for it, whatever the number of its documents that hold it.
 
 Edge cases: null or empty texts have an empty set and link with nothing, not
-even each other; fewer than five words make one shingle; repeated rows belong
-to one class; a null doc_id takes part but is never a component's id; an empty
+even each other; fewer than five words make one shingle; very long texts are read whole and may fill a block alone; repeated rows belong
+to one class; a null doc_id takes part but is never a component's id; a pair exactly at the bound links; an empty
 table gives an empty result.  Extra columns are ignored.  Sets and classes are
 told apart by 64-bit hashes.
 """
@@ -44,9 +46,11 @@ from .graph import components, local_labels
 WORDS = 5
 PERCENT = 80
 #: Classes in a block, and incidence entries in a block at most (one set may exceed it alone).
-BLOCK, BLOCK_ENTRIES = 8192, 1_500_000
-#: Incidence columns, and documents on either side, of one dense product; pairs that are looked up one by one instead.
-COLUMNS, TILE, PAIRS = 4096, 512, 4_000_000
+BLOCK, BLOCK_ENTRIES = 2048, 1_500_000
+#: Ratio of one step of set size to the next: no set links with one two steps away.
+STEP = 1.25
+#: Incidence columns, and documents on either side, of one product; links that are gathered before a forest stands for them.
+COLUMNS, TILE, GATHER = 2048, 512, 1_000_000
 #: Entries that a task gathers before it settles them.
 FLUSH = 1_000_000
 #: Percent of a set that must be matched among its first hashes.
@@ -111,13 +115,13 @@ def _settle(h: np.ndarray, c: np.ndarray):
     return h[~many], c[~many], h[start[count > 1]], cls, n
 
 
-KIND = "kind int, key long, class long, v long, packed binary"
+KIND = "kind int, key long, class long, v long, t long, packed binary"
 
 
-def _rows(kind: int, key, cls, v, packed: list | None = None) -> pa.RecordBatch:
+def _rows(kind: int, key, cls, v, packed: list | None = None, t=0) -> pa.RecordBatch:
     n = len(key)
     full = lambda x: x if isinstance(x, pa.Array) else pa.array(np.broadcast_to(np.asarray(x, dtype=np.int64), n))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), full(key), full(cls), full(v), pa.array(packed or [None] * n, pa.binary())], names=["kind", "key", "class", "v", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), full(key), full(cls), full(v), full(t), pa.array(packed or [None] * n, pa.binary())], names=["kind", "key", "class", "v", "t", "packed"])
 
 
 def _counted(cls: np.ndarray, n: np.ndarray, parts: int):
@@ -172,7 +176,7 @@ def _emit(batches, parts: int):
                 if held >= FLUSH:
                     yield from _settled(hs, cs, parts)
                     hs, cs, held = [], [], 0
-        yield _rows(DOCUMENT, pa.array(ids, pa.int64()), np.array(cls, np.int64), np.array(size, np.int64))
+        yield _rows(DOCUMENT, pa.array(ids, pa.int64()), np.array(cls, np.int64), np.array(size, np.int64), t=b.column(2))
     yield from _settled(hs, cs, parts)
 
 
@@ -344,11 +348,7 @@ def block_links(cls: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tu
     if not len(col):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     _, col = np.unique(col, return_inverse=True)
-    i, j = _candidates(doc, col, side, size)
-    if i is None:
-        i, j = _tiles(doc, col, np.flatnonzero((side != 1) & able), np.flatnonzero((side != 0) & able), size)
-    else:
-        i, j = _verified(doc, col, i, j, size)
+    i, j = _product(doc, col, np.flatnonzero((side != 1) & able), np.flatnonzero((side != 0) & able), size)
     apart = i != j
     if not apart.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -361,88 +361,69 @@ def _links(overlap, a, b):
     return (100 * overlap >= PERCENT * (a + b - overlap)) & (overlap >= need(np.maximum(a, b)))
 
 
-def _candidates(doc, col, side, size):
-    """Pairs with a common column among the rarest ones of both, as many as the size bound asks for; None if too many."""
-    rare = np.bincount(col)
-    order = np.lexsort((col, rare[col], doc))
-    doc, col = doc[order], col[order]
-    start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    count = np.diff(np.r_[start, len(doc)])
-    n = size[doc[start]]
-    # columns that only one side holds are rarer still and count among the first
-    first = n - need(n) + 1 - (n - count)
-    keep = np.arange(len(doc)) - np.repeat(start, count) < np.repeat(first, count)
-    doc, col = doc[keep], col[keep]
-    order = np.argsort(col, kind="stable")
-    doc, col = doc[order], col[order]
-    on = side[doc]
-    l, lc, r, rc = doc[on != 1], col[on != 1], doc[on != 0], col[on != 0]
-    lo, hi = np.searchsorted(rc, lc), np.searchsorted(rc, lc, side="right")
-    many = hi - lo
-    if many.sum() > PAIRS:
-        return None, None
-    i = np.repeat(l, many)
-    j = r[np.repeat(lo - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())]
-    if (side == 2).any():
-        i, j = np.minimum(i, j), np.maximum(i, j)
-    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-    fit = (i != j) & (low >= need(high))
-    pair = np.unique(i[fit] * np.int64(len(side)) + j[fit])
-    return pair // len(side), pair % len(side)
-
-
-def _verified(doc, col, i, j, size):
-    """Of candidate pairs in order of i, those that link: overlaps counted column by column."""
-    order = np.argsort(doc, kind="stable")
-    col, edge = col[order], np.searchsorted(doc[order], np.arange(len(size) + 1))
-    mark = np.zeros(int(col.max()) + 1 if len(col) else 1, dtype=bool)
-    good = np.zeros(len(i), dtype=bool)
-    cut = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True]) if len(i) else np.zeros(1, np.int64)
-    for a, b in zip(cut[:-1], cut[1:]):
-        mine = col[edge[i[a]] : edge[i[a] + 1]]
-        mark[mine] = True
-        for k in range(a, b):
-            overlap = int(np.count_nonzero(mark[col[edge[j[k]] : edge[j[k] + 1]]]))
-            good[k] = _links(overlap, size[i[k]], size[j[k]])
-        mark[mine] = False
-    return i[good], j[good]
-
-
-def _tiles(doc, col, left, right, size):
-    """All linked pairs by dense products of tiles: documents by columns, overlaps added up from one range of columns to the next."""
-    order = np.argsort(doc, kind="stable")
-    doc, col = doc[order], col[order]
-    edge = np.searchsorted(doc, np.arange(len(size) + 1))
-    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+class _Incidence:
+    """Rows (documents) of a block's incidence matrix, by document, each with its columns in order."""
+
+    def __init__(self, doc: np.ndarray, col: np.ndarray, n: int):
+        order = np.lexsort((col, doc))
+        self.doc, self.col = doc[order], col[order]
+        self.edge = np.searchsorted(self.doc, np.arange(n + 1))
+
+    def entries(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among `which`, column) of their entries."""
+        n = self.edge[which + 1] - self.edge[which]
+        at = np.repeat(self.edge[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.arange(len(which)), n), self.col[at]
+
+
+def _dense(row: np.ndarray, place: np.ndarray, rows: int, first: int, last: int) -> np.ndarray:
+    """A range of columns as a matrix of 0 and 1."""
+    m = np.zeros((rows, last - first), dtype=np.float32)
+    on = (place >= first) & (place < last)
+    m[row[on], place[on] - first] = 1
+    return m
+
 
-    def matrix(which, columns, first):
-        m = np.zeros((len(which), COLUMNS), dtype=np.float32)
-        for k, d in enumerate(which):
-            own = col[edge[d] : edge[d + 1]]
-            pos = np.searchsorted(columns, own)
-            ok = pos < len(columns)
-            ok[ok] = columns[pos[ok]] == own[ok]
-            pos = pos[ok]
-            pos = pos[(pos >= first) & (pos < first + COLUMNS)] - first
-            m[k, pos] = 1
-        return m
+def _tile(x: tuple, y: tuple, nx: int, ny: int, least: np.ndarray) -> np.ndarray:
+    """Overlaps of two tiles' documents, given by their entries: products of one range of common columns after the other added up.
 
+    It ends early where no pair can reach its least overlap any more.
+    """
+    common = np.intersect1d(x[1], y[1])
+    place = lambda c: np.searchsorted(common, c)
+    keep = [np.isin(t[1], common) for t in (x, y)]
+    (ri, ci), (rj, cj) = ((t[0][k], place(t[1][k])) for t, k in zip((x, y), keep))
+    left_i, left_j = np.bincount(ri, minlength=nx).astype(np.float32), np.bincount(rj, minlength=ny).astype(np.float32)
+    overlap = np.zeros((nx, ny), dtype=np.float32)
+    for first in range(0, len(common), COLUMNS):
+        if not (overlap + np.minimum(left_i[:, None], left_j[None, :]) >= least).any():
+            break
+        a, b = (_dense(r, c, n, first, min(first + COLUMNS, len(common))) for r, c, n in ((ri, ci, nx), (rj, cj, ny)))
+        overlap += a @ b.T
+        left_i -= a.sum(1)
+        left_j -= b.sum(1)
+    return overlap
+
+
+def _product(doc, col, left, right, size):
+    """All linked pairs of documents `left` and `right`: the blocked product of their incidence, tile by tile of like sizes."""
+    rows = _Incidence(doc, col, len(size))
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     left, right = left[np.argsort(size[left], kind="stable")], right[np.argsort(size[right], kind="stable")]
-    for a in range(0, len(left), TILE):
-        x = left[a : a + TILE]
-        cx = np.unique(np.concatenate([col[edge[d] : edge[d + 1]] for d in x]))
-        for b in range(0, len(right), TILE):
-            y = right[b : b + TILE]
+    tiles = [right[k : k + TILE] for k in range(0, len(right), TILE)]
+    held = [rows.entries(t) for t in tiles]
+    same = np.array_equal(left, right)  # a block with itself: each pair of tiles once
+    for number, k in enumerate(range(0, len(left), TILE)):
+        x = left[k : k + TILE]
+        own = rows.entries(x)
+        for y, other in list(zip(tiles, held))[number if same else 0 :]:
             if size[y[0]] * PERCENT > 100 * size[x[-1]] or size[x[0]] * PERCENT > 100 * size[y[-1]]:
                 continue
-            columns = np.intersect1d(cx, np.unique(np.concatenate([col[edge[d] : edge[d + 1]] for d in y])))
-            overlap = np.zeros((len(x), len(y)), dtype=np.float32)
-            for first in range(0, len(columns), COLUMNS):
-                overlap += matrix(x, columns, first) @ matrix(y, columns, first).T
-            i, j = np.nonzero(_links(overlap, size[x][:, None], size[y][None, :]))
-            # a spanning forest of the tile stands for its links
+            a, b = size[x][:, None], size[y][None, :]
+            overlap = _tile(own, other, len(x), len(y), need(np.maximum(a, b)))
+            i, j = np.nonzero(_links(overlap, a, b))
             found_i.append(x[i]), found_j.append(y[j])
-            if sum(map(len, found_i)) > PAIRS:
+            if sum(map(len, found_i)) > GATHER:  # a spanning forest stands for the links so far
                 n, lab = local_labels(np.concatenate(found_i), np.concatenate(found_j))
                 found_i, found_j = [n], [lab]
     return np.concatenate(found_i), np.concatenate(found_j)
@@ -476,10 +457,13 @@ def _multiply(tasks: DataFrame, sets: DataFrame, n: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """members(grp, class, n) with their block within the group, by size."""
-    w = Window.partitionBy("grp").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, -1)
-    m = members.withColumns({"before": F.count("*").over(w), "weight": F.coalesce(F.sum("n").over(w), F.lit(0))})
-    return m.withColumn("block", F.greatest(F.floor(F.col("before") / BLOCK), F.floor(F.col("weight") / BLOCK_ENTRIES)).cast("int")).drop("before", "weight")
+    """members(grp, class, n) with their block within the group: blocks follow steps of size, and within a step a hash of the class."""
+    m = members.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(STEP)))).cast("int"))
+    step = m.groupBy("grp", "step").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ENTRIES)).cast("int").alias("parts"))
+    earlier = Window.partitionBy("grp").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    step = step.withColumn("first", F.coalesce(F.sum("parts").over(earlier), F.lit(0)))
+    at = F.pmod(F.xxhash64("class", F.lit(5)), F.col("parts"))
+    return m.join(step, ["grp", "step"]).withColumn("block", (F.col("first") + at).cast("int")).select(*members.columns, "block")
 
 
 def _task_rows(pairs: DataFrame, blocks_i: DataFrame, blocks_j: DataFrame) -> DataFrame:
@@ -504,13 +488,17 @@ def link_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class, label): each row's class and the label of its class's component."""
     spark = docs.sparkSession
     n = partitions(spark)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("t"))
     found = stored(text.mapInArrow(lambda b: _emit(b, n), KIND).repartition(n, "key").mapInArrow(lambda b: _match(b, n), KIND), "match")
-    docs_t = found.filter(F.col("kind") == DOCUMENT).select(F.col("key").alias("doc_id"), "class", F.col("v").alias("n"))
-    classes = docs_t.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    alive = stored(_matched(found, classes).select("class", "doc_id"), "alive")
-    right = alive.select(F.col("doc_id").alias("rep"), "class").hint("shuffle_hash")
-    reps = text.join(right, text["doc_id"].eqNullSafe(right["rep"])).select("class", "text")
+    docs_t = found.filter(F.col("kind") == DOCUMENT).select(F.col("key").alias("doc_id"), "class", F.col("v").alias("n"), "t")
+    # one document stands for a class: known by doc_id and text, as several rows may share either
+    each = docs_t.filter("n > 0").groupBy("class", "doc_id", "t").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    classes = each.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "t", "rows")).alias("rep"), F.max("n").alias("n"))
+    alive = stored(_matched(found, classes).select("class", F.col("rep.doc_id").alias("rep"), F.col("rep.t").alias("rep_t"), F.col("rep.rows").alias("rows")), "alive")
+    right = alive.hint("shuffle_hash")
+    reps = text.join(right, text["doc_id"].eqNullSafe(right["rep"]) & (text["t"] == right["rep_t"])).select("class", "text", "rows")
+    once = reps.filter("rows = 1").select("class", "text")
+    reps = once.union(reps.filter("rows > 1").select("class", "text").dropDuplicates(["class"])) if alive.filter("rows > 1").limit(1).count() else once
     sets = stored(reps.mapInArrow(_sets, "class long, n long, hashes binary"), "sets")
     # in how many sets each hash is: asked for by chunks of sets, answered by parts of the hashes
     chunks = sets.select(F.pmod("class", F.lit(n)).cast("int").alias("chunk"), "class", "hashes")
