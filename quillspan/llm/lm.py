@@ -1,28 +1,26 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Counts of words, pairs and triples of all training documents are gathered by
-hash shards; each shard becomes a trie of Elias-Fano levels with a byte for each
-pair and triple, one row of a table in the shared folder.  Scoring sends, for each
-chunk of documents, its distinct words, pairs and triples to their shards, where the
-shard's levels are memory-mapped from a temporary file and searched; the answers
-return to the chunk, which sums up its documents.
+Documents are gathered in chunks.  Each chunk sends its distinct words, pairs and triples, with their counts among
+training documents, to hash shards: one shuffle.  A shard adds the counts up, makes a trie of Elias-Fano levels with a byte
+for each pair and triple, maps it into memory from a temporary file, and looks up what its chunks have sent by
+successor search within each context; each distinct word, pair and triple is looked up once.  The answers return to the chunk,
+which sums up its documents: the second shuffle.
 
 The model interpolates:  p(w | h) = ((c(h w) - D)+ + r(h) * (c(w) + 1) / (N + V + 1)) / (m(h) + r(h)),
 with m(h) the discounted counts of the pairs seen after h, and r(h) = max(c(h) - m(h), D) what is left for all others;
 and in the same way  p(w | g h) = ((c(g h w) - D)+ + r(g h) * p(w | h)) / (m(g h) + r(g h)),  where the pair g h was seen,
-p(w | h) where it wasn't.  All pairs and triples seen are kept.  Word counts are exact, pair and triple counts
-quantised.  Words are told apart by 64-bit hashes, successors within a context
+p(w | h) where it wasn't.  All pairs and triples seen are kept.  Word counts are exact; a byte holds the quantised count of a pair or triple,
+from which the discounted one and the context's mass follow (contexts of frequent words lie in several shards, so a probability
+is whole only where their masses meet, in the chunk).  Words are told apart by 64-bit hashes, successors within a context
 by 32 bits.  A document begins after the end token of the one before; its first
 word has no other context, so that no triple reaches across documents.
 
-`score` has order 2 unless asked for 3; op7_lm asks for 3.
-
 Pairs of very frequent first words (found on a bounded sample; only the
 distribution of work depends on it) are spread over several shards.  Triples lie
 with their first two words.
 
-Edge cases: null and empty texts are one end token; repeated rows count and are
-scored each; a null doc_id counts as training fold by the empty text's
+Edge cases: null and empty texts are one end token; very long texts are read whole and may make a chunk alone; repeated rows count and are
+scored each, ties in score stay ties; a null doc_id counts as training fold by the empty text's
 checksum; with nothing in the training fold N and V are 0; an empty table gives
 an empty result.  Extra columns are ignored.
 """
@@ -35,19 +33,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import pick, partitions, remainder, stored, table, texts_of
+from .common import partitions, pick, remainder, stored, table, texts_of
 from .eliasfano import CODES, FINGER, Trie
 
 MODULUS, HELD = 7, 2
 DISCOUNT, LEAST = 0.75, 1
 #: Tokens of a chunk; with the number of shards they set the size of what is sent from chunk to shard.
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 500_000
+#: Pairs and triples that are looked up at once.
+AT_ONCE = 250_000
 END = b" "  # no word holds a space
 HOT_SAMPLE, HOT_BYTES, HOT_SHARE, HOT_WAYS, STRIDE = 2000, 16_000_000, 0.002, 128, 7919
 U64 = np.uint64
@@ -88,11 +87,11 @@ class Chunk:
 
 
 def _pairs(words, home, is_hot, seq, shards):
-    """Distinct pairs of local numbers by (shard, first, second), their counts, and for each token its pair.
+    """Distinct pairs of local numbers by (shard, first, second), and for each token its pair.
 
     A pair lies in the shard of its first word; those of a frequent word are spread by the shard of the second.
     """
-    code, at, count = np.unique(seq[:-1] * words + seq[1:], return_inverse=True, return_counts=True)
+    code, at = np.unique(seq[:-1] * words + seq[1:], return_inverse=True)
     first, second = code // words, code % words
     shard = home[first]
     hot = is_hot[first]
@@ -100,16 +99,16 @@ def _pairs(words, home, is_hot, seq, shards):
     order = np.argsort(shard, kind="stable")
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.arange(len(order))
-    return first[order], second[order], shard[order], count[order], place[at]
+    return first[order], second[order], shard[order], place[at]
 
 
-def _triples(words, seq, place, pairs, order):
-    """Distinct triples of local numbers by pair and third word: how many each pair has, their third words and counts,
+def _triples(words, seq, place, pairs):
+    """Distinct triples of local numbers by pair and third word: how many each pair has, their third words,
     the tokens that end a triple of one document, and for each of these its triple."""
     # the chunk begins with an end token
-    inside = np.flatnonzero(seq[1:-1] != seq[0]) if order > 2 else np.zeros(0, np.int64)
-    code, at, count = np.unique(place[inside] * words + seq[inside + 2], return_inverse=True, return_counts=True)
-    return np.bincount(code // words, minlength=pairs), code % words, count, inside + 1, at
+    inside = np.flatnonzero(seq[1:-1] != seq[0])
+    code, at = np.unique(place[inside] * words + seq[inside + 2], return_inverse=True)
+    return np.bincount(code // words, minlength=pairs), code % words, inside + 1, at
 
 
 def _under(at, n):
@@ -156,45 +155,58 @@ def _finger(h: np.ndarray) -> np.ndarray:
     return h >> U64(64 - FINGER)
 
 
-def _chunks(batches, keep=lambda held: True):
+def _chunks(batches):
     chunk = Chunk()
     for b in batches:
         for i, held, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            if keep(held):
-                chunk.add(i, held, t.as_py())
-                if chunk.size >= CHUNK_TOKENS:
-                    yield chunk
-                    chunk = Chunk()
+            chunk.add(i, held, t.as_py())
+            if chunk.size >= CHUNK_TOKENS:
+                yield chunk
+                chunk = Chunk()
     if chunk.docs:
         yield chunk
 
 
-COUNTS = "shard int, words binary, counts binary, n_succ binary, fingers binary, pair_counts binary, n_third binary, thirds binary, third_counts binary"
+BLOBS = ("words", "counts", "n_succ", "fingers", "pair_counts", "n_third", "thirds", "third_counts")
+#: What a chunk sends to a shard; where `asks` is false, the chunk itself, in the first three columns.
+SENT = "chunk string, shard int, asks boolean, " + ", ".join(f"{c} binary" for c in BLOBS)
+
 
+def _sent(chunk: str, shard: int, asks: bool, *blobs: bytes) -> pa.RecordBatch:
+    blobs = (*blobs, *[b""] * (len(BLOBS) - len(blobs)))
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([shard], pa.int32()), pa.array([asks]), *(pa.array([x], pa.binary()) for x in blobs)], names=["chunk", "shard", "asks", *BLOBS])
 
-def _counting(shards: int, hot: frozenset, order: int):
+
+def _sending(shards: int, hot: frozenset):
     def run(batches):
-        for chunk in _chunks(batches, lambda held: not held):
+        part = TaskContext.get().partitionId()
+        for number, chunk in enumerate(_chunks(batches)):
+            name = f"{part}-{number}"
+            size = np.array([n for _, _, n in chunk.docs], dtype=np.int64)
+            held = np.array([x for _, x, _ in chunk.docs])
+            learnt = np.repeat(~held, size).astype(np.float64)  # for each token, whether it is learnt from
             h, home, is_hot, seq = chunk.close(shards, hot)
-            first, second, shard, count, place = _pairs(len(h), home, is_hot, seq, shards)
-            n3, third, count3, _, _ = _triples(len(h), seq, place, len(first), order)
+            first, second, shard, place = _pairs(len(h), home, is_hot, seq, shards)
+            n3, third, ends, at3 = _triples(len(h), seq, place, len(first))
+            times = lambda at, of, n: np.bincount(at, weights=of, minlength=n).astype(np.uint32)
+            n, count, count3 = times(seq[1:], learnt, len(h)), times(place, learnt, len(first)), times(at3, learnt[ends], len(third))
             finger, finger3 = _finger(h[second]), _finger(h[third])
-            n = np.bincount(seq[1:], minlength=len(h))
             for s, keys, k, at in _keys(home, is_hot, first, shard, shards):
                 mine = np.where(home[keys] == s, n[keys], 0)
-                at3 = _under(at, n3)
-                raw = (h[keys].tobytes(), *(x.astype(np.uint32).tobytes() for x in (mine, k)), _packed(finger[at], FINGER_BYTES), *(x.astype(np.uint32).tobytes() for x in (count[at], n3[at])), _packed(finger3[at3], FINGER_BYTES), count3[at3].astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32())] + [pa.array([x], pa.binary()) for x in raw],
-                    names=["shard", "words", "counts", "n_succ", "fingers", "pair_counts", "n_third", "thirds", "third_counts"],
-                )
+                at_3 = _under(at, n3)
+                whole = lambda v: v.astype(np.uint32).tobytes()
+                yield _sent(name, s, True, h[keys].tobytes(), whole(mine), whole(k), _packed(finger[at], FINGER_BYTES), whole(count[at]), whole(n3[at]), _packed(finger3[at_3], FINGER_BYTES), whole(count3[at_3]))
+            # the chunk itself: its documents, and what the order of keys and pairs follows from
+            ids = np.array([0 if i is None else i for i, _, _ in chunk.docs], dtype=np.int64)
+            null = np.array([i is None for i, _, _ in chunk.docs])
+            meta = np.int64(len(ids)).tobytes() + ids.tobytes() + size.tobytes() + null.tobytes() + held.tobytes()
+            plan = np.r_[len(h), np.bincount(home, minlength=shards), np.flatnonzero(is_hot)].astype(np.int32).tobytes()
+            width = 3 if len(h) < 1 << 24 else 4
+            yield _sent(name, number % shards, False, meta, plan, bytes([width]) + zstandard.ZstdCompressor(level=3).compress(_packed(seq, width)))
 
     return run
 
 
-TRIE = "shard int, n_tokens long, n_types long, levels binary"
-
-
 def _merged(key: np.ndarray, count: np.ndarray):
     """Distinct keys in order, their counts summed up, and the rank of each key given."""
     order = np.argsort(key, kind="stable")
@@ -205,80 +217,92 @@ def _merged(key: np.ndarray, count: np.ndarray):
     return key[start], np.add.reduceat(count, start) if len(start) else count, rank
 
 
-def _build(group: pa.Table) -> pa.Table:
-    """One shard's trie from the counts of all chunks."""
-    col = lambda k, t: [np.frombuffer(x.as_py(), dtype=t) for x in group.column(k)]
-    shard = group.column("shard")[0].as_py()
-    words, counts, n_succ = col("words", U64), col("counts", np.uint32), col("n_succ", np.uint32)
-    hashes = lambda k: np.concatenate([_unpacked(x.as_py(), FINGER_BYTES) for x in group.column(k)])
-    numbers = lambda k: np.concatenate(col(k, np.uint32)).astype(np.int64)
-    key, at = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
-    owner = np.repeat(at, np.concatenate(n_succ))
-    join = lambda owner, f: (owner.astype(U64) << U64(FINGER)) | f
-    parted = lambda x, n: (np.bincount((x >> U64(FINGER)).astype(np.int64), minlength=n), x & U64((1 << FINGER) - 1))
-    pair, c, rank = _merged(join(owner, hashes("fingers")), numbers("pair_counts"))
-    triple, c3, _ = _merged(join(np.repeat(rank, numbers("n_third")), hashes("thirds")), numbers("third_counts"))
-    levels = Trie.build(key, total, *parted(pair, len(key)), c, *parted(triple, len(pair)), c3, LEAST)
-    return pa.table({"shard": pa.array([shard], pa.int32()), "n_tokens": pa.array([int(total.sum())], pa.int64()), "n_types": pa.array([int((total > 0).sum())], pa.int64()), "levels": pa.array([levels], pa.binary())})
-
+class Shard:
+    """What all chunks have sent to one shard, added up: its trie, and where each chunk's words, pairs and triples are."""
+
+    def __init__(self, asked: pa.Table):
+        col = lambda k, t: [np.frombuffer(x.as_py(), dtype=t) for x in asked.column(k)]
+        words, self.n_succ = col("words", U64), col("n_succ", np.uint32)
+        joined = lambda parts, t: np.concatenate([np.zeros(0, t), *parts])
+        hashes = lambda k: joined([_unpacked(x.as_py(), FINGER_BYTES) for x in asked.column(k)], U64)
+        numbers = lambda k: joined(col(k, np.uint32), np.uint32).astype(np.int64)
+        self.sizes = [(len(w), len(a) // FINGER_BYTES, len(b) // FINGER_BYTES) for w, a, b in zip(words, (x.as_py() for x in asked.column("fingers")), (x.as_py() for x in asked.column("thirds")))]
+        self.words, self.at = np.unique(joined(words, U64), return_inverse=True)
+        self.total = np.bincount(self.at, weights=numbers("counts"), minlength=len(self.words)).astype(np.int64)
+        key = lambda owner, f: (owner.astype(U64) << U64(FINGER)) | f
+        owner = np.repeat(self.at, joined(self.n_succ, np.uint32))
+        self.pair, self.pair_count, self.at2 = _merged(key(owner, hashes("fingers")), numbers("pair_counts"))
+        self.triple, self.triple_count, self.at3 = _merged(key(np.repeat(self.at2, numbers("n_third")), hashes("thirds")), numbers("third_counts"))
+
+    @staticmethod
+    def _parted(key: np.ndarray, n: int):
+        return np.bincount((key >> U64(FINGER)).astype(np.int64), minlength=n), key & U64((1 << FINGER) - 1)
+
+    def levels(self) -> bytes:
+        return Trie.build(self.words, self.total, *self._parted(self.pair, len(self.words)), self.pair_count, *self._parted(self.triple, len(self.pair)), self.triple_count, LEAST)
+
+    def found(self, trie: Trie):
+        """For each distinct word its count and its pairs' mass, for each pair its byte and its triples' mass, for each triple its byte."""
+        n2, f2 = self._parted(self.pair, len(self.words))
+        n3, f3 = self._parted(self.triple, len(self.pair))
+        edge2, edge3 = np.r_[0, np.cumsum(n2)], np.r_[0, np.cumsum(n3)]
+        weight = np.cumsum(1 + n2 + np.add.reduceat(np.r_[n3, 0], np.minimum(edge2[:-1], len(n3))) * (n2 > 0)) if len(n2) else np.zeros(0)
+        out = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.uint8)], [np.zeros(0)], [np.zeros(0, np.uint8)]]
+        lo = 0
+        while lo < len(self.words):
+            hi = max(lo + 1, int(np.searchsorted(weight, (weight[lo - 1] if lo else 0) + AT_ONCE)))
+            a, b = edge2[lo], edge2[hi]
+            for to, x in zip(out, trie.query(self.words[lo:hi], n2[lo:hi], f2[a:b], n3[a:b], f3[edge3[a] : edge3[b]], DISCOUNT)):
+                to.append(x)
+            lo = hi
+        return [np.concatenate(x) for x in out]
+
+
+def _mapped(levels: bytes, use):
+    """What `use` makes of a trie whose levels are mapped from a temporary file; the file goes when the answer is there."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "levels")
+        with open(path, "wb") as f:
+            f.write(levels)
+        trie = Trie(np.memmap(path, dtype=np.uint8, mode="r"))
+        out = use(trie)
+        del trie
+    return out
 
-REQUEST = "chunk string, shard int, asks boolean, a binary, b binary, c binary, d binary, e binary"
 
+ANSWER = "chunk string, shard int, asks boolean, a binary, b binary, c binary, d binary, e binary, n_tokens long, n_types long"
 
-def _row(chunk, shard, asks, *blobs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([shard], pa.int32()), pa.array([asks]), *(pa.array([x], pa.binary()) for x in blobs)], names=["chunk", "shard", "asks", *"abcde"])
 
+def _answered(group: pa.Table) -> pa.Table:
+    """Each chunk's answers from one shard, the chunks themselves, and a row without a chunk that holds the shard's totals."""
+    asked = group.filter(group.column("asks"))
+    own = [(c, s, False, a, b, d, b"", b"", 0, 0) for c, s, asks, a, b, d in zip(*(group.column(k).to_pylist() for k in ("chunk", "shard", "asks")), *([x.as_py() if not q else None for x, q in zip(group.column(k), group.column("asks").to_pylist())] for k in BLOBS[:3])) if not asks]
+    shard = Shard(asked)
+    count, mass, code, mass2, code3 = _mapped(shard.levels(), shard.found)
+    number = group.column("shard")[0].as_py()
+    rows, i, j, k = own, 0, 0, 0
+    for chunk, (n1, n2, n3) in zip(asked.column("chunk").to_pylist(), shard.sizes):
+        w, p, t = shard.at[i : i + n1], shard.at2[j : j + n2], shard.at3[k : k + n3]
+        rows.append((chunk, number, True, count[w].tobytes(), mass[w].astype(np.float32).tobytes(), code[p].tobytes(), mass2[p].astype(np.float32).tobytes(), code3[t].tobytes(), 0, 0))
+        i, j, k = i + n1, j + n2, k + n3
+    rows.append((None, number, False, b"", b"", b"", b"", b"", int(shard.total.sum()), int((shard.total > 0).sum())))
+    kinds = (pa.string(), pa.int32(), pa.bool_(), *[pa.binary()] * 5, pa.int64(), pa.int64())
+    return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(ANSWER.split(", "), zip(*rows), kinds)})
 
-def _asking(shards: int, hot: frozenset, order: int):
-    def run(batches):
-        part = TaskContext.get().partitionId()
-        for number, chunk in enumerate(_chunks(batches)):
-            name = f"{part}-{number}"
-            h, home, is_hot, seq = chunk.close(shards, hot)
-            first, second, shard, _, place = _pairs(len(h), home, is_hot, seq, shards)
-            n3, third, _, _, _ = _triples(len(h), seq, place, len(first), order)
-            finger, finger3 = _finger(h[second]), _finger(h[third])
-            for s, keys, k, at in _keys(home, is_hot, first, shard, shards):
-                yield _row(name, s, True, h[keys].tobytes(), k.astype(np.uint32).tobytes(), _packed(finger[at], FINGER_BYTES), n3[at].astype(np.uint32).tobytes(), _packed(finger3[_under(at, n3)], FINGER_BYTES))
-            # the chunk itself: its documents, and what the order of keys and pairs follows from
-            ids = np.array([0 if i is None else i for i, _, _ in chunk.docs], dtype=np.int64)
-            null = np.array([i is None for i, _, _ in chunk.docs])
-            held = np.array([x for _, x, _ in chunk.docs])
-            size = np.array([n for _, _, n in chunk.docs], dtype=np.int64)
-            meta = np.int64(len(ids)).tobytes() + ids.tobytes() + size.tobytes() + null.tobytes() + held.tobytes()
-            plan = np.r_[len(h), np.bincount(home, minlength=shards), np.flatnonzero(is_hot)].astype(np.int32).tobytes()
-            width = 3 if len(h) < 1 << 24 else 4
-            yield _row(name, number % shards, False, meta, plan, bytes([width]) + zstandard.ZstdCompressor(level=3).compress(_packed(seq, width)), b"", b"")
 
-    return run
+TRIE = "shard int, n_tokens long, n_types long, levels binary"
 
 
-def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Answers of one shard: its levels are mapped from a temporary file, which goes when the answers are there."""
-    if not right.num_rows or not left.num_rows:  # nothing known here
-        return left.filter(pc.invert(left.column("asks")))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "levels")
-        with open(path, "wb") as f:
-            f.write(right.column("levels")[0].as_buffer())
-        trie = Trie(np.memmap(path, dtype=np.uint8, mode="r"))
-        out = []
-        for asks, *blobs in zip(left.column("asks").to_pylist(), *(left.column(k) for k in "abcde")):
-            blobs = [x.as_py() for x in blobs]
-            if asks:
-                words, n2, n3 = (np.frombuffer(blobs[k], dtype=t) for k, t in ((0, U64), (1, np.uint32), (3, np.uint32)))
-                counts, mass, codes, mass3, codes3 = trie.query(words, n2, _unpacked(blobs[2], FINGER_BYTES), n3, _unpacked(blobs[4], FINGER_BYTES), DISCOUNT)
-                blobs = [x.tobytes() for x in (counts, mass.astype(np.float32), codes, mass3.astype(np.float32), codes3)]
-            out.append(blobs)
-        del trie
-    return pa.table({**{k: left.column(k) for k in ("chunk", "shard", "asks")}, **{k: pa.array(v, pa.binary()) for k, v in zip("abcde", zip(*out))}})
+def _built(group: pa.Table) -> pa.Table:
+    """One shard's trie from the counts of all chunks."""
+    shard = Shard(group.filter(group.column("asks")))
+    return pa.table({"shard": pa.array([group.column("shard")[0].as_py()], pa.int32()), "n_tokens": pa.array([int(shard.total.sum())], pa.int64()), "n_types": pa.array([int((shard.total > 0).sum())], pa.int64()), "levels": pa.array([shard.levels()], pa.binary())})
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _summing(shards: int, total: int, types: int, order: int):
+def _summing(shards: int, total: int, types: int):
     def run(group: pa.Table) -> pa.Table:
         answers = {}
         for asks, s, a, b, c, d, e in zip(group.column("asks").to_pylist(), group.column("shard").to_pylist(), *(group.column(k) for k in "abcde")):
@@ -293,20 +317,19 @@ def _summing(shards: int, total: int, types: int, order: int):
         words, home = int(plan[0]), np.repeat(np.arange(shards), plan[1 : shards + 1])
         is_hot = np.zeros(words, dtype=bool)
         is_hot[plan[shards + 1 :]] = True
-        first, second, shard, _, place = _pairs(words, home, is_hot, seq, shards)
-        n3, third, _, ends, at3 = _triples(words, seq, place, len(first), order)
+        first, second, shard, place = _pairs(words, home, is_hot, seq, shards)
+        n3, third, ends, at3 = _triples(words, seq, place, len(first))
         count, mass, kept = np.zeros(words), np.zeros(words), np.zeros(len(first))
         count2, mass2, kept3 = np.zeros(len(first)), np.zeros(len(first)), np.zeros(len(third))
         left = lambda codes: np.where(codes > 0, np.maximum(CODES[codes] - DISCOUNT, 0), 0)
         for s, keys, _, at in _keys(home, is_hot, first, shard, shards):
-            if s in answers:
-                c, m, codes, m2, codes3 = answers[s]
-                np.add.at(count, keys, np.where(home[keys] == s, c, 0))
-                np.add.at(mass, keys, m)
-                kept[at], count2[at], mass2[at] = left(codes), CODES[codes], m2
-                kept3[_under(at, n3)] = left(codes3)
+            c, m, codes, m2, codes3 = answers[s]
+            np.add.at(count, keys, np.where(home[keys] == s, c, 0))
+            np.add.at(mass, keys, m)
+            kept[at], count2[at], mass2[at] = left(codes), CODES[codes], m2
+            kept3[_under(at, n3)] = left(codes3)
         base = (count + 1) / (total + types + 1)
-        # quantised mass may reach the count: what is left over for unkept pairs is then one discount
+        # quantised mass may reach the count: what is left over for other words is then one discount
         rest = np.maximum(count[first] - mass[first], DISCOUNT)
         p = np.where(count[first] > 0, (kept + rest * base[second]) / (mass[first] + rest), base[second])
         p = p[place]
@@ -335,22 +358,27 @@ def _frequent(docs: DataFrame) -> frozenset:
     return frozenset(xxhash.xxh3_64_intdigest(w) for w, k in c.items() if k >= HOT_SHARE * n)
 
 
-def train(docs: DataFrame, shards: int, hot: frozenset, order: int = 2) -> DataFrame:
+def _ready(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), MODULUS) == HELD).alias("held_out"), F.col("text").cast("string").alias("text"))
+
+
+def _shards(docs: DataFrame) -> int:
+    return 2 * partitions(docs.sparkSession)
+
+
+def train(docs: DataFrame) -> DataFrame:
     """The model as a table: a row (shard, n_tokens, n_types, levels) for each shard."""
-    return stored(docs.mapInArrow(_counting(shards, hot, order), COUNTS).groupBy("shard").applyInArrow(_build, TRIE), "trie")
+    return stored(_ready(docs).mapInArrow(_sending(_shards(docs), _frequent(docs.select("doc_id", "text"))), SENT).groupBy("shard").applyInArrow(_built, TRIE), "trie")
 
 
-def score(docs: DataFrame, order: int = 2) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
-    shards = 2 * partitions(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), MODULUS) == HELD).alias("held_out"), F.col("text").cast("string").alias("text"))
-    hot = _frequent(docs.select("doc_id", "text"))
-    trie = train(d, shards, hot, order)
-    sums = trie.agg(F.sum("n_tokens").alias("n"), F.sum("n_types").alias("v")).first()
-    asked = d.mapInArrow(_asking(shards, hot, order), REQUEST)
-    answered = asked.groupBy("shard").cogroup(trie.select("shard", "levels").groupBy("shard")).applyInArrow(_answer, REQUEST)
-    return answered.groupBy("chunk").applyInArrow(_summing(shards, int(sums.n or 0), int(sums.v or 0), order), SCORES)
+    shards = _shards(docs)
+    sent = _ready(docs).mapInArrow(_sending(shards, _frequent(docs.select("doc_id", "text"))), SENT)
+    answered = stored(sent.groupBy("shard").applyInArrow(_answered, ANSWER), "answers")
+    sums = answered.filter("chunk is null").agg(F.sum("n_tokens").alias("n"), F.sum("n_types").alias("v")).first()
+    return answered.filter("chunk is not null").drop("n_tokens", "n_types").groupBy("chunk").applyInArrow(_summing(shards, int(sums.n or 0), int(sums.v or 0)), SCORES)
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), order=3)
+    return score(table(spark, sf_dir, "documents"))

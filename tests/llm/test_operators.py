@@ -74,8 +74,8 @@ def test_jaccard_join(spark, corpus, monkeypatch):
     want = expected()
     df = frame(spark, corpus).repartition(3)
     assert collected(J.near_groups(df)) == want
-    # small blocks, tiles and flushes: links across blocks, dense products and strays come into play
-    for name, value in (("BLOCK", 3), ("PAIRS", 0), ("TILE", 2), ("COLUMNS", 16), ("FLUSH", 50)):
+    # small blocks, tiles and flushes: links across blocks, products in ranges of columns and strays come into play
+    for name, value in (("BLOCK", 3), ("GATHER", 5), ("TILE", 2), ("COLUMNS", 16), ("FLUSH", 50)):
         monkeypatch.setattr(J, name, value)
     assert collected(J.near_groups(df)) == want
     assert J.near_groups(df.limit(0)).count() == 0
@@ -150,33 +150,9 @@ def test_elias_fano():
         assert (s.get(np.arange(len(v))) == v).all() and (s.successor(q) == np.searchsorted(v, q)).all()
 
 
-def test_language_model(spark, corpus, monkeypatch):
-    monkeypatch.setattr(lm, "CHUNK_TOKENS", 1500)
-    got = lm.score(frame(spark, corpus)).collect()
-    text = [(i, lm.tokens(t) + [lm.END]) for i, t, _ in corpus]
-    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    c = Counter(w for i, t in text if not fold(i) for w in t)
-    pairs = Counter(p for i, t in text if not fold(i) for p in zip([lm.END, *t], t))
-    kept = {p: max(float(E.CODES[E.quantised(np.array([k]))[0]]) - lm.DISCOUNT, 0) for p, k in pairs.items() if k >= lm.LEAST}
-    mass, n, v = Counter(), sum(c.values()), len(c)
-    for (h, _), k in kept.items():
-        mass[h] += k
-    want = []
-    for i, t in text:
-        base = score = 0.0
-        for h, w in zip([lm.END, *t], t):
-            u = (c[w] + 1) / (n + v + 1)
-            rest = max(c[h] - mass[h], lm.DISCOUNT)
-            base += math.log10(u)
-            score += math.log10((kept.get((h, w), 0) + rest * u) / (mass[h] + rest) if c[h] else u)
-        want.append((i, fold(i), len(t), sum(c[w] > 0 for w in t), n, round(base, 6), round(score, 6)))
-    assert sorted(repr((*tuple(r)[:5], round(r.base_score, 6), round(r.score, 6))) for r in got) == sorted(map(repr, want))
-    assert lm.score(frame(spark, corpus).limit(0)).count() == 0
-
-
 def test_language_model_of_order_three(spark, corpus, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK_TOKENS", 1500)
-    got = lm.score(frame(spark, corpus), order=3).collect()
+    got = lm.score(frame(spark, corpus)).collect()
     text = [(i, lm.tokens(t) + [lm.END]) for i, t, _ in corpus]
     fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
     as_kept = lambda k: float(E.CODES[E.quantised(np.array([k]))[0]])
@@ -200,9 +176,13 @@ def test_language_model_of_order_three(spark, corpus, monkeypatch):
     want = []
     for i, t in text:
         tokens = [p((lm.END,), t[0])] + [p(x, w) for x, w in zip(zip([lm.END, *t], t), t[1:])]
-        want.append((i, len(t), round(sum(math.log10(x) for x in tokens), 5)))
-    assert sorted(repr((r.doc_id, r.n_tokens, round(r.score, 5))) for r in got) == sorted(map(repr, want))
-    assert lm.score(frame(spark, corpus).limit(0), order=3).count() == 0
+        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
+        want.append((i, fold(i), len(t), sum(one[w] > 0 for w in t), n, round(base, 5), round(sum(math.log10(x) for x in tokens), 5)))
+    assert sorted(repr((*tuple(r)[:5], round(r.base_score, 5), round(r.score, 5))) for r in got) == sorted(map(repr, want))
+    monkeypatch.setattr(lm, "AT_ONCE", 40)
+    assert collected(lm.score(frame(spark, corpus)).select("doc_id", F.round("score", 5))) == sorted(repr((x[0], x[-1])) for x in want)
+    assert lm.train(frame(spark, corpus)).agg(F.sum("n_tokens"), F.sum("n_types")).first()[:] == (n, v)
+    assert lm.score(frame(spark, corpus).limit(0)).count() == 0
 
 
 def test_op7_scores_passages_seen_once(spark, tmp_path):
