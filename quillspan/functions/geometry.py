@@ -9,6 +9,7 @@ MAX_PIXELS, MAX_SIDE = 16_000_000, 9999
 IMAGE_SIDE, IMAGE_PIXELS = 10_000, 50_000_000
 SOURCE_BODY, PICTURE_DPI, ENLARGE_CAP, LEAST_FRAME, FULL_HEIGHT = 10.5, 150.0, 2.2, 0.35, 0.86
 PRESETS = {"Comfortable": (18.0, 1.4), "Large": (20.0, 1.5), "Extra Large": (24.0, 1.5), "Very Large": (28.0, 1.55)}
+CROP_MARGIN, LEAST_CROP, GRID = 4.0, 8, 8.0
 BODY_RANGE, SPACING_RANGE = (12.0, 72.0), (1.0, 3.0)
 
 
@@ -65,6 +66,24 @@ def indent_level(x0: Column, base: Column, size: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(4), F.ceil((x0 - base) / F.greatest(F.lit(1.0), 1.4 * size) - 0.35))).cast("int")
 
 
+def crop_box(b: Column, page_height: Column, scale: Column, width: Column, height: Column) -> Column:
+    """struct(left, top, right, bottom) in pixels of the lines behind a doubtful block (y up) with a margin, cut to the picture; null where too little is left."""
+    whole = lambda v: v.cast("int")
+    left, top = F.greatest(F.lit(0), whole((b["x0"] - CROP_MARGIN) * scale)), F.greatest(F.lit(0), whole((page_height - b["y1"] - CROP_MARGIN) * scale))
+    right, bottom = F.least(width, whole((b["x1"] + CROP_MARGIN) * scale)), F.least(height, whole((page_height - b["y0"] + CROP_MARGIN) * scale))
+    return F.when((right - left >= LEAST_CROP) & (bottom - top >= LEAST_CROP), F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
+
+
+def upright(b: Column, width: Column, height: Column, quarter: Column) -> Column:
+    """A box in document points (y up) as it lies on its page (y down) after clockwise quarter turns, on a grid of eighths of a point."""
+    grid = lambda v: F.bround(v * GRID) / GRID
+    x, y = lambda k: b[f"x{k}"], lambda k: b[f"y{k}"]
+    turn = lambda none, once, twice, thrice: F.when(quarter == 1, once).when(quarter == 2, twice).when(quarter == 3, thrice).otherwise(none)
+    ends = lambda k: (grid(turn(x(k), y(k), width - x(k), height - y(k))), grid(turn(height - y(k), x(k), y(k), width - x(k))))
+    (ax, ay), (bx, by) = ends(0), ends(1)
+    return F.struct(F.least(ax, bx).alias("x0"), F.least(ay, by).alias("y0"), F.greatest(ax, bx).alias("x1"), F.greatest(ay, by).alias("y1"))
+
+
 def figure_dpi(pixel_width: Column, points: Column) -> Column:
     return F.least(F.lit(300.0), F.greatest(F.lit(150.0), pixel_width / (points / 72)))
 

@@ -22,6 +22,7 @@ CAPTION = r"(?i)^(figure|fig\.|table|chart|diagram|map|plate|photo)\s*[\dIVXivx]
 DOCX_CAPTION = r"(?i)^(figure|table|جدول|شكل)\s*[:\d]"
 OPEN_ENDING = r"[\w,;\-\[\(–]$"
 BLANK = "______"
+JOB_ID = r"\A[A-Za-z0-9][A-Za-z0-9_-]{0,127}\z"
 MAX_PRINTED = 8
 REPLACEMENT = r"\x{FFFD}\x{25A0}\x{25AE}\x{25AF}\x{25FD}\x{25FE}"
 UI_TYPES = {
@@ -217,6 +218,10 @@ def log_text(message: Column) -> Column:
     return F.when(F.length(message) > 500, F.concat(F.substring(message, 1, 200), F.lit("..."))).otherwise(message)
 
 
+def is_job_id(c: Column) -> Column:
+    return F.coalesce(c.rlike(JOB_ID), F.lit(False))
+
+
 def apply_edit(edit: Column, block_type: Column, text: Column) -> Column:
     """The edited text where there is one; edits to pictures, tables and markers or beyond a million characters fail."""
     bad = edit.isNotNull() & (block_type.isin("image", "table", "page_marker") | (F.length(edit) > 1_000_000))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import arrow, text as X
+from ..functions import arrow, tables as T, text as X
+
+
+MOST_WORDS = 1_000_000
 
 
 def cer(ref: Column, hyp: Column) -> Column:
@@ -15,18 +18,19 @@ def cer(ref: Column, hyp: Column) -> Column:
 
 
 def _letters(words: Column, known: Column) -> Column:
-    """A character for each word: its place among the known words, off the surrogate range."""
-    point = lambda w: F.array_position(known, w).cast("int") + 0x4DFF
+    """A character for each word: its place among the known words as a code point, with the surrogates left out."""
+    place = lambda w: F.array_position(known, w).cast("int")
+    point = lambda w: place(w) + F.when(place(w) < 0xD700, 0xFF).otherwise(0x900)
     return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(point(w)), 8, "0")), "UTF-32")), "")
 
 
 def wer(ref: Column, hyp: Column) -> Column:
-    """Word error rate by the built-in edit distance over strings with a character a word (35 000 distinct ones at most)."""
+    """Word error rate by the built-in edit distance over strings with a character a word; more distinct words than characters fail."""
     words = lambda c: F.filter(F.split(c, f"{X.SPACE}+"), lambda w: w != "")
     r, h = words(ref), words(hyp)
     known = F.array_distinct(F.concat(r, h))
-    fits = F.size(known) <= 35_000
-    d = F.when(fits, F.levenshtein(_letters(r, known), _letters(h, known)) / F.size(r)).otherwise(wer_python(ref, hyp))
+    fits = F.size(known) <= MOST_WORDS
+    d = F.when(fits, F.levenshtein(_letters(r, known), _letters(h, known)) / F.size(r)).otherwise(F.raise_error(F.lit("too many distinct words")).cast("double"))
     return F.when((F.size(r) == 0) & (F.size(h) == 0), 0.0).when(F.size(r) == 0, 1.0).otherwise(d)
 
 
@@ -50,11 +54,6 @@ def lcs(a, b) -> int:
     return row[-1]
 
 
-@arrow("double")
-def wer_python(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(r.split(), h.split()) / len(r.split()) if r and r.split() else 1.0 for r, h in zip(ref, hyp)])
-
-
 @arrow("double")
 def order_accuracy(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Longest common subsequence over the longer of the two."""
@@ -156,6 +155,30 @@ def report_line(row: list[Column]) -> Column:
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("N/A")) for c in row]), F.lit(" |"))
 
 
+def benchmark_table(results: DataFrame, columns: list[tuple[str, str, int | None]], order: str) -> DataFrame:
+    """One row with the Markdown table of all results.  columns: (heading, column, decimals or none); what is null reads N/A."""
+    shown = lambda c, n: F.col(c) if n is None else F.when(F.col(c).isNotNull(), F.format_string(f"%.{n}f", F.bround(c, n)))
+    cells = [shown(c, n) for _, c, n in columns]
+    rows = results.select(order, report_line(cells).alias("line"))
+    head = report_line([F.lit(h) for h, _, _ in columns])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"])
+    return rows.agg(lines.alias("lines")).select(F.array_join(F.concat(F.array(head, F.lit("|" + "---|" * len(columns))), "lines"), "\n").alias("markdown"))
+
+
+def table_accuracy(reference: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, score): tables of both by their place k; what is missing scores 0, and so does every table too many."""
+    r, f = reference.select("doc_id", "k", F.col("rows").alias("_r")), found.select("doc_id", "k", F.col("rows").alias("_f"))
+    both = r.join(f, ["doc_id", "k"], "full_outer")
+    score = F.when(F.col("_r").isNotNull() & F.col("_f").isNotNull(), T.structure_score(F.col("_r"), F.col("_f"))).otherwise(0.0)
+    return both.groupBy("doc_id").agg((F.sum(score) / F.greatest(F.count("_r"), F.count("_f"))).alias("score"))
+
+
+def pixel_digest(width: Column, height: Column, pixels: Column) -> Column:
+    """Digest of a picture's size and pixels, three bytes each."""
+    head = F.concat(F.lit("RGB:"), width.cast("string"), F.lit("x"), height.cast("string"), F.lit(":"))
+    return F.sha2(F.concat(head.cast("binary"), pixels), 256)
+
+
 def block_confidence(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys).agg(F.least(F.avg("confidence"), F.min("confidence") + 0.2).alias("confidence"))
 

@@ -54,6 +54,18 @@ def retried(blocks: DataFrame) -> DataFrame:
         F.array_join(F.filter(ordered("text"), lambda t: F.coalesce(t, F.lit("")) != ""), "\n\n").alias("text"))
 
 
+def page_of(blocks: DataFrame, pages: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and pages of the pages (doc_id, page_number) that were read again."""
+    b = blocks.join(wanted.select("doc_id", F.col("page_number").alias("source_page")), ["doc_id", "source_page"], "left_semi")
+    return b, pages.join(wanted, ["doc_id", "page_number"], "left_semi")
+
+
+def with_retried(blocks: DataFrame, again: DataFrame, wanted: DataFrame) -> DataFrame:
+    """blocks with those of the wanted pages exchanged for the second reading's; a page's blocks keep its place."""
+    first = blocks.join(wanted.select("doc_id", F.col("page_number").alias("source_page")), ["doc_id", "source_page"], "left_anti")
+    return first.select(*blocks.columns).unionByName(again.join(wanted.select("doc_id", F.col("page_number").alias("source_page")), ["doc_id", "source_page"], "left_semi").select(*blocks.columns))
+
+
 def with_edits(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     e = edits.select("doc_id", "id", F.col("text").alias("_edit"))
     return blocks.join(e, ["doc_id", "id"], "left").withColumn("text", X.apply_edit(F.col("_edit"), F.col("type"), F.col("text"))).select(*blocks.columns)

@@ -35,10 +35,10 @@ def _talk(spark, d):
 _TALK = "WITH b AS (SELECT conv_id, turn, conv_id || '_' || turn AS id, CASE WHEN role = 'system' THEN 'page_marker' ELSE 'paragraph' END AS type, text, turn + 1 AS page, 1 - turn / 10 AS confidence FROM conversations)"
 
 
-@query(_TALK + " SELECT p.conv_id, p.page, b.id AS block_id, coalesce(md5(b.text), 'none') AS digest, coalesce(b.confidence, 0.0) AS confidence FROM b p LEFT JOIN b ON p.conv_id = b.conv_id AND p.page = b.page AND b.type <> 'page_marker' AND b.text <> '' WHERE p.page % 2 = 0")
+@query(_TALK + " SELECT p.conv_id, p.page, b.id AS block_id, coalesce(md5(b.text), 'none') AS digest, coalesce(b.confidence, 0.0) AS confidence FROM b p LEFT JOIN b ON p.conv_id = b.conv_id AND p.page = b.page AND b.type <> 'page_marker' AND b.text <> ''")
 def flagged_blocks(spark, d):
     b = _talk(spark, d)
-    p = b.filter("source_page % 2 = 0").select("doc_id", F.col("source_page").alias("page_number"), F.lit("look").alias("reason"), F.lit(None).cast("string").alias("converted_text"), F.lit(0.0).alias("confidence"))
+    p = b.select("doc_id", F.col("source_page").alias("page_number"), F.lit("look").alias("reason"), F.lit(None).cast("string").alias("converted_text"), F.lit(0.0).alias("confidence"))
     f = V.flagged(p, b)
     return f.select(F.col("doc_id").alias("conv_id"), F.col("page_number").alias("page"), "block_id", F.coalesce(F.md5("converted_text"), F.lit("none")).alias("digest"), "confidence")
 
@@ -158,14 +158,15 @@ def picture_sizes(spark, d):
 PRESETS = ("name string, body double, spacing double", [("Large", None, None), ("Comfortable", None, None), ("Very Large", None, None), ("Custom", 30.0, None), ("Custom", None, 2.0)])
 
 
-@query(f"""WITH {values('v', *PRESETS)} SELECT name, CASE name WHEN 'Large' THEN 20.0 WHEN 'Comfortable' THEN 18.0 WHEN 'Very Large' THEN 28.0 ELSE coalesce(body, 20.0) END AS body_pt, CASE name WHEN 'Large' THEN 1.5 WHEN 'Comfortable' THEN 1.4 WHEN 'Very Large' THEN 1.55 ELSE coalesce(spacing, 1.5) END AS line_spacing FROM v""")
+@query(f"""WITH {values('v', *PRESETS)} SELECT v.name, CAST(coalesce(CASE WHEN v.name = 'Custom' THEN v.body END, p.pt) AS DOUBLE) AS body_pt, CAST(coalesce(CASE WHEN v.name = 'Custom' THEN v.spacing END, p.gap) AS DOUBLE) AS line_spacing
+FROM v JOIN (VALUES ('Comfortable', 18.0, 1.4), ('Large', 20.0, 1.5), ('Extra Large', 24.0, 1.5), ('Very Large', 28.0, 1.55)) AS p(name, pt, gap) ON p.name = CASE WHEN v.name = 'Custom' THEN 'Large' ELSE v.name END""")
 def export_presets(spark, d):
     p = frame(spark, *PRESETS)
     x = G.preset(F.col("name"), F.col("body"), F.col("spacing"))
     return p.select("name", x["body"].alias("body_pt"), x["spacing"].alias("line_spacing"))
 
 
-@query("SELECT doc_id, sha256(text) = sha256(text) AND doc_id % 3 <> 0 AS ready FROM documents")
+@query("SELECT doc_id, sha256(text) = sha256(CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE text END) AS ready FROM documents")
 def verified_assets(spark, d):
     x = t(spark, d, "documents")
     files = x.select(F.col("doc_id").alias("name"), F.col("text").cast("binary").alias("content"))
@@ -218,3 +219,65 @@ SELECT doc_id, CASE WHEN contains(lower(source || '_' || lang), 'arabic') THEN '
 """)
 def language_hint(spark, d):
     return t(spark, d, "documents").select("doc_id", P.language_hint(F.concat_ws("_", "source", "lang"), F.col("text")).alias("hint"))
+
+
+@query("""
+SELECT conv_id, turn, CASE WHEN turn = 1 THEN 'again: ' || text ELSE text END AS text FROM conversations
+""")
+def retry_page(spark, d):
+    """The second page of every conversation read again, and marked so, in place of the first reading."""
+    b = _talk(spark, d).select("doc_id", "ord", "id", "type", "text", "source_page")
+    pages = b.select("doc_id", F.col("source_page").alias("page_number")).distinct()
+    wanted = pages.filter("page_number = 2")
+    again, _ = V.page_of(b.withColumn("text", F.concat(F.lit("again: "), "text")), pages, wanted)
+    return V.with_retried(b, again, wanted).select(F.col("doc_id").alias("conv_id"), F.col("ord").alias("turn"), "text")
+
+
+@query("SELECT r_regionkey, (r_regionkey % 3) / 2.0 AS score FROM region")
+def table_accuracy(spark, d):
+    """Two reference tables a region, of which as many are found as its key's remainder of 3."""
+    n = t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.array(F.col("n_nationkey").cast("string"), "n_name"))).alias("rows"))
+    refs = n.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "rows")
+    return M.table_accuracy(refs, refs.filter(F.col("k") < F.col("doc_id") % 3)).select(F.col("doc_id").alias("r_regionkey"), "score")
+
+
+@query("SELECT p_partkey, sha256('RGB:' || p_size || 'x' || (p_size + 1) || ':' || p_name) AS digest FROM part")
+def pixel_digests(spark, d):
+    return t(spark, d, "part").select("p_partkey", M.pixel_digest(F.col("p_size"), F.col("p_size") + 1, F.col("p_name").cast("binary")).alias("digest"))
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey % 700 AS DOUBLE) AS y0, l_quantity AS w FROM lineitem),
+c AS (SELECT l_orderkey, l_linenumber, greatest(0, CAST(trunc((x0 - 4) * 2) AS INTEGER)) AS l, greatest(0, CAST(trunc((800 - y0 - 12 - 4) * 2) AS INTEGER)) AS t, least(900, CAST(trunc((x0 + w + 4) * 2) AS INTEGER)) AS r, least(1600, CAST(trunc((800 - y0 + 4) * 2) AS INTEGER)) AS b FROM b)
+SELECT l_orderkey, l_linenumber, l AS "left", t AS top, r AS "right", b AS bottom FROM c WHERE r - l >= 8 AND b - t >= 8
+""")
+def crop_boxes(spark, d):
+    """Crops of words on pictures of pages that are narrower than the pages."""
+    x0, y0 = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 700).cast("double")
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity")).alias("x1"), (y0 + 12).alias("y1")).alias("b"))
+    return x.select("l_orderkey", "l_linenumber", G.crop_box(F.col("b"), F.lit(800.0), F.lit(2.0), F.lit(900), F.lit(1600)).alias("c")).filter("c is not null").select("l_orderkey", "l_linenumber", "c.*")
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS q, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey % 700 AS DOUBLE) AS y0 FROM lineitem), p AS (SELECT *, x0 + 40 AS x1, y0 + 12.5 AS y1 FROM b)
+SELECT l_orderkey, l_linenumber, CASE q WHEN 1 THEN y0 WHEN 2 THEN 600 - x1 WHEN 3 THEN 800 - y1 ELSE x0 END AS x0, CASE q WHEN 1 THEN x0 WHEN 2 THEN y0 WHEN 3 THEN 600 - x1 ELSE 800 - y1 END AS y0,
+       CASE q WHEN 1 THEN y1 WHEN 2 THEN 600 - x0 WHEN 3 THEN 800 - y0 ELSE x1 END AS x1, CASE q WHEN 1 THEN x1 WHEN 2 THEN y1 WHEN 3 THEN 600 - x0 ELSE 800 - y0 END AS y1 FROM p
+""")
+def upright_boxes(spark, d):
+    """Words in document points as they lie on pages turned by quarters."""
+    x0, y0 = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 700).cast("double")
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 12.5).alias("y1")).alias("b"))
+    return x.select("l_orderkey", "l_linenumber", G.upright(F.col("b"), F.lit(600.0), F.lit(800.0), F.col("l_linenumber") % 4).alias("u")).select("l_orderkey", "l_linenumber", "u.*")
+
+
+@query("SELECT p_partkey, regexp_full_match(replace(p_name, ' ', '-'), '[A-Za-z0-9][A-Za-z0-9_-]{0,127}') AS plain, regexp_full_match(p_name || ' x', '[A-Za-z0-9][A-Za-z0-9_-]{0,127}') AS spaced FROM part")
+def job_ids(spark, d):
+    return t(spark, d, "part").select("p_partkey", X.is_job_id(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("plain"), X.is_job_id(F.concat("p_name", F.lit(" x"))).alias("spaced"))
+
+
+@query("""
+SELECT '| Case | Pages | CER | Speed |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || n_name || ' | ' || n_regionkey || ' | ' || CASE WHEN n_nationkey % 2 = 0 THEN printf('%.3f', n_nationkey / 40.0) ELSE 'N/A' END || ' | ' || printf('%.2f', n_nationkey / 8.0) || ' |', chr(10) ORDER BY n_name) AS markdown FROM nation
+""")
+def benchmark_table(spark, d):
+    n = t(spark, d, "nation").select(F.col("n_name").alias("case"), F.col("n_regionkey").alias("pages"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") / 40.0).alias("cer"), (F.col("n_nationkey") / 8.0).alias("speed"))
+    return M.benchmark_table(n, [("Case", "case", None), ("Pages", "pages", None), ("CER", "cer", 3), ("Speed", "speed", 2)], "case")

@@ -29,7 +29,7 @@ def _cell(v, head=False):
 
 def _grids(spark, d):
     """A table for each nation: its customers' keys, names and segments under a header."""
-    c = t(spark, d, "customer").join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     row = F.array(_cell(F.col("c_custkey")), _cell(F.col("c_name")), _cell(F.col("c_mktsegment")))
     g = c.groupBy("n_nationkey", "n_name").agg(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row")))).alias("x"))
     head = F.array(*[_cell(F.lit(h), True) for h in ("Key", "Name", "Segment")])

@@ -264,14 +264,15 @@ SELECT job_id FROM r WHERE k > 50 OR m < (SELECT max(ts) FROM events) - INTERVAL
 def prune_jobs(spark, d):
     e = t(spark, d, "events")
     j = e.groupBy(F.col("user_id").alias("job_id")).agg(F.max("ts").alias("modified"))
-    now = e.agg(F.max("ts")).first()[0]
-    return V.stale_assets(j, F.lit(now)).select("job_id")
+    now = e.agg(F.max("ts").alias("_now"))  # one row
+    return V.stale_assets(j.crossJoin(now), F.col("_now")).select("job_id")
 
 
 ERRORS = ("id int, kind string, message string", [(1, "ValueError", "bad"), (2, "SecurityError", "File exceeds maximum allowed size (9)"), (3, "FileNotFoundError", "x"), (4, "PermissionError", "x"), (5, "TimeoutError", "x"), (6, "RuntimeError", "x"), (7, "X", "File format not recognized.")])
 
 
-@query(f"""WITH {values('v', *ERRORS)} SELECT id, CASE id WHEN 1 THEN 'INVALID_INPUT' WHEN 2 THEN 'FILE_TOO_LARGE' WHEN 3 THEN 'FILE_NOT_FOUND' WHEN 4 THEN 'PERMISSION_DENIED' WHEN 5 THEN 'TIMEOUT' WHEN 7 THEN 'UNSUPPORTED_FORMAT' ELSE 'CONVERSION_ERROR' END AS code FROM v""")
+@query(f"""WITH {values('v', *ERRORS)} SELECT id, CASE WHEN contains(message, 'File format not recognized') THEN 'UNSUPPORTED_FORMAT' WHEN contains(message, 'exceeds maximum allowed size') THEN 'FILE_TOO_LARGE' WHEN contains(kind, 'FileNotFound') THEN 'FILE_NOT_FOUND' WHEN contains(kind, 'Permission') THEN 'PERMISSION_DENIED'
+WHEN contains(kind, 'Timeout') THEN 'TIMEOUT' WHEN kind IN ('ValueError', 'UnicodeDecodeError', 'UnicodeEncodeError', 'JSONDecodeError', 'ValidationError') THEN 'INVALID_INPUT' ELSE 'CONVERSION_ERROR' END AS code FROM v""")
 def error_codes(spark, d):
     return frame(spark, *ERRORS).select("id", X.error_code(F.col("kind"), F.col("message")).alias("code"))
 

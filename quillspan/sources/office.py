@@ -5,6 +5,7 @@ One row a file goes in (doc_id, content), blocks come out; the passes over them
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import re
@@ -15,13 +16,48 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
+from ..schema import names
+from .sniff import BOMB_BYTES, BOMB_RATIO, MAX_BYTES, safe_name
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 EMU = 12700.0
-RAW = "doc_id string, ord int, kind string, page int, style string, numbered boolean, rtl boolean, level int, text string, rows array<array<struct<text:string,row_span:int,col_span:int,is_header:boolean>>>"
+RAW = "doc_id string, ord int, kind string, page int, style string, numbered boolean, rtl boolean, level int, text string, rows array<array<struct<text:string,row_span:int,col_span:int,is_header:boolean>>>, asset string, digest string"
+
+
+def _opened(content: bytes) -> zipfile.ZipFile:
+    """The archive, if its members stay in their folder and don't unpack to far more than they should."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    size, packed = sum(m.file_size for m in z.infolist()), sum(m.compress_size for m in z.infolist())
+    if not all(safe_name(m.filename) for m in z.infolist()):
+        raise ValueError("a member leaves its folder")
+    if size > MAX_BYTES or (size > BOMB_BYTES and size > BOMB_RATIO * max(1, packed)):
+        raise ValueError("unpacks to too much")
+    return z
+
+
+def _xml(z: zipfile.ZipFile, part: str):
+    raw = z.read(part)
+    if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
+        raise ValueError(f"{part} declares a document type")
+    return ET.fromstring(raw)
+
+
+def _targets(z: zipfile.ZipFile, part: str) -> dict:
+    """The parts that a part's relations lead to."""
+    rels = posixpath.join(posixpath.dirname(part), "_rels", posixpath.basename(part) + ".rels")
+    if rels not in z.namelist():
+        return {}
+    where = lambda t: t[1:] if t.startswith("/") else posixpath.normpath(posixpath.join(posixpath.dirname(part), t))
+    return {r.get("Id"): where(r.get("Target") or "") for r in _xml(z, rels)}
+
+
+def _picture(z: zipfile.ZipFile, targets: dict, blip) -> tuple[str | None, str | None]:
+    """The member that holds a picture, and its digest."""
+    name = targets.get(blip.get(R + "embed"))
+    return (name, hashlib.sha256(z.read(name)).hexdigest()) if name in z.namelist() else (None, None)
 
 
 def _text(node, run: str, brk: dict) -> str:
@@ -34,15 +70,15 @@ def _word(p) -> str:
 
 def docx_rows(doc_id: str, content: bytes):
     """Body elements in order.  A paragraph with a page break comes after the new marker but keeps the old page."""
-    z = zipfile.ZipFile(io.BytesIO(content))
-    body = ET.fromstring(z.read("word/document.xml")).find(W + "body")
+    z = _opened(content)
+    body, parts = _xml(z, "word/document.xml").find(W + "body"), _targets(z, "word/document.xml")
     styles = {}
     if "word/styles.xml" in z.namelist():
-        for s in ET.fromstring(z.read("word/styles.xml")).iter(W + "style"):
+        for s in _xml(z, "word/styles.xml").iter(W + "style"):
             name = s.find(W + "name")
             styles[s.get(W + "styleId")] = name.get(W + "val") if name is not None else s.get(W + "styleId")
-    out, page = [(doc_id, 0, "marker", 1, None, None, None, None, None, None)], 1
-    add = lambda *v: out.append((doc_id, len(out), *v))
+    out, page = [(doc_id, 0, "marker", 1, *[None] * 8)], 1
+    add = lambda *v: out.append((doc_id, len(out), *v, *[None] * (10 - len(v))))
     for e in body if body is not None else ():
         if e.tag == W + "p":
             here = page
@@ -52,8 +88,8 @@ def docx_rows(doc_id: str, content: bytes):
             if breaks or (sect is not None and (kind is None or kind.get(W + "val") != "continuous")):
                 page += 1
                 add("marker", page, None, None, None, None, None, None)
-            for _ in e.iter(A + "blip"):
-                add("image", here, None, None, None, None, None, None)
+            for blip in e.iter(A + "blip"):
+                add("image", here, None, None, None, None, None, None, *_picture(z, parts, blip))
             ref = e.find(f"{W}pPr/{W}pStyle")
             text = _word(e)
             if text:
@@ -66,26 +102,29 @@ def docx_rows(doc_id: str, content: bytes):
                 rows.append([{"text": "\n".join(_word(p) for p in tc.findall(W + "p")).strip(), "row_span": 1, "col_span": 1, "is_header": head} for tc in tr.findall(W + "tc")])
             add("table", page, None, None, e.find(f"{W}tblPr/{W}bidiVisual") is not None, None, None, rows)
     if "word/footnotes.xml" in z.namelist():
-        for f in ET.fromstring(z.read("word/footnotes.xml")).findall(W + "footnote"):
-            said = " ".join(t.text or "" for t in f.iter(W + "t")).strip()
-            if f.get(W + "type") not in ("separator", "continuationSeparator", "continuationNotice") and said:
-                add("footnote", page, None, None, None, None, said, None)
+        try:
+            for f in _xml(z, "word/footnotes.xml").findall(W + "footnote"):
+                said = " ".join(t.text or "" for t in f.iter(W + "t")).strip()
+                if f.get(W + "type") not in ("separator", "continuationSeparator", "continuationNotice") and said:
+                    add("footnote", page, None, None, None, None, said, None)
+        except (ET.ParseError, ValueError) as e:
+            add("warning", page, None, None, None, None, f"The footnotes could not be read: {e}", None)
     return out
 
 
 def pptx_rows(doc_id: str, content: bytes):
     """Slides in order: marker, title, the other shapes by top and left, notes."""
-    z = zipfile.ZipFile(io.BytesIO(content))
-    targets = lambda part: {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read(part))} if part in z.namelist() else {}
-    rel = targets("ppt/_rels/presentation.xml.rels")
-    ids = [s.get(R + "id") for s in ET.fromstring(z.read("ppt/presentation.xml")).iter(P + "sldId")]
+    z = _opened(content)
+    rel = _targets(z, "ppt/presentation.xml")
+    ids = [s.get(R + "id") for s in _xml(z, "ppt/presentation.xml").iter(P + "sldId")]
     out: list[tuple] = []
-    add = lambda *v: out.append((doc_id, len(out), *v))
+    add = lambda *v: out.append((doc_id, len(out), *v, *[None] * (10 - len(v))))
     for page, rid in enumerate(ids, 1):
-        part = posixpath.normpath(posixpath.join("ppt", rel[rid])) if not rel[rid].startswith("/") else rel[rid][1:]
+        part = rel[rid]
+        parts = _targets(z, part)
         add("marker", page, None, None, None, None, None, None)
         shapes = []
-        for s in ET.fromstring(z.read(part)).iter():
+        for s in _xml(z, part).iter():
             if s.tag not in (P + "sp", P + "pic", P + "graphicFrame"):
                 continue
             ph, off = next(s.iter(P + "ph"), None), next(s.iter(A + "off"), None)
@@ -94,7 +133,8 @@ def pptx_rows(doc_id: str, content: bytes):
             shapes.append((not title, top, left, len(shapes), s))
         for other, _, _, _, s in sorted(shapes, key=lambda x: x[:4]):
             if s.tag == P + "pic":
-                add("image", page, None, None, None, None, None, None)
+                blip = next(s.iter(A + "blip"), None)
+                add("image", page, None, None, None, None, None, None, *(_picture(z, parts, blip) if blip is not None else (None, None)))
                 continue
             table = next(s.iter(A + "tbl"), None)
             if table is not None:
@@ -111,20 +151,26 @@ def pptx_rows(doc_id: str, content: bytes):
                 if t:
                     pr = p.find(A + "pPr")
                     add("slide_text", page, None, None, None, int(pr.get("lvl", 0)) if pr is not None else 0, t, None)
-        notes = next((t for t in targets(posixpath.join(posixpath.dirname(part), "_rels", posixpath.basename(part) + ".rels")).values() if "notesSlide" in t), None)
+        notes = next((t for t in parts.values() if "notesSlide" in t), None)
         if notes:
-            path = posixpath.normpath(posixpath.join(posixpath.dirname(part), notes))
-            said = "\n".join(t for t in (_text(p, A + "t", {}).strip() for p in ET.fromstring(z.read(path)).iter(A + "p")) if t and not re.fullmatch(r"\d+", t))
+            said = "\n".join(t for t in (_text(p, A + "t", {}).strip() for p in _xml(z, notes).iter(A + "p")) if t and not re.fullmatch(r"\d+", t))
             if said:
                 add("notes", page, None, None, None, None, f"[Speaker Notes] {said}", None)
     return out
 
 
 def _read(files: DataFrame, reader) -> DataFrame:
+    """Elements of all files; a file that can't be read is one row of kind `error` with the reason."""
+
+    def rows(doc_id, content):
+        try:
+            return reader(doc_id, bytes(content if content is not None else b""))
+        except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, NotImplementedError, RuntimeError) as e:
+            return [(doc_id, 0, "error", *[None] * 5, f"{type(e).__name__}: {e}", *[None] * 3)]
+
     def run(batches):
         for pdf in batches:
-            rows = [r for d, c in zip(pdf["doc_id"], pdf["content"]) for r in reader(d, bytes(c))]
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "kind", "page", "style", "numbered", "rtl", "level", "text", "rows"])
+            yield pd.DataFrame([r for d, c in zip(pdf["doc_id"], pdf["content"]) for r in rows(d, c)], columns=names(RAW))
 
     return files.select("doc_id", "content").mapInPandas(run, RAW)
 
@@ -137,6 +183,12 @@ def read_pptx(files: DataFrame) -> DataFrame:
     return _blocks(_read(files, pptx_rows))
 
 
+def unreadable(files: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, problem, fatal): files of a kind (docx, pptx) that can't be read, and parts that were left out."""
+    raw = _read(files, {"docx": docx_rows, "pptx": pptx_rows}[kind])
+    return raw.filter(F.col("kind").isin("error", "warning")).select("doc_id", F.col("text").alias("problem"), (F.col("kind") == "error").alias("fatal"))
+
+
 def _blocks(raw: DataFrame) -> DataFrame:
     """Raw elements as blocks: type, level and text by style; language and direction by script or mark-up."""
     d, p = X.docx_block(F.col("style"), F.col("text"), F.col("numbered")), X.pptx_block(F.col("level"), F.col("text"))
@@ -144,13 +196,13 @@ def _blocks(raw: DataFrame) -> DataFrame:
     spoken = F.coalesce(F.col("text"), F.array_join(F.transform(F.flatten("rows"), lambda c: c["text"]), " "))
     counts = X.script_counts(spoken)
     marked = F.coalesce("rtl", F.lit(False)) | ((kind == "table") & F.exists(F.flatten("rows"), lambda c: X.direction(X.script_counts(c["text"])) == "rtl"))
-    return raw.select(
+    return raw.filter(~kind.isin("error", "warning")).select(
         "doc_id", "ord",
         F.when(kind == "paragraph", d["type"]).when(kind == "slide_text", p["type"]).when(kind == "title", "heading").when(kind == "notes", "aside").when(kind == "marker", "page_marker").otherwise(kind).alias("type"),
         F.when(kind == "paragraph", d["text"]).when(kind == "slide_text", p["text"]).otherwise(F.col("text")).alias("text"),
         F.when(kind == "paragraph", d["level"]).when(kind == "title", 1).cast("int").alias("level"),
         F.when(marked, "ar").otherwise(X.language(counts)).alias("language"), F.when(marked, "rtl").otherwise(X.direction(counts)).alias("text_direction"),
-        F.col("page").alias("source_page"), F.when(kind == "marker", F.col("page")).alias("page_marker"), "rows", (kind == "table").alias("has_header"))
+        F.col("page").alias("source_page"), F.when(kind == "marker", F.col("page")).alias("page_marker"), "rows", (kind == "table").alias("has_header"), "asset", "digest")
 
 
 def titles(blocks: DataFrame) -> DataFrame:

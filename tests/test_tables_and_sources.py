@@ -1,3 +1,4 @@
+import hashlib
 import io
 import zipfile
 
@@ -37,6 +38,14 @@ def test_table_views(spark):
     assert [(v.r, v.c, v.rs, v.cs) for v in spans.select(B.visible_cells(F.col("rows")).alias("v")).first().v] == [(0, 0, 1, 2), (0, 2, 1, 1), (1, 0, 1, 1), (1, 1, 1, 1), (1, 2, 1, 1)]
 
 
+def _packed(members):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for n, c in members.items():
+            z.writestr(n, c)
+    return buf.getvalue()
+
+
 def _zip(**members):
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
@@ -56,6 +65,14 @@ def test_sources(spark):
     assert {r.doc_id: r.k for r in df.select("doc_id", sniff.detect(F.col("content")).alias("k")).collect()} == {"a": "docx", "b": "pdf", "c": None, "e": None}
     b = O.read_docx(df.filter("doc_id = 'a'")).orderBy("ord").collect()
     assert [(x.type, x.text, x.source_page, x.level) for x in b] == [("page_marker", None, 1, None), ("heading", "Top", 1, 1), ("page_marker", None, 2, None), ("paragraph", "after break", 1, None), ("table", None, 2, None)]
+    assert O.unreadable(df.filter("doc_id <> 'b'"), "docx").filter("fatal").count() == 2 and O.read_docx(df).select("doc_id").distinct().count() == 1
+    rels = '<Relationships><Relationship Id="r1" Target="media/p.png"/></Relationships>'
+    shown = f'<w:document {W} xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><w:body><w:p><w:r><a:blip r:embed="r1"/></w:r></w:p></w:body></w:document>'
+    parts = {"word/document.xml": shown, "word/_rels/document.xml.rels": rels, "word/media/p.png": "pixels", "word/footnotes.xml": "<broken"}
+    more = {"p": parts, "q": {"word/document.xml": "<!DOCTYPE x>" + shown}, "r": {"word/document.xml": shown, "word/big.bin": "0" * 12_000_000}, "s": {"word/document.xml": shown, "../out": "1"}}
+    files = spark.createDataFrame([(k, bytearray(_packed(v))) for k, v in more.items()], "doc_id string, content binary")
+    assert [(x.type, x.asset, x.digest) for x in O.read_docx(files).filter("asset is not null").collect()] == [("image", "word/media/p.png", hashlib.sha256(b"pixels").hexdigest())]
+    assert {(x.doc_id, x.fatal) for x in O.unreadable(files, "docx").collect()} == {("p", False), ("q", True), ("r", True), ("s", True)}
     bad = spark.createDataFrame([("x", bytearray(_zip(**{"..__evil": "1", "ok": "2"})))], "path string, content binary")
     assert [r.name for r in sniff.unsafe_members(bad).collect()] == ["../evil"]
     assert H.blocks_of("<h2>T</h2><p>a<br>b<script>x()</script></p><ul><li>c</ul>") == [("heading", 2, "T"), ("paragraph", None, "a b"), ("list", None, "c")]
