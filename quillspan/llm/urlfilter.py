@@ -15,7 +15,7 @@ broadcast by hint.
 
 Edge cases: a null or unparsable URL has no host and is kept; a null fetch time
 matches no entry; entries with a null field are ignored; of an addition and a
-removal on one day the removal counts; repeated rows are judged each; empty
+removal on one day the removal counts; repeated rows are judged each; very long URLs count whole; empty
 lists keep everything.  Other columns are carried along; columns named host,
 blocked, matched_domain or verdict are replaced.
 """
@@ -64,7 +64,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     host = F.lower(F.regexp_extract(F.col(url), HOST, 1))
     c = c.withColumn("host", F.when(F.length(host) > 0, host))
     asked = c.select("host", F.col(fetched).cast("date").alias("day")).na.drop().distinct()
-    high = F.lit(asked.agg(F.max("day")).first()[0]).cast("date")  # intervals need no months beyond the last capture
+    high = F.lit(c.agg(F.max(F.col(fetched).cast("date"))).first()[0]).cast("date")  # intervals need no months beyond the last capture
     held = intervals(entries).filter(F.col("valid_from") <= high)
     months = F.sequence(F.trunc("valid_from", "month"), F.trunc(F.least(F.coalesce("valid_to", high), high), "month"), F.expr("interval 1 month"))
     held = held.withColumn("month", F.explode(months)).select("domain", "verdict", "valid_from", "valid_to", "month")

@@ -1,0 +1,263 @@
+"""Each opN query by its contract: on the smallest tables against SQL, and on odd rows, empty tables and clashing columns against brute force."""
+
+import hashlib
+import math
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from quillspan.llm import catalog
+from quillspan.llm.sharding import SLOTS, lookup_table, shard_names
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+COLUMNS = {
+    "op1_quality": "doc_id bigint, held_out boolean, score double, predicted int", "op2_sharding": "doc_id bigint, slot bigint, shard int", "op3_ngram_jaccard": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op4_urlfilter": "page_id bigint, host string, fetched string, matched_domain string, verdict string, blocked boolean",
+    "op5_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op6_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op7_lm": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double", "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op9_linededup": "doc_id bigint, n_lines bigint, n_dropped bigint, text string", "op10_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+}
+
+
+def rows_of():
+    """Odd rows: null, empty, white space, very long, ties, repeated rows, the same doc_id twice, null doc_ids, boilerplate, junk, insults."""
+    g = random.Random(11)
+    vocab = [f"{a}{b}" for a in "ka lo mi nu re sa ti vo".split() for b in "ber dal fen gor lim nas pol tur".split()]
+    say = lambda n: " ".join(g.choice(vocab) for _ in range(n))
+    line = "this line stands in many documents"
+    rows = [(k, f"{say(12)}\n{line}\n{say(g.randint(5, 60))}", f"s{k % 3}" if k % 4 else "hot") for k in range(90)]
+    rows += [(k, " ".join(x + g.choice(["$$$", "&&&"]) for x in say(40).split()), "s1") for k in range(100, 130)]
+    rows += [(k, say(40) + " " + " ".join(["grubsnout", "mudwhelp"] * 3) + " " + say(20), "s2") for k in range(130, 160)]
+    same = say(80)
+    rows += [(200, None, "s1"), (201, "", None), (202, " \n\t ", "s2"), (None, say(30), "s0"), (None, None, "s0"), (None, say(31), None), (203, same, "hot"), (203, same, "hot"), (203, say(9), "s0"), (204, same + " x", "s1"), (205, "one", "s1"), (206, "z" * 30_000, "s2"), (207, "\n".join(say(8) for _ in range(3000)), "s0")]
+    return rows
+
+
+ROWS = rows_of()
+ITEMS = [(1, " ".join((ROWS[0][1] or "").split()[3:20])), (2, "one"), (3, None), (7, "..."), (7, " ".join(ROWS[5][1].split()[-11:]).upper())]
+PAGES = [(1, "http://cheap-pills.example.com/" + "a" * 40_000), (2, "http://www.cheap-pills.example.com"), (160, "http://www.cheap-pills.example.com"), (3, None), (4, "nonsense"), (160, "http://www.cheap-pills.example.com")]
+
+
+def put(spark, path, rows=ROWS, items=ITEMS, pages=PAGES, labels=True):
+    """The tables, with extra columns whose names operators use themselves."""
+    clash = lambda df, *names: df.withColumns({n: F.lit("clash") for n in names})
+    docs = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash(docs, "held_out", "score", "kept", "class", "label", "line", "slot", "shard", "size", "target", "bucket", "t", "n", "key", "rows", "step").repartition(4).write.parquet(f"{path}/documents.parquet")
+    clash(spark.createDataFrame(items, "item_id long, text string"), "items", "n_hit").write.parquet(f"{path}/benchmark.parquet")
+    clash(spark.createDataFrame(pages, "page_id long, url string"), "html", "host", "verdict", "blocked").write.parquet(f"{path}/pages.parquet")
+    lab = [(i, int(not 100 <= i < 130), int(130 <= i < 160)) for i, _, _ in rows if i is not None and i < 200] + [(None, 1, 1), (1, None, None)] if labels else []
+    clash(spark.createDataFrame(lab, "doc_id long, quality int, toxic int"), "y", "source").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    return put(spark, tmp_path_factory.mktemp("odd"))
+
+
+@pytest.fixture(scope="module")
+def got(spark, folder):
+    made = {}
+
+    def of(name):
+        if name not in made:
+            df = catalog.QUERIES[name](spark, folder)
+            want = COLUMNS[name].split(", ")
+            assert [f"{c} {t}" for c, t in df.dtypes][: len(want)] == want
+            made[name] = df.collect()
+        return made[name]
+
+    return of
+
+
+def same(rows, want, names):
+    assert sorted(map(repr, (tuple(r[c] for c in names.split()) for r in rows))) == sorted(map(repr, want))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+def test_against_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = c.sql(catalog.ORACLE_SQL[name])
+    rows = catalog.QUERIES[name](spark, SF).collect()
+    at = sorted(want.columns)
+    assert rows and at == sorted(rows[0].asDict())
+    plain = lambda r: repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r))
+    assert sorted(plain(r[c] for c in at) for r in rows) == sorted(plain(r[want.columns.index(c)] for c in at) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_empty_tables(spark, tmp_path, name):
+    folder = put(spark, tmp_path, [], [], [], False)
+    assert catalog.QUERIES[name](spark, folder).collect() == []
+
+
+@pytest.mark.parametrize("name, modulus, held, marked", [("op1_quality", 4, 2, lambda i: not 100 <= i < 130), ("op8_toxicity", 3, 1, lambda i: 130 <= i < 160)])
+def test_classifiers(got, name, modulus, held, marked):
+    rows = got(name)
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % modulus == held
+    same(rows, [(i, fold(i)) for i, _, _ in ROWS], "doc_id held_out")
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    known = [r for r in rows if r.held_out and r.doc_id is not None and r.doc_id < 200]
+    assert sum(bool(r.predicted) == marked(r.doc_id) for r in known) >= 0.9 * len(known)
+    assert len({(r.score, r.predicted) for r in rows if r.doc_id in (200, 201, 202)}) == 1
+
+
+@pytest.mark.parametrize("name, value", [("op1_quality", 1), ("op8_toxicity", 0)])
+def test_classifiers_without_labels(spark, tmp_path, name, value):
+    rows = catalog.QUERIES[name](spark, put(spark, tmp_path, labels=False)).collect()
+    assert len(rows) == len(ROWS) and len({r.score for r in rows}) == 1
+
+
+def test_sharding(got):
+    owner = lookup_table(shard_names())
+    slot = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16) % SLOTS
+    same(got("op2_sharding"), [(i, slot(i), owner[slot(i)]) for i, _, _ in ROWS], "doc_id slot shard")
+
+
+def test_jaccard(got):
+    sets = []
+    for _, t, _ in ROWS:
+        w = WORD.findall((t or "").lower())
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                up[find(a)] = find(b)
+    least = {}
+    for k, (i, _, _) in enumerate(ROWS):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    same(got("op3_ngram_jaccard"), [(i, len(s), least.get(find(k)) if s else i) for k, ((i, _, _), s) in enumerate(zip(ROWS, sets))], "doc_id n_shingles component_id")
+
+
+def test_url_filter(got):
+    rows = {(r.page_id, r.host): (r.matched_domain, r.blocked) for r in got("op4_urlfilter")}
+    assert len(got("op4_urlfilter")) == len(PAGES)
+    assert rows[160, "www.cheap-pills.example.com"] == ("www.cheap-pills.example.com", False) and rows[2, "www.cheap-pills.example.com"] == (None, False) and rows[3, None] == rows[4, None] == (None, False)
+
+
+def brute_rules(t):
+    w = WORD.findall(t or "")
+    seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    again = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    old, dup = set(), 0
+    for x in (t or "").split("\n"):
+        if WORD.search(x):
+            dup += x in old
+            old.add(x)
+    return len(w), sum(map(len, w)), sum((t or "").count(s) for s in "#*$%&|<>"), dup, len(again), len(w) < 20 or 100 * len(again) > 30 * len(w)
+
+
+def test_rules(got):
+    rows = got("op5_rules")
+    same(rows, [(i, *brute_rules(t)) for i, t, _ in ROWS], "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed")
+    assert all(not r.kept for r in rows if r.base_failed)
+    judged = [r for r in rows if r.doc_id is not None and r.doc_id < 200 and not r.base_failed]
+    assert sum(r.kept == (not 100 <= r.doc_id < 130) for r in judged) >= 0.95 * len(judged) and not all(r.kept for r in judged)
+
+
+def test_rules_without_labels(spark, tmp_path):
+    rows = catalog.QUERIES["op5_rules"](spark, put(spark, tmp_path, labels=False)).collect()
+    assert all(r.kept != r.base_failed for r in rows)
+
+
+def test_decontamination(got):
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall((t or "").encode().lower())
+
+    def brute(text):
+        w, hit, found = split(text), set(), set()
+        for name, t in ITEMS:
+            v = split(t)
+            for k in range(max(1, len(v) - 9) if v else 0):
+                x = v[k : k + 10]
+                for a in range(len(w) - len(x) + 1):
+                    if w[a] == x[0] and w[a : a + len(x)] == x:
+                        hit.update(range(a, a + len(x))), found.add(str(name))
+        return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+    same(got("op6_decontamination"), [(i, *brute(t)) for i, t, _ in ROWS], "doc_id n_words n_hit n_items items_sha256 contaminated")
+
+
+def test_language_model(got):
+    fold = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    text = [(i, [*WORD.findall((t or "").lower()), " "]) for i, t, _ in ROWS]
+    c = Counter(w for i, t in text if not fold(i) for w in t)
+    n, v = sum(c.values()), len(c)
+    rows = got("op7_lm")
+    same(rows, [(i, fold(i), len(t), sum(c[w] > 0 for w in t), n) for i, t in text], "doc_id held_out n_tokens n_known train_tokens")
+    base = sorted(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t) for _, t in text)
+    assert sorted(r.base_score for r in rows) == pytest.approx(base) and all(r.score < 0 for r in rows)
+    assert sum(r.score for r in rows if not r.held_out) > sum(r.base_score for r in rows if not r.held_out)
+
+
+def test_line_dedup(got):
+    rows = got("op9_linededup")
+    line = "this line stands in many documents"
+    assert all(line not in (r.text or "") for r in rows) and len(rows) == len(ROWS)
+    want = [(i, 0 if t is None else t.count("\n") + 1) for i, t, _ in ROWS]
+    same(rows, want, "doc_id n_lines")
+    assert {r.n_dropped for r in rows if r.doc_id is not None and r.doc_id < 90} == {1} and {r.text for r in rows if r.doc_id in (201, 202)} == {"", " \n\t "}
+
+
+def test_mixing(got):
+    rows = got("op10_mixing")
+    size = lambda t: len(WORD.findall(t or ""))
+    by = Counter()
+    for _, t, s in ROWS:
+        by[s] += size(t)
+    weight = dict(zip(sorted(by, key=lambda s: (s is None, s or "")), [3, 1, 2] * 3))
+    budget, open_, target = 1.5 * sum(by.values()), set(by), {}
+    while open_:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > 2 * by[s]}
+        target |= {s: 2.0 * by[s] for s in full} if full else {s: weight[s] * level for s in open_}
+        open_ -= full or open_
+    same(rows, [(i, size(t), by[s]) for i, t, s in ROWS], "doc_id size source_size")
+    assert sorted(round(r.target, 6) for r in rows) == sorted(round(target[s], 6) for _, _, s in ROWS)
+    assert all(0 <= r.taken <= 2 * r.size and (not r.size or r.taken % r.size == 0) for r in rows)
+    taken = Counter()
+    for r in rows:
+        taken[round(r.target, 6)] += r.taken
+    largest = max(size(t) for _, t, _ in ROWS)
+    for s in by:
+        assert abs(taken[round(target[s], 6)] - target[s]) <= 2 * largest
+
+
+def test_ties_at_least_documents(spark, tmp_path):
+    """Exactly as many documents as a template needs, and one fewer."""
+    rows = [(k, f"own words number {chr(97 + k)}{chr(98 + k)}\nshared by just five documents" + ("\nshared by only four documents here" if k < 4 else ""), "s") for k in range(5)]
+    out = catalog.QUERIES["op9_linededup"](spark, put(spark, tmp_path, rows)).collect()
+    assert all("five" not in r.text for r in out) and sum("four" in r.text for r in out) == 4
+
+
+def test_many_lines_take_time_in_proportion(spark, tmp_path):
+    """Long documents of boilerplate: four times the lines, not sixteen times the time."""
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        body = "\n".join(f"a line that all the documents hold {chr(97 + k % 26)}{k} again" for k in range(n))
+        folder = put(spark, tmp_path / str(n), [(k, body + f"\n{chr(97 + k) * 4} {chr(98 + k) * 5} {chr(99 + k) * 6}", "s") for k in range(6)])
+        start = time.perf_counter()
+        assert {r.n_dropped for r in catalog.QUERIES["op9_linededup"](spark, folder).collect()} == {n}
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 5
