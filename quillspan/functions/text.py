@@ -39,20 +39,25 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, rf"{SPACE}+", " "))
 
 
+def _left(c: Column, without: str) -> Column:
+    """How many characters are left without runs of a class: one pass, and few matches where most characters go or stay together."""
+    return F.length(F.regexp_replace(c, f"[{without}]++", ""))
+
+
 def rtl_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[{RTL}]"))
+    return _left(c, f"^{RTL}")
 
 
 def ltr_count(c: Column) -> Column:
     """Letters that aren't in a right-to-left range."""
-    return F.regexp_count(F.regexp_replace(c, f"[{RTL}]", ""), F.lit(r"\p{L}"))
+    return _left(c, rf"\P{{L}}{RTL}")
 
 
 def script_counts(c: Column) -> Column:
     """struct(rtl, ltr, digit, other), each character counted once in that order."""
     t = F.coalesce(c, F.lit(""))
-    digit = F.regexp_count(F.regexp_replace(t, f"[{RTL}]", ""), F.lit(r"\p{Nd}"))
-    return F.struct(rtl_count(t).alias("rtl"), ltr_count(t).alias("ltr"), digit.alias("digit"), (F.length(t) - rtl_count(t) - ltr_count(t) - digit).alias("other"))
+    rtl, ltr, digit = rtl_count(t), ltr_count(t), _left(t, rf"\P{{Nd}}{RTL}")
+    return F.struct(rtl.alias("rtl"), ltr.alias("ltr"), digit.alias("digit"), (F.length(t) - rtl - ltr - digit).alias("other"))
 
 
 def _share(counts: Column) -> Column:

@@ -115,8 +115,10 @@ def classify(text: Column, raster: Column, objects: Column) -> Column:
     """
     t = F.coalesce(text, F.lit(""))
     n = F.length(t)
-    replaced = F.regexp_count(t, F.lit(rf"[{X.REPLACEMENT}\x{{E000}}-\x{{F8FF}}\x{{0}}-\x{{8}}\x{{B}}\x{{C}}\x{{E}}-\x{{1F}}]"))
-    hidden = F.regexp_count(t, F.lit(rf"[{X.REPLACEMENT}\x{{0}}-\x{{8}}\x{{B}}\x{{C}}\x{{E}}-\x{{1F}}\x{{7F}}-\x{{A0}}\x{{AD}}\p{{Cf}}\p{{Co}}\p{{Cn}}\p{{Zl}}\p{{Zp}}]|(?! )\p{{Zs}}"))
+    # counted by what is gone without them: a page that has none is gone through once, with no match
+    gone = lambda of: n - F.length(F.regexp_replace(t, f"[{of}]++", ""))
+    replaced = gone(rf"{X.REPLACEMENT}\x{{E000}}-\x{{F8FF}}\x{{0}}-\x{{8}}\x{{B}}\x{{C}}\x{{E}}-\x{{1F}}")
+    hidden = gone(rf"{X.REPLACEMENT}\x{{0}}-\x{{8}}\x{{B}}\x{{C}}\x{{E}}-\x{{1F}}\x{{7F}}-\x{{A0}}\x{{AD}}\p{{Cf}}\p{{Co}}\p{{Cn}}\p{{Zl}}\p{{Zp}}[\p{{Zs}}&&[^ ]]")
     broken = (n > 0) & (((n - hidden) / F.nullif(n, F.lit(0)) < BROKEN_PRINTABLE) | (replaced / F.nullif(n, F.lit(0)) > BROKEN_REPLACED))
     broken = F.coalesce(broken, F.lit(False))
     kind = F.when(broken, "broken_digital").when(X.strip(t) == "", "scanned").when(F.least(F.lit(1.0), raster) > RASTER_MIXED, "mixed").otherwise("native")
@@ -156,7 +158,9 @@ def settle_furniture(blocks: DataFrame, pages: DataFrame) -> tuple[DataFrame, Da
     """
     size = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
     b = blocks.join(size, "doc_id", "left").withColumn("key", F.when((F.col("role") == "running_text") & (F.col("text") != ""), X.furniture_key(F.col("text"))))
-    repeats = b.filter(F.col("key") != "").groupBy("doc_id", "key").agg(F.countDistinct("source_page").alias("repeats"))
+    pages_of = b.filter(F.col("key") != "").select("doc_id", "key", "source_page").distinct()
+    # only keys on enough pages matter below
+    repeats = pages_of.groupBy("doc_id", "key").agg(F.count("*").alias("repeats")).filter(F.col("repeats") >= min(FEW_REPEATS, MANY_REPEATS))
     b = b.join(repeats, ["doc_id", "key"], "left")
     limit = F.when(F.coalesce("n_pages", F.lit(0)) <= FEW_PAGES, FEW_REPEATS).otherwise(MANY_REPEATS)
     furniture = F.col("key").isNotNull() & ((F.col("key") == "") | (F.coalesce("repeats", F.lit(0)) >= limit))
