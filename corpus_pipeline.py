@@ -12,6 +12,12 @@ documents.
     cutting the spans out would leave the text around them without its middle.
 -   mixing: rows as often as the mix takes them, up to twice.
 -   sharding: adds slot and shard.
+
+Edge cases: null and empty texts aren't toxic, are near to nothing, hold no window and have size 0, so they stay, as often as
+documents of size 0 are taken; very long texts are worked on whole; rows that repeat in doc_id and text are one document in
+near_duplicates, but for rows without words, which all stay; without labels, or too few, nothing is toxic; an empty benchmark
+removes nothing; empty documents give no rows.  Columns of documents beyond the usual ones are carried along; slot and shard of
+the input are replaced, names that begin with an underscore are reserved.
 """
 
 from __future__ import annotations
