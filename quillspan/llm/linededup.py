@@ -119,7 +119,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     discard(held, *parts)
     # numbers of the lines to cut, by text and not by row: copies within a task are one before they are shuffled
     word, bit = _bit(F.col("_ld_line"))
-    spots = docs.select(_text_key().alias("_ld_k"), F.posexplode(F.transform(F.split("text", "\n"), _hash)).alias("_ld_at", "_ld_line"))
+    # the text's key is made beneath the explode: above it, it would be worked out for each line
+    spots = docs.select(_text_key().alias("_ld_k"), F.transform(F.split("text", "\n"), _hash).alias("_ld_all"))
+    spots = spots.select("_ld_k", F.posexplode("_ld_all").alias("_ld_at", "_ld_line"))
     spots = spots.withColumns({"w": word, "k": bit}).join(F.broadcast(_bits(drop, "_ld_line")), "w").filter(F.getbit("b", F.col("k")) == 1)
     spots = spots.select("_ld_k", "_ld_at", "_ld_line").distinct().join(drop, "_ld_line")
     cuts = stored(spots.groupBy("_ld_k").agg(F.collect_list(F.col("_ld_at") + 1).alias("_ld_cut")), "cuts")
@@ -127,13 +129,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     d = docs.withColumn("_ld_key", _text_key())
     # texts are dealt by their key at any size; of a text with many copies the rows may be dealt anew
     d = d.join(cuts.hint("merge"), d["_ld_key"] == cuts["_ld_k"], "left").drop("_ld_k", "_ld_key")
-    d = d.withColumn("_ld_said", F.when(F.col("text").isNotNull(), F.split("text", "\n")))
-    # numbers that stay, by a set difference, which takes time in proportion to the lines
-    d = d.withColumn("_ld_stay", F.when(F.col("_ld_cut").isNotNull(), F.array_except(F.sequence(F.lit(1), F.size("_ld_said")), F.col("_ld_cut"))))
-    text = F.when(F.col("_ld_cut").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_ld_stay", lambda i: F.get(F.col("_ld_said"), i - 1)), "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_ld_said"))
-    dropped = F.coalesce(F.size("_ld_said") - F.size("_ld_stay"), F.lit(0))
-    dropped = F.when(F.col("_ld_cut").isNull(), 0).otherwise(dropped)
+    # split once a row (as one element of an array, whose function gets it worked out); the lines that stay by a set difference of
+    # numbers, which takes time in proportion to them
+    def without(x: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(1), F.size(x["said"])), x["cut"])
+        return F.struct(F.array_join(F.transform(stay, lambda i: F.get(x["said"], i - 1)), "\n").alias("text"), F.size(x["said"]).alias("n"))
+
+    split = F.struct(F.split("text", "\n").alias("said"), F.col("_ld_cut").alias("cut"))
+    d = d.withColumn("_ld_done", F.when(F.col("_ld_cut").isNotNull(), F.get(F.transform(F.array(split), without), F.lit(0))))
+    whole = F.col("_ld_cut").isNull()
+    text = F.when(whole, F.col("text")).otherwise(F.col("_ld_done.text"))
+    n = F.when(F.col("text").isNull(), 0).when(whole, F.size(F.split("text", "\n"))).otherwise(F.col("_ld_done.n"))
+    dropped = F.when(whole, 0).otherwise(F.size(F.array_distinct("_ld_cut")))
     return d.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n.alias("_ld_lines"), dropped.alias("_ld_dropped"))
 
 
