@@ -212,7 +212,7 @@ def _merged(key: np.ndarray, count: np.ndarray):
     order = np.argsort(key, kind="stable")
     key, count = key[order], count[order]
     new = np.r_[True, key[1:] != key[:-1]][: len(key)]
-    start, rank = np.flatnonzero(new), np.empty(len(key), dtype=np.int64)
+    start, rank = np.flatnonzero(new), np.empty(len(key), dtype=np.int32 if len(key) < 1 << 31 else np.int64)
     rank[order] = np.cumsum(new) - 1
     return key[start], np.add.reduceat(count, start) if len(start) else count, rank
 
@@ -222,17 +222,16 @@ class Shard:
 
     def __init__(self, asked: pa.Table):
         col = lambda k, t: [np.frombuffer(x.as_py(), dtype=t) for x in asked.column(k)]
-        words, self.n_succ = col("words", U64), col("n_succ", np.uint32)
+        words, n_succ = col("words", U64), col("n_succ", np.uint32)
         joined = lambda parts, t: np.concatenate([np.zeros(0, t), *parts])
         hashes = lambda k: joined([_unpacked(x.as_py(), FINGER_BYTES) for x in asked.column(k)], U64)
         numbers = lambda k: joined(col(k, np.uint32), np.uint32).astype(np.int64)
         self.sizes = [(len(w), len(a) // FINGER_BYTES, len(b) // FINGER_BYTES) for w, a, b in zip(words, (x.as_py() for x in asked.column("fingers")), (x.as_py() for x in asked.column("thirds")))]
         self.words, self.at = np.unique(joined(words, U64), return_inverse=True)
         self.total = np.bincount(self.at, weights=numbers("counts"), minlength=len(self.words)).astype(np.int64)
-        key = lambda owner, f: (owner.astype(U64) << U64(FINGER)) | f
-        owner = np.repeat(self.at, joined(self.n_succ, np.uint32))
-        self.pair, self.pair_count, self.at2 = _merged(key(owner, hashes("fingers")), numbers("pair_counts"))
-        self.triple, self.triple_count, self.at3 = _merged(key(np.repeat(self.at2, numbers("n_third")), hashes("thirds")), numbers("third_counts"))
+        key = lambda owner, n, f: (np.repeat(owner.astype(U64) << U64(FINGER), n)) | f
+        self.pair, self.pair_count, self.at2 = _merged(key(self.at, joined(n_succ, np.uint32), hashes("fingers")), numbers("pair_counts"))
+        self.triple, self.triple_count, self.at3 = _merged(key(self.at2, numbers("n_third"), hashes("thirds")), numbers("third_counts"))
 
     @staticmethod
     def _parted(key: np.ndarray, n: int):
@@ -363,7 +362,7 @@ def _ready(docs: DataFrame) -> DataFrame:
 
 
 def _shards(docs: DataFrame) -> int:
-    return 2 * partitions(docs.sparkSession)
+    return 4 * partitions(docs.sparkSession)
 
 
 def train(docs: DataFrame) -> DataFrame:
