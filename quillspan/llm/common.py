@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -55,25 +55,49 @@ def dropping_shuffles(spark: SparkSession):
             spark.conf.set(CLEANUP, before)
 
 
+#: Paths of stored tables that are still there, with the JVM and the configuration to delete them by.
+_made: dict[str, tuple] = {}
+
+
 def stored(df: DataFrame, what: str = "t") -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: cuts the lineage, survives lost executors."""
+    """df written as a Parquet table in the shared folder and read again: cuts the lineage, survives lost executors.
+
+    The table goes by `discard`, else with `release` or at the end of the program, as a lazy result may read it until then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan/{what}-{uuid.uuid4().hex}"
     with dropping_shuffles(spark):
         df.write.parquet(path)
+    _made[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspan_path = path
     return out
 
 
+def _delete(path: str) -> None:
+    jvm, configuration = _made.pop(path)
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(configuration).delete(p, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by stored() that no later result reads."""
     for df in frames:
         path = getattr(df, "_quillspan_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _made:
+            _delete(path)
+
+
+def release() -> None:
+    """Delete all stored tables that are left: for programs that go on when their results are written."""
+    for path in list(_made):
+        _delete(path)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    with suppress(Exception):  # the JVM may be gone
+        release()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -12,7 +12,7 @@ The benchmark is the stated query set.  It is sent to executors in blocks of a
 bounded number of words; with several blocks, each document goes through one
 after the other, which merge their spans.
 
-Edge cases: null and empty texts have no words and no hits; an item without
+Edge cases: null and empty texts have no words and no hits; a very long text is a shard of its own, read whole; an item without
 words has no window; an item shorter than a window is one window; items that
 share an item_id count once; a null item_id counts as the empty string; repeated
 rows are searched each; empty tables give no hits or no rows.  Extra columns of

@@ -9,7 +9,7 @@ back samples: the least ratio, over score cuts, of the unlabelled share above
 the cut to the positives' share above it.
 
 Edge cases: null and empty texts count as texts without words and are scored
-like any other; repeated rows are scored each; a null doc_id falls in the
+like any other; very long texts are read whole; repeated rows are scored each, ties in score stay ties; a null doc_id falls in the
 training fold's remainder of the empty text; without positives or unlabelled
 rows every score is 0.5.  Extra columns of the input are ignored.
 """
@@ -26,7 +26,8 @@ from .common import best_cut, by_label, pick, remainder, table, texts_of
 
 MODULUS, HELD = 4, 2
 CUT = 0.7
-#: Bounds of the fit sample: positives, unlabelled rows, and bytes of their text in all.
+#: Bounds of the fit sample: positives, unlabelled rows, and bytes of their text in all.  Texts that no longer fit in are
+#: left out, so very long ones are fewer in the sample than in the corpus.
 FIT_POSITIVE, FIT_UNLABELLED, FIT_BYTES = 4000, 4000, 32_000_000
 HIDDEN, EPOCHS, RATE = 12, 400, 0.02
 SYMBOLS = "#*$%&|<>"

@@ -261,3 +261,68 @@ def test_many_lines_take_time_in_proportion(spark, tmp_path):
         assert {r.n_dropped for r in catalog.QUERIES["op9_linededup"](spark, folder).collect()} == {n}
         took.append(time.perf_counter() - start)
     assert took[1] < 8 * took[0] + 5
+
+
+def test_pipeline_stages(spark, folder, tmp_path):
+    """Each stage on what its predecessor kept, against the query of its operator on the same rows."""
+    import corpus_pipeline as P
+
+    docs, at = spark.read.parquet(f"{folder}/documents.parquet"), dict(P.STAGES)
+    ids = lambda df: Counter((r.doc_id, r.text, r.source) for r in df.select("doc_id", "text", "source").collect())
+
+    def asked(name, of, k):
+        where = str(tmp_path / f"{k}")
+        of.write.parquet(f"{where}/documents.parquet")
+        for t in ("benchmark", "labels"):
+            spark.read.parquet(f"{folder}/{t}.parquet").write.parquet(f"{where}/{t}.parquet")
+        return where, catalog.QUERIES[name](spark, where).collect()
+
+    where, scores = asked("op8_toxicity", docs, 1)
+    kept = at["toxicity"](spark, docs, folder)
+    assert kept.columns == docs.columns and sorted(map(repr, (r.doc_id for r in scores if not r.predicted))) == sorted(repr(i) for (i, _, _), n in ids(kept).items() for _ in range(n))
+    where, near = asked("op3_ngram_jaccard", kept, 2)
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    kept = at["near_duplicates"](spark, docs, folder)
+    bare = [x for x, n in ids(docs).items() for _ in range(n) if not WORD.search(x[1] or "")]
+    groups = {r.component_id for r in near if r.n_shingles and r.component_id is not None}
+    lone = sum(1 for r in near if r.n_shingles and r.component_id is None)
+    got = ids(kept)
+    # doc_id 203 has two texts and gives its name to two components
+    assert kept.columns == docs.columns and sum(got.values()) == len(bare) + len(groups) + lone + 1 and all(got[x] >= 1 for x in bare)
+    assert {i for (i, t, _) in got if i is not None and WORD.search(t or "")} == groups
+    where, hits = asked("op6_decontamination", kept, 3)
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    kept = at["decontamination"](spark, docs, folder)
+    assert kept.columns == docs.columns and sorted(repr(r.doc_id) for r in hits if not r.n_hit) == sorted(repr(i) for (i, _, _), n in ids(kept).items() for _ in range(n))
+    where, mixed = asked("op10_mixing", kept, 4)
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    kept = at["mixing"](spark, docs, folder)
+    count = Counter()
+    for (i, t, _), n in ids(kept).items():
+        count[i, len(WORD.findall(t or ""))] += n
+    want = Counter()
+    for r in mixed:
+        want[r.doc_id, r.size] += r.taken // r.size if r.size else 0
+    assert kept.columns == docs.columns and {k: n for k, n in count.items() if k[1]} == {k: n for k, n in want.items() if n}
+    owner = lookup_table(shard_names())
+    placed = at["sharding"](spark, kept, folder)
+    assert placed.columns == [*[c for c in docs.columns if c not in ("slot", "shard")], "slot", "shard"] and all(r.shard == owner[r.slot] for r in placed.collect()) and placed.count() == kept.count()
+
+
+def test_pipeline_on_little(spark, tmp_path):
+    import corpus_pipeline as P
+
+    assert P.run(spark, put(spark, tmp_path / "empty", [], [], [], False)).collect() == []
+    rows = [(1, "a b c", "s"), (2, None, "s"), (3, "", None), (1, "a b c", "s")]
+    out = P.run(spark, put(spark, tmp_path / "few", rows, [], [], False)).collect()
+    assert {r.doc_id for r in out} <= {1, 2, 3} and max(Counter(r.doc_id for r in out).values()) <= 2
+
+
+def test_tables_left_over_go(spark, folder):
+    from quillspan.llm import common
+
+    root = f"{common.shared_dir(spark)}/quillspan".removeprefix("file:")
+    catalog.QUERIES["op10_mixing"](spark, folder).collect()
+    assert os.listdir(root)
+    common.release()
+    assert not os.listdir(root)
