@@ -38,12 +38,13 @@ def detected(regions: DataFrame) -> DataFrame:
 
 def assign_words(words: DataFrame, regions: DataFrame) -> DataFrame:
     """words with region_id: the region that covers most of the word, more than half of it; of equal ones the smaller."""
-    r = _prefixed(regions.filter(~((F.col("kind") == "figure") & F.coalesce("decorative", F.lit(False)))), "r_")
-    share = G.coverage(box(), box("r_"))
-    near = (F.col("x0") < F.col("r_x1")) & (F.col("r_x0") < F.col("x1")) & (F.col("y0") < F.col("r_y1")) & (F.col("r_y0") < F.col("y1"))
-    hit = words.join(r, PAGE).filter(near).withColumn("share", share).filter(F.col("share") > LEAST_SHARE)
-    best = hit.groupBy(*PAGE, "word_id").agg(F.max(F.struct("share", (-G.area(box("r_"))).alias("a"), (-F.col("r_region_id")).alias("k"))).alias("b"))
-    return words.join(best.select(*PAGE, "word_id", (-F.col("b.k")).alias("region_id"), F.col("b.share").alias("share")), [*PAGE, "word_id"], "left")
+    shown = regions.filter(~((F.col("kind") == "figure") & F.coalesce("decorative", F.lit(False))))
+    # a page has few regions: they come to each of its words as one array, so that words are shuffled once and no pair becomes a row
+    of_page = shown.groupBy(*PAGE).agg(F.collect_list(F.struct("region_id", "x0", "y0", "x1", "y1")).alias("_regions"))
+    share = lambda r: F.struct(G.coverage(box(), r).alias("share"), (-G.area(r)).alias("a"), (-r["region_id"]).alias("k"))
+    best = F.array_max(F.filter(F.transform("_regions", share), lambda s: s["share"] > LEAST_SHARE))
+    found = words.join(of_page, PAGE, "left").select(*words.columns, best.alias("_best"))
+    return found.select(*words.columns, (-F.col("_best.k")).alias("region_id"), F.col("_best.share").alias("share"))
 
 
 def orphans(words: DataFrame, regions: DataFrame) -> DataFrame:
