@@ -16,7 +16,9 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": sharding.sql(),
+    "op3_ngram_jaccard": jaccard.SQL,
     "op4_urlfilter": urlfilter.sql(),
+    "op6_decontamination": decontaminate.SQL,
     "op9_linededup": linededup.SQL,
     "op10_mixing": mixing.SQL,
 }

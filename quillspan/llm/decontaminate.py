@@ -238,3 +238,28 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + (s["stop"] - s["start"]).cast("long"))
     return found.select("doc_id", F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), (F.size("_spans") > 0).alias("contaminated"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Windows of documents, of every length that an item's window has, against those of the benchmark.
+SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS name, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), q AS (
+  SELECT DISTINCT name, least(len(w), {WINDOW}) AS n, unnest(list_transform(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1), lambda k: array_to_string(w[k:k + {WINDOW - 1}], ' '))) AS g FROM i WHERE len(w) > 0
+), l AS (
+  SELECT DISTINCT n FROM q
+), x AS (
+  SELECT row, n, unnest(range(1, len(w) - n + 2)) AS k, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS g FROM d, l WHERE len(w) >= n
+), h AS (
+  SELECT x.row, x.k, x.n, q.name FROM x JOIN q ON x.n = q.n AND x.g = q.g
+), c AS (
+  SELECT row, count(DISTINCT spot) AS n_hit FROM (SELECT row, unnest(range(k, k + n)) AS spot FROM h) GROUP BY row
+), t AS (
+  SELECT row, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT row, name FROM h) GROUP BY row
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.names, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN c ON d.row = c.row LEFT JOIN t ON d.row = t.row
+"""

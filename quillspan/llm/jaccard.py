@@ -569,3 +569,24 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+#: Pairs by their common shingles, then the closure of the links; for small tables.
+SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT row, unnest(CASE WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT row, count(*) AS n FROM s GROUP BY row
+), p AS (
+  SELECT a.row AS x, b.row AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g GROUP BY ALL
+), e AS (
+  SELECT x, y FROM p JOIN n a ON a.row = x JOIN n b ON b.row = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)
+), r(row, other) AS (
+  SELECT x, y FROM e UNION SELECT r.row, e.y FROM r JOIN e ON r.other = e.x
+), m AS (
+  SELECT r.row, min(w.doc_id) AS least FROM r JOIN w ON r.other = w.row GROUP BY r.row
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN w.doc_id ELSE m.least END AS component_id FROM w LEFT JOIN n ON w.row = n.row LEFT JOIN m ON w.row = m.row
+"""

@@ -86,7 +86,7 @@ def same(rows, want, names):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = c.sql(catalog.ORACLE_SQL[name])
     rows = catalog.QUERIES[name](spark, SF).collect()
