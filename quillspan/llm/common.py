@@ -59,7 +59,7 @@ def dropping_shuffles(spark: SparkSession):
 _made: dict[str, tuple] = {}
 
 
-def stored(df: DataFrame, what: str = "t") -> DataFrame:
+def stored(df: DataFrame, what: str = "t", codec: str = "snappy") -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: cuts the lineage, survives lost executors.
 
     The table goes by `discard`, else with `release` or at the end of the program, as a lazy result may read it until then.
@@ -67,7 +67,7 @@ def stored(df: DataFrame, what: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspan/{what}-{uuid.uuid4().hex}"
     with dropping_shuffles(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     _made[path] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspan_path = path

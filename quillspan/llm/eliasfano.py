@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
-#: Bits of a successor's hash within its context.
-FINGER = 32
+#: Bits of a successor's hash within its context: after a word, and after a pair, which has far fewer successors.
+FINGER, THIRD = 32, 24
 
 
 def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -129,7 +129,7 @@ class Trie:
         keep = succ_counts >= least
         pair = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1), n_third)
         third = (pair >= 0) & (third_counts >= least)
-        third_key = (pair[third].astype(U64) << U64(FINGER)) | thirds[third]
+        third_key = (pair[third].astype(U64) << U64(THIRD)) | thirds[third]
         owner, fingers, succ_counts = owner[keep], fingers[keep], succ_counts[keep]
         n = np.bincount(owner, minlength=len(words))
         key = (owner.astype(U64) << U64(FINGER)) | fingers
@@ -137,7 +137,7 @@ class Trie:
         code, third_code = quantised(succ_counts), quantised(third_counts[third])
         head = np.zeros(32, dtype=np.int64)
         body = []
-        tops = (1 << 64, int(totals[-1]) + 1 if len(totals) else 1, int(pointers[-1]) + 1 if len(pointers) else 1, max(1, len(words)) << FINGER, max(1, len(key)) << FINGER)
+        tops = (1 << 64, int(totals[-1]) + 1 if len(totals) else 1, int(pointers[-1]) + 1 if len(pointers) else 1, max(1, len(words)) << FINGER, max(1, len(key)) << THIRD)
         for k, (v, top) in enumerate(zip((words, totals, pointers, key, third_key), tops)):
             low, high = Sequence.parts(v, top)
             head[3 * k : 3 * k + 3] = len(v), low.shape[1], len(high)
@@ -168,7 +168,7 @@ class Trie:
         owner = np.repeat(np.where(known, at, -1), n_succ)
         ask = np.flatnonzero(owner >= 0)
         if s.n and len(ask):
-            i, ok = self._found(s, owner[ask], fingers[ask])
+            i, ok = self._found(s, owner[ask], fingers[ask], FINGER)
             codes[ask[ok]] = self.codes[i[ok]]
             pair = np.full(len(fingers), -1, dtype=np.int64)
             pair[ask[ok]] = i[ok]
@@ -176,9 +176,9 @@ class Trie:
         return counts, mass, codes, third_mass, third_codes
 
     @staticmethod
-    def _found(s: Sequence, owner: np.ndarray, fingers: np.ndarray):
+    def _found(s: Sequence, owner: np.ndarray, fingers: np.ndarray, bits: int):
         """Places of (owner, finger) in a level, and which of them are there."""
-        key = (owner.astype(U64) << U64(FINGER)) | fingers
+        key = (owner.astype(U64) << U64(bits)) | fingers
         i = s.successor(key)
         ok = i < s.n
         ok[ok] = s.get(i[ok]) == key[ok]
@@ -192,9 +192,9 @@ class Trie:
             return
         if self.third_mass_at is None:
             self.third_mass_at = np.r_[0.0, np.cumsum(np.maximum(CODES[self.third_codes] - discount, 0.0))]
-        edge = lambda p: s.successor(p.astype(U64) << U64(FINGER))
+        edge = lambda p: s.successor(p.astype(U64) << U64(THIRD))
         mass[asked] = self.third_mass_at[edge(pair[asked] + 1)] - self.third_mass_at[edge(pair[asked])]
         owner = np.repeat(pair, n_third)
         ask = np.flatnonzero(owner >= 0)
-        i, ok = self._found(s, owner[ask], thirds[ask])
+        i, ok = self._found(s, owner[ask], thirds[ask], THIRD)
         codes[ask[ok]] = self.third_codes[i[ok]]

@@ -11,8 +11,8 @@ with m(h) the discounted counts of the pairs seen after h, and r(h) = max(c(h) -
 and in the same way  p(w | g h) = ((c(g h w) - D)+ + r(g h) * p(w | h)) / (m(g h) + r(g h)),  where the pair g h was seen,
 p(w | h) where it wasn't.  All pairs and triples seen are kept.  Word counts are exact; a byte holds the quantised count of a pair or triple,
 from which the discounted one and the context's mass follow (contexts of frequent words lie in several shards, so a probability
-is whole only where their masses meet, in the chunk).  Words are told apart by 64-bit hashes, successors within a context
-by 32 bits.  A document begins after the end token of the one before; its first
+is whole only where their masses meet, in the chunk).  Words are told apart by 64-bit hashes, successors of a word
+by 32 bits, of a pair by 24; the mass of a pair's successors travels as a logarithm of 16 bits.  A document begins after the end token of the one before; its first
 word has no other context, so that no triple reaches across documents.
 
 Pairs of very frequent first words (found on a bounded sample; only the
@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import partitions, pick, remainder, stored, table, texts_of
-from .eliasfano import CODES, FINGER, Trie
+from .eliasfano import CODES, FINGER, THIRD, Trie
 
 MODULUS, HELD = 7, 2
 DISCOUNT, LEAST = 0.75, 1
@@ -74,16 +74,17 @@ class Chunk:
         self.size += len(w)
 
     def close(self, shards: int, hot: frozenset):
-        """(word hashes, their home shards, the token sequence) in order of shard and hash."""
+        """(word hashes, their home shards, which are frequent, the token sequence); words in order of shard and of how often they occur here."""
         digest = xxhash.xxh3_64_intdigest
         h = np.fromiter((digest(w) for w in self.local), dtype=U64, count=len(self.local))
         home = (h % U64(shards)).astype(np.int64)
-        order = np.lexsort((h, home))
+        seq = np.concatenate(self.seq)
+        order = np.lexsort((h, -np.bincount(seq, minlength=len(h)), home))
         rank = np.empty(len(h), dtype=np.int64)
         rank[order] = np.arange(len(h))
         h = h[order]
         is_hot = np.isin(h, np.array(sorted(hot), dtype=U64)) if hot else np.zeros(len(h), bool)
-        return h, home[order], is_hot, rank[np.concatenate(self.seq)]
+        return h, home[order], is_hot, rank[seq]
 
 
 def _pairs(words, home, is_hot, seq, shards):
@@ -148,11 +149,51 @@ def _unpacked(raw: bytes, width: int) -> np.ndarray:
     return a.view(U64).ravel()
 
 
-FINGER_BYTES = FINGER // 8
+FINGER_BYTES, THIRD_BYTES = FINGER // 8, THIRD // 8
+#: Steps of the logarithm to base 2 that stands for a mass.
+MASS_STEPS = 1500
 
 
-def _finger(h: np.ndarray) -> np.ndarray:
-    return h >> U64(64 - FINGER)
+def _finger(h: np.ndarray, bits: int) -> np.ndarray:
+    return h >> U64(64 - bits)
+
+
+def mass_code(m: np.ndarray) -> np.ndarray:
+    return np.round(np.log2(1 + m) * MASS_STEPS).astype(np.uint16)
+
+
+def mass_of(code: np.ndarray) -> np.ndarray:
+    return 2.0 ** (code / MASS_STEPS) - 1
+
+
+def _small(v: np.ndarray) -> bytes:
+    """Non-negative integers, most of them small, in the narrowest type that holds them, compressed."""
+    top = int(v.max()) if len(v) else 0
+    kind = next(t for t in "BHIQ" if top <= np.iinfo(t).max)
+    return kind.encode() + zstandard.ZstdCompressor(level=1).compress(v.astype(kind).tobytes())
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), dtype=chr(raw[0])).astype(np.int64)
+
+
+def _tokens_out(seq: np.ndarray, home: np.ndarray, shards: int) -> bytes:
+    """The token sequence: home shards and ranks within them, byte by byte, as both have few frequent values."""
+    first = np.searchsorted(home, np.arange(shards))
+    of = home[seq]
+    planes = [((v >> (8 * k)) & 255).astype(np.uint8).tobytes() for v, n in ((of, 2), (seq - first[of], 4)) for k in range(n)]
+    packed = [zstandard.ZstdCompressor(level=3).compress(p) for p in planes]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in packed)
+
+
+def _tokens_in(raw: bytes, home: np.ndarray, shards: int) -> np.ndarray:
+    planes, at = [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 4], "little")
+        planes.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[at + 4 : at + 4 + n]), np.uint8).astype(np.int64))
+        at += 4 + n
+    of = planes[0] | planes[1] << 8
+    return np.searchsorted(home, np.arange(shards))[of] + sum(p << (8 * k) for k, p in enumerate(planes[2:]))
 
 
 def _chunks(batches):
@@ -188,21 +229,19 @@ def _sending(shards: int, hot: frozenset):
             h, home, is_hot, seq = chunk.close(shards, hot)
             first, second, shard, place = _pairs(len(h), home, is_hot, seq, shards)
             n3, third, ends, at3 = _triples(len(h), seq, place, len(first))
-            times = lambda at, of, n: np.bincount(at, weights=of, minlength=n).astype(np.uint32)
+            times = lambda at, of, n: np.bincount(at, weights=of, minlength=n).astype(np.int64)
             n, count, count3 = times(seq[1:], learnt, len(h)), times(place, learnt, len(first)), times(at3, learnt[ends], len(third))
-            finger, finger3 = _finger(h[second]), _finger(h[third])
+            finger, finger3 = _finger(h[second], FINGER), _finger(h[third], THIRD)
             for s, keys, k, at in _keys(home, is_hot, first, shard, shards):
                 mine = np.where(home[keys] == s, n[keys], 0)
                 at_3 = _under(at, n3)
-                whole = lambda v: v.astype(np.uint32).tobytes()
-                yield _sent(name, s, True, h[keys].tobytes(), whole(mine), whole(k), _packed(finger[at], FINGER_BYTES), whole(count[at]), whole(n3[at]), _packed(finger3[at_3], FINGER_BYTES), whole(count3[at_3]))
+                yield _sent(name, s, True, h[keys].tobytes(), _small(mine), _small(k), _packed(finger[at], FINGER_BYTES), _small(count[at]), _small(n3[at]), _packed(finger3[at_3], THIRD_BYTES), _small(count3[at_3]))
             # the chunk itself: its documents, and what the order of keys and pairs follows from
             ids = np.array([0 if i is None else i for i, _, _ in chunk.docs], dtype=np.int64)
             null = np.array([i is None for i, _, _ in chunk.docs])
             meta = np.int64(len(ids)).tobytes() + ids.tobytes() + size.tobytes() + null.tobytes() + held.tobytes()
             plan = np.r_[len(h), np.bincount(home, minlength=shards), np.flatnonzero(is_hot)].astype(np.int32).tobytes()
-            width = 3 if len(h) < 1 << 24 else 4
-            yield _sent(name, number % shards, False, meta, plan, bytes([width]) + zstandard.ZstdCompressor(level=3).compress(_packed(seq, width)))
+            yield _sent(name, number % shards, False, meta, plan, _tokens_out(seq, home, shards))
 
     return run
 
@@ -221,29 +260,28 @@ class Shard:
     """What all chunks have sent to one shard, added up: its trie, and where each chunk's words, pairs and triples are."""
 
     def __init__(self, asked: pa.Table):
-        col = lambda k, t: [np.frombuffer(x.as_py(), dtype=t) for x in asked.column(k)]
-        words, n_succ = col("words", U64), col("n_succ", np.uint32)
         joined = lambda parts, t: np.concatenate([np.zeros(0, t), *parts])
-        hashes = lambda k: joined([_unpacked(x.as_py(), FINGER_BYTES) for x in asked.column(k)], U64)
-        numbers = lambda k: joined(col(k, np.uint32), np.uint32).astype(np.int64)
-        self.sizes = [(len(w), len(a) // FINGER_BYTES, len(b) // FINGER_BYTES) for w, a, b in zip(words, (x.as_py() for x in asked.column("fingers")), (x.as_py() for x in asked.column("thirds")))]
+        words = [np.frombuffer(x.as_py(), dtype=U64) for x in asked.column("words")]
+        hashes = lambda k, width: joined([_unpacked(x.as_py(), width) for x in asked.column(k)], U64)
+        numbers = lambda k: joined([_numbers(x.as_py()) for x in asked.column(k)], np.int64)
+        self.sizes = [(len(w), len(a.as_py()) // FINGER_BYTES, len(b.as_py()) // THIRD_BYTES) for w, a, b in zip(words, asked.column("fingers"), asked.column("thirds"))]
         self.words, self.at = np.unique(joined(words, U64), return_inverse=True)
         self.total = np.bincount(self.at, weights=numbers("counts"), minlength=len(self.words)).astype(np.int64)
-        key = lambda owner, n, f: (np.repeat(owner.astype(U64) << U64(FINGER), n)) | f
-        self.pair, self.pair_count, self.at2 = _merged(key(self.at, joined(n_succ, np.uint32), hashes("fingers")), numbers("pair_counts"))
-        self.triple, self.triple_count, self.at3 = _merged(key(self.at2, numbers("n_third"), hashes("thirds")), numbers("third_counts"))
+        key = lambda owner, n, f, bits: (np.repeat(owner.astype(U64) << U64(bits), n)) | f
+        self.pair, self.pair_count, self.at2 = _merged(key(self.at, numbers("n_succ"), hashes("fingers", FINGER_BYTES), FINGER), numbers("pair_counts"))
+        self.triple, self.triple_count, self.at3 = _merged(key(self.at2, numbers("n_third"), hashes("thirds", THIRD_BYTES), THIRD), numbers("third_counts"))
 
     @staticmethod
-    def _parted(key: np.ndarray, n: int):
-        return np.bincount((key >> U64(FINGER)).astype(np.int64), minlength=n), key & U64((1 << FINGER) - 1)
+    def _parted(key: np.ndarray, n: int, bits: int):
+        return np.bincount((key >> U64(bits)).astype(np.int64), minlength=n), key & U64((1 << bits) - 1)
 
     def levels(self) -> bytes:
-        return Trie.build(self.words, self.total, *self._parted(self.pair, len(self.words)), self.pair_count, *self._parted(self.triple, len(self.pair)), self.triple_count, LEAST)
+        return Trie.build(self.words, self.total, *self._parted(self.pair, len(self.words), FINGER), self.pair_count, *self._parted(self.triple, len(self.pair), THIRD), self.triple_count, LEAST)
 
     def found(self, trie: Trie):
         """For each distinct word its count and its pairs' mass, for each pair its byte and its triples' mass, for each triple its byte."""
-        n2, f2 = self._parted(self.pair, len(self.words))
-        n3, f3 = self._parted(self.triple, len(self.pair))
+        n2, f2 = self._parted(self.pair, len(self.words), FINGER)
+        n3, f3 = self._parted(self.triple, len(self.pair), THIRD)
         edge2, edge3 = np.r_[0, np.cumsum(n2)], np.r_[0, np.cumsum(n3)]
         weight = np.cumsum(1 + n2 + np.add.reduceat(np.r_[n3, 0], np.minimum(edge2[:-1], len(n3))) * (n2 > 0)) if len(n2) else np.zeros(0)
         out = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.uint8)], [np.zeros(0)], [np.zeros(0, np.uint8)]]
@@ -282,7 +320,7 @@ def _answered(group: pa.Table) -> pa.Table:
     rows, i, j, k = own, 0, 0, 0
     for chunk, (n1, n2, n3) in zip(asked.column("chunk").to_pylist(), shard.sizes):
         w, p, t = shard.at[i : i + n1], shard.at2[j : j + n2], shard.at3[k : k + n3]
-        rows.append((chunk, number, True, count[w].tobytes(), mass[w].astype(np.float32).tobytes(), code[p].tobytes(), mass2[p].astype(np.float32).tobytes(), code3[t].tobytes(), 0, 0))
+        rows.append((chunk, number, True, _small(count[w]), mass[w].astype(np.float32).tobytes(), code[p].tobytes(), mass_code(mass2[p]).tobytes(), code3[t].tobytes(), 0, 0))
         i, j, k = i + n1, j + n2, k + n3
     rows.append((None, number, False, b"", b"", b"", b"", b"", int(shard.total.sum()), int((shard.total > 0).sum())))
     kinds = (pa.string(), pa.int32(), pa.bool_(), *[pa.binary()] * 5, pa.int64(), pa.int64())
@@ -306,14 +344,14 @@ def _summing(shards: int, total: int, types: int):
         answers = {}
         for asks, s, a, b, c, d, e in zip(group.column("asks").to_pylist(), group.column("shard").to_pylist(), *(group.column(k) for k in "abcde")):
             if asks:
-                answers[s] = [np.frombuffer(x.as_py(), t) for x, t in ((a, np.int64), (b, np.float32), (c, np.uint8), (d, np.float32), (e, np.uint8))]
+                answers[s] = [_numbers(a.as_py()), *(np.frombuffer(x.as_py(), t) for x, t in ((b, np.float32), (c, np.uint8), (d, np.uint16), (e, np.uint8)))]
             else:
                 meta, plan, raw = a.as_py(), np.frombuffer(b.as_py(), np.int32).astype(np.int64), c.as_py()
         n = int(np.frombuffer(meta, np.int64, 1)[0])
         ids, size = np.frombuffer(meta, np.int64, n, 8), np.frombuffer(meta, np.int64, n, 8 + 8 * n)
         null, held = np.frombuffer(meta, bool, n, 8 + 16 * n), np.frombuffer(meta, bool, n, 8 + 17 * n)
-        seq = _unpacked(zstandard.ZstdDecompressor().decompress(raw[1:]), raw[0]).astype(np.int64)
         words, home = int(plan[0]), np.repeat(np.arange(shards), plan[1 : shards + 1])
+        seq = _tokens_in(raw, home, shards)
         is_hot = np.zeros(words, dtype=bool)
         is_hot[plan[shards + 1 :]] = True
         first, second, shard, place = _pairs(words, home, is_hot, seq, shards)
@@ -325,7 +363,7 @@ def _summing(shards: int, total: int, types: int):
             c, m, codes, m2, codes3 = answers[s]
             np.add.at(count, keys, np.where(home[keys] == s, c, 0))
             np.add.at(mass, keys, m)
-            kept[at], count2[at], mass2[at] = left(codes), CODES[codes], m2
+            kept[at], count2[at], mass2[at] = left(codes), CODES[codes], mass_of(m2)
             kept3[_under(at, n3)] = left(codes3)
         base = (count + 1) / (total + types + 1)
         # quantised mass may reach the count: what is left over for other words is then one discount
@@ -374,7 +412,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     shards = _shards(docs)
     sent = _ready(docs).mapInArrow(_sending(shards, _frequent(docs.select("doc_id", "text"))), SENT)
-    answered = stored(sent.groupBy("shard").applyInArrow(_answered, ANSWER), "answers")
+    answered = stored(sent.groupBy("shard").applyInArrow(_answered, ANSWER), "answers", "zstd")
     sums = answered.filter("chunk is null").agg(F.sum("n_tokens").alias("n"), F.sum("n_types").alias("v")).first()
     return answered.filter("chunk is not null").drop("n_tokens", "n_types").groupBy("chunk").applyInArrow(_summing(shards, int(sums.n or 0), int(sums.v or 0)), SCORES)
 
