@@ -97,3 +97,20 @@ def test_job_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.pages, r.flagged) for r in spark.sql("select pages, flagged from pages_done").collect()] == [(5, 1)]
+
+
+def test_large_print_round_trip(spark):
+    from quillspan.sources import docx
+
+    styles = [(2, 5, True, False, False)]
+    rows = [("d", 0, "page_marker", None, None, "ltr", 0, [], None, 1), ("d", 1, "heading", "Top & <more>", 2, "ltr", 0, [], None, None), ("d", 2, "paragraph", "a bold\nword \x01here", None, "ltr", 0, styles, None, None),
+            ("d", 3, "list", "1. one", None, "ltr", 2, [], None, None), ("d", 4, "table", None, None, "rtl", 0, [], [[("h", 1, 1, True), ("k", 1, 1, True)], [("x", 1, 2, False)]], None), ("d", 5, "paragraph", "ألف", None, "rtl", 0, [], None, None), ("e", 0, "quote", "said", None, "ltr", 0, None, None, None)]
+    b = spark.createDataFrame(rows, f"doc_id string, ord int, type string, text string, level int, text_direction string, indent_level int, styles array<struct<start:int,end:int,bold:boolean,italic:boolean,underline:boolean>>, rows {CELL}, page_marker int")
+    made = docx.large_print(b)
+    got = O.read_docx(made).orderBy("doc_id", "ord").collect()
+    assert [(x.type, x.text, x.level) for x in got if x.doc_id == "d" and x.type != "page_marker"] == [
+        ("paragraph", "Original page 1", None), ("heading", "Top & <more>", 2), ("paragraph", "a bold\nword here", None), ("list", "1. one", None), ("table", None, None), ("paragraph", "ألف", None)]
+    table = next(x for x in got if x.type == "table")
+    assert [[c.text for c in r] for r in table.rows] == [["h", "k"], ["x"]] and table.text_direction == "rtl" and [x.text for x in got if x.doc_id == "e" and x.type == "quote"] == ["said"]
+    xml = zipfile.ZipFile(io.BytesIO(bytes(made.filter("doc_id = 'd'").first().content))).read("word/document.xml").decode()
+    assert '<w:b/></w:rPr><w:t xml:space="preserve">bol</w:t>' in xml and '<w:gridSpan w:val="2"/>' in xml and xml.count("<w:bidi/>") >= 2
