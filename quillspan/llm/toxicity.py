@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained on the training fold's texts, one on
-ordinary text, one on toxic text.  A document is cut into windows of a few words; each
+ordinary text, one on toxic text.  A document is cut into windows of a few words, twice, so that what one cut
+parts the other leaves whole; each
 window is compressed with the ordinary dictionary alone and with the toxic one
 laid over it.  The bytes that the toxic dictionary saves are counted over all windows
 of the whole text; the log likelihood ratio of these counts goes through a
@@ -45,12 +46,15 @@ FIT_TOXIC, FIT_ORDINARY, FIT_BYTES = 3000, 4000, 16_000_000
 FOLDS, MIN_EACH, FEW = 4, 4, 4
 #: Sizes in bytes of the dictionaries, of the segments of the ordinary one, and of the ordinary text it is made from.
 TOXIC_BYTES, ORDINARY_BYTES, SEGMENT, ORDINARY_TEXT = 1024, 4096, 24, 3_000_000
+#: A text is cut into windows twice: from its first word, and with a first window of two words.
+CUTS = (0, 2)
 #: Least test statistic (2 log likelihood ratio) and least ratio of shares of documents for a 5-gram of toxic text.
 GRAM, SURE, LIFT = 5, 20.0, 2.0
 #: Ends of a stretch whose 5-grams fewer documents hold than this share of its peak are cut off.
 CORE = 0.7
 #: Savings of a window are counted by the byte between these bounds.
 LEAST, MOST = -3, 10
+BINS = MOST - LEAST + 1
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -144,14 +148,15 @@ def _toxic_dictionary(texts: list[bytes], grams: np.ndarray, count: np.ndarray)
     return out
 
 
-def _windows(x: bytes) -> list[bytes]:
-    w = x.split()
-    return [b" " + b" ".join(w[i : i + WINDOW]) for i in range(0, len(w), WINDOW)]
+def _windows(w: list[bytes], first: int = 0) -> list[bytes]:
+    """The words by windows; the first one of `first` words."""
+    starts = [*([0] if first and w else []), *range(first, len(w), WINDOW)]
+    return [b" " + b" ".join(w[i:j]) for i, j in zip(starts, [*starts[1:], len(w)])]
 
 
 def _ordinary_dictionary(texts: list[bytes]) -> bytes:
     enough = np.cumsum([0, *map(len, texts)])[:-1] < ORDINARY_TEXT
-    samples = [w for x, ok in zip(texts, enough) if ok for w in _windows(x) if len(w) >= 8]
+    samples = [w for x, ok in zip(texts, enough) if ok for w in _windows(x.split()) if len(w) >= 8]
     try:
         return zstandard.train_dictionary(ORDINARY_BYTES, samples, k=SEGMENT, d=6).as_bytes()
     except zstandard.ZstdError:  # too little text for the trainer: the text itself is the dictionary
@@ -172,31 +177,35 @@ def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
 class Saver:
     """Bytes that the toxic dictionary saves in each window of a text."""
 
-    def __init__(self, pair: dict):
+    def __init__(self, model: dict):
         # a lead-in that both dictionaries end with lets zstandard compress windows that are short on their own
-        self.lead = pair["lead"]
-        self.toxic = _compressor(pair["toxic"] + pair["ordinary"] + pair["lead"]).compress
-        self.ordinary = _compressor(pair["ordinary"] + pair["lead"]).compress
+        self.lead = model["lead"]
+        self.toxic = _compressor(model["toxic"] + model["ordinary"] + model["lead"]).compress
+        self.ordinary = _compressor(model["ordinary"] + model["lead"]).compress
 
     def histogram(self, x: bytes) -> np.ndarray:
-        """How many windows of the text save how many bytes, from LEAST to MOST."""
-        lead, a, b = self.lead, self.toxic, self.ordinary
-        s = [len(b(y)) - len(a(y)) for y in (lead + w for w in _windows(x))]
-        return np.bincount(np.clip(np.array(s, dtype=np.int64), LEAST, MOST) - LEAST, minlength=MOST - LEAST + 1)
+        """(cuts, bins): how many windows of the text save how many bytes, from LEAST to MOST."""
+        lead, a, b, w, out = self.lead, self.toxic, self.ordinary, x.split(), np.zeros((len(CUTS), BINS), dtype=np.int64)
+        for k, first in enumerate(CUTS):
+            s = [len(b(y)) - len(a(y)) for y in [lead + v for v in _windows(w, first)]]
+            out[k] = np.bincount(np.clip(np.array(s, dtype=np.int64), LEAST, MOST) - LEAST, minlength=BINS)
+        return out
 
 
-def _pair(toxic: list[bytes], ordinary: list[bytes], grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict:
+def _dictionaries(toxic: list[bytes], ordinary: list[bytes], grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict:
     good = significant(a, b, len(toxic), len(ordinary))
     first = next(filter(None, (x[:32] for x in ordinary)), b" ")
     return {"toxic": _toxic_dictionary(toxic, grams[good], a[good]), "ordinary": _ordinary_dictionary(ordinary), "lead": first}
 
 
 def _features(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Log likelihood ratio of the windows' savings: summed, by root of the window count, averaged; the log count; and how many windows save little, more and much."""
-    n = np.maximum(h.sum(1), 1)
-    r = h @ weights
-    some = [np.log1p(h[:, k:end].sum(1)) for k, end in ((4, 6), (6, 8), (8, None))]
-    return np.c_[r, r / np.sqrt(n), r / n, np.log(n), *some]
+    """For each cut the log likelihood ratio of the windows' savings: summed, by root of the window count, averaged; the log count; and how many windows save little, more and much."""
+    out = []
+    for k in range(len(CUTS)):
+        n = np.maximum(h[:, k].sum(1), 1)
+        r = h[:, k] @ weights[k]
+        out += [r, r / np.sqrt(n), r / n, np.log(n), *[np.log1p(h[:, k, i:j].sum(1)) for i, j in ((4, 6), (6, 8), (8, None))]]
+    return np.stack(out, axis=1)
 
 
 def train(one: list[bytes], zero: list[bytes], n1: float, n0: float) -> dict:
@@ -204,21 +213,21 @@ def train(one: list[bytes], zero: list[bytes], n1: float, n0: float) -> dict:
     fold1, fold0 = np.arange(len(one)) % FOLDS, np.arange(len(zero)) % FOLDS
     grams = _candidates(one, 3)
     a, b = _held(one, grams, fold1), _held(zero, grams, fold0)
-    h1, h0 = (np.zeros((len(t), MOST - LEAST + 1), dtype=np.int64) for t in (one, zero))
+    h1, h0 = (np.zeros((len(t), len(CUTS), BINS), dtype=np.int64) for t in (one, zero))
     for f in range(FOLDS):
         rest = lambda texts, fold: [x for x, k in zip(texts, fold) if k != f]  # noqa: B023,E731
-        saver = Saver(_pair(rest(one, fold1), rest(zero, fold0), grams, a.sum(0) - a[f], b.sum(0) - b[f]))
+        saver = Saver(_dictionaries(rest(one, fold1), rest(zero, fold0), grams, a.sum(0) - a[f], b.sum(0) - b[f]))
         for texts, fold, h in ((one, fold1, h1), (zero, fold0, h0)):
             for i in np.flatnonzero(fold == f):
                 h[i] = saver.histogram(texts[i])
-    bins = MOST - LEAST + 1
-    weights = np.log((h1.sum(0) + 1) / (h1.sum() + bins)) - np.log((h0.sum(0) + 1) / (h0.sum() + bins))
+    share = lambda h: (h.sum(0) + 1) / (h.sum((0, 2)) + BINS)[:, None]
+    weights = np.log(share(h1)) - np.log(share(h0))
     x, y = _features(np.r_[h1, h0], weights), np.r_[np.ones(len(one)), np.zeros(len(zero))]
     w = np.r_[np.full(len(one), n1 / len(one)), np.full(len(zero), n0 / len(zero))]
     mean, scale, coef, bias = logit_fit(x, y, w / w.mean())
     z = ((x - mean) / scale) @ coef + bias
-    pair = _pair(one, zero, grams, a.sum(0), b.sum(0))
-    return {"pair": pair, "weights": weights, "mean": mean, "scale": scale, "coef": coef, "bias": bias + np.log(CUT / (1 - CUT)) - best_cut(z, y, w / w.mean())}
+    made = _dictionaries(one, zero, grams, a.sum(0), b.sum(0))
+    return made | {"weights": weights, "mean": mean, "scale": scale, "coef": coef, "bias": bias + np.log(CUT / (1 - CUT)) - best_cut(z, y, w / w.mean())}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
@@ -226,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     lab = by_label(labels, "toxic", MODULUS, HELD)
     counts = {r.y: r.n for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
-    nothing = {"prior": n1 / (n1 + n0) if n1 + n0 else 0.0, "pair": None}
+    nothing = {"prior": n1 / (n1 + n0) if n1 + n0 else 0.0, "toxic": None}
     if not n1 or not n0:
         return nothing
     one = pick(lab.filter("y = 1"), FIT_TOXIC, 8)
@@ -240,13 +249,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 def score_texts(model: dict, texts: list, saver: Saver | None) -> np.ndarray:
     if saver is None:
         return np.full(len(texts), model["prior"])
-    h = np.array([saver.histogram(_joined(t)) for t in texts], dtype=np.int64).reshape(len(texts), MOST - LEAST + 1)
+    h = np.array([saver.histogram(_joined(t)) for t in texts], dtype=np.int64).reshape(len(texts), len(CUTS), BINS)
     z = ((_features(h, model["weights"]) - model["mean"]) / model["scale"]) @ model["coef"] + model["bias"]
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def saver_of(model: dict) -> Saver | None:
-    return None if model["pair"] is None else Saver(model["pair"])
+    return None if model["toxic"] is None else Saver(model)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
