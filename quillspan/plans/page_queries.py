@@ -128,10 +128,10 @@ def routing(spark, d):
 
 
 def _words(spark, d):
-    """Words as boxes from line items: an order is a page, a line item a word."""
-    x = t(spark, d, "lineitem")
+    """Words as boxes from line items: an order is a page, a line item a word.  Line numbers repeat within an order, so words are numbered."""
+    x = t(spark, d, "lineitem").withColumn("_word", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")))
     x0, y0 = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 700).cast("double")
-    return x.select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("page_number"), F.col("l_linenumber").alias("word_id"), x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 12).alias("y1"), F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("text"), F.lit(10.0).alias("size"), F.lit(False).alias("blank"), F.lit(1.0).alias("confidence"))
+    return x.select(F.lit("d").alias("doc_id"), F.col("l_orderkey").alias("page_number"), F.col("_word").alias("word_id"), x0.alias("x0"), y0.alias("y0"), (x0 + 40).alias("x1"), (y0 + 12).alias("y1"), F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("text"), F.lit(10.0).alias("size"), F.lit(False).alias("blank"), F.lit(1.0).alias("confidence"))
 
 
 def _regions(spark, d):
@@ -143,7 +143,7 @@ def _regions(spark, d):
 
 
 _ASSIGN = """
-WITH w AS (SELECT l_orderkey AS page, l_linenumber AS word, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey % 700 AS DOUBLE) AS y0 FROM lineitem),
+WITH w AS (SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS INTEGER) AS word, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey % 700 AS DOUBLE) AS y0 FROM lineitem),
 r AS (SELECT o_orderkey AS page, k AS region, CAST(k % 2 * 260 AS DOUBLE) AS x0, CAST(k // 2 * 340 AS DOUBLE) AS y0 FROM orders, (SELECT unnest([0, 1, 2, 3]) AS k)),
 s AS (SELECT w.page, w.word, r.region, greatest(0, least(w.x0 + 40, r.x0 + 300) - greatest(w.x0, r.x0)) * greatest(0, least(w.y0 + 12, r.y0 + 380) - greatest(w.y0, r.y0)) / (40.0 * 12.0) AS share FROM w JOIN r USING (page)),
 b AS (SELECT *, row_number() OVER (PARTITION BY page, word ORDER BY share DESC, region) AS n FROM s WHERE share > 0.5)

@@ -121,7 +121,7 @@ def recognised_words(spark, d):
 
 
 @query("""
-WITH w AS (SELECT l_orderkey AS page, l_linenumber AS word, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey % 700 AS DOUBLE) AS y0 FROM lineitem),
+WITH w AS (SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS INTEGER) AS word, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey % 700 AS DOUBLE) AS y0 FROM lineitem),
 h AS (SELECT o_orderkey AS page, CAST(k % 2 * 260 AS DOUBLE) AS x0, CAST(k // 2 * 340 AS DOUBLE) AS y0, k AS region FROM orders, (SELECT unnest([0, 1, 2]) AS k))
 SELECT w.page, w.word, min(h.region) AS region FROM w JOIN h ON w.page = h.page AND w.y0 + 6 BETWEEN h.y0 - 4 AND h.y0 + 384 AND h.x0 - (w.x0 + 40) >= 0 AND h.x0 - (w.x0 + 40) < 90 GROUP BY ALL
 """)
@@ -131,7 +131,7 @@ def margin_headings(spark, d):
 
 
 @query("""
-WITH w AS (SELECT l_orderkey AS page, l_linenumber AS word, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey % 700 AS DOUBLE) + 12 AS y1 FROM lineitem),
+WITH w AS (SELECT l_orderkey AS page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) AS INTEGER) AS word, CAST(l_partkey % 500 AS DOUBLE) AS x0, CAST(l_suppkey % 700 AS DOUBLE) + 12 AS y1 FROM lineitem),
 u AS (SELECT o_orderkey AS page, CAST(o_custkey % 400 AS DOUBLE) AS a, CAST(o_custkey % 400 AS DOUBLE) + 60 AS b, CAST(o_orderkey % 100 AS DOUBLE) AS y FROM orders),
 h AS (SELECT w.*, u.a, u.b, least(b, x0 + 40) - greatest(a, x0) AS over FROM w JOIN u USING (page) WHERE least(b, x0 + 40) - greatest(a, x0) > 24 AND y + 0.25 >= y1 - 12 - 1 AND y + 0.25 <= y1 + 4.5),
 g AS (SELECT page FROM h GROUP BY page HAVING 60 <= max(x0 + 40) - min(x0) + 25 AND sum(over) > 15)

@@ -1,4 +1,4 @@
-"""Each registered query of this library against its SQL on the smallest tables."""
+"""Each registered query of this library against its SQL, on the smallest tables and on tables whose keys repeat."""
 
 import os
 
@@ -7,17 +7,17 @@ import pytest
 
 from quillspan.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SIZES = ["sf0.001", "sf0.01"]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+pytestmark = pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 
 
-@pytest.fixture(scope="module")
-def duck():
-    c = duckdb.connect()
+@pytest.fixture(scope="module", params=SIZES)
+def tables(request):
+    d, c = f"/root/testdata/{request.param}", duckdb.connect()
     for t in TABLES:
-        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    return c
+        c.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    return d, c
 
 
 def plain(rows):
@@ -25,8 +25,9 @@ def plain(rows):
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
-def test_query(spark, duck, name):
-    df = catalog.queries()[name](spark, SF)
+def test_query(spark, tables, name):
+    d, duck = tables
+    df = catalog.queries()[name](spark, d)
     cols = sorted(df.columns)
     got = [tuple(r[c] for c in cols) for r in df.collect()]
     sql = catalog.oracle_sql().get(name)
