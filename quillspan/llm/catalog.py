@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, one opN_<name> each."""
 
-from . import audit, decontaminate, jaccard, linededup, lm, mixing, quality, rules, sharding, toxicity, urlfilter
+from . import audit, chat, decontaminate, jaccard, linededup, lm, mixing, quality, rules, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_linededup": linededup.op9_linededup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_chat_format": chat.op11_chat_format,
     "op12_filter_audit": audit.op12_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -22,5 +23,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontaminate.SQL,
     "op9_linededup": linededup.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_chat_format": chat.SQL,
     "op12_filter_audit": audit.SQL,
 }
