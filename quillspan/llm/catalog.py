@@ -1,6 +1,6 @@
 """Queries and SQL of the corpus operators, one opN_<name> each."""
 
-from . import audit, chat, decontaminate, jaccard, linededup, lm, mixing, quality, rules, sharding, toxicity, urlfilter
+from . import align, audit, chat, decontaminate, jaccard, linededup, lm, mixing, quality, rules, sharding, toxicity, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_chat_format": chat.op11_chat_format,
     "op12_filter_audit": audit.op12_filter_audit,
+    "op13_token_alignment": align.op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_sharding": sharding.sql(),
