@@ -1,6 +1,7 @@
 """Office documents as block rows, from the ZIP and XML of the standard library.
 
-One row a file goes in (doc_id, content), blocks come out; the passes over them are DataFrame operations.
+One row a file goes in (doc_id, content), blocks come out; the passes over them are DataFrame operations.  `folders` reads whole folders
+of files by the same functions.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -54,10 +56,10 @@ def _targets(z: zipfile.ZipFile, part: str) -> dict:
     return {r.get("Id"): where(r.get("Target") or "") for r in _xml(z, rels)}
 
 
-def _picture(z: zipfile.ZipFile, targets: dict, blip) -> tuple[str | None, str | None]:
-    """The member that holds a picture, and its digest."""
+def _picture(z: zipfile.ZipFile, targets: dict, blip, digest: bool) -> tuple[str | None, str | None]:
+    """The member that holds a picture, and its digest where that is wanted."""
     name = targets.get(blip.get(R + "embed"))
-    return (name, hashlib.sha256(z.read(name)).hexdigest()) if name in z.namelist() else (None, None)
+    return (name, hashlib.sha256(z.read(name)).hexdigest() if digest else None) if name in z.namelist() else (None, None)
 
 
 def _text(node, run: str, brk: dict) -> str:
@@ -68,7 +70,7 @@ def _word(p) -> str:
     return _text(p, W + "t", {W + "tab": "\t", W + "br": "\n"}).strip()
 
 
-def docx_rows(doc_id: str, content: bytes):
+def docx_rows(doc_id: str, content: bytes, digest: bool = True):
     """Body elements in order.  A paragraph with a page break comes after the new marker but keeps the old page."""
     z = _opened(content)
     body, parts = _xml(z, "word/document.xml").find(W + "body"), _targets(z, "word/document.xml")
@@ -89,7 +91,7 @@ def docx_rows(doc_id: str, content: bytes):
                 page += 1
                 add("marker", page, None, None, None, None, None, None)
             for blip in e.iter(A + "blip"):
-                add("image", here, None, None, None, None, None, None, *_picture(z, parts, blip))
+                add("image", here, None, None, None, None, None, None, *_picture(z, parts, blip, digest))
             ref = e.find(f"{W}pPr/{W}pStyle")
             text = _word(e)
             if text:
@@ -112,7 +114,7 @@ def docx_rows(doc_id: str, content: bytes):
     return out
 
 
-def pptx_rows(doc_id: str, content: bytes):
+def pptx_rows(doc_id: str, content: bytes, digest: bool = True):
     """Slides in order: marker, title, the other shapes by top and left, notes."""
     z = _opened(content)
     rel = _targets(z, "ppt/presentation.xml")
@@ -134,7 +136,7 @@ def pptx_rows(doc_id: str, content: bytes):
         for other, _, _, _, s in sorted(shapes, key=lambda x: x[:4]):
             if s.tag == P + "pic":
                 blip = next(s.iter(A + "blip"), None)
-                add("image", page, None, None, None, None, None, None, *(_picture(z, parts, blip) if blip is not None else (None, None)))
+                add("image", page, None, None, None, None, None, None, *(_picture(z, parts, blip, digest) if blip is not None else (None, None)))
                 continue
             table = next(s.iter(A + "tbl"), None)
             if table is not None:
@@ -159,37 +161,49 @@ def pptx_rows(doc_id: str, content: bytes):
     return out
 
 
-def _read(files: DataFrame, reader) -> DataFrame:
-    """Elements of all files; a file that can't be read is one row of kind `error` with the reason."""
+READERS = {"docx": docx_rows, "pptx": pptx_rows}
+
+
+def elements(kind: str, doc_id: str, content, wanted: set) -> list[dict]:
+    """A file's elements as rows of RAW; where it can't be read one row of kind `error` with the reason.
+
+    content: gives the bytes.  wanted: names of the columns that are used; pictures are only digested if theirs is one of them.
+    """
+    try:
+        rows = READERS[kind](doc_id, bytes(content() or b""), "digest" in wanted)
+    except (OSError, zipfile.BadZipFile, zlib.error, ET.ParseError, KeyError, ValueError, NotImplementedError, RuntimeError) as e:
+        rows = [(doc_id, 0, "error", *[None] * 5, f"{type(e).__name__}: {e}", *[None] * 3)]
+    return [dict(zip(names(RAW), r)) for r in rows]
 
-    def rows(doc_id, content):
-        try:
-            return reader(doc_id, bytes(content if content is not None else b""))
-        except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, NotImplementedError, RuntimeError) as e:
-            return [(doc_id, 0, "error", *[None] * 5, f"{type(e).__name__}: {e}", *[None] * 3)]
+
+def _read(files: DataFrame, kind: str) -> DataFrame:
+    """Elements of all files (doc_id, content)."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([r for d, c in zip(pdf["doc_id"], pdf["content"]) for r in rows(d, c)], columns=names(RAW))
+            yield pd.DataFrame([r for d, c in zip(pdf["doc_id"], pdf["content"]) for r in elements(kind, d, lambda c=c: c, set(names(RAW)))], columns=names(RAW))
 
     return files.select("doc_id", "content").mapInPandas(run, RAW)
 
 
 def read_docx(files: DataFrame) -> DataFrame:
-    return _blocks(_read(files, docx_rows))
+    return blocks_of(_read(files, "docx"))
 
 
 def read_pptx(files: DataFrame) -> DataFrame:
-    return _blocks(_read(files, pptx_rows))
+    return blocks_of(_read(files, "pptx"))
 
 
 def unreadable(files: DataFrame, kind: str) -> DataFrame:
     """(doc_id, problem, fatal): files of a kind (docx, pptx) that can't be read, and parts that were left out."""
-    raw = _read(files, {"docx": docx_rows, "pptx": pptx_rows}[kind])
+    return problems_of(_read(files, kind))
+
+
+def problems_of(raw: DataFrame) -> DataFrame:
     return raw.filter(F.col("kind").isin("error", "warning")).select("doc_id", F.col("text").alias("problem"), (F.col("kind") == "error").alias("fatal"))
 
 
-def _blocks(raw: DataFrame) -> DataFrame:
+def blocks_of(raw: DataFrame) -> DataFrame:
     """Raw elements as blocks: type, level and text by style; language and direction by script or mark-up."""
     d, p = X.docx_block(F.col("style"), F.col("text"), F.col("numbered")), X.pptx_block(F.col("level"), F.col("text"))
     kind = F.col("kind")
