@@ -15,6 +15,7 @@ BASELINE, BACKSTEP, TRACKING, BREAK, FONT_GAP = 0.45, 0.25, 0.6, 0.2, 0.08
 TURN_VOTES, TURN_SHARE, TURN_CHARS, STEP = 20, 0.6, 4000, (0.5, 40.0)
 LOW_CONFIDENCE = 0.60
 BACKGROUND, CONTAINED, LEAST_SIDE = 0.6, 0.85, 6.0
+COVER, UNPAINTED = 0.85, (3, 7)
 
 
 def _rtl(c: str) -> Column:
@@ -67,10 +68,42 @@ def reading_quarter(chars: DataFrame) -> DataFrame:
     return chars.select(*PAGE).distinct().join(votes, PAGE, "left").fillna(0, ["quarter"])
 
 
-def page_text_counts(chars: DataFrame) -> DataFrame:
-    """(page, visible, broken): what routing needs of a page's characters; replacement and private ones are broken."""
+def hidden_objects(objects: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, object_id): text that no reader sees, by its render mode or because a picture over the whole page is painted later.
+
+    objects(page, object_id, draw, kind, render_mode, box): what a page paints, in the order of draw.  A page's last covering picture
+    is one row, so each page's objects meet one number; objects without a place in the order are painted first.
+    """
+    size = pages.select(*PAGE, (F.col("width") * F.col("height")).alias("_page"))
+    cover = objects.filter("kind = 'image'").join(size, PAGE).filter(G.area(box()) >= COVER * F.col("_page")).groupBy(*PAGE).agg(F.max("draw").alias("_cover"))
+    text = objects.filter("kind = 'text'").join(cover, PAGE, "left")
+    unseen = F.col("render_mode").isin(*UNPAINTED) | (F.coalesce("draw", F.lit(-1)) < F.col("_cover"))
+    return text.filter(F.coalesce(unseen, F.lit(False))).select(*PAGE, "object_id").distinct()
+
+
+def painted_chars(chars: DataFrame, objects: DataFrame, pages: DataFrame) -> DataFrame:
+    """The characters that are seen: not spaces, not of hidden text, of some size, and at least partly on the page.
+
+    chars have object_id; characters without one are kept.
+    """
+    c = chars.filter(X.strip(F.col("ch")) != "").join(hidden_objects(objects, pages), [*PAGE, "object_id"], "left_anti")
+    c = c.join(pages.select(*PAGE, F.col("width").alias("_w"), F.col("height").alias("_h")), PAGE)
+    sized = (F.col("x1") > F.col("x0")) | (F.col("y1") > F.col("y0"))
+    return c.filter(sized & (F.col("x1") > 0) & (F.col("x0") < F.col("_w")) & (F.col("y1") > 0) & (F.col("y0") < F.col("_h"))).drop("_w", "_h")
+
+
+def page_text_counts(chars: DataFrame, objects: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """(page, visible, broken, hidden): what routing needs of a page's characters; replacement and private ones are broken.
+
+    With objects and pages, hidden characters (hidden_objects) are counted apart from the visible ones; broken are counted among both.
+    """
     bad = F.col("ch").rlike(rf"[{X.REPLACEMENT}\x{{E000}}-\x{{F8FF}}]")
-    return chars.groupBy(*PAGE).agg(F.count_if(X.strip(F.col("ch")) != "").alias("visible"), F.count_if(bad).alias("broken"))
+    c = chars.filter(X.strip(F.col("ch")) != "").withColumn("_hidden", F.lit(False))
+    if objects is not None:
+        unseen = hidden_objects(objects, pages).withColumn("_unseen", F.lit(True))
+        c = c.join(unseen, [*PAGE, "object_id"], "left").withColumn("_hidden", F.coalesce("_unseen", F.lit(False)))
+    counted = c.groupBy(*PAGE).agg(F.count_if(~F.col("_hidden")).alias("visible"), F.count_if(bad).alias("broken"), F.count_if("_hidden").alias("hidden"))
+    return chars.select(*PAGE).distinct().join(counted, PAGE, "left").fillna(0, ["visible", "broken", "hidden"])
 
 
 def recognised_lines(lines: DataFrame, arabic: bool = False) -> DataFrame:

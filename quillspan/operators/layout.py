@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import geometry as G
+from ..functions import geometry as G, text as X
 
 # Fixed values.
 PAGE = ["doc_id", "page_number"]
@@ -20,6 +20,7 @@ LEAST_SHARE, LEAST_SCORE = 0.5, 0.40
 TINY_SHARE, TINY_SIDE, LEAST_SIDE = 0.002, 36.0, 6.0
 EMPTY_AREA, EMPTY_PICTURE = 200.0, 2500.0
 PICTURE_CONFIDENCE, PICTURE_LETTERS = 0.85, 2
+LEAST_TYPE, TYPE_SHARE = 4.0, 0.78
 
 
 def box(prefix: str = "") -> Column:
@@ -143,20 +144,58 @@ def line_aggregates(words: DataFrame, keys: list[str]) -> DataFrame:
         F.min("confidence").alias("confidence"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def ocr_words(lines: DataFrame) -> DataFrame:
-    """Recognised lines (text, box, confidence) as words: the line's width shared by characters, size 0.78 of its height."""
-    t = F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)
-    w = lines.filter("trim(text) <> ''").withColumn("n", F.length("text")).select("*", F.posexplode(t).alias("k", "word"))
+def _recognised(lines: DataFrame, *more: str) -> DataFrame:
+    size = F.greatest(F.lit(LEAST_TYPE), (F.col("y1") - F.col("y0")) * TYPE_SHARE)
+    return lines.withColumns({"text": X.strip(F.col("text")), "size": size}).filter("text <> ''").select(*PAGE, "line_id", "text", "x0", "y0", "x1", "y1", "size", "confidence", *more)
+
+
+def _shared_out(lines: DataFrame) -> DataFrame:
+    """A line's words with its width shared by characters, a space between two words."""
+    words = F.filter(F.split("text", f"{X.SPACE}+"), lambda w: w != "")
+    w = lines.withColumn("n", F.length(F.array_join(words, " "))).select("*", F.posexplode(words).alias("k", "word"))
     before = Window.partitionBy(*PAGE, "line_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))
     unit = (F.col("x1") - F.col("x0")) / F.col("n")
-    return w.select(*PAGE, "line_id", "k", F.col("word").alias("text"), (F.col("x0") + at * unit).alias("x0"), "y0", (F.col("x0") + (at + F.length("word")) * unit).alias("x1"), "y1", ((F.col("y1") - F.col("y0")) * 0.78).alias("size"), "confidence")
+    return w.select(*PAGE, "line_id", "k", F.col("word").alias("text"), (F.col("x0") + at * unit).alias("x0"), "y0", (F.col("x0") + (at + F.length("word")) * unit).alias("x1"), "y1", "size", "confidence")
+
+
+def ocr_words(lines: DataFrame) -> DataFrame:
+    """Recognised lines (text, box, confidence) as words: by their tokens where these spell the line, else by shares of its width.
+
+    A column `tokens` (array<struct<text, x0, x1>>, in order) is aligned with the line's text in steps that never go back: a
+    token's place is the count of characters other than spaces before it, so it stands where the text has its next such
+    character.  A line is aligned if each token stands there letter by letter and all its characters are used up.  A word begins
+    where a space was passed; tokens without a space between them make one word, a token with a space in it stays one word.  Lines whose tokens
+    are missing, don't fit or cross a space are shared out.  Null and empty lines have no words; a line_id is unique on its page.
+    """
+    if "tokens" not in lines.columns:
+        return _shared_out(_recognised(lines))
+    key = [*PAGE, "line_id"]
+    x = _recognised(lines, "tokens")
+    # places of the characters that aren't spaces, from 1
+    solid = lambda c: F.regexp_replace(c, X.SPACE, "")
+    at = F.filter(F.transform(F.split("text", ""), lambda c, i: F.when(~c.rlike(X.SPACE), i + 1)), lambda i: i.isNotNull())
+    tokens = F.filter(F.transform("tokens", lambda t: F.struct(X.strip(t["text"]).alias("text"), t["x0"].alias("x0"), t["x1"].alias("x1"))), lambda t: t["text"] != "")
+    x = x.withColumns({"_at": at, "tokens": tokens}).select("*", F.posexplode_outer("tokens").alias("k", "t")).drop("tokens")
+    w = Window.partitionBy(*key).orderBy("k")
+    x = x.withColumn("_n", F.length(solid(F.col("t.text"))))
+    x = x.withColumn("_start", F.get("_at", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")))
+    x = x.withColumn("_end", F.col("_start") + F.length("t.text"))
+    fits = F.coalesce(F.substr("text", F.col("_start"), F.length("t.text")) == F.col("t.text"), F.lit(False))
+    new = F.coalesce(F.col("_start") > F.lag("_end").over(w), F.lit(True)).cast("int")
+    whole = Window.partitionBy(*key)
+    x = x.withColumns({"_word": F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_ok": F.min(fits).over(whole) & (F.sum("_n").over(whole) == F.size("_at"))})
+    walked = x.filter("_ok").groupBy(*key, "_word").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t.text"))), lambda t: t["text"]), "").alias("text"),
+        F.min("t.x0").alias("x0"), F.first("y0").alias("y0"), F.max("t.x1").alias("x1"), F.first("y1").alias("y1"), F.first("size").alias("size"), F.first("confidence").alias("confidence"))
+    walked = walked.withColumn("k", (F.col("_word") - 1).cast("int"))
+    rest = x.filter(~F.coalesce("_ok", F.lit(False)) & (F.coalesce("k", F.lit(0)) == 0)).select(*key, "text", "x0", "y0", "x1", "y1", "size", "confidence")
+    out = _shared_out(rest)
+    return walked.select(*out.columns).unionByName(out)
 
 
 def block_records(blocks: DataFrame, method: Column, page_height: Column) -> DataFrame:
     """Blocks with language, direction, box in document points, method, clamped confidence and page-wise ids."""
-    from ..functions import text as X
-
     counts = X.script_counts(F.col("text"))
     n = F.row_number().over(Window.partitionBy(*PAGE).orderBy("ord"))
     sure = F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))), 3)

@@ -109,7 +109,7 @@ def tiny_figures(spark, d):
 
 
 @query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents), w AS (SELECT doc_id, k, length(line) AS n, unnest(regexp_extract_all(line, '[^\\s]+')) AS word, unnest(range(1, len(regexp_extract_all(line, '[^\\s]+')) + 1)) AS j FROM l WHERE trim(line) <> ''),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents), w AS (SELECT doc_id, k, length(array_to_string(regexp_extract_all(line, '[^\\s]+'), ' ')) AS n, unnest(regexp_extract_all(line, '[^\\s]+')) AS word, unnest(range(1, len(regexp_extract_all(line, '[^\\s]+')) + 1)) AS j FROM l WHERE trim(line) <> ''),
 s AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM w)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_words, round(max((gone + length(word)) * (500.0 / n)), 6) AS reach FROM s GROUP BY doc_id
 """)
