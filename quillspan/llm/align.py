@@ -7,11 +7,11 @@ two neighbouring ends, of either side, lies exactly one token of A and one of B
 such stretch.  The joined rows are therefore the links; each takes its tokens from the next end of either side, where a join within
 groups would make as many pairs as the square of a group's size.
 
-The corpus isn't encoded text by text.  Both tokenizers break before a space or line break that follows another character, so a
-document is cut there into pieces that encode, align and link by themselves (`cut_pattern` looks this up in the vocabularies, and
-cuts nothing where it doesn't hold).  The steps above run once for each distinct piece; a pair's count is the sum over
+The corpus isn't encoded text by text.  Both tokenizers always break before a space or line break that follows another character, and between
+most signs and letters, so a document is cut there into pieces that encode, align and link by themselves (`cut_pattern` looks
+this up in the vocabularies, and cuts nothing where it doesn't hold).  The steps above run once for each distinct piece; a pair's count is the sum over
 pieces of their occurrences, and a document is the sequence of its pieces.  Pieces and pairs that make up more than a fixed share
-of all rows, at most HOT_PIECES and HOT_PAIRS of them by that, come to their rows by broadcast; the others by a shuffled join,
+of all rows, so that their number is bounded (HOT_PIECES, HOT_PAIRS), come to their rows by broadcast; the others by a shuffled join,
 in which no key can be hot.
 
 Edge cases: null and empty texts have no tokens, nor has a document with any piece whose tokens don't spell its bytes
@@ -21,22 +21,24 @@ stand; a null doc_id is kept; ties for a B id's highest count are all best; an e
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import string
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import dropping_shuffles, stored, table
+from .common import discard, stored, table
 
 #: Folder of the vocabulary files, on every machine.
 VOCABULARIES = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: A broadcast piece is shorter than LONG_PIECE code points and makes up more than 1 / HOT_PIECES of all pieces.
-HOT_PIECES, LONG_PIECE, HOT_PAIRS = 400_000, 64, 100_000
-CUTS, SPACE = r"(?<=[^\p{Z}\p{C}])(?=[ \n])", "▁"
+#: Pieces are broadcast that are shorter than a number of code points and make up more than one in so many of all pieces: (points, so many).
+HOT_PIECES, HOT_PAIRS = ((32, 500_000), (10_000, 1_000)), 100_000
+SPACE = "▁"
 COPARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
@@ -59,15 +61,21 @@ def _tokenizers(folder: str):
 def cut_pattern(folder: str = VOCABULARIES) -> str | None:
     """Where a text may be cut without a change to its tokens; None: nowhere.
 
-    A must split by the byte-level pattern, in which white space after another character always begins a new word.  B may have no
-    entry in which a space follows another character, and none that holds a line break.
+    Cuts lie before a space or line break that follows another character, behind a single line break, and between letters and those
+    signs that B has in no entry beside a letter.  A must split by the byte-level pattern, in which white space after
+    another character, and signs (but apostrophes) after letters and letters after signs, always begin a new word.  B may have no entry in which
+    a space follows another character, and none that holds a line break.
     """
     with open(f"{folder}/{A_FILE}") as f:
         split = json.load(f)["pre_tokenizer"]
     b = _tokenizers(folder)[2]
-    entries = [b.id_to_piece(i) for i in range(b.get_piece_size())]
-    apart = not any("\n" in e or SPACE in e.lstrip(SPACE) for e in entries)
-    return CUTS if apart and split["type"] == "ByteLevel" and split["use_regex"] else None
+    entries = [b.id_to_piece(i) for i in range(b.get_piece_size()) if not (b.is_byte(i) or b.is_control(i) or b.is_unknown(i))]
+    if split["type"] != "ByteLevel" or not split["use_regex"] or any("\n" in e or SPACE in e.lstrip(SPACE) for e in entries):
+        return None
+    beside = {x for e in entries for pair in zip(e, e[1:]) if any(c.isalpha() for c in pair) for x in pair}
+    signs = "".join("\\" + c for c in string.punctuation if c != "'" and c not in beside)
+    between = rf"|(?<=\p{{L}})(?=[{signs}])|(?<=[{signs}])(?=\p{{L}})" if signs else ""
+    return rf"(?<=[^\p{{Z}}\p{{C}}])(?=[ \n])|(?<=[\p{{L}}\p{{N}}\p{{P}}]\n)(?=\p{{L}})" + between
 
 
 _ENCODED = "array<int>", "array<int>", "array<int>", "array<int>", "boolean"
@@ -76,7 +84,8 @@ _ENCODED = "array<int>", "array<int>", "array<int>", "array<int>", "boolean"
 def encoded(texts: DataFrame, folder: str = VOCABULARIES) -> DataFrame:
     """texts (..., piece) with a_ids, a_lens, b_ids, b_lens (token bytes) and ok: both sides spell the piece's bytes.
 
-    A piece begins with a space, which B adds by itself (but to nothing), or with a line break, before which B's own space is taken off.
+    B puts a space before what it encodes (but not before nothing): it stands for a piece's own, or goes with the line break that is put
+    between it and any other piece.
     """
     names = [c for c in texts.columns]
 
@@ -85,8 +94,8 @@ def encoded(texts: DataFrame, folder: str = VOCABULARIES) -> DataFrame:
         for batch in batches:
             pieces = batch.column("piece").to_pylist()
             ids_a = [e.ids for e in a.encode_batch_fast(pieces, add_special_tokens=False)]
-            ids_b = b.encode([p.removeprefix(" ") for p in pieces], num_threads=1)
-            ids_b = [[lone] if p == " " else t if p[:1] == " " else t[1:] if t[:1] == [lone] else t for p, t in zip(pieces, ids_b)]
+            ids_b = b.encode([p[1:] if p[:1] == " " else "\n" + p for p in pieces], num_threads=1)
+            ids_b = [[lone] if p == " " else t if p[:1] == " " else t[2:] for p, t in zip(pieces, ids_b)]
             spelt_a, spelt_b = [[a_bytes[i] for i in x] for x in ids_a], [[b_bytes[i] for i in x] for x in ids_b]
             ok = [b"".join(x) == b"".join(y) == p.encode() for x, y, p in zip(spelt_a, spelt_b, pieces)]
             ints = pa.list_(pa.int32())
@@ -154,13 +163,14 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return pairs.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b")))
 
 
-def by_share(left: DataFrame, right: DataFrame, on: list[str], hot: Column) -> tuple[DataFrame, DataFrame]:
-    """left's rows with right's, in two tables: those of hot keys by broadcast, the others by a shuffled join.
+def by_share(left: DataFrame, right: DataFrame, on: list[str], hot: Column) -> DataFrame:
+    """left's rows with right's: those of hot keys by broadcast, the others by a shuffled join.
 
     hot must hold for a bounded number of right's rows, and for every key with a large share of left's.
     """
-    large = F.broadcast(right.filter(hot))
-    return left.join(large, on), left.join(F.broadcast(right.filter(hot).select(*on)), on, "left_anti").join(right.filter(~hot), on)
+    large = right.filter(hot)
+    rest = left.join(F.broadcast(large.select(*on)), on, "left_anti").join(right.filter(~hot), on)
+    return left.join(F.broadcast(large), on).unionByName(rest)
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -189,52 +199,65 @@ def _counted(docs: DataFrame, cuts: str | None, folder: str) -> DataFrame:
     # documents with such a piece have no tokens: their other pieces are taken off again
     spoilt = words(docs).join(bad, "piece", "left_semi").select(*ROW).distinct()
     less = words(docs.join(spoilt, ROW, "left_semi")).groupBy("piece").agg(F.count("*").alias("less"))
-    return stored(out.join(less, "piece", "left").withColumn("occ", F.col("occ") - F.coalesce("less", F.lit(0))).drop("less"), "pieces")
+    kept = stored(out.join(less, "piece", "left").withColumn("occ", F.col("occ") - F.coalesce("less", F.lit(0))).drop("less"), "pieces")
+    discard(out)
+    return kept
 
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 def piece_facts(pieces: DataFrame) -> DataFrame:
-    """(piece, occ, ok, groups, n_a, n_b, n_groups, n_links, n_best, count_sum) of each distinct piece."""
+    """(piece, occ, ok, groups, n_a, n_b, n_groups, n_links, n_best, count_sum) of each distinct piece; a stored table."""
     spark = pieces.sparkSession
     link = F.struct("at", "grp", "a", "b", "a_ends", "b_ends")
     with keeping_partitions(spark):
-        lists = stored(aligned(pieces.filter("ok").select("id", "a_ids", "a_lens", "b_ids", "b_lens")).groupBy("id").agg(F.collect_list(link).alias("links")), "links")
-    links = lists.join(pieces.select("id", "occ"), "id").select("id", "occ", F.explode("links").alias("l")).select("id", "occ", "l.a", "l.b")
+        found = aligned(pieces.filter("ok").select("id", "a_ids", "a_lens", "b_ids", "b_lens")).groupBy("id").agg(F.collect_list(link).alias("links"))
+        own = pieces.select("id", "piece", "occ", "ok", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b")).repartition("id")
+        lists = stored(own.join(found, "id", "left"), "links")
+    links = lists.select("id", "occ", F.explode("links").alias("l")).select("id", "occ", "l.a", "l.b")
     pairs = stored(pair_counts(links), "pairs")
     total = pairs.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    looked = by_share(lists.select("id", F.explode("links").alias("l")).select("id", "l.a", "l.b"), pairs, ["a", "b"], F.col("rows") * HOT_PAIRS > total)
-    scored = looked[0].unionByName(looked[1]).groupBy("id").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    shown = lists.select("id", group_text(F.col("links")).alias("groups"), F.array_max(F.transform("links", lambda x: x["grp"])).alias("g"), F.size("links").alias("n_links"))
-    out = pieces.select("id", "piece", "occ", "ok", F.size("a_ids").alias("n_a"), F.size("b_ids").alias("n_b")).join(shown, "id", "left").join(scored, "id", "left")
-    return out.select("piece", "occ", "ok", "groups", *(F.coalesce(c.cast("long"), F.lit(0)).alias(n) for n, c in zip(SUMS, (F.col("n_a"), F.col("n_b"), F.col("g") + 1, F.col("n_links"), F.col("n_best"), F.col("count_sum")))))
+    scored = by_share(links.drop("occ"), pairs, ["a", "b"], F.col("rows") * HOT_PAIRS > total).groupBy("id").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    last = F.array_max(F.transform("links", lambda x: x["grp"]))
+    shown = lists.select("id", "piece", "occ", "ok", "n_a", "n_b", (last + 1).alias("n_groups"), F.when(F.col("links").isNotNull(), F.size("links")).alias("n_links"), group_text(F.col("links")).alias("groups"))
+    out = shown.join(scored, "id", "left")
+    facts = stored(out.select("piece", "occ", "ok", "groups", *(F.coalesce(F.col(n).cast("long"), F.lit(0)).alias(n) for n in SUMS)), "facts")
+    discard(lists, pairs)
+    return facts
 
 
 def documents(docs: DataFrame, facts: DataFrame, cuts: str | None) -> DataFrame:
-    """(doc_id, sums of its pieces' facts, groups): a row for each row of docs, put together from the (stored) facts of its pieces."""
+    """(doc_id, sums of its pieces' facts, groups): a row for each row of docs, put together from the facts of its pieces.
+
+    Frequent pieces are looked up where the text lies; the others, named by their place in the document, go to their facts and back.
+    """
     total = facts.agg(F.coalesce(F.sum("occ"), F.lit(0))).first()[0]
-    hot = (F.col("occ") * HOT_PIECES > total) & (F.length("piece") < LONG_PIECE)
+    is_hot = functools.reduce(lambda a, b: a | b, ((F.length("piece") < points) & (F.col("occ") * share > total) for points, share in HOT_PIECES))
+    hot, rest = facts.filter(is_hot).drop("occ"), facts.filter(~is_hot).drop("occ")
     one = docs.groupBy(*ROW).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    words = one.select(*ROW, F.posexplode(_pieces(F.col("text"), cuts)).alias("pos", "piece"))
-    large, small = by_share(words, facts, ["piece"], hot)
-
-    def gathered(rows: DataFrame, side: str) -> DataFrame:
-        return rows.groupBy(*ROW).agg(F.collect_list(F.struct("pos", "groups")).alias(f"{side}_groups"), F.min("ok").alias(f"{side}_ok"), *(F.sum(s).alias(f"{side}_{s}") for s in SUMS))
-
-    all_ = one.select(*ROW, "copies").join(gathered(large, "l"), ROW, "left").join(gathered(small, "s"), ROW, "left")
-    none = F.array().cast("array<struct<pos:int,groups:string>>")
-    groups = F.array_sort(F.concat(F.coalesce("l_groups", none), F.coalesce("s_groups", none)))
-    ok = F.coalesce("l_ok", F.lit(True)) & F.coalesce("s_ok", F.lit(True))
-    add = lambda s: F.when(ok, F.coalesce(f"l_{s}", F.lit(0)) + F.coalesce(f"s_{s}", F.lit(0))).otherwise(0).cast("long").alias(s)
-    out = all_.select(F.when(~F.col("none"), F.col("d")).alias("doc_id"), "copies", *(add(s) for s in SUMS), F.when(ok, F.array_join(F.transform(groups, lambda x: x["groups"]), ";")).otherwise("").alias("groups"))
-    return out.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    words = one.select(*ROW, "copies", F.posexplode_outer(_pieces(F.col("text"), cuts)).alias("pos", "piece"))
+    known = words.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "piece", "left")
+    ok = F.min(F.coalesce("ok", F.lit(True))).alias("ok")
+    at_hand = stored(known.groupBy(*ROW).agg(
+        F.first("copies").alias("copies"), ok, *(F.sum(s).alias(s) for s in SUMS),
+        F.collect_list(F.when(F.col("hot"), F.struct("pos", "groups"))).alias("said"), F.collect_list(F.when(F.col("hot").isNull() & F.col("piece").isNotNull(), F.struct("pos", "piece"))).alias("open")), "rows")
+    looked = at_hand.select(*ROW, F.explode("open").alias("o")).select(*ROW, "o.pos", "o.piece").join(rest, "piece")
+    fetched = looked.groupBy(*ROW).agg(F.min("ok").alias("_ok"), *(F.sum(s).alias(f"_{s}") for s in SUMS), F.collect_list(F.struct("pos", "groups")).alias("_said"))
+    x = at_hand.drop("open").join(fetched, ROW, "left")
+    said = F.array_sort(F.concat("said", F.coalesce("_said", F.array().cast("array<struct<pos:int,groups:string>>"))))
+    ok = F.col("ok") & F.coalesce("_ok", F.lit(True))
+    add = lambda s: F.when(ok, F.coalesce(s, F.lit(0)) + F.coalesce(f"_{s}", F.lit(0))).otherwise(0).cast("long").alias(s)
+    out = x.select(F.when(~F.col("none"), F.col("d")).alias("doc_id"), *(add(s) for s in SUMS), F.when(ok, F.array_join(F.transform(said, lambda x: x["groups"]), ";")).otherwise("").alias("groups"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return out.drop("_copy")
 
 
 def alignment(docs: DataFrame, folder: str = VOCABULARIES) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for each row of documents."""
     rows, cuts = _key(docs), cut_pattern(folder)
-    facts = stored(piece_facts(_counted(rows, cuts, folder)), "facts")
+    pieces = _counted(rows, cuts, folder)
+    facts = piece_facts(pieces)
+    discard(pieces)
     return documents(rows, facts, cuts)
 
 
