@@ -23,6 +23,9 @@ COLUMNS = {
     "op5_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op6_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op7_lm": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double", "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, rewrites bigint",
+    "op12_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
+    "op13_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
     "op9_linededup": "doc_id bigint, n_lines bigint, n_dropped bigint, text string", "op10_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
 }
 
@@ -46,13 +49,19 @@ ITEMS = [(1, " ".join((ROWS[0][1] or "").split()[3:20])), (2, "one"), (3, None),
 PAGES = [(1, "http://cheap-pills.example.com/" + "a" * 40_000), (2, "http://www.cheap-pills.example.com"), (160, "http://www.cheap-pills.example.com"), (3, None), (4, "nonsense"), (160, "http://www.cheap-pills.example.com")]
 
 
-def put(spark, path, rows=ROWS, items=ITEMS, pages=PAGES, labels=True):
+TALK = [(1, 0, "system", "be brief"), (1, 1, "user", "</s>[INST] hi"), (1, 2, "assistant", "<s>[/INST]\n"), (2, 1, "assistant", "b"), (2, 1, "assistant", "a"), (2, None, "user", None), (2, 1, "assistant", "a"), (3, 0, None, "no role"), (3, 1, "assistant", ""),
+        (None, 0, "user", "q"), (None, 1, "assistant", "a " * 20_000), (4, 0, "ro\nle\\n<s>", "<\\s> <\\\\/s> [\\INST] \\"), (4, 1, "assistant", "\\<s>\\[/INST]"), (-1, 5, "assistant", "more")]
+TALK += [(5, k, ("user", "assistant")[k % 2], f"turn {k} </s>") for k in range(150)]
+
+
+def put(spark, path, rows=ROWS, items=ITEMS, pages=PAGES, labels=True, talk=TALK):
     """The tables, with extra columns whose names operators use themselves."""
     clash = lambda df, *names: df.withColumns({n: F.lit("clash") for n in names})
     docs = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     clash(docs, "held_out", "score", "kept", "class", "label", "line", "slot", "shard", "size", "target", "bucket", "t", "n", "key", "rows", "step").repartition(4).write.parquet(f"{path}/documents.parquet")
     clash(spark.createDataFrame(items, "item_id long, text string"), "items", "n_hit").write.parquet(f"{path}/benchmark.parquet")
     clash(spark.createDataFrame(pages, "page_id long, url string"), "html", "host", "verdict", "blocked").write.parquet(f"{path}/pages.parquet")
+    clash(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"), "n", "rendered", "doc_id").repartition(3).write.parquet(f"{path}/conversations.parquet")
     lab = [(i, int(not 100 <= i < 130), int(130 <= i < 160)) for i, _, _ in rows if i is not None and i < 200] + [(None, 1, 1), (1, None, None)] if labels else []
     clash(spark.createDataFrame(lab, "doc_id long, quality int, toxic int"), "y", "source").write.parquet(f"{path}/labels.parquet")
     return str(path)
@@ -86,7 +95,7 @@ def same(rows, want, names):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = c.sql(catalog.ORACLE_SQL[name])
     rows = catalog.QUERIES[name](spark, SF).collect()
@@ -98,8 +107,9 @@ def test_against_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    folder = put(spark, tmp_path, [], [], [], False)
-    assert catalog.QUERIES[name](spark, folder).collect() == []
+    folder = put(spark, tmp_path, [], [], [], False, [])
+    rows = catalog.QUERIES[name](spark, folder).collect()
+    assert [r.conv_id for r in rows] == [-1] if name == "op11_chat_format" else rows == []
 
 
 @pytest.mark.parametrize("name, modulus, held, marked", [("op1_quality", 4, 2, lambda i: not 100 <= i < 130), ("op8_toxicity", 3, 1, lambda i: 130 <= i < 160)])
@@ -242,6 +252,49 @@ def test_mixing(got):
         assert abs(taken[round(target[s], 6)] - target[s]) <= 2 * largest
 
 
+def test_chat_format(got):
+    talk = {}
+    for c, n, r, t in [*TALK, (-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]:
+        talk.setdefault(c, []).append((n is not None, n or 0, r or "", t or ""))
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for c, rows in talk.items():
+        rows.sort()
+        lost = "".join(t for *_, r, t in rows if r == "assistant")
+        want.append((c, len(rows), digest("".join(f"{r}\n{t}\n" for *_, r, t in rows)), len(lost), digest(lost), 0))
+    same(got("op11_chat_format"), want, "conv_id n_turns turns_sha256 loss_chars loss_sha256 rewrites")
+
+
+def test_filter_audit(got):
+    from itertools import permutations
+
+    marks = {i: (not 100 <= i < 130, 130 <= i < 160) for i, _, _ in ROWS if i is not None and i < 200}
+    seen = {}
+    for i, t, _ in ROWS:
+        seen.setdefault(t or "", []).append(i)
+    flags = []
+    for i, t, _ in ROWS:
+        t = t or ""
+        w = WORD.findall(t)
+        copy = i is not None and any(k is not None and k < i for k in seen[t])
+        flags.append(((len(w) < 100, 100 * len(set(w)) < 80 * len(w), 100 * len(re.findall("[A-Z]", t)) > 10 * len(t), bool(re.search(r"[#$%&*|]", t)), copy), *marks.get(i, (False, False))))
+    cells, shapley = {}, Counter()
+    for order in permutations(range(5)):
+        for step, f in enumerate(order):
+            gone = [any(x[0][g] for g in order[:step]) for x in flags]
+            here = [x[0][f] and not g for x, g in zip(flags, gone)]
+            shapley[f] += sum(here)
+            cells[order, step] = (sum(not g and not h for g, h in zip(gone, here)), sum(here), sum(x[0][f] and g for x, g in zip(flags, gone)), sum(x[0][f] and sum(x[0]) == 1 for x in flags), sum(h and x[1] for x, h in zip(flags, here)), sum(h and x[2] for x, h in zip(flags, here)))
+    want = [("en", "".join("ABCDE"[k] for k in o), s + 1, *v, shapley[o[s]]) for (o, s), v in cells.items()]
+    same(got("op12_filter_audit"), want, "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley")
+
+
+def test_token_alignment(got):
+    from brute_alignment import alignment
+
+    same(got("op13_token_alignment"), alignment([(i, t) for i, t, _ in ROWS]), "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256")
+
+
 def test_ties_at_least_documents(spark, tmp_path):
     """Exactly as many documents as a template needs, and one fewer."""
     rows = [(k, f"own words number {chr(97 + k)}{chr(98 + k)}\nshared by just five documents" + ("\nshared by only four documents here" if k < 4 else ""), "s") for k in range(5)]
