@@ -22,6 +22,7 @@ stand; a null doc_id is kept; ties for a B id's highest count are all best; an e
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import os
 import string
@@ -228,32 +229,56 @@ def piece_facts(pieces: DataFrame) -> DataFrame:
 
 
 def documents(docs: DataFrame, facts: DataFrame, cuts: str | None) -> DataFrame:
-    """(doc_id, sums of its pieces' facts, groups): a row for each row of docs, put together from the facts of its pieces.
+    """(doc_id, sums of its pieces' facts, groups_sha256): a row for each row of docs, put together from the facts of its pieces.
 
-    Frequent pieces are looked up where the text lies; the others, named by their place in the document, go to their facts and back.
+    Facts of frequent pieces go to every task: their number is bounded by HOT_PIECES.  A document's other pieces, named by their
+    place, are joined with their facts and come back to it as one list.  What is put together is one document at a time.
     """
+    spark = docs.sparkSession
     total = facts.agg(F.coalesce(F.sum("occ"), F.lit(0))).first()[0]
     is_hot = functools.reduce(lambda a, b: a | b, ((F.length("piece") < points) & (F.col("occ") * share > total) for points, share in HOT_PIECES))
-    hot, rest = facts.filter(is_hot).drop("occ"), facts.filter(~is_hot).drop("occ")
-    one = docs.groupBy(*ROW).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    words = one.select(*ROW, "copies", F.posexplode_outer(_pieces(F.col("text"), cuts)).alias("pos", "piece"))
-    known = words.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "piece", "left")
-    ok = F.min(F.coalesce("ok", F.lit(True))).alias("ok")
-    at_hand = stored(known.groupBy(*ROW).agg(
-        F.first("copies").alias("copies"), ok, *(F.sum(s).alias(s) for s in SUMS),
-        F.collect_list(F.when(F.col("hot"), F.struct("pos", "groups"))).alias("said"), F.collect_list(F.when(F.col("hot").isNull() & F.col("piece").isNotNull(), F.struct("pos", "piece"))).alias("open")), "rows")
-    looked = at_hand.select(*ROW, F.explode("open").alias("o")).select(*ROW, "o.pos", "o.piece").join(rest, "piece")
-    fetched = looked.groupBy(*ROW).agg(F.min("ok").alias("_ok"), *(F.sum(s).alias(f"_{s}") for s in SUMS), F.collect_list(F.struct("pos", "groups")).alias("_said"))
-    x = at_hand.drop("open").join(fetched, ROW, "left")
-    said = F.array_sort(F.concat("said", F.coalesce("_said", F.array().cast("array<struct<pos:int,groups:string>>"))))
-    ok = F.col("ok") & F.coalesce("_ok", F.lit(True))
-    add = lambda s: F.when(ok, F.coalesce(s, F.lit(0)) + F.coalesce(f"_{s}", F.lit(0))).otherwise(0).cast("long").alias(s)
-    out = x.select(F.when(~F.col("none"), F.col("d")).alias("doc_id"), *(add(s) for s in SUMS), F.when(ok, F.array_join(F.transform(said, lambda x: x["groups"]), ";")).otherwise("").alias("groups"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return out.drop("_copy")
+    hot, rest = facts.filter(is_hot), facts.filter(~is_hot)
+    known = spark.sparkContext.broadcast([tuple(r) for r in hot.select("piece", "ok", "groups", *SUMS).collect()])
+    # a text travels once: both uses below read the same exchange
+    one = docs.groupBy(*ROW).agg(F.first("text").alias("text"), F.count("*").alias("copies")).filter("copies > 0")
+    words = one.select(*ROW, F.posexplode(_pieces(F.col("text"), cuts)).alias("pos", "piece"))
+    rare = words.join(F.broadcast(hot.select("piece")), "piece", "left_anti").join(rest, "piece")
+    fetched = rare.groupBy(*ROW).agg(F.min("ok").alias("ok"), *(F.sum(s).alias(s) for s in SUMS), F.collect_list(F.struct("pos", "groups")).alias("said"))
+    fetched = fetched.withColumn("said", F.transform(F.array_sort("said"), lambda x: x["groups"]))
+    x = one.join(fetched, ROW, "left").select(F.when(~F.col("none"), F.col("d")).alias("doc_id"), "copies", _pieces(F.col("text"), cuts).alias("pieces"), "ok", *SUMS, "said")
+    put = x.mapInArrow(_put_together(known), f"doc_id long, copies long, {', '.join(f'{s} long' for s in SUMS)}, groups_sha256 string")
+    return put.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+
+
+def _put_together(known):
+    names = ["doc_id", "copies", *SUMS, "groups_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        place = {row[0]: k for k, row in enumerate(known.value)}
+        ok = [row[1] for row in known.value]
+        groups = [row[2] for row in known.value]
+        sums = np.array([row[3:] for row in known.value] or [[0] * len(SUMS)], "int64")
+        for batch in batches:
+            out = []
+            for doc_id, copies, pieces, rest_ok, *rest_sums, said in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copies", "pieces", "ok", *SUMS, "said"))):
+                at = [place.get(p) for p in pieces or ()]
+                mine = [k for k in at if k is not None]
+                if not at or rest_ok is False or not all(ok[k] for k in mine):
+                    out.append((doc_id, copies, *[0] * len(SUMS), ""))
+                    continue
+                others = iter(said or ())
+                text = ";".join(next(others) if k is None else groups[k] for k in at)
+                total = sums[mine].sum(0) if mine else [0] * len(SUMS)
+                out.append((doc_id, copies, *(int(a) + (b or 0) for a, b in zip(total, rest_sums)), hashlib.sha256(text.encode()).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == names[-1] else pa.int64()) for n, c in zip(names, zip(*out) if out else [[]] * len(names))], names)
+
+    return run
 
 
 def alignment(docs: DataFrame, folder: str = VOCABULARIES) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for each row of documents."""
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row of documents."""
     rows, cuts = _key(docs), cut_pattern(folder)
     pieces = _counted(rows, cuts, folder)
     facts = piece_facts(pieces)
@@ -262,5 +287,4 @@ def alignment(docs: DataFrame, folder: str = VOCABULARIES) -> DataFrame:
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = alignment(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", *SUMS, F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
+    return alignment(table(spark, sf_dir, "documents"))
