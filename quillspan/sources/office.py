@@ -26,7 +26,7 @@ A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 EMU = 12700.0
-RAW = "doc_id string, ord int, kind string, page int, style string, numbered boolean, rtl boolean, level int, text string, rows array<array<struct<text:string,row_span:int,col_span:int,is_header:boolean>>>, asset string, digest string"
+RAW = "doc_id string, ord int, kind string, page int, style string, numbered boolean, rtl boolean, level int, text string, rows array<array<struct<text:string,row_span:int,col_span:int,is_header:boolean>>>, asset string, digest string, box struct<x0:double,y0:double,x1:double,y1:double>"
 
 
 def _opened(content: bytes) -> zipfile.ZipFile:
@@ -79,8 +79,8 @@ def docx_rows(doc_id: str, content: bytes, digest: bool = True):
         for s in _xml(z, "word/styles.xml").iter(W + "style"):
             name = s.find(W + "name")
             styles[s.get(W + "styleId")] = name.get(W + "val") if name is not None else s.get(W + "styleId")
-    out, page = [(doc_id, 0, "marker", 1, *[None] * 8)], 1
-    add = lambda *v: out.append((doc_id, len(out), *v, *[None] * (10 - len(v))))
+    out, page = [(doc_id, 0, "marker", 1, *[None] * 9)], 1
+    add = lambda *v: out.append((doc_id, len(out), *v, *[None] * (11 - len(v))))
     for e in body if body is not None else ():
         if e.tag == W + "p":
             here = page
@@ -114,45 +114,75 @@ def docx_rows(doc_id: str, content: bytes, digest: bool = True):
     return out
 
 
+def _numbers(node, first: str, second: str) -> tuple[float, float] | None:
+    return (float(node.get(first)), float(node.get(second))) if node is not None else None
+
+
+def _shapes(tree, scale=(1.0, 1.0), shift=(0.0, 0.0)):
+    """(shape, its box in slide units or None) of all shapes in order, groups opened.
+
+    A group lays its inner coordinates (chOff, chExt) over its own place (off, ext); nested groups compose.  Turns and flips are left out.
+    """
+    for s in tree:
+        if s.tag == P + "grpSp":
+            x = s.find(f"{P}grpSpPr/{A}xfrm")
+            inner, moved = scale, shift
+            if x is not None:
+                off, ext, at, size = (_numbers(x.find(A + n), *k) for n, k in (("off", "xy"), ("ext", ("cx", "cy")), ("chOff", "xy"), ("chExt", ("cx", "cy"))))
+                off, at = off or (0.0, 0.0), at or off or (0.0, 0.0)
+                grow = tuple(e / c if e is not None and c else 1.0 for e, c in zip(ext or (None, None), size or (None, None)))
+                inner = tuple(a * g for a, g in zip(scale, grow))
+                moved = tuple(t + a * (o - c * g) for t, a, o, c, g in zip(shift, scale, off, at, grow))
+            yield from _shapes(s, inner, moved)
+        elif s.tag in (P + "sp", P + "pic", P + "graphicFrame"):
+            x = s.find(f"{P}spPr/{A}xfrm")
+            x = x if x is not None else s.find(P + "xfrm")
+            off, ext = (_numbers(x.find(A + n), *k) if x is not None else None for n, k in (("off", "xy"), ("ext", ("cx", "cy"))))
+            if off is None:
+                yield s, None
+            else:
+                (x0, y0), (w, h) = (tuple(a * o + t for a, o, t in zip(scale, off, shift)), tuple(a * e for a, e in zip(scale, ext or (0.0, 0.0))))
+                yield s, (x0, y0, x0 + w, y0 + h)
+
+
 def pptx_rows(doc_id: str, content: bytes, digest: bool = True):
-    """Slides in order: marker, title, the other shapes by top and left, notes."""
+    """Slides in order: marker, title, the other shapes by top and left on the slide, with their boxes in points, notes."""
     z = _opened(content)
     rel = _targets(z, "ppt/presentation.xml")
     ids = [s.get(R + "id") for s in _xml(z, "ppt/presentation.xml").iter(P + "sldId")]
     out: list[tuple] = []
-    add = lambda *v: out.append((doc_id, len(out), *v, *[None] * (10 - len(v))))
+    add = lambda *v: out.append((doc_id, len(out), *v, *[None] * (11 - len(v))))
     for page, rid in enumerate(ids, 1):
         part = rel[rid]
         parts = _targets(z, part)
         add("marker", page, None, None, None, None, None, None)
+        tree = _xml(z, part).find(f"{P}cSld/{P}spTree")
         shapes = []
-        for s in _xml(z, part).iter():
-            if s.tag not in (P + "sp", P + "pic", P + "graphicFrame"):
-                continue
-            ph, off = next(s.iter(P + "ph"), None), next(s.iter(A + "off"), None)
+        for s, box in _shapes(tree if tree is not None else ()):
+            ph = next(s.iter(P + "ph"), None)
             title = ph is not None and ph.get("type") in ("title", "ctrTitle")
-            top, left = (int(off.get("y")), int(off.get("x"))) if off is not None else (0, 0)
-            shapes.append((not title, top, left, len(shapes), s))
-        for other, _, _, _, s in sorted(shapes, key=lambda x: x[:4]):
+            top, left = (box[1], box[0]) if box else (0.0, 0.0)
+            shapes.append((not title, top, left, len(shapes), s, box and dict(zip(("x0", "y0", "x1", "y1"), (v / EMU for v in box)))))
+        for other, _, _, _, s, box in sorted(shapes, key=lambda x: x[:4]):
             if s.tag == P + "pic":
                 blip = next(s.iter(A + "blip"), None)
-                add("image", page, None, None, None, None, None, None, *(_picture(z, parts, blip, digest) if blip is not None else (None, None)))
+                add("image", page, None, None, None, None, None, None, *(_picture(z, parts, blip, digest) if blip is not None else (None, None)), box)
                 continue
             table = next(s.iter(A + "tbl"), None)
             if table is not None:
                 rows = [[{"text": "\n".join(_text(p, A + "t", {A + "br": "\n"}).strip() for p in tc.iter(A + "p")).strip(), "row_span": 1, "col_span": 1, "is_header": r == 0} for tc in tr.findall(A + "tc")] for r, tr in enumerate(table.findall(A + "tr"))]
-                add("table", page, None, None, None, None, None, rows)
+                add("table", page, None, None, None, None, None, rows, None, None, box)
                 continue
             paragraphs = [(p, _text(p, A + "t", {A + "br": "\n"}).strip()) for p in s.iter(A + "p")]
             if not other:
                 said = " ".join(t for _, t in paragraphs if t)
                 if said:
-                    add("title", page, None, None, None, None, said, None)
+                    add("title", page, None, None, None, None, said, None, None, None, box)
                 continue
             for p, t in paragraphs:
                 if t:
                     pr = p.find(A + "pPr")
-                    add("slide_text", page, None, None, None, int(pr.get("lvl", 0)) if pr is not None else 0, t, None)
+                    add("slide_text", page, None, None, None, int(pr.get("lvl", 0)) if pr is not None else 0, t, None, None, None, box)
         notes = next((t for t in parts.values() if "notesSlide" in t), None)
         if notes:
             said = "\n".join(t for t in (_text(p, A + "t", {}).strip() for p in _xml(z, notes).iter(A + "p")) if t and not re.fullmatch(r"\d+", t))
@@ -172,7 +202,7 @@ def elements(kind: str, doc_id: str, content, wanted: set) -> list[dict]:
     try:
         rows = READERS[kind](doc_id, bytes(content() or b""), "digest" in wanted)
     except (OSError, zipfile.BadZipFile, zlib.error, ET.ParseError, KeyError, ValueError, NotImplementedError, RuntimeError) as e:
-        rows = [(doc_id, 0, "error", *[None] * 5, f"{type(e).__name__}: {e}", *[None] * 3)]
+        rows = [(doc_id, 0, "error", *[None] * 5, f"{type(e).__name__}: {e}", *[None] * 4)]
     return [dict(zip(names(RAW), r)) for r in rows]
 
 
@@ -216,7 +246,7 @@ def blocks_of(raw: DataFrame) -> DataFrame:
         F.when(kind == "paragraph", d["text"]).when(kind == "slide_text", p["text"]).otherwise(F.col("text")).alias("text"),
         F.when(kind == "paragraph", d["level"]).when(kind == "title", 1).cast("int").alias("level"),
         F.when(marked, "ar").otherwise(X.language(counts)).alias("language"), F.when(marked, "rtl").otherwise(X.direction(counts)).alias("text_direction"),
-        F.col("page").alias("source_page"), F.when(kind == "marker", F.col("page")).alias("page_marker"), "rows", (kind == "table").alias("has_header"), "asset", "digest")
+        F.col("page").alias("source_page"), F.when(kind == "marker", F.col("page")).alias("page_marker"), "rows", (kind == "table").alias("has_header"), "asset", "digest", "box")
 
 
 def titles(blocks: DataFrame) -> DataFrame:
