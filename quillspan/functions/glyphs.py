@@ -16,22 +16,20 @@ ZAPF = {
 SYMBOL = {0xAC: "←", 0xAE: "→", 0xB4: "×", 0xB7: "•", 0xD7: "×"}
 
 
-def _lookup(table: dict, code: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), code)
+FAMILIES = {"wingdings": WINGDINGS, "zapf": ZAPF, "symbol": SYMBOL}
 
 
 def mapped(code: Column, font: Column) -> Column:
     """The standard character for a code point in a font; a bullet for unknown private ones; null where nothing is to change."""
     name = F.lower(F.coalesce(font, F.lit("")))
-    private = code.between(0xE000, 0xF8FF)
-    low = F.when(code.between(0xF000, 0xF0FF), code - 0xF000).otherwise(code)
-    bullet = F.when(code >= 0xE000, "•")
-    return (
-        F.when(name.contains("wingding") | name.contains("webding"), F.coalesce(_lookup(WINGDINGS, low), bullet))
-        .when(name.contains("zapf") | name.contains("dingbat"), F.coalesce(_lookup(ZAPF, low), bullet))
-        .when(name.endswith("symbol") | name.contains("+symbol"), F.when(code.between(0xF000, 0xF0FF), _lookup(SYMBOL, low)))
-        .when(private, "•")
-    )
+    kind = F.when(name.rlike("wingding|webding"), "wingdings").when(name.rlike("zapf|dingbat"), "zapf").when(name.rlike(r"symbol\z|\+symbol"), "symbol")
+    raised = code.between(0xF000, 0xF0FF)
+    key = F.concat(kind, F.lit(":"), F.when(raised, code - 0xF000).otherwise(code).cast("string"))
+    meant = F.element_at(F.create_map(*(F.lit(x) for k, of in FAMILIES.items() for c, g in of.items() for x in (f"{k}:{c}", g))), key)
+    # the symbol font's plain codes are letters; a dingbat font has no others, so what isn't known of it is a bullet
+    known = F.when((kind != "symbol") | raised, meant)
+    unknown = F.when(kind.isNull() & code.between(0xE000, 0xF8FF) | kind.isin("wingdings", "zapf") & (code >= 0xE000), "•")
+    return F.coalesce(known, unknown)
 
 
 def clean(text: Column) -> Column:

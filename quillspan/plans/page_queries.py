@@ -7,8 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import geometry as G
 from ..operators import boxes as B, composition as C, flow as W, grids as T, layout as L, metrics as M, pages as P, review as V
 from ..sources import html as H
-from .fixtures import frame, values
-from .text_queries import t
+from .text_queries import LINES_SQL, lines, pick, pick_sql, t
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -58,44 +57,45 @@ def page_list(spark, d):
     return V.page_list(b).select(F.col("doc_id").alias("conv_id"), F.col("source_page").alias("page"))
 
 
-BLOCKS = ("doc_id string, ord int, id string, type string, source_page int, has_asset boolean, has_table boolean, page_marker int, y1 double, text string, role string, confidence double, size double", [
-    ("a", 0, "a0", "page_marker", 1, False, False, 1, None, None, None, 1.0, None), ("a", 1, "a1", "heading", 1, False, False, None, 700.0, "Title", "title", 1.0, 14.0),
-    ("a", 2, "a2", "paragraph", 1, False, False, None, 650.0, "Body one", None, 0.9, None), ("a", 3, "a3", "image", 1, False, False, None, 600.0, None, None, 1.0, None),
-    ("a", 4, "a4", "heading", 2, False, False, None, 690.0, "Part", None, 1.0, 13.5), ("a", 5, "a5", "table", 2, False, False, None, 600.0, None, None, 0.5, None),
-    ("b", 0, "b0", "page_marker", 1, False, False, None, None, None, None, 1.0, None), ("b", 1, "b1", "paragraph", 1, False, False, None, 300.0, "Low", None, 0.4, None),
-    ("b", 2, "b2", "paragraph", 1, False, False, None, 500.0, "High again", None, 0.8, None), ("b", 3, "b3", "heading", 0, False, False, None, 400.0, "Small", None, 1.0, 11.0),
-    ("c", 0, "c0", "page_marker", 1, False, False, 1, None, None, None, 1.0, None), ("c", 1, "c1", "paragraph", 1, False, False, None, 300.0, "Only", None, 1.0, None),
-])
+KINDS = ["page_marker", "heading", "paragraph", "image", "table", "paragraph", "paragraph"]
+_BLOCKS = f"""{LINES_SQL}, t AS (SELECT *, {pick_sql(KINDS, 'k')} AS type FROM l),
+b AS (SELECT doc_id, k AS ord, 'b' || k AS id, type, CASE WHEN (doc_id + k) % 61 = 0 THEN 0 ELSE 1 + k // 7 END AS source_page, (doc_id + k) % 5 <> 0 AS has_asset, (doc_id + k) % 3 <> 0 AS has_table,
+    CASE WHEN type = 'page_marker' AND doc_id % 4 <> 0 THEN 1 + k // 7 END AS page_marker, CASE WHEN (doc_id + k) % 9 <> 0 THEN 800.0 - 37 * ((k * 5 + doc_id) % 20) END AS y1, CASE WHEN k = 1 THEN 'title' END AS role, CASE WHEN type = 'heading' THEN 10.0 + (doc_id + k) % 12 END AS size FROM t)"""
 
 
-def _blocks(spark):
-    return frame(spark, *BLOCKS).withColumns({"image_asset": F.when(F.col("has_asset"), "x"), "table_structure": F.when(F.col("has_table"), "x")})
+def _blocks(spark, d):
+    """Documents' lines as blocks, seven to a page: some without what their kind needs, some out of order."""
+    k, n = F.col("k"), F.col("doc_id") + F.col("k")
+    kind, page = pick(KINDS, k), (1 + F.floor(k / 7)).cast("long")
+    return lines(spark, d).select(
+        "doc_id", k.alias("ord"), F.concat(F.lit("b"), k.cast("string")).alias("id"), kind.alias("type"), F.when(n % 61 == 0, 0).otherwise(page).cast("long").alias("source_page"), F.when(n % 5 != 0, "x").alias("image_asset"), F.when(n % 3 != 0, "x").alias("table_structure"),
+        F.when((kind == "page_marker") & (F.col("doc_id") % 4 != 0), page).alias("page_marker"), F.when(n % 9 != 0, 800.0 - 37 * ((k * 5 + F.col("doc_id")) % 20)).alias("y1"), F.when(k == 1, "title").alias("role"), F.when(kind == "heading", (10 + n % 12).cast("double")).alias("size"))
 
 
-@query(f"""WITH {values('b', *BLOCKS)}, x AS (SELECT *, CASE WHEN source_page < 1 THEN 'source_page' WHEN type = 'image' AND NOT has_asset THEN 'image_asset' WHEN type = 'table' AND NOT has_table THEN 'table_structure' WHEN type = 'page_marker' AND page_marker IS NULL THEN 'page_marker' END AS problem FROM b)
+@query(f"""WITH {_BLOCKS}, x AS (SELECT *, CASE WHEN source_page < 1 THEN 'source_page' WHEN type = 'image' AND NOT has_asset THEN 'image_asset' WHEN type = 'table' AND NOT has_table THEN 'table_structure' WHEN type = 'page_marker' AND page_marker IS NULL THEN 'page_marker' END AS problem FROM b)
 SELECT doc_id, arg_min(id, ord) AS block_id, arg_min(problem, ord) AS problem FROM x WHERE problem IS NOT NULL GROUP BY doc_id""")
 def validate_ir(spark, d):
-    return P.first_violation(_blocks(spark))
+    return P.first_violation(_blocks(spark, d))
 
 
-@query(f"""WITH {values('b', *BLOCKS)}, c AS (SELECT * FROM b WHERE type <> 'page_marker'), w AS (SELECT *, lag(source_page) OVER w AS p, lag(y1) OVER w AS y, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
-SELECT doc_id, coalesce(round_even(avg(CASE WHEN k > 1 THEN CASE WHEN source_page > p OR (source_page = p AND (y IS NULL OR y1 IS NULL OR y1 <= y + 1)) THEN 1.0 ELSE 0.0 END END), 3), 1.0) AS score FROM w GROUP BY doc_id""")
+@query(f"""WITH {_BLOCKS}, c AS (SELECT * FROM b WHERE type <> 'page_marker'), w AS (SELECT *, lag(source_page) OVER w AS p, lag(y1) OVER w AS y, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
+SELECT doc_id, coalesce(round_even(avg(CASE WHEN n > 1 THEN CASE WHEN source_page > p OR (source_page = p AND (y IS NULL OR y1 IS NULL OR y1 <= y + 1)) THEN 1.0 ELSE 0.0 END END), 3), 1.0) AS score FROM w GROUP BY doc_id""")
 def reading_plausibility(spark, d):
-    return M.plausibility(_blocks(spark))
+    return M.plausibility(_blocks(spark, d))
 
 
-@query(f"""WITH {values('b', *BLOCKS)} SELECT id, CAST(CASE WHEN size IS NULL THEN NULL WHEN role = 'title' OR size >= 1.7 * 11.0 THEN 1 WHEN size >= 1.2 * 11.0 THEN 2 ELSE 3 END AS INTEGER) AS level FROM b""")
+@query(f"""WITH {_BLOCKS} SELECT doc_id, id, CAST(CASE WHEN size IS NULL THEN NULL WHEN role = 'title' OR size >= 1.7 * 11.0 THEN 1 WHEN size >= 1.2 * 11.0 THEN 2 ELSE 3 END AS INTEGER) AS level FROM b""")
 def heading_levels(spark, d):
-    b = _blocks(spark).withColumn("level", F.lit(None).cast("int"))
+    b = _blocks(spark, d).withColumn("level", F.lit(None).cast("int"))
     sizes = b.filter("size is not null").select("doc_id", "id", "size")
-    body = b.select("doc_id").distinct().withColumn("body", F.lit(11.0))
-    return P.heading_levels(b, sizes, body).select("id", "level")
+    body = t(spark, d, "documents").select("doc_id").distinct().withColumn("body", F.lit(11.0))
+    return P.heading_levels(b, sizes, body).select("doc_id", "id", "level")
 
 
-@query(f"""WITH {values('b', *BLOCKS)}, p AS (SELECT DISTINCT doc_id, source_page AS n FROM b), m AS (SELECT DISTINCT doc_id, page_marker AS n FROM b WHERE type = 'page_marker')
+@query(f"""WITH {_BLOCKS}, p AS (SELECT DISTINCT doc_id, source_page AS n FROM b), m AS (SELECT DISTINCT doc_id, page_marker AS n FROM b WHERE type = 'page_marker')
 SELECT p.doc_id, round_even(CAST(count(m.n) AS DOUBLE) / count(*), 3) AS score FROM p LEFT JOIN m ON p.doc_id = m.doc_id AND p.n = m.n GROUP BY p.doc_id""")
 def anchor_fidelity(spark, d):
-    b = _blocks(spark)
+    b = _blocks(spark, d)
     return M.anchor_fidelity(b.select("doc_id", F.col("source_page").alias("page_number")).distinct(), b)
 
 

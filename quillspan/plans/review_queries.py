@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G, text as X
 from ..operators import layout as L, metrics as M, pages as P, review as V
 from ..sources import sinks
-from .fixtures import frame, values
 from .page_queries import _regions, _words
-from .text_queries import t
+from .text_queries import ARABIC, LATIN, pick, pick_sql, t
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -155,15 +154,17 @@ def picture_sizes(spark, d):
     return p.select("p_partkey", F.round(s["width"], 6).alias("width"))
 
 
-PRESETS = ("name string, body double, spacing double", [("Large", None, None), ("Comfortable", None, None), ("Very Large", None, None), ("Custom", 30.0, None), ("Custom", None, 2.0)])
+PRESETS = ["Large", "Comfortable", "Very Large", "Custom", "Custom", "Extra Large"]
+_PRESETS = f"v AS (SELECT c_custkey, {pick_sql(PRESETS, 'c_custkey')} AS name, CASE WHEN c_custkey % 6 = 3 THEN 18.0 + c_custkey % 20 END AS body, CASE WHEN c_custkey % 6 = 4 THEN 1.25 + c_custkey % 4 / 4.0 END AS spacing FROM customer)"
 
 
-@query(f"""WITH {values('v', *PRESETS)} SELECT v.name, CAST(coalesce(CASE WHEN v.name = 'Custom' THEN v.body END, p.pt) AS DOUBLE) AS body_pt, CAST(coalesce(CASE WHEN v.name = 'Custom' THEN v.spacing END, p.gap) AS DOUBLE) AS line_spacing
+@query(f"""WITH {_PRESETS} SELECT c_custkey, CAST(coalesce(CASE WHEN v.name = 'Custom' THEN v.body END, p.pt) AS DOUBLE) AS body_pt, CAST(coalesce(CASE WHEN v.name = 'Custom' THEN v.spacing END, p.gap) AS DOUBLE) AS line_spacing
 FROM v JOIN (VALUES ('Comfortable', 18.0, 1.4), ('Large', 20.0, 1.5), ('Extra Large', 24.0, 1.5), ('Very Large', 28.0, 1.55)) AS p(name, pt, gap) ON p.name = CASE WHEN v.name = 'Custom' THEN 'Large' ELSE v.name END""")
 def export_presets(spark, d):
-    p = frame(spark, *PRESETS)
-    x = G.preset(F.col("name"), F.col("body"), F.col("spacing"))
-    return p.select("name", x["body"].alias("body_pt"), x["spacing"].alias("line_spacing"))
+    """What customers' presets come to, some with a size or spacing of their own."""
+    k = F.col("c_custkey")
+    x = G.preset(pick(PRESETS, k), F.when(k % 6 == 3, 18.0 + k % 20), F.when(k % 6 == 4, 1.25 + k % 4 / 4))
+    return t(spark, d, "customer").select("c_custkey", x["body"].alias("body_pt"), x["spacing"].alias("line_spacing"))
 
 
 @query("SELECT doc_id, sha256(text) = sha256(CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE text END) AS ready FROM documents")
@@ -214,11 +215,14 @@ def reader_pages(spark, d):
     return sinks.reader_html(b, docs, pages).select(F.col("doc_id").alias("conv_id"), "html")
 
 
-@query("""
-SELECT doc_id, CASE WHEN contains(lower(source || '_' || lang), 'arabic') THEN 'ar' ELSE 'en' END AS hint FROM documents
+@query(f"""
+WITH x AS (SELECT doc_id, source || '_' || lang AS stem, CASE WHEN doc_id % 3 = 0 THEN translate(left(text, doc_id % 90), '{LATIN}', '{ARABIC}') ELSE text END AS sample FROM documents)
+SELECT doc_id, CASE WHEN contains(lower(stem), 'arabic') OR len(regexp_extract_all(stem || ' ' || sample, '[{X.ARABIC}]')) >= {P.ARABIC_NAME} THEN 'ar' ELSE 'en' END AS hint FROM x
 """)
 def language_hint(spark, d):
-    return t(spark, d, "documents").select("doc_id", P.language_hint(F.concat_ws("_", "source", "lang"), F.col("text")).alias("hint"))
+    """Documents with their source as file name; the beginnings of some are in Arabic letters."""
+    sample = F.when(F.col("doc_id") % 3 == 0, F.translate(F.expr("left(text, doc_id % 90)"), LATIN, ARABIC)).otherwise(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", P.language_hint(F.concat_ws("_", "source", "lang"), sample).alias("hint"))
 
 
 @query("""

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as B
 from ..operators import metrics as M
-from .fixtures import frame, values
-from .text_queries import t
+from .text_queries import pick, pick_sql, t
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -137,33 +136,47 @@ def table_quality(spark, d):
     return _grids(spark, d).select("n_nationkey", B.quality(F.col("rows"), F.lit(True)).alias("score"))
 
 
-RESULTS = ("case string, passed boolean, converted boolean, cer double, wer double, seconds_per_page double, rejected boolean, page_count int, text string, table_score double, image_retention double", [
-    ("plain", True, True, 0.0, 0.0, 0.5, False, 1, "The Law of contract", 0.0, 1.0), ("scan", True, True, 0.25, 0.5, 2.0, False, 2, "nothing", 0.0, 1.0),
-    ("table", False, True, None, None, 1.0, False, 1, "a table", 0.0, 0.0), ("bad", True, False, None, None, 9.0, True, 0, None, 0.0, 0.0), ("open", False, True, None, None, 0.5, False, 1, "x", 1.0, 1.0),
-])
-EXPECTED = ("case string, page_count int, keywords string, has_table boolean, has_images boolean, rejected boolean", [
-    ("plain", 1, "law,CONTRACT", False, False, False), ("scan", 1, "law", False, False, False), ("table", 1, "table", True, True, False), ("bad", 0, "", False, False, True), ("open", 0, "", False, False, True),
-])
+WANTED = ["the,ZZZ", "the", "ch,de", ""]
+_RESULTS = f"""r AS (SELECT doc_id, text, doc_id % 7 <> 0 AS passed, doc_id % 11 <> 0 AS converted, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 13 / 16.0 END AS cer, CASE WHEN doc_id % 3 <> 1 THEN doc_id % 5 / 8.0 END AS wer, doc_id % 9 / 4.0 + 0.25 AS seconds_per_page,
+    doc_id % 10 = 0 AS rejected, doc_id % 4 AS page_count, doc_id % 2 / 1.0 AS table_score, CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE 1.0 END AS image_retention FROM documents),
+e AS (SELECT doc_id, doc_id // 2 % 4 AS page_count, {pick_sql(WANTED, 'doc_id')} AS keywords, doc_id % 3 = 0 AS has_table, doc_id % 4 = 0 AS has_images, doc_id % 15 = 0 AS rejected FROM documents)"""
 
 
-@query(f"""WITH {values('r', *RESULTS)} SELECT count(*) AS total_cases, count(*) FILTER (passed) AS passed_cases, count(*) FILTER (NOT passed) AS failed_cases,
+def _results(spark, d):
+    """Documents as cases of an acceptance run, with what came of them."""
+    k = F.col("doc_id")
+    return t(spark, d, "documents").select(
+        k.alias("case"), "text", (k % 7 != 0).alias("passed"), (k % 11 != 0).alias("converted"), F.when(k % 3 != 0, k % 13 / 16).alias("cer"), F.when(k % 3 != 1, k % 5 / 8).alias("wer"), (k % 9 / 4 + 0.25).alias("seconds_per_page"),
+        (k % 10 == 0).alias("rejected"), (k % 4).alias("page_count"), (k % 2).cast("double").alias("table_score"), F.when(k % 5 == 0, 0.0).otherwise(1.0).alias("image_retention"))
+
+
+@query(f"""WITH {_RESULTS} SELECT count(*) AS total_cases, count(*) FILTER (passed) AS passed_cases, count(*) FILTER (NOT passed) AS failed_cases,
 round_even(avg(cer), 4) AS average_cer, round_even(avg(wer), 4) AS average_wer, round_even(avg(seconds_per_page) FILTER (converted), 3) AS average_speed FROM r""")
 def report_rollup(spark, d):
-    return M.report(frame(spark, *RESULTS))
+    return M.report(_results(spark, d))
 
 
-@query(f"""WITH {values('r', *RESULTS)}, {values('e', *EXPECTED)} SELECT r."case", concat_ws('; ', CASE WHEN e.rejected AND NOT r.rejected THEN 'not rejected' END, CASE WHEN NOT e.rejected AND r.rejected THEN 'rejected' END,
-CASE WHEN NOT e.rejected AND NOT r.rejected AND r.page_count <> e.page_count THEN 'page count' END, CASE WHEN r."case" = 'scan' THEN 'missing: law' END,
-CASE WHEN NOT e.rejected AND e.has_table AND r.table_score <= 0 THEN 'table' END, CASE WHEN NOT e.rejected AND e.has_images AND r.image_retention <= 0 THEN 'images' END) AS mismatches FROM r JOIN e ON r."case" = e."case" """)
+@query(f"""WITH {_RESULTS}, m AS (SELECT r.doc_id, e.rejected AS unwanted, r.rejected, r.page_count <> e.page_count AS pages, list_filter(string_split(e.keywords, ','), lambda k: k <> '' AND NOT contains(lower(r.text), lower(k))) AS missing,
+    e.has_table AND r.table_score <= 0 AS tables, e.has_images AND r.image_retention <= 0 AS images, NOT e.rejected AND NOT r.rejected AS served FROM r JOIN e ON r.doc_id = e.doc_id)
+SELECT doc_id AS "case", concat_ws('; ', CASE WHEN unwanted AND NOT rejected THEN 'not rejected' END, CASE WHEN NOT unwanted AND rejected THEN 'rejected' END, CASE WHEN served AND pages THEN 'page count' END,
+    CASE WHEN served AND len(missing) > 0 THEN 'missing: ' || array_to_string(missing, ', ') END, CASE WHEN served AND tables THEN 'table' END, CASE WHEN served AND images THEN 'images' END) AS mismatches FROM m""")
 def expectation_gate(spark, d):
-    e = frame(spark, *EXPECTED).withColumn("keywords", F.filter(F.split("keywords", ","), lambda k: k != ""))
-    return M.expectation_gate(frame(spark, *RESULTS), e).select("case", F.array_join("mismatches", "; ").alias("mismatches"))
+    k = F.col("doc_id")
+    e = t(spark, d, "documents").select(k.alias("case"), (F.floor(k / 2) % 4).alias("page_count"), F.filter(F.split(pick(WANTED, k), ","), lambda w: w != "").alias("keywords"), (k % 3 == 0).alias("has_table"), (k % 4 == 0).alias("has_images"), (k % 15 == 0).alias("rejected"))
+    return M.expectation_gate(_results(spark, d), e).select("case", F.array_join("mismatches", "; ").alias("mismatches"))
 
 
-@query()
+@query("""
+SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'pdf' WHEN 3 THEN 'docx' WHEN 4 THEN 'doc' ELSE CASE WHEN doc_id % 7 <> 5 AND contains(left(CASE WHEN doc_id % 7 = 2 THEN repeat('x', 1200) || text ELSE text END, 1024), '%PDF-') THEN 'pdf' END END AS type FROM documents
+""")
 def file_sniff(spark, d):
-    """Types of files by their first bytes."""
-    from ..sources import sniff
-
-    heads = [("pdf", "255044462D312E37"), ("late_pdf", "00" * 100 + "255044462D"), ("zip", "504B0304"), ("ole_doc", sniff.OLE + "WordDocument".encode("utf-16-le").hex()), ("text", "68656C6C6F"), ("empty", "")]
-    return frame(spark, "name string, hex string", heads).select("name", sniff.detect(F.unhex("hex")).alias("type"))
+    """Types of files by their content: documents behind heads of all kinds, late heads, none, and as office files."""
+    from ..sources import docx, sniff
+
+    x, k, raw = t(spark, d, "documents"), F.col("doc_id") % 7, F.col("text").cast("binary")
+    head = lambda text: F.concat(F.lit(text).cast("binary"), raw)
+    ole = F.concat(F.unhex(F.lit(sniff.OLE)), F.encode(F.lit("WordDocument"), "UTF-16LE"), raw)
+    plain = x.filter(k != 3).select("doc_id", F.when(k == 0, head("%PDF-1.7")).when(k == 1, head("\0" * 100 + "%PDF-")).when(k == 2, head("x" * 1200 + "%PDF-")).when(k == 4, ole).when(k == 5, F.lit("").cast("binary")).otherwise(raw).alias("content"))
+    none = {"level": "int", "text_direction": "string", "indent_level": "int", "page_marker": "int", "styles": "array<struct<start:int,end:int,bold:boolean,italic:boolean,underline:boolean>>", "rows": "array<array<struct<text:string,row_span:int,col_span:int,is_header:boolean>>>"}
+    blocks = x.filter(k == 3).select("doc_id", F.lit(0).alias("ord"), F.lit("paragraph").alias("type"), "text", *(F.lit(None).cast(v).alias(n) for n, v in none.items()))
+    return plain.unionByName(docx.large_print(blocks)).select("doc_id", sniff.detect(F.col("content")).alias("type"))

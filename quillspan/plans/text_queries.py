@@ -1,12 +1,11 @@
-"""Queries on text: scripts, markers, titles, labels, metrics; whole tables, and literal rows for what the tables lack."""
+"""Queries on text: scripts, markers, titles, labels, metrics, over whole tables; what these lack is put before their lines by turns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from ..functions import bidi, glyphs, text as X
 from ..operators import metrics as M, pages as P, review as V
-from .fixtures import frame, values
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -27,18 +26,31 @@ def t(spark, d, name):
 
 
 _R = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{0870}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\x{0590}-\x{05FF}\x{0700}-\x{074F}\x{0780}-\x{085F}\x{0860}-\x{086F}\x{FB1D}-\x{FB4F}"
-SAMPLES = ("id int, text string", [
-    (1, "هذا نص عربي كامل للاختبار"), (2, "This is a plain English sentence."), (3, "قضية دونوغ ضد ستيفنسون Donoghue v Stevenson [1932]"), (4, ""), (5, "--- 12345 ---"),
-    (6, "שלום עולם"), (7, "مرحبا hello world and more"), (8, "12 apples"), (9, "ab با"),
-])
-_COUNTS = f"""
-SELECT id, text, len(regexp_extract_all(text, '[{_R}]')) AS rtl, len(regexp_extract_all(regexp_replace(text, '[{_R}]', '', 'g'), '\\p{{L}}')) AS ltr
-"""
+#: Letters of texts are exchanged for these, to have right-to-left lines and numbers from the tables.
+LATIN, ARABIC, HEBREW = "etaoinshrdlu", "ابتثجحخدذرزس", "אבגדהוזחטיכל"
+
+
+def pick(values: list, k) -> Column:
+    """The value at k, counted round."""
+    return F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+
+
+def pick_sql(values: list, k: str) -> str:
+    said = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{said}])[CAST({k} AS BIGINT) % {len(values)} + 1]"
+
+
+LINES_SQL = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents)"
+
+
+def lines(spark, d, *more):
+    """(doc_id, k, line): documents' lines, numbered from 0."""
+    return t(spark, d, "documents").select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("k", "line"))
 
 
 def _scripts(df, key):
     c = X.script_counts(F.col("text"))
-    return df.select(key, c["rtl"].cast("long").alias("rtl"), c["ltr"].cast("long").alias("ltr"), X.direction(c).alias("direction"), X.language(c).alias("language"), X.is_bidi(c).alias("bidi"))
+    return df.select(*key.split(", "), c["rtl"].cast("long").alias("rtl"), c["ltr"].cast("long").alias("ltr"), X.direction(c).alias("direction"), X.language(c).alias("language"), X.is_bidi(c).alias("bidi"))
 
 
 def _scripts_sql(key, source):
@@ -53,9 +65,17 @@ def script_counts(spark, d):
     return _scripts(t(spark, d, "documents"), "doc_id")
 
 
-@query(f"WITH {values('v', *SAMPLES)} " + _scripts_sql("id", "v"))
+_MIXED = f"""WITH v AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN translate(text, '{LATIN}', '{ARABIC}') WHEN 1 THEN substr(translate(text, '{LATIN}', '{ARABIC}'), 1, 40) || text
+    WHEN 2 THEN translate(text, '{LATIN}', '{HEBREW}') WHEN 3 THEN regexp_replace(text, '[^ .,]', '1', 'g') ELSE text END AS text FROM conversations) """
+
+
+@query(_MIXED + _scripts_sql("conv_id, turn", "v"))
 def text_direction(spark, d):
-    return _scripts(frame(spark, *SAMPLES), "id")
+    """Turns of conversations with letters exchanged: Arabic, Arabic before Latin, Hebrew, numbers, and as they are."""
+    k, x = F.col("turn") % 5, F.col("text")
+    arabic = F.translate(x, LATIN, ARABIC)
+    mixed = F.when(k == 0, arabic).when(k == 1, F.concat(F.substring(arabic, 1, 40), x)).when(k == 2, F.translate(x, LATIN, HEBREW)).when(k == 3, F.regexp_replace(x, "[^ .,]", "1")).otherwise(x)
+    return _scripts(t(spark, d, "conversations").withColumn("text", mixed), "conv_id, turn")
 
 
 @query()
@@ -114,10 +134,7 @@ def dominant_language(spark, d):
     return V.dominant(t(spark, d, "documents"), ["source"], "lang", "doc_id").select("source", "lang", "n")
 
 
-MARKERS = ("id int, text string", [
-    (1, "• first point"), (2, "1.2) nested"), (3, "3 plain"), (4, "2Anna: glued"), (5, "a. lettered"), (6, "(iv) roman"), (7, "Bob: hello"), (8, "no marker here"),
-    (9, "– dash"), (10, "(12) paren"), (11, "3.14159 is pi"), (12, "12"), (13, "*"), (14, "x. not"), (15, "Extraordinarily: long"), (16, "☐ box"),
-])
+BEGINNINGS = ["• ", "1.2) ", "3 ", "2Anna: ", "a. ", "(iv) ", "Bob: ", "", "– ", "(12) ", "3.14159 ", "12", "*", "x. ", "Extraordinarily: ", "☐ "]
 _MARKER_SQL = r"""CASE WHEN regexp_matches(text, '^[•●○◦▪▫■□☐☑☒❑❒❏❐◆◇►▶➢➤→➔✓✔✗✘☆★\-–—*](\s|$)') THEN substr(text, 1, 1)
   WHEN regexp_matches(text, '^\(?\d{1,3}(\.\d{1,3})*[.)]?\s') THEN regexp_extract(text, '^(\(?\d{1,3}(?:\.\d{1,3})*[.)]?)\s', 1)
   WHEN regexp_matches(text, '^\d{1,3}[A-Z][a-z]{0,11}:\s') THEN regexp_extract(text, '^(\d{1,3})[A-Z]', 1)
@@ -126,9 +143,10 @@ _MARKER_SQL = r"""CASE WHEN regexp_matches(text, '^[•●○◦▪▫■□☐
   WHEN regexp_matches(text, '^[A-Z][a-z]{0,11}:\s') THEN regexp_extract(text, '^([A-Z][a-z]{0,11}:)', 1) END"""
 
 
-@query(f"WITH {values('v', *MARKERS)} SELECT id, {_MARKER_SQL} AS marker FROM v")
+@query(f"WITH {LINES_SQL}, v AS (SELECT doc_id, k, {pick_sql(BEGINNINGS, 'k')} || line AS text FROM l) SELECT doc_id, CAST(k AS INTEGER) AS k, {_MARKER_SQL} AS marker FROM v")
 def list_markers(spark, d):
-    return frame(spark, *MARKERS).select("id", X.list_marker(F.col("text")).alias("marker"))
+    """Documents' lines behind beginnings of all kinds."""
+    return lines(spark, d).select("doc_id", "k", X.list_marker(F.concat(pick(BEGINNINGS, F.col("k")), "line")).alias("marker"))
 
 
 _TURNS = "SELECT conv_id, turn, upper(substr(role, 1, 1)) || substr(role, 2) || ': ' || text AS text FROM conversations"
@@ -141,54 +159,66 @@ def dialogue_lines(spark, d):
     return c.select("conv_id", "turn", F.col("m").alias("marker"), X.is_dialogue(F.col("text")).alias("dialogue"), F.length(s["rest"]).cast("long").alias("rest"))
 
 
-TITLES = ("id int, stem string", [(1, "Law_of_Contract_[www.site.org]_-_2nd"), (2, "___"), (3, "[all]"), (4, " - plain - "), (5, "a  b"), (6, "Report_2024")])
+_STEMS = "CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '_') || '_[www.site.org]_-_' || p_size WHEN 1 THEN '[' || p_brand || ']' WHEN 2 THEN ' - ' || p_name || '   ' || p_type || ' - ' ELSE p_name END"
 
 
-@query(f"""WITH {values('v', *TITLES)}, s AS (SELECT id, stem, trim(regexp_replace(replace(regexp_replace(stem, '\\[[^\\]]*\\]', ' ', 'g'), '_', ' '), '\\s+', ' ', 'g'), ' -') AS x FROM v)
-SELECT id, CASE WHEN x = '' THEN stem ELSE x END AS title FROM s""")
+@query(f"""WITH v AS (SELECT p_partkey, {_STEMS} AS stem FROM part), s AS (SELECT p_partkey, stem, trim(regexp_replace(replace(regexp_replace(stem, '\\[[^\\]]*\\]', ' ', 'g'), '_', ' '), '\\s+', ' ', 'g'), ' -') AS x FROM v)
+SELECT p_partkey, CASE WHEN x = '' THEN stem ELSE x END AS title FROM s""")
 def readable_title(spark, d):
-    return frame(spark, *TITLES).select("id", X.readable_title(F.col("stem")).alias("title"))
+    """File names made of parts."""
+    return t(spark, d, "part").select("p_partkey", X.readable_title(F.expr(_STEMS)).alias("title"))
 
 
-LABELS = ("page int, printed string", [(41, "39"), (3, "3"), (7, None), (8, ""), (9, "averylongnumber"), (2, " ii ")])
+_PRINTED = "CASE conv_id % 6 WHEN 0 THEN NULL WHEN 1 THEN CAST(turn + 1 AS VARCHAR(20)) WHEN 2 THEN ' ' || (turn + 39) || ' ' WHEN 3 THEN role || role WHEN 4 THEN '' ELSE 'ii' END"
 
 
-@query(f"""WITH {values('v', *LABELS)} SELECT page, 'Original page ' || page || CASE WHEN trim(coalesce(printed, '')) NOT IN ('', CAST(page AS VARCHAR)) AND length(trim(printed)) <= 8 THEN ' (printed ' || trim(printed) || ')' ELSE '' END AS label FROM v""")
+@query(f"""WITH v AS (SELECT conv_id, turn + 1 AS page, {_PRINTED} AS printed FROM conversations)
+SELECT conv_id, page, 'Original page ' || page || CASE WHEN trim(coalesce(printed, '')) NOT IN ('', CAST(page AS VARCHAR)) AND length(trim(printed)) <= 8 THEN ' (printed ' || trim(printed) || ')' ELSE '' END AS label FROM v""")
 def page_labels(spark, d):
-    return frame(spark, *LABELS).select("page", X.page_label(F.col("page"), F.col("printed")).alias("label"))
+    """Conversations as documents, turns as pages, with printed numbers that differ, agree, are too long or are missing."""
+    page = F.col("turn") + 1
+    return t(spark, d, "conversations").select("conv_id", page.alias("page"), X.page_label(page, F.expr(_PRINTED)).alias("label"))
 
 
-CAPTIONS = ("id int, text string", [(1, "Figure 4.1: A bridge"), (2, "Figure 2 shows"), (3, "fig. 3 - x"), (4, "Table IV. Data"), (5, "Mapping things"), (6, "Photo 1 of it"), (7, "1. A note of some length"), (8, "[12] cited"), (9, "12 plain"), (10, "3. Anna: hello there")])
+CAPTIONS = ["Figure 4.1: ", "Figure 2 shows ", "fig. 3 - ", "Table IV. ", "Mapping ", "Photo 1 of ", "1. ", "[12] ", "12 ", "3. Anna: ", ""]
 
 
-@query(f"""WITH {values('v', *CAPTIONS)} SELECT id, regexp_matches(text, '(?i)^(figure|fig\\.|table|chart|diagram|map|plate|photo)\\s*[\\dIVXivx]+[\\w.\\-]*\\s*[:.\\-–]?\\s') AS caption,
+@query(f"""WITH {LINES_SQL}, v AS (SELECT doc_id, k, {pick_sql(CAPTIONS, 'k')} || line AS text FROM l) SELECT doc_id, CAST(k AS INTEGER) AS k, regexp_matches(text, '(?i)^(figure|fig\\.|table|chart|diagram|map|plate|photo)\\s*[\\dIVXivx]+[\\w.\\-]*\\s*[:.\\-–]?\\s') AS caption,
   regexp_matches(text, '^(?:\\d{{1,3}}[.)]?\\s|[*†‡¹²³]|\\[\\d{{1,3}}\\])') AS footnote, nullif(regexp_extract(text, '^\\d{{1,3}}[.)]?\\s+([A-Z][a-z]{{0,11}}:)\\s', 1), '') AS speaker FROM v""")
 def caption_lines(spark, d):
-    x = F.col("text")
-    return frame(spark, *CAPTIONS).select("id", X.is_caption(x).alias("caption"), X.starts_footnote(x).alias("footnote"), X.speaker_after_number(x).alias("speaker"))
+    x = F.concat(pick(CAPTIONS, F.col("k")), "line")
+    return lines(spark, d).select("doc_id", "k", X.is_caption(x).alias("caption"), X.starts_footnote(x).alias("footnote"), X.speaker_after_number(x).alias("speaker"))
 
 
-STYLES = ("id int, style string, text string, numbered boolean", [
-    (1, "Heading 2", "A", False), (2, "heading 9", "B", False), (3, "Title", "C", False), (4, "Subtitle", "D", False), (5, "List Bullet", "• x", False), (6, "Normal", "- y", False),
-    (7, "Normal", "z", True), (8, "Intense Quote", "q", False), (9, "Caption", "c", False), (10, "Normal", "Table 3 data", False), (11, "footnote text", "f", False), (12, "Normal", "body", False), (13, None, "•", False),
-])
+STYLES = ["Heading 2", "heading 9", "Title", "Subtitle", "List Bullet", "Normal", "Intense Quote", "Caption", "footnote text", None, "Heading0", "Normal", "Normal"]
+STARTS = ["", "• ", "", "- ", "Table 3 ", "", "figure: "]
 
 
-@query(f"""WITH {values('v', *STYLES)}, s AS (SELECT *, lower(coalesce(style, '')) AS s FROM v), k AS (SELECT *, regexp_extract(s, 'heading\\s*(\\d+)', 1) AS h FROM s)
-SELECT id, CASE WHEN h <> '' OR contains(s, 'title') THEN 'heading' WHEN contains(s, 'list') OR numbered OR regexp_matches(text, '^[•\\-*]') THEN 'list' WHEN contains(s, 'quote') THEN 'quote'
-  WHEN contains(s, 'caption') OR regexp_matches(text, '(?i)^(figure|table|جدول|شكل)\\s*[:\\d]') THEN 'caption' WHEN contains(s, 'footnote') THEN 'footnote' ELSE 'paragraph' END AS type,
-  CASE WHEN h <> '' THEN least(6, greatest(1, CAST(h AS INTEGER))) WHEN contains(s, 'title') THEN 1 END AS level FROM k""")
+@query(f"""WITH {LINES_SQL}, v AS (SELECT doc_id, k, {pick_sql(STYLES, 'k')} AS style, {pick_sql(STARTS, 'k')} || line AS text, k % 11 = 5 AS numbered FROM l), s AS (SELECT *, lower(coalesce(style, '')) AS s FROM v), h AS (SELECT *, regexp_extract(s, 'heading\\s*(\\d+)', 1) AS h FROM s),
+b AS (SELECT *, CASE WHEN h <> '' OR contains(s, 'title') THEN 'heading' WHEN contains(s, 'list') OR numbered OR regexp_matches(text, '^[•\\-*]') THEN 'list' WHEN contains(s, 'quote') THEN 'quote'
+  WHEN contains(s, 'caption') OR regexp_matches(text, '(?i)^(figure|table|جدول|شكل)\\s*[:\\d]') THEN 'caption' WHEN contains(s, 'footnote') THEN 'footnote' ELSE 'paragraph' END AS type, regexp_replace(text, '^[•\\-* \\t]+', '') AS bare FROM h)
+SELECT doc_id, CAST(k AS INTEGER) AS k, type, CASE WHEN h <> '' THEN least(6, greatest(1, CAST(h AS INTEGER))) WHEN contains(s, 'title') THEN 1 END AS level, CASE WHEN type = 'list' AND bare <> '' THEN bare ELSE text END AS text FROM b""")
 def docx_styles(spark, d):
-    b = X.docx_block(F.col("style"), F.col("text"), F.col("numbered"))
-    return frame(spark, *STYLES).select("id", b["type"].alias("type"), b["level"].alias("level"))
+    """Documents' lines as paragraphs of an office file with styles of all kinds."""
+    k = F.col("k")
+    b = X.docx_block(pick(STYLES, k), F.concat(pick(STARTS, k), "line"), k % 11 == 5)
+    return lines(spark, d).select("doc_id", "k", b["type"].alias("type"), b["level"].alias("level"), b["text"].alias("text"))
 
 
-GLYPHS = ("code int, font string", [(0x6C, "Wingdings"), (0xF0FC, "Wingdings-Regular"), (0x34, "ZapfDingbats"), (0xF0B7, "ABC+Symbol"), (0xB7, "Symbol"), (0xE123, "Arial"), (0x41, "Arial"), (0xF001, "Wingdings")])
+FONTS = ["Wingdings", "Wingdings-Regular", "ABCDEF+Webdings", "ZapfDingbats", "ITC Dingbats", "ABC+Symbol", "Symbol", "Symbola Serif", "Arial", None]
+_MEANT = ", ".join(f"('{family}', {code}, '{glyph}')" for family, of in glyphs.FAMILIES.items() for code, glyph in of.items())
 
 
-@query(f"""WITH {values('v', *GLYPHS)} SELECT code, font, CASE WHEN code = 108 THEN '●' WHEN code = 61692 THEN '✓' WHEN code = 52 THEN '✔' WHEN code = 61623 THEN '•' WHEN code IN (57635, 61441) THEN '•' END AS glyph FROM v""")
+@query(f"""WITH m(family, low, glyph) AS (VALUES {_MEANT}), v AS (SELECT DISTINCT l_partkey % 256 + CASE l_linenumber % 4 WHEN 1 THEN 61440 WHEN 2 THEN 57344 WHEN 3 THEN 65000 ELSE 0 END AS code, {pick_sql(FONTS, 'l_suppkey')} AS font FROM lineitem),
+f AS (SELECT *, lower(coalesce(font, '')) AS n, CASE WHEN code BETWEEN 61440 AND 61695 THEN code - 61440 ELSE code END AS low FROM v),
+g AS (SELECT *, CASE WHEN contains(n, 'wingding') OR contains(n, 'webding') THEN 'wingdings' WHEN contains(n, 'zapf') OR contains(n, 'dingbat') THEN 'zapf' WHEN suffix(n, 'symbol') OR contains(n, '+symbol') THEN 'symbol' END AS family FROM f)
+SELECT code, font, CASE WHEN g.family IN ('wingdings', 'zapf') THEN coalesce(m.glyph, CASE WHEN code >= 57344 THEN '•' END) WHEN g.family = 'symbol' THEN CASE WHEN code BETWEEN 61440 AND 61695 THEN m.glyph END WHEN code BETWEEN 57344 AND 63743 THEN '•' END AS glyph
+FROM g LEFT JOIN m ON m.family = g.family AND m.low = g.low""")
 def symbol_glyphs(spark, d):
-    return frame(spark, *GLYPHS).select("code", "font", glyphs.mapped(F.col("code"), F.col("font")).alias("glyph"))
+    """Codes of line items, some in the private area, in fonts of all families."""
+    base = F.element_at(F.array(*map(F.lit, (0, 61440, 57344, 65000))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    v = t(spark, d, "lineitem").select((F.col("l_partkey") % 256 + base).alias("code"), pick(FONTS, F.col("l_suppkey")).alias("font")).distinct()
+    return v.select("code", "font", glyphs.mapped(F.col("code"), F.col("font")).alias("glyph"))
 
 
 @query("""
@@ -219,7 +249,7 @@ def search_blocks(spark, d):
 
 @query("""
 SELECT p.page_id, p.m AS mutated, CASE WHEN a = '' AND b = '' THEN 0.0 WHEN a = '' THEN 1.0 ELSE levenshtein(a, b) / length(a) END AS cer
-FROM (SELECT page_id, 'x' AS m, left(regexp_replace(url, '[^a-z]', '', 'g'), 60) AS a, left(regexp_replace(replace(url, 'th', 'ht'), '[^a-z]', '', 'g'), 60) AS b FROM pages) p
+FROM (SELECT page_id, 'x' AS m, regexp_replace(url, '[^a-z]', '', 'g') AS a, regexp_replace(replace(url, 'th', 'ht'), '[^a-z]', '', 'g') AS b FROM pages) p
 """)
 def character_error_rate(spark, d):
     u = t(spark, d, "pages").select("page_id", F.lit("x").alias("mutated"), F.regexp_replace("url", "[^a-z]", "").alias("a"), F.regexp_replace(F.replace("url", F.lit("th"), F.lit("ht")), "[^a-z]", "").alias("b"))
@@ -268,13 +298,15 @@ def prune_jobs(spark, d):
     return V.stale_assets(j.crossJoin(now), F.col("_now")).select("job_id")
 
 
-ERRORS = ("id int, kind string, message string", [(1, "ValueError", "bad"), (2, "SecurityError", "File exceeds maximum allowed size (9)"), (3, "FileNotFoundError", "x"), (4, "PermissionError", "x"), (5, "TimeoutError", "x"), (6, "RuntimeError", "x"), (7, "X", "File format not recognized.")])
+KINDS = ["ValueError", "SecurityError", "FileNotFoundError", "PermissionError", "TimeoutError", "RuntimeError", "UnicodeDecodeError", "X"]
+MESSAGES = ["bad", "File exceeds maximum allowed size (9)", "x", "File format not recognized.", "again"]
 
 
-@query(f"""WITH {values('v', *ERRORS)} SELECT id, CASE WHEN contains(message, 'File format not recognized') THEN 'UNSUPPORTED_FORMAT' WHEN contains(message, 'exceeds maximum allowed size') THEN 'FILE_TOO_LARGE' WHEN contains(kind, 'FileNotFound') THEN 'FILE_NOT_FOUND' WHEN contains(kind, 'Permission') THEN 'PERMISSION_DENIED'
+@query(f"""WITH v AS (SELECT event_id, {pick_sql(KINDS, 'event_id')} AS kind, {pick_sql(MESSAGES, 'event_id')} AS message FROM events) SELECT event_id, CASE WHEN contains(message, 'File format not recognized') THEN 'UNSUPPORTED_FORMAT' WHEN contains(message, 'exceeds maximum allowed size') THEN 'FILE_TOO_LARGE' WHEN contains(kind, 'FileNotFound') THEN 'FILE_NOT_FOUND' WHEN contains(kind, 'Permission') THEN 'PERMISSION_DENIED'
 WHEN contains(kind, 'Timeout') THEN 'TIMEOUT' WHEN kind IN ('ValueError', 'UnicodeDecodeError', 'UnicodeEncodeError', 'JSONDecodeError', 'ValidationError') THEN 'INVALID_INPUT' ELSE 'CONVERSION_ERROR' END AS code FROM v""")
 def error_codes(spark, d):
-    return frame(spark, *ERRORS).select("id", X.error_code(F.col("kind"), F.col("message")).alias("code"))
+    k = F.col("event_id")
+    return t(spark, d, "events").select("event_id", X.error_code(pick(KINDS, k), pick(MESSAGES, k)).alias("code"))
 
 
 @query("""
