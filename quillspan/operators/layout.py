@@ -114,7 +114,7 @@ def embedded_original(figures_: DataFrame, images: DataFrame) -> DataFrame:
     i = _prefixed(images, "i_")
     a, b = G.coverage(box(), box("i_")), G.coverage(box("i_"), box())
     j = figures_.join(i, PAGE).withColumns({"both": F.least(a, b), "any": F.greatest(a, b)})
-    n = j.groupBy(*PAGE, "region_id").agg(F.count_if("both >= 0.85").alias("same"), F.count_if("both < 0.85 and any > 0.2").alias("other"), F.max(F.when(F.col("both") >= 0.85, F.col("i_image_id"))).alias("image_id"))
+    n = j.groupBy(*PAGE, "region_id").agg(F.count_if(F.col("both") >= 0.85).alias("same"), F.count_if((F.col("both") < 0.85) & (F.col("any") > 0.2)).alias("other"), F.max(F.when(F.col("both") >= 0.85, F.col("i_image_id"))).alias("image_id"))
     return n.filter("same = 1 and other = 0").select(*PAGE, "region_id", "image_id")
 
 

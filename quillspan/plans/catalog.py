@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import file_queries, layout_queries, page_queries, review_queries, table_queries, text_queries
+from . import file_queries, layout_queries, page_queries, part_queries, review_queries, table_queries, text_queries
 
-MODULES = (text_queries, page_queries, table_queries, review_queries, file_queries, layout_queries)
+MODULES = (text_queries, page_queries, table_queries, review_queries, file_queries, layout_queries, part_queries)
 
 
 def queries() -> dict:
