@@ -38,7 +38,7 @@ from .common import discard, stored, table
 VOCABULARIES = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pieces are broadcast that are shorter than a number of code points and make up more than one in so many of all pieces: (points, so many).
-HOT_PIECES, HOT_PAIRS = ((32, 500_000), (10_000, 1_000)), 100_000
+HOT_PIECES, HOT_PAIRS = ((24, 1_000_000), (10_000, 1_000)), 100_000
 SPACE = "▁"
 COPARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
