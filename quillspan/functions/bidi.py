@@ -1,4 +1,4 @@
-"""Exact Unicode direction and reordering, as Arrow-batched functions: bidi classes are not a built-in."""
+"""Direction and reordering: painting order as expressions on runs; exact Unicode counts and recognised lines as Arrow functions."""
 
 from __future__ import annotations
 
@@ -6,13 +6,19 @@ import unicodedata
 from itertools import groupby
 
 import pandas as pd
+from pyspark.sql import Column, functions as F
 
 from . import arrow
+from .text import RTL, SPACE
 
 # Fixed values.
 ARABIC = ((0x0600, 0x06FF), (0x0750, 0x077F), (0x0870, 0x089F), (0x08A0, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF))
 HEBREW = (0x0590, 0x05FF)
 MIRROR = dict(zip("()[]{}<>«»‹›", ")(][}{><»«›‹"))
+#: Direction by script, as character classes: right-to-left blocks, and letters, digits and spacing marks of all others.
+RIGHT, LEFT = RTL + r"\x{07C0}-\x{07FF}\x{200F}\x{10800}-\x{10FFF}\x{1E800}-\x{1EFFF}", r"\p{L}\p{Nd}\p{Nl}\p{Mc}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
+#: Characters that no text has: signs before runs.
+SIGNS = "\ufdd0\ufdd1"
 RECOGNISER_NEUTRAL = " ،؛؟"
 SENTENCE_ENDS, CLAUSE_ENDS, OPENERS = ".!؟", ":;،", ".!؟:،;"
 VISUAL_SHARE = 0.20
@@ -39,44 +45,54 @@ def exact_counts(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([counts(t) for t in text], columns=["rtl", "ltr", "digit", "other"])
 
 
-def _class(c: str) -> str:
-    if c in " \t":
-        return "space"
-    if is_arabic(c):
-        return "rtl"
-    b = unicodedata.bidirectional(c)
-    return "rtl" if b in ("R", "AL") else "ltr" if b in ("L", "EN") else "neutral"
-
-
 def _runs(items, key) -> list[list]:
     return [[k, list(g)] for k, g in groupby(items, key)]
 
 
-def paint_order(line: str, base: str = "rtl") -> str:
-    """Characters of a line in the order a left-to-right painter needs, unshaped: runs, neutrals, mirrored brackets."""
-    if not line.strip():
-        return line
-    runs = _runs(line, _class)
-    settled: list[list] = []
-    for k, (kind, chars) in enumerate(runs):
-        if kind in ("space", "neutral"):
-            before = settled[-1][0] if settled else None
-            after = runs[k + 1][0] if k + 1 < len(runs) else None
-            kind = before if before == after and before in ("rtl", "ltr") else base
-        if settled and settled[-1][0] == kind:
-            settled[-1][1] += chars
-        else:
-            settled.append([kind, list(chars)])
-    shown = ["".join(MIRROR.get(c, c) for c in reversed(cs)) if kind == "rtl" else "".join(cs) for kind, cs in settled]
-    return "".join(reversed(shown) if base == "rtl" else shown)
-
-
-def paint(text: str, base: str = "rtl") -> str:
-    out = []
-    for line in (text or "").splitlines(keepends=True):
-        end = "\r\n" if line.endswith("\r\n") else "\n" if line.endswith("\n") else ""
-        out.append(paint_order(line[: len(line) - len(end)], base) + end)
-    return "".join(out)
+def _resolved(line: Column, base: str) -> Column:
+    """array<struct<text, rtl>>: a line's runs of one kind, those without a direction settled.
+
+    What has none takes that of both its neighbours where these agree, else the base; a run beside another run without direction
+    takes the base.
+    """
+    runs = F.regexp_extract_all(line, F.lit(rf"[{RIGHT}]+|(?:(?![{RIGHT}])[{LEFT}])+|[ \t]+|(?:(?![{RIGHT}{LEFT} \t])[\s\S])+"), F.lit(0))
+    kind = lambda r: F.when(r.rlike(rf"^[{RIGHT}]"), "rtl").when(r.rlike(rf"^[{LEFT}]"), "ltr")
+    marked = F.transform(runs, lambda r: F.struct(r.alias("text"), kind(r).alias("kind")))
+
+    def settle(all_: Column) -> Column:
+        def of(r: Column, k: Column) -> Column:
+            before, after = F.get(all_, k - 1)["kind"], F.get(all_, k + 1)["kind"]
+            return F.struct(r["text"].alias("text"), (F.coalesce(r["kind"], F.when(before == after, before), F.lit(base)) == "rtl").alias("rtl"))
+
+        return F.transform(all_, of)
+
+    # settled as the one element of an array: an expression would run again at each look-up
+    return F.get(F.transform(F.array(marked), settle), F.lit(0))
+
+
+def _painted(line: Column, base: str) -> Column:
+    # runs of one direction go together: a sign stands before each, and those between equal ones fall away
+    signed = F.array_join(F.transform(_resolved(F.translate(line, SIGNS, ""), base), lambda r: F.concat(F.when(r["rtl"], SIGNS[0]).otherwise(SIGNS[1]), r["text"])), "")
+    parts = F.regexp_extract_all(signed, F.lit(f"{SIGNS[0]}[^{SIGNS[1]}]*|{SIGNS[1]}[^{SIGNS[0]}]*"), F.lit(0))
+    faced = F.transform(parts, lambda p: F.when(p.startswith(SIGNS[0]), F.reverse(F.translate(p, "".join(MIRROR) + SIGNS, "".join(MIRROR.values())))).otherwise(F.translate(p, SIGNS, "")))
+    return F.array_join(F.reverse(faced) if base == "rtl" else faced, "")
+
+
+def paint(text: Column, base: str = "rtl") -> Column:
+    """Lines of mixed script in the order in which a painter that goes from left to right needs their characters, unshaped.
+
+    Runs of right-to-left letters are turned, their brackets mirrored; with a base of right to left the runs go from the right too.  Line
+    ends stay where they are, and so do lines of white space.  A character's direction is that of its script's letters, digits and
+    spacing marks; all other characters have none.
+    """
+    lines = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
+
+    def line(x: Column) -> Column:
+        end = F.regexp_extract(x, r"\r?\n\z", 0)
+        body = F.substr(x, F.lit(1), F.length(x) - F.length(end))
+        return F.when(body.rlike(rf"^{SPACE}*\z"), x).otherwise(F.concat(_painted(body, base), end))
+
+    return F.when(text == "", text).otherwise(F.array_join(F.transform(lines, line), ""))
 
 
 def recognised(text: str) -> str:
@@ -133,6 +149,6 @@ def _text_udf(f):
     return run
 
 
-paint_rtl, reading_order, logical_order = _text_udf(paint), _text_udf(recognised), _text_udf(logical)
+reading_order, logical_order = _text_udf(recognised), _text_udf(logical)
 nfc = _text_udf(lambda t: unicodedata.normalize("NFC", t))
 ligatures = _text_udf(lambda t: "".join(unicodedata.normalize("NFKC" if "ﬀ" <= c <= "ﬆ" else "NFC", c) for c in t))

@@ -318,3 +318,28 @@ def styled_segments(spark, d):
     s = F.array(F.struct(F.lit(2).alias("start"), F.lit(6).alias("end"), F.lit(True).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("underline")), F.struct(F.lit(4).alias("start"), F.lit(9).alias("end"), F.lit(False).alias("bold"), F.lit(True).alias("italic"), F.lit(False).alias("underline")))
     x = t(spark, d, "benchmark").select("item_id", F.posexplode(X.styled_segments(F.col("text"), s)).alias("k", "seg"))
     return x.select("item_id", "k", "seg.text", F.array_join("seg.tags", "").alias("tags"))
+
+
+_FACED = "()[]{}<>«»‹›"
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, turn, CASE turn % 2 WHEN 0 THEN translate(text, '{LATIN}', '{ARABIC}') ELSE '(' || substr(translate(text, '{LATIN}', '{ARABIC}'), 1, 40) || ') ' || text END AS text FROM conversations),
+x AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM m),
+c AS (SELECT conv_id, turn, k, unnest(string_split(line, '')) AS ch, unnest(range(len(string_split(line, '')))) AS i FROM x WHERE trim(line) <> ''),
+d AS (SELECT *, CASE WHEN regexp_matches(ch, '[{_R}]') THEN 'rtl' WHEN regexp_matches(ch, '[\\p{{L}}0-9]') THEN 'ltr' WHEN ch = ' ' THEN 'space' ELSE 'none' END AS side FROM c),
+r AS (SELECT *, sum(CASE WHEN side = before THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn, k ORDER BY i) AS run FROM (SELECT *, lag(side) OVER (PARTITION BY conv_id, turn, k ORDER BY i) AS before FROM d)),
+u AS (SELECT conv_id, turn, k, run, any_value(side) AS side, string_agg(ch, '' ORDER BY i) AS said FROM r GROUP BY ALL),
+n AS (SELECT *, lag(side) OVER w AS before, lead(side) OVER w AS after FROM u WINDOW w AS (PARTITION BY conv_id, turn, k ORDER BY run)),
+f AS (SELECT *, CASE WHEN side IN ('rtl', 'ltr') THEN side WHEN before = after AND before IN ('rtl', 'ltr') THEN before ELSE 'rtl' END AS way FROM n),
+j AS (SELECT *, sum(CASE WHEN way = last THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn, k ORDER BY run) AS part FROM (SELECT *, lag(way) OVER (PARTITION BY conv_id, turn, k ORDER BY run) AS last FROM f)),
+p AS (SELECT conv_id, turn, k, part, any_value(way) AS way, string_agg(said, '' ORDER BY run) AS said FROM j GROUP BY ALL),
+o AS (SELECT conv_id, turn, k, string_agg(CASE WHEN way = 'rtl' THEN translate(array_to_string(list_reverse(string_split(said, '')), ''), '{_FACED}', ')(][}}{{><»«›‹') ELSE said END, '' ORDER BY part DESC) AS painted FROM p GROUP BY ALL)
+SELECT x.conv_id, x.turn, CAST(x.k AS INTEGER) AS k, coalesce(painted, line) AS painted FROM x LEFT JOIN o ON x.conv_id = o.conv_id AND x.turn = o.turn AND x.k = o.k
+""")
+def painted_lines(spark, d):
+    """Lines of conversations in Arabic letters, alone or in brackets before the line, in painting order."""
+    arabic = F.translate("text", LATIN, ARABIC)
+    mixed = F.when(F.col("turn") % 2 == 0, arabic).otherwise(F.concat(F.lit("("), F.substring(arabic, 1, 40), F.lit(") "), "text"))
+    c = t(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(mixed, "\n")).alias("k", "line"))
+    return c.select("conv_id", "turn", "k", bidi.paint(F.col("line")).alias("painted"))

@@ -30,10 +30,10 @@ def test_markers(spark):
     assert tuple(r) == ("1.", "Go on")
 
 
-def test_reordering():
-    assert bidi.paint_order("abc", "ltr") == "abc"
-    assert bidi.paint("(ש) Smith v Jones\r\n").endswith("\r\n") and "Smith v Jones" in bidi.paint("(ש) Smith v Jones\r\n")
-    assert bidi.paint_order("(אב)") == "(בא)"
+def test_reordering(spark):
+    painted = one(spark, "(ש) Smith v Jones\r\n", bidi.paint)
+    assert painted.endswith("\r\n") and "Smith v Jones" in painted
+    assert one(spark, "abc", lambda c: bidi.paint(c, "ltr")) == "abc" and one(spark, "(אב)", bidi.paint) == "(בא)"
     assert bidi.recognised("12 بأ") == "أب 12"
     assert bidi.logical("plain text") == "plain text"
     assert bidi.logical_line("هذا نص عربي") == "هذا نص عربي"
