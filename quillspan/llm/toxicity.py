@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on the training fold's texts, one on
-ordinary text, one on toxic text.  A document is cut into windows of a few words, twice, so that what one cut
+Two zstandard dictionaries are made from the training fold's texts: one by zstandard's
+trainer from ordinary text, one by contrast from toxic text, mostly words that mark it.  A document is cut into windows of a few words, twice, so that what one cut
 parts the other leaves whole; each
 window is compressed with the ordinary dictionary alone and with the toxic one
 laid over it.  The bytes that the toxic dictionary saves are counted over all windows
