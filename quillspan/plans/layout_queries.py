@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fonts as N
 from ..operators import characters as H, layout as L, paging as S
 from .text_queries import t
 
@@ -100,3 +101,18 @@ def output_sheets(spark, d):
     kind = F.when((k % 9).isin(1, 2), "heading").when(k % 9 == 5, "diagram").when(k % 3 == 0, "list").otherwise("paragraph")
     b = x.select("doc_id", "ord", kind.alias("type"), F.lit(2).alias("level"), "text", (1 + F.floor(k / 12)).cast("long").alias("source_page"), F.when(k % 9 == 5, (100 + F.col("doc_id") % 700).cast("double")).alias("points"))
     return S.sheets(S.on_sheets(S.measured(b)))
+
+
+#: What two fonts cover: the main one has the letters of English, the other those of the tables' other languages.
+MAIN_FONT, OTHER_FONT = [(0x20, 0x7E), (0xA0, 0xE0)], [(0x20, 0x17F)]
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
+r AS (SELECT doc_id, k, unnest(regexp_extract_all(line, '[\x{{E1}}-\x{{17F}}]+|[^\x{{E1}}-\x{{17F}}]+')) AS text, unnest(range(len(regexp_extract_all(line, '[\x{{E1}}-\x{{17F}}]+|[^\x{{E1}}-\x{{17F}}]+')))) AS run FROM l)
+SELECT doc_id, CAST(k AS INTEGER) AS k, CAST(run AS INTEGER) AS run, text, regexp_matches(text, '^[\x{{E1}}-\x{{17F}}]') AS fallback FROM r
+""")
+def font_runs(spark, d):
+    """Documents' lines cut where a fallback font has to show what the main one lacks."""
+    x = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    return x.select("doc_id", "k", F.posexplode(N.runs(F.col("line"), N.lacking(MAIN_FONT, OTHER_FONT))).alias("run", "r")).select("doc_id", "k", "run", "r.text", "r.fallback")
