@@ -1,16 +1,19 @@
 """Tables of a page: where ruling lines make a grid, and the grid of a region from its lines or its white space.
 
 A table is one row of a DataFrame, with its words as an array: columns come from counting how many rows cover each point and taking the
-gaps between points that enough rows cover; rows run together in one fold.  Nothing is shuffled.
+gaps between points that enough rows cover; both by numbers that an Arrow function gets as flat arrays, while texts stay in Spark.  All steps
+grow with a table's words, not with their square.  Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text as X
+from ..functions import arrow, text as X
 from .boxes import union
-from .flow import CELL_LEVEL, CELL_ROWS, let, middle, row_numbers, settled
+from .flow import CELL_LEVEL, CELL_ROWS, let, settled
 
 # Fixed values.
 SAME_HEIGHT, LEAST_VERTICALS, LEAST_LEVELS, LEVEL_REACH, LEVEL_SLACK = 4.0, 3, 2, 6.0, 3.0
@@ -63,34 +66,99 @@ def ruling(region: Column, rules: Column) -> Column:
     return F.struct(F.array_sort(F.transform(inner, _x)).alias("vx"), F.transform(long, lambda v: (v["a"] + v["b"]) / 2).alias("hy"))
 
 
-def _apart(vx: Column, step: Column) -> Column:
+def _apart(vx: np.ndarray, step: float) -> np.ndarray:
     """Places without those that follow the one kept before too closely."""
-    put = lambda acc, x: F.when(F.coalesce(x - F.get(acc, F.size(acc) - 1) <= step, F.lit(False)), acc).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(vx, F.array().cast("array<double>"), put)
+    kept: list[float] = []
+    for x in vx:
+        if not kept or x - kept[-1] > step:
+            kept.append(x)
+    return np.array(kept)
+
+
+def free_columns(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, left: float, size: float) -> np.ndarray:
+    """Places between columns: the middles of stretches that (nearly) all rows leave free."""
+    point = lambda x: np.maximum(0, np.floor(x - left)).astype(np.int64)
+    a, b = point(np.minimum(x0, x1)), point(np.maximum(x0, x1))
+    # each row covers its points once: its spans that meet are one, rows laid end to end
+    base = row * (int(b.max()) + 2)
+    order = np.lexsort((a, row))
+    low, reach = (a + base)[order], np.maximum.accumulate((b + base)[order])
+    first = np.flatnonzero(np.r_[True, low[1:] > reach[:-1]])
+    last = np.r_[first[1:] - 1, len(low) - 1]
+    at, which = np.unique(np.r_[low[first] - base[order][first], reach[last] - base[order][last] + 1], return_inverse=True)
+    covering = np.cumsum(np.bincount(which[: len(first)], minlength=len(at)) - np.bincount(which[len(first) :], minlength=len(at)))
+    held = np.flatnonzero(covering > np.floor(COVERED * len(np.unique(row))))
+    a, b = at[held[:-1] + 1] - 1, at[held[1:]]
+    wide = b - a - 1 >= max(LEAST_GAP, GAP * size)
+    return left + (a[wide] + 1 + b[wide]) / 2
+
+
+def _rows(cy: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """`flow.row_numbers` of a table's words in order of height, with the middles of the rows still open at hand."""
+    out = np.empty(len(cy), dtype=np.int64)
+    opened: list[list] = []  # number and type size of a row, the latest first
+    middles: list[list[float]] = []
+    for i, (y, s) in enumerate(zip(cy.tolist(), size.tolist())):
+        for r in opened:
+            m = middles[r[0]]
+            last = len(m) - 1
+            if abs(y - (m[last // 2] + m[-(-last // 2)]) / 2) <= CELL_LEVEL * max(r[1], s, 1.0):
+                m.append(y)
+                r[1] = max(r[1], s)
+                break
+        else:
+            r = [len(middles), s]
+            middles.append([y])
+            if len(opened) == CELL_ROWS:
+                middles[opened.pop()[0]] = []
+            opened.insert(0, r)
+        out[i] = r[0]
+    return out
+
+
+def laid_out(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, size: np.ndarray, bold: np.ndarray, vx: np.ndarray, hy: np.ndarray, left: float) -> dict:
+    """The visual row, row of the grid (g) and column (c) of each word of a table, its words in order of height; how many columns, and how
+    many words lie in each cell and those before it."""
+    n = len(x0)
+    if not n:
+        return {"row": [], "g": [], "c": [], "cols": 1, "ends": []}
+    number = _rows((y0 + y1) / 2, size)
+    order = np.argsort(number, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(number[order]) > 0])
+    # rows from the top: by height of their highest word
+    top = np.minimum.reduceat(y0[order], first)
+    place = np.empty(len(top), dtype=np.int64)
+    place[np.lexsort((np.arange(len(top)), top))] = np.arange(len(top))
+    row = place[number]
+    s = np.sort(size)
+    middle_size = (s[(n - 1) // 2] + s[n // 2]) / 2
+    edges = np.zeros(0) if n < LEAST_WORDS else _apart(vx, COLUMN_STEP * middle_size) if len(vx) else free_columns(row, x0, x1, left, middle_size)
+    col = np.searchsorted(np.sort(edges), (x0 + x1) / 2, side="left")
 
-
-def free_columns(words: Column, left: Column, size: Column) -> Column:
-    """Places between columns: the middles of stretches that (nearly) all rows leave free.  words have `row`."""
-    point = lambda x: F.greatest(F.lit(0), F.floor(x - left)).cast("int")
-    # each row covers its points once
-    spans = F.transform(words, lambda w: F.struct(w["row"].alias("row"), point(w["x0"]).alias("a"), point(w["x1"]).alias("b")))
-    rows = F.transform(F.array_distinct(words["row"]), lambda k: F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["row"] == k), lambda s: F.sequence(s["a"], s["b"])))))
-
-    def runs(covered: Column) -> Column:
-        """Points that enough rows cover, as runs (first, last)."""
-        def step(acc: Column, p: Column) -> Column:
-            last = F.get(acc, F.size(acc) - 1)
-            again = F.struct(last["p"].alias("p"), (last["n"] + 1).alias("n"))
-            return F.when(F.coalesce(last["p"] == p, F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(again))).otherwise(F.concat(acc, F.array(F.struct(p.alias("p"), F.lit(1).alias("n")))))
-
-        counted = F.aggregate(F.array_sort(F.flatten(covered)), F.array().cast("array<struct<p:int,n:int>>"), step)
-        return F.transform(F.filter(counted, lambda x: x["n"] > F.floor(COVERED * F.size(covered))), lambda x: x["p"])
-
-    def gaps(held: Column) -> Column:
-        pairs = F.transform(held, lambda p, i: F.struct(F.get(held, i - 1).alias("a"), p.alias("b")))
-        return F.transform(F.filter(pairs, lambda g: F.coalesce(g["b"] - g["a"] - 1 >= F.greatest(F.lit(LEAST_GAP), GAP * size), F.lit(False))), lambda g: left + (g["a"] + 1 + g["b"]) / 2)
-
-    return let(let(rows, runs), gaps)
+    # rows that go on with the one above: with lines, where none parts them; without, where the first cell is empty and the gap small;
+    # plain rows never go on with a bold first row
+    order = np.argsort(row, kind="stable")
+    tops, bottoms = np.minimum.reduceat(y0[order], first := np.flatnonzero(np.r_[True, np.diff(row[order]) > 0])), np.maximum.reduceat(y1[order], first)
+    least, bolds = np.minimum.reduceat(col[order], first), np.logical_and.reduceat(bold[order], first)
+    above = np.maximum.accumulate(np.r_[-1e12, bottoms])[:-1]
+    levels = np.sort(hy)
+    parted = np.searchsorted(levels, tops + 1, side="right") > np.searchsorted(levels, above - 1, side="left")
+    close = (least > 0) & (tops - above < GAP * middle_size)
+    on = (~parted if len(hy) >= 2 else close).copy()
+    on[0] = False
+    # the first plain row after bold ones alone, if these are all in the first row of the grid
+    plain = int(np.argmin(bolds)) if not bolds.all() else 0
+    if plain and on[1:plain].all():
+        on[plain] = False
+    g, cols = (np.cumsum(~on) - 1)[row], len(edges) + 1
+    return {"row": row, "g": g, "c": col, "cols": cols, "ends": np.cumsum(np.bincount(g * cols + col, minlength=(int(g.max()) + 1) * cols))}
+
+
+@arrow("struct<row:array<int>,g:array<int>,c:array<int>,cols:int,ends:array<int>>")
+def _layout(x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series, size: pd.Series, bold: pd.Series, vx: pd.Series, hy: pd.Series, left: pd.Series) -> pd.DataFrame:
+    numbers = lambda a, kind=float: np.array(a if a is not None else (), dtype=kind)
+    found = [laid_out(*map(numbers, of[:5]), numbers(of[5], bool), *map(numbers, of[6:8]), of[8]) for of in zip(x0, x1, y0, y1, size, bold, vx, hy, left)]
+    return pd.DataFrame(found, columns=["row", "g", "c", "cols", "ends"])
 
 
 _WORD = ("word_id", "text", "x0", "y0", "x1", "y1", "size", "bold", "confidence")
@@ -101,40 +169,21 @@ def built(regions: DataFrame) -> DataFrame:
     real = F.filter("words", lambda w: X.strip(w["text"]) != "")
     by_height = F.array_sort(F.transform(real, lambda w: F.struct(_y(w).alias("cy"), w["x0"].alias("at"), *[w[c].alias(c) for c in _WORD])))
     r = settled(regions.withColumn("_w", by_height))
-    r = settled(r.withColumns({"_rows": row_numbers(F.col("_w"), CELL_LEVEL, CELL_ROWS, None), "_size": middle(F.transform("_w", lambda w: w["size"]))}))
-    # rows from the top: their numbers by height of their highest word
-    tops = F.array_sort(F.transform(F.array_distinct("_rows"), lambda k: F.struct(F.array_min(F.transform(F.filter(F.arrays_zip("_w", "_rows"), lambda x: x["_rows"] == k), lambda x: x["_w"]["y0"])).alias("top"), k.alias("row"))))
-    r = settled(r.withColumn("_order", F.transform(tops, lambda t: t["row"])))
-    ranked = F.transform(F.arrays_zip("_w", "_rows"), lambda x: F.struct((F.array_position("_order", x["_rows"]) - 1).cast("int").alias("row"), *[x["_w"][c].alias(c) for c in _WORD]))
-    r = settled(r.withColumn("_w", ranked))
-    edges = F.when(F.size("ruling.vx") > 0, _apart(F.col("ruling.vx"), COLUMN_STEP * F.col("_size"))).otherwise(free_columns(F.col("_w"), F.col("x0"), F.col("_size")))
-    r = settled(r.withColumn("_edges", F.when(F.size("_w") >= LEAST_WORDS, edges).otherwise(F.array().cast("array<double>"))))
-    r = settled(r.withColumn("_w", F.transform("_w", lambda w: F.struct(w["row"].alias("row"), F.size(F.filter("_edges", lambda e: e < _x(w))).alias("col"), *[w[c].alias(c) for c in _WORD]))))
-
-    # rows that go on with the one above: with lines, where none parts them; without, where the first cell is empty and the gap small;
-    # plain rows never go on with a bold first row
-    def row_facts(_: Column, k: Column) -> Column:
-        mine = F.filter("_w", lambda w: w["row"] == k)
-        return F.struct(F.array_min(mine["y0"]).alias("top"), F.array_max(mine["y1"]).alias("bottom"), F.forall(mine, lambda w: w["bold"]).alias("bold"), F.array_min(mine["col"]).alias("least"))
-
-    r = settled(r.withColumn("_facts", F.transform("_order", row_facts)))
+    each = lambda k: F.transform("_w", lambda w: w[k])
+    r = r.withColumn("_at", _layout(each("x0"), each("x1"), each("y0"), each("y1"), each("size").cast("array<double>"), F.transform("_w", lambda w: F.coalesce(w["bold"], F.lit(False))), "ruling.vx", "ruling.hy", F.col("x0").cast("double")))
+    zipped = F.arrays_zip("_w", F.col("_at.row").alias("row"), F.col("_at.g").alias("g"), F.col("_at.c").alias("c"))
+    r = settled(r.withColumns({
+        "_w": F.array_sort(F.transform(zipped, lambda x: F.struct(x["g"].alias("g"), x["c"].alias("c"), x["row"].alias("row"), *[x["_w"][c].alias(c) for c in ("x0", "word_id", "text", "bold", "confidence", "y1")]))),
+        "_cols": F.col("_at.cols"), "_ends": F.col("_at.ends"), "_n": F.nullif((F.size("_at.ends") / F.col("_at.cols")).cast("int"), F.lit(0))}).drop("_at"))
     hy = F.col("ruling.hy")
 
-    def step(s: Column, x: Column) -> Column:
-        parted = F.exists(hy, lambda y: y.between(s["bottom"] - 1, x["top"] + 1))
-        close = (x["least"] > 0) & (x["top"] - s["bottom"] < GAP * F.col("_size"))
-        under_head = (s["g"] == 0) & s["head"] & ~x["bold"]
-        goes_on = (s["g"] >= 0) & F.when(F.size(hy) >= 2, ~parted).otherwise(close) & ~under_head
-        g = F.when(goes_on, s["g"]).otherwise(s["g"] + 1)
-        return F.struct(g.alias("g"), F.greatest(s["bottom"], x["bottom"]).alias("bottom"), (F.when(s["g"] < 0, x["bold"]).otherwise(s["head"] & x["bold"])).alias("head"), F.concat(s["out"], F.array(g)).alias("out"))
-
-    start = F.struct(F.lit(-1).alias("g"), F.lit(-1e12).alias("bottom"), F.lit(True).alias("head"), F.array().cast("array<int>").alias("out"))
-    r = settled(r.withColumn("_g", F.aggregate("_facts", start, step, lambda s: s["out"])))
-    r = settled(r.withColumns({"_w": F.transform("_w", lambda w: F.struct(F.get(F.col("_g"), w["row"]).alias("g"), w["col"].alias("c"), w["row"].alias("row"), *[w[c].alias(c) for c in ("x0", "word_id", "text", "bold", "confidence", "y1")])), "_n": F.array_max("_g") + 1, "_cols": F.size("_edges") + 1}))
-    of = lambda i, c: F.filter("_w", lambda w: (w["g"] == i) & (w["c"] == c))
-    said = lambda ws: F.array_join(F.transform(F.array_sort(F.transform(ws, lambda w: F.struct(w["row"].alias("row"), w["x0"].alias("x0"), w["word_id"].alias("id"), w["text"].alias("text")))), lambda w: w["text"]), " ")
-    table = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: said(of(i, c))))
-    r = settled(r.withColumn("_text", F.when((F.size("_edges") > 0) & (F.col("_n") > 0), table)))
+    # words are sorted by cell and place in it, so that each cell's are a slice
+    def said(k: Column) -> Column:
+        start = F.coalesce(F.get("_ends", k - 1), F.lit(0))
+        return F.array_join(F.transform(F.slice("_w", start + 1, F.get("_ends", k) - start), lambda w: w["text"]), " ")
+
+    table = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: said(i * F.col("_cols") + c)))
+    r = settled(r.withColumn("_text", F.when((F.col("_cols") > 1) & (F.col("_n") > 0), table)))
     head, body = F.filter("_w", lambda w: w["g"] == 0), F.filter("_w", lambda w: w["g"] > 0)
     lone = F.col("_n") == 1
     first_cells = F.size(F.array_distinct(F.transform(head, lambda w: w["c"])))
@@ -142,9 +191,9 @@ def built(regions: DataFrame) -> DataFrame:
     below = let(F.array_max(F.transform("_w", lambda w: w["y1"])), lambda b: F.size(F.filter(hy, lambda y: y > b + 2)))
     filled = F.size(F.array_distinct(F.transform("_w", lambda w: w["g"] * 10_000 + w["c"]))) / (F.col("_n") * F.col("_cols"))
     sure = F.when((F.size("ruling.vx") > 0) | (F.size(hy) >= 2), SURE_RULED).when(filled >= FULL, SURE_FULL).otherwise(UNSURE)
-    r = r.withColumns({
+    r = settled(r.withColumns({
         "_head": F.when(lone, True).otherwise(F.forall(head, lambda w: w["bold"]) & bold_body), "_sure": F.when(lone, SURE_FULL).otherwise(F.least(sure, F.array_min(F.transform("_w", lambda w: w["confidence"])))),
-        "_empty": F.when(lone, F.greatest(F.lit(1), F.least(F.lit(MOST_EMPTY_ROWS), below - 1))).otherwise(0), "_ok": F.col("_text").isNotNull() & (~lone | (first_cells >= 2))})
+        "_empty": F.when(lone, F.greatest(F.lit(1), F.least(F.lit(MOST_EMPTY_ROWS), below - 1))).otherwise(0), "_ok": F.col("_text").isNotNull() & (~lone | (first_cells >= 2))}))
     blank = F.array_repeat(F.array_repeat(F.lit(""), F.col("_cols")), F.col("_empty"))
     cells = F.transform(F.concat("_text", blank), lambda row, i: F.transform(row, lambda t: F.struct(t.alias("text"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), (F.col("_head") & (i == 0)).alias("is_header"))))
     grid = F.struct(cells.cast(CELLS).alias("rows"), F.col("_head").alias("has_header"), F.col("_sure").alias("confidence"))
