@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from quillspan.operators import grids as T
+from quillspan.operators import grids as T, layout as L
 
 
 def test_a_grid_of_thousands_of_rows(spark):
@@ -17,3 +17,22 @@ def test_a_grid_of_thousands_of_rows(spark):
     start = time.time()
     g = T.built(region).select("grid.has_header", F.transform("grid.rows", lambda r: F.transform(r, lambda c: c["text"])).alias("rows")).first()
     assert g.has_header and g.rows == said and time.time() - start < 40
+
+
+def test_recognised_words_are_not_shuffled(spark):
+    """A line of many words and tokens is worked out in its row, with the same words as a short one."""
+    n = 30_000
+    text = " ".join(f"w{k}" for k in range(n))
+    rows = [(1, text, [(f"w{k}", float(k), k + 0.5) for k in range(n)]), (2, text, None), (3, "a bc", [("a", 0.0, 1.0), ("b", 2.0, 3.0), ("c", 3.0, 4.0)]), (4, "a b", [("a", 0.0, 1.0)]), (5, None, None), (6, " ", [])]
+    x = spark.createDataFrame(rows, "line_id int, text string, tokens array<struct<text:string,x0:double,x1:double>>")
+    x = x.selectExpr("1L as doc_id", "1 as page_number", "*", "0D as x0", "0D as y0", "100D as x1", "10D as y1", "0.9D as confidence")
+    start = time.time()
+    for lines in (x, x.drop("tokens")):
+        words = L.ocr_words(lines)
+        assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+        got = {(r.line_id, r.k): (r.text, r.x0, r.x1) for r in words.collect()}
+        assert len(got) == 2 * n + 4 and all(got[i, k][0] == f"w{k}" for i in (1, 2) for k in range(n))
+        if "tokens" in lines.columns:
+            assert got[1, n - 1] == (f"w{n - 1}", n - 1.0, n - 0.5) and (got[3, 0], got[3, 1]) == (("a", 0.0, 1.0), ("bc", 2.0, 4.0))
+        assert got[2, n - 1][2] == 100.0 and got[4, 1] == ("b", 2 * (100 / 3), 100.0)
+    assert time.time() - start < 40
