@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from . import arrow
 from .text import SPACE, strip
 
 # Fixed values.
@@ -130,18 +132,37 @@ def fit(rows: Column, m: Column, available: Column, points: Column) -> Column:
     return F.struct(tier.alias("tier"), widths.alias("widths"), _total(widths).alias("total"), (tier != "enlarged").alias("warned"))
 
 
+@arrow("array<boolean>")
+def _seen(sizes: pd.Series, down: pd.Series, across: pd.Series) -> pd.Series:
+    """Which cells of a grid, in order, no visible one before covers: for each column the row up to which it is covered."""
+    def of(sizes, down, across) -> list[bool]:
+        n, m = len(sizes), int(max(sizes, default=0))
+        spans = zip(pd.Series(down).fillna(n).tolist(), pd.Series(across).fillna(m).tolist())
+        until = [0] * m
+        out = []
+        for r, size in enumerate(sizes):
+            for c in range(int(size)):
+                rows, columns = next(spans)
+                out.append(until[c] <= r)
+                if out[-1]:
+                    for k in range(c, c + max(1, min(int(columns), m - c))):
+                        until[k] = max(until[k], r + max(1, min(int(rows), n - r)))
+        return out
+
+    return pd.Series([of(*x) if x[1] is not None else None for x in zip(sizes, down, across)])
+
+
 def visible_cells(rows: Column) -> Column:
     """array<struct(r, c, text, rs, cs)>: cells that no earlier visible cell's span covers, spans cut at the grid's edge.
 
-    A fold over the cells in order that keeps the visible ones, so that a covered cell's own span covers nothing.
+    The cells are gone through in order, so that a covered cell's own span covers nothing.
     """
-    n, m = F.size(rows), column_count(rows)
-    flat_cells = F.flatten(F.transform(rows, lambda row, r: F.transform(row, lambda c, k: F.struct(
+    cut = lambda s: F.flatten(F.transform(rows, lambda row, r: F.transform(row, lambda c, k: F.struct(
         r.alias("r"), k.alias("c"), c["text"].alias("text"),
-        F.greatest(F.lit(1), F.least(c["row_span"], n - r)).alias("rs"), F.greatest(F.lit(1), F.least(c["col_span"], m - k)).alias("cs")))))
-    covered = lambda a, x: F.exists(a, lambda v: (x["r"] >= v["r"]) & (x["r"] < v["r"] + v["rs"]) & (x["c"] >= v["c"]) & (x["c"] < v["c"] + v["cs"]))
-    start = F.array().cast("array<struct<r:int,c:int,text:string,rs:int,cs:int>>")
-    return F.aggregate(flat_cells, start, lambda a, x: F.when(covered(a, x), a).otherwise(F.concat(a, F.array(x))))
+        F.greatest(F.lit(1), F.least(c["row_span"], s["n"] - r)).alias("rs"), F.greatest(F.lit(1), F.least(c["col_span"], s["m"] - k)).alias("cs")))))
+    cells = F.get(F.transform(F.array(F.struct(F.size(rows).alias("n"), column_count(rows).alias("m"))), cut), F.lit(0))
+    seen = _seen(F.transform(rows, F.size), F.flatten(rows)["row_span"], F.flatten(rows)["col_span"])
+    return F.transform(F.filter(F.arrays_zip(cells.alias("cell"), seen.alias("seen")), lambda x: x["seen"]), lambda x: x["cell"])
 
 
 def structure_score(ref: Column, hyp: Column) -> Column:
@@ -159,6 +180,7 @@ def structure_score(ref: Column, hyp: Column) -> Column:
 def quality(rows: Column, has_header: Column) -> Column:
     n = column_count(rows)
     cells = F.flatten(rows)
-    even = F.size(F.filter(rows, lambda r: F.size(r) == F.greatest(n, F.lit(1)))) / F.size(rows)
+    # the widest row is looked for once, not for each row
+    even = F.get(F.transform(F.array(F.greatest(n, F.lit(1))), lambda n: F.size(F.filter(rows, lambda r: F.size(r) == n))), F.lit(0)) / F.size(rows)
     full = F.when(F.size(cells) > 0, F.size(F.filter(cells, lambda c: strip(F.coalesce(c["text"], F.lit(""))) != "")) / F.size(cells)).otherwise(0.0)
     return F.when(F.size(rows) > 0, F.bround(0.4 * even + 0.4 * full + 0.2 * F.when(has_header, 1.0).otherwise(0.5), 3)).otherwise(0.0)

@@ -31,7 +31,8 @@ def grid_html(rows: Column, caption: Column) -> Column:
     seen = B.visible_cells(rows)
     full = F.transform(seen, lambda v: F.struct(v["r"].alias("r"), v["text"].alias("text"), v["rs"].alias("rs"), v["cs"].alias("cs"), F.coalesce(F.get(F.get(rows, v["r"]), v["c"])["is_header"], F.lit(False)).alias("is_header")))
     n = F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)))
-    body = F.array_join(F.transform(n, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(full, lambda v: v["r"] == r), cell), ""), F.lit("</tr>"))), "")
+    line = lambda full, r: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(full, lambda v: v["r"] == r), cell), ""), F.lit("</tr>"))
+    body = F.get(F.transform(F.array(full), lambda full: F.array_join(F.transform(n, lambda r: line(full, r)), "")), F.lit(0))
     return F.concat(F.lit("<table>"), F.when(F.length(caption) > 0, _tag("caption", X.html_escape(caption))).otherwise(""), body, F.lit("</table>"))
 
 
