@@ -27,6 +27,15 @@ def parted(low: np.ndarray, high: np.ndarray, slack: float) -> np.ndarray:
     return number
 
 
+def columns_of(spans: np.ndarray) -> np.ndarray:
+    """Intervals (low, high) that free spaces part, from intervals in any order."""
+    number = parted(spans[:, 0], spans[:, 1], SLACK_X)
+    out = np.stack([np.full(number.max() + 1, np.inf), np.full(number.max() + 1, -np.inf)], axis=1)
+    np.minimum.at(out[:, 0], number, spans[:, 0])
+    np.maximum.at(out[:, 1], number, spans[:, 1])
+    return out
+
+
 def reading_order(b: np.ndarray, rtl: bool = False) -> list[int]:
     """The order in which boxes (rows of x0, y0, x1, y1) are read.
 
@@ -40,13 +49,21 @@ def reading_order(b: np.ndarray, rtl: bool = False) -> list[int]:
         these = todo.pop()
         band = parted(b[these, 1], b[these, 3], SLACK_Y) if len(these) else np.zeros(0, np.int64)
         gutters = lambda which: parted(b[which, 0], b[which, 2], SLACK_X)
+        in_bands = np.argsort(band, kind="stable")
+        first = np.searchsorted(band[in_bands], np.arange(int(band.max()) + 2 if len(band) else 1))
+        of = lambda k, end: these[np.sort(in_bands[first[k] : first[end]])]
         # from the bottom up, so that what is read first is on top of the pile
         pile, k, last = [], 0, int(band.max()) + 1 if len(band) else 0
         while k < last:
             end = k + 1
-            while end < last and gutters(these[(band >= k) & (band < end)]).max() and gutters(these[(band >= k) & (band <= end)]).max():
-                end += 1
-            stretch = these[(band >= k) & (band < end)]
+            if first[end] - first[k] == 1:
+                pile.append(("read", of(k, end)))
+                k = end
+                continue
+            taken = columns_of(b[of(k, end)][:, [0, 2]])
+            while end < last and len(taken) > 1 and len(more := columns_of(np.r_[taken, b[of(end, end + 1)][:, [0, 2]]])) > 1:
+                taken, end = more, end + 1
+            stretch = of(k, end)
             column = gutters(stretch)
             if not column.max():
                 pile.append(("read", stretch[np.lexsort((side * b[stretch, 0], b[stretch, 1]))]))
@@ -65,9 +82,14 @@ def reading_order(b: np.ndarray, rtl: bool = False) -> list[int]:
 
 
 @arrow("array<int>")
-def order_of(boxes: pd.Series, rtl: pd.Series) -> pd.Series:
-    """Places in reading order for an array of boxes."""
-    return pd.Series([reading_order(_array(x), bool(r)) for x, r in zip(boxes, rtl)])
+def _order_of(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, rtl: pd.Series) -> pd.Series:
+    side = lambda a: np.array(a if a is not None else (), dtype=float)
+    return pd.Series([np.array(reading_order(np.stack([side(a) for a in sides], axis=1), bool(r)), dtype=np.int32) for *sides, r in zip(x0, y0, x1, y1, rtl)])
+
+
+def order_of(boxes: Column, rtl: Column) -> Column:
+    """Places in reading order for an array of boxes, whose sides travel as flat arrays."""
+    return _order_of(*(F.transform(boxes, lambda x: x[s].cast("double")) for s in SIDES), rtl)
 
 
 def _array(boxes) -> np.ndarray:

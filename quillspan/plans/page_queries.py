@@ -253,7 +253,7 @@ def boxes_in_order(spark, d):
     x0, y0 = 40 + 180 * (F.col("n") % 3), 30 * F.floor(F.col("n") / 3) + 7 * (F.col("n") % 3)
     box = F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + 150).cast("double").alias("x1"), (y0 + 24).cast("double").alias("y1"))
     page = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", box.alias("box")))).alias("b")).withColumn("read", B.order_of(F.col("b")["box"], F.lit(False)))
-    return page.select(F.col("c_nationkey").alias("n_nationkey"), F.posexplode("read").alias("place", "i"), "b").select("n_nationkey", F.get("b", F.col("i"))["c_custkey"].alias("c_custkey"), "place")
+    return page.select(F.col("c_nationkey").alias("n_nationkey"), F.posexplode(F.transform("read", lambda i: F.get("b", i)["c_custkey"])).alias("place", "c_custkey")).select("n_nationkey", "c_custkey", "place")
 
 
 @query("""
