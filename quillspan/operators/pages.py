@@ -115,13 +115,13 @@ def classify(text: Column, raster: Column, objects: Column) -> Column:
     """
     t = F.coalesce(text, F.lit(""))
     n = F.length(t)
-    # counted by what is gone without them: a page that has none is gone through once, with no match
-    gone = lambda of: n - F.length(F.regexp_replace(t, f"[{of}]++", ""))
+    # counted by what is left without all others: a page that has none is one match, whose usual characters are told by the first range
+    gone = lambda of: F.length(F.regexp_replace(t, rf"[ -~\t\n\r[^{of}]]++", ""))
     replaced = gone(rf"{X.REPLACEMENT}\x{{E000}}-\x{{F8FF}}\x{{0}}-\x{{8}}\x{{B}}\x{{C}}\x{{E}}-\x{{1F}}")
-    hidden = gone(rf"{X.REPLACEMENT}\x{{0}}-\x{{8}}\x{{B}}\x{{C}}\x{{E}}-\x{{1F}}\x{{7F}}-\x{{A0}}\x{{AD}}\p{{Cf}}\p{{Co}}\p{{Cn}}\p{{Zl}}\p{{Zp}}[\p{{Zs}}&&[^ ]]")
+    hidden = gone(rf"{X.REPLACEMENT}\x{{0}}-\x{{8}}\x{{B}}\x{{C}}\x{{E}}-\x{{1F}}\x{{7F}}-\x{{A0}}\x{{AD}}\p{{Cf}}\p{{Co}}\p{{Cn}}\p{{Zl}}\p{{Zp}}\p{{Zs}}")
     broken = (n > 0) & (((n - hidden) / F.nullif(n, F.lit(0)) < BROKEN_PRINTABLE) | (replaced / F.nullif(n, F.lit(0)) > BROKEN_REPLACED))
     broken = F.coalesce(broken, F.lit(False))
-    kind = F.when(broken, "broken_digital").when(X.strip(t) == "", "scanned").when(F.least(F.lit(1.0), raster) > RASTER_MIXED, "mixed").otherwise("native")
+    kind = F.when(broken, "broken_digital").when(~t.rlike(f"[^{X.SPACE[1:]}"), "scanned").when(F.least(F.lit(1.0), raster) > RASTER_MIXED, "mixed").otherwise("native")
     return F.struct(kind.alias("classification"), broken.alias("is_broken"), ((n == 0) & (objects == 0)).alias("is_blank"))
 
 
