@@ -62,3 +62,29 @@ def test_thresholds_err_least():
             if cuts[k] < np.inf:
                 assert abs(w[left][(z[left, k] > cuts[k]) != (bad[left] == 1)].sum() - least(k, left)) < 1e-9
                 left &= z[:, k] <= cuts[k]
+
+
+def test_trees_and_thresholds_of_every_row(spark, monkeypatch):
+    """No row is left out: leaves count all sound documents, and the first threshold errs as little as any on all labelled ones."""
+    monkeypatch.setattr(R, "CHUNK", 700, raising=False)
+    g = np.random.default_rng(8)
+    docs = [(k, " ".join([g.choice(["kaber", "lodal", "mi"]) + str(j) for j in range(g.integers(20, 90))] + [f"#{j}" for j in range(g.integers(1, 30) if k % 9 == 0 else g.integers(0, 3))])) for k in range(5000)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, int(k % 9 > 0)) for k in range(5000)], "doc_id long, quality int")
+    model = R.fit(rows, labels)
+    x = R.ratios(np.array([R.statistics(t) for _, t in docs]))
+    (*_, (cols, every)) = model["forests"]
+    assert every.size == len(docs) and len(model["cuts"]) == len(model["forests"]) == 6
+    for feature, cut, left, length in every.trees[:3]:
+        at = R._leaf((feature, cut, left), x, np.arange(len(x)))
+        for leaf, n in zip(*np.unique(at, return_counts=True)):
+            depth, up = 0, leaf
+            while up:
+                up, depth = next(k for k in range(len(left)) if feature[k] >= 0 and up - left[k] in (0, 1)), depth + 1
+            assert abs(length[leaf] - depth - every._rest(int(n))) < 1e-9
+    # the same forests, grown from the rows in one place
+    assert all(np.allclose(a.score(x[:, c]), b.score(x[:, c])) for (c, a), (_, b) in zip(model["forests"], R.grown(x)))
+    z, bad = R.anomalies(model["forests"], x), np.array([k % 9 == 0 for k, _ in docs])
+    one = int(np.argmin([min(((z[:, k] > c) != bad).sum() for c in np.unique(z[:, k])) for k in range(6)]))
+    least = min(((z[:, one] > c) != bad).sum() for c in np.unique(z[:, one]))
+    assert ((z[:, one] > model["cuts"][one]) != bad).sum() <= least + 2
