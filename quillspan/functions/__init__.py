@@ -18,3 +18,16 @@ def arrow(return_type: str):
         return call
 
     return wrap
+
+
+def arrow_rows(return_type: str):
+    """arrow_udf that is made when it is used, for large values: the function gets Arrow arrays, whose values it can look at one by one."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def call(*columns):
+            return F.arrow_udf(f, return_type)(*columns)
+
+        return call
+
+    return wrap

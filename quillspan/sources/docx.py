@@ -12,10 +12,10 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import arrow, geometry as G, tables as B, text as X
+from ..functions import arrow_rows, geometry as G, tables as B, text as X
 
 # Paper in twentieths of a point with its margin, type sizes of headings in parts of the body's, style names.
 PAPERS = {"A4": (11906, 16838, 1020), "A3": (16838, 23811, 1247)}
@@ -145,8 +145,8 @@ def large_print(blocks: DataFrame, body: float = 20.0, spacing: float = 1.5, pap
     page = f'<w:sectPr><w:pgSz w:w="{width}" w:h="{height}"/><w:pgMar w:top="{margin}" w:bottom="{margin}" w:start="{margin}" w:end="{margin}"/></w:sectPr>'
     styles = styles_xml(body, spacing)
 
-    @arrow("binary")
-    def packed(document: pd.Series, media: pd.Series) -> pd.Series:
+    @arrow_rows("binary")
+    def packed(document: pa.Array, media: pa.Array) -> pa.Array:
         def archive(xml: str, pictures) -> bytes:
             files = {f"word/media/image{m['ord']}.{m['kind']}": bytes(m["content"]) for m in pictures}
             relations = "".join(f'<Relationship Id="pic{m["ord"]}" Type="{PICTURE}" Target="media/image{m["ord"]}.{m["kind"]}"/>' for m in pictures)
@@ -158,7 +158,8 @@ def large_print(blocks: DataFrame, body: float = 20.0, spacing: float = 1.5, pap
                     z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), said, zipfile.ZIP_DEFLATED)
             return out.getvalue()
 
-        return pd.Series([archive(d, m) for d, m in zip(document, media)])
+        # one document and its pictures at a time: a batch never lies here as Python objects
+        return pa.array((archive(d.as_py(), m.as_py()) for d, m in zip(document, media)), pa.binary(), size=len(document))
 
     absent = {"caption": "string", "has_header": "boolean", "asset": "string"}
     x = blocks.withColumns({n: F.lit(None).cast(k) for n, k in absent.items() if n not in blocks.columns})

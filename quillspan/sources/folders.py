@@ -113,7 +113,8 @@ class FolderWriter(DataSourceArrowWriter):
         files = size = 0
         with open(f"{folder}/{INDEX}", "w") as index:
             for batch in iterator:
-                for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
+                for doc_id, content in zip(batch.column("doc_id"), batch.column("content")):
+                    doc_id, content = doc_id.as_py(), content.as_py()
                     data = content.encode() if isinstance(content, str) else content
                     if doc_id is None or not data:
                         raise ValueError(f"document {doc_id}: nothing to write")

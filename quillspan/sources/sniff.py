@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import io
 import posixpath
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import arrow
+from ..functions import arrow_rows
 
 # Fixed values.
 MAX_BYTES, HEAD, OLE_SCAN = 500 * 1024 * 1024, 1024, 512 * 1024
 OLE = "D0CF11E0A1B11AE1"
 BOMB_RATIO, BOMB_BYTES = 100.0, 10 * 1024 * 1024
+MEMBERS = pa.list_(pa.struct([("name", pa.string()), ("size", pa.int64()), ("packed", pa.int64())]))
 STREAMS = {"doc": "WordDocument", "ppt": "PowerPoint Document"}
 
 
@@ -22,16 +22,17 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def _members(content: bytes) -> list[zipfile.ZipInfo]:
+def _members(content: pa.Scalar) -> list[zipfile.ZipInfo]:
+    """The members of an archive that is looked at where it lies."""
     try:
-        return zipfile.ZipFile(io.BytesIO(content)).infolist()
+        return zipfile.ZipFile(pa.BufferReader(content.as_buffer())).infolist() if content.is_valid else []
     except (zipfile.BadZipFile, OSError, ValueError):
         return []
 
 
-@arrow("array<struct<name:string,size:long,packed:long>>")
-def members(content: pd.Series) -> pd.Series:
-    return pd.Series([[{"name": m.filename, "size": m.file_size, "packed": m.compress_size} for m in _members(c or b"")] for c in content])
+@arrow_rows("array<struct<name:string,size:long,packed:long>>")
+def members(content: pa.Array) -> pa.Array:
+    return pa.array([[{"name": m.filename, "size": m.file_size, "packed": m.compress_size} for m in _members(c)] for c in content], MEMBERS)
 
 
 def _has(content: Column, raw: bytes, within: int) -> Column:
