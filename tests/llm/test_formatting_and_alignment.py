@@ -122,3 +122,13 @@ def test_pieces_tokenize_by_themselves(spark):
         assert [i for r in e if r.k == k for i in r.a_ids] == [i for i, _ in of_a(t)]
         assert [i for r in e if r.k == k for i in r.b_ids] == [i for i, _ in of_b(t)]
     assert all(r.ok for r in e)
+
+
+def test_codes_tell_pieces_apart(spark, monkeypatch):
+    """Where two pieces have one code, another seed is taken; few documents are put together at once without a difference."""
+    monkeypatch.setattr(A, "_code", lambda piece, seed: F.xxhash64(F.substring(piece, 1, 1 + 3 * seed), F.lit(seed)))
+    facts = spark.createDataFrame([(" the",), (" thus",), (" x",)], "piece string")
+    assert A.telling_seed(facts) == 1
+    monkeypatch.setattr(A, "AT_ONCE", 7)
+    rows = [(k, t) for k, t in enumerate(["the thus x", None, "x x x x x x x x x x", "", "thus"])]
+    assert aligned(spark, rows) == sorted(map(repr, alignment(rows)))
